@@ -102,7 +102,7 @@ def _entropies(shared):
     return run
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, docs_per_lang: int = 2000, seed: int = 7, margin: float = 0.35) -> LanguageModels:
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, docs_per_lang: int = 2000, seed: int = 7, margin: float = 1.0) -> LanguageModels:
     """Models from labelled rows. Of each language a sample of about docs_per_lang documents, drawn by the hash of key,
     is read whole: three quarters of it give the counts, the rest calibrates the rejection.
 

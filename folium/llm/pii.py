@@ -169,14 +169,18 @@ def email(m: str, f: Feistel) -> str | None:
 
 
 def secret(m: str, f: Feistel) -> str | None:
-    head, value = re.fullmatch(r"""(?s)(AKIA|[a-zA-Z_]+["']?\s*[:=]\s*["']?)(.+)""", m).groups()
-    return head + f.classes(value, "secret", hexadecimal=re.fullmatch("[0-9a-f]+", value) is not None)
+    head, value = re.fullmatch(r"""(?s)(AKIA|[a-zA-Z_]+["']?\s*[:=]\s*["']?|)(.+)""", m).groups()
+    hexadecimal = re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) is not None and any("0" <= c <= "9" for c in value)
+    if not hexadecimal:
+        return head + f.classes(value, "secret")
+    new = f.classes(value.lower(), "secret", hexadecimal=True)
+    return head + (new if value == value.lower() else new.upper())
 
 
 #: kind, pattern, pseudonym (None: not valid, left alone). The first to match at a place wins.
 KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
     ("email", r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}\b", email),
-    ("secret", r"""\bAKIA[A-Z0-9]{16}\b|\b(?:password|passwd|pwd|secret|token|api_?key)["']?\s{0,3}[:=]\s{0,3}["']?(?=[A-Za-z_\-]{0,60}[0-9])[A-Za-z0-9_\-]{8,128}""", secret),
+    ("secret", r"""\bAKIA[A-Z0-9]{16}\b|(?<=")[0-9a-f]{32,64}(?=")|(?<=")[0-9A-F]{32,64}(?=")|\b(?i:password|passwd|pwd|secret|token|api_?key)["']?\s{0,3}[:=]\s{0,3}["']?(?=[A-Za-z_\-]{0,60}[0-9])[A-Za-z0-9_\-]{8,128}""", secret),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     ("date", r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9\-/]|\.[0-9])", date),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])", address),

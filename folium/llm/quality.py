@@ -11,8 +11,10 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 ENDS = (b".", b"!", b"?", b'"', b":")
 WINDOW = 8
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper", "n_ascii", "n_shouts", "n_distinct_words")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper", "n_ascii", "n_shouts", "n_distinct_words", "n_stutters")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +66,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
     ended = sum(x.rstrip(WHITESPACE).endswith(ENDS) for x in lines)
     return (
         len(words), len(text) - (len(raw) - len(left)), len(left) - len(left.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words),
-        len(lines), ended, upper, upper + lower, left.count(b"!"), len(set(words)),
+        len(lines), ended, upper, upper + lower, left.count(b"!"), len(set(words)), sum(map(operator.eq, words, islice(words, 1, None))),
     )
 
 
@@ -97,29 +99,31 @@ def voters() -> list[Voter]:
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     repeat, symbols, dups, ended = F.col("n_repeat_words") / words, F.col("n_symbols") / words, F.col("n_dup_lines") / lines, F.col("n_ended_lines") / lines
     capitals, shouts, length = F.col("n_upper") / F.greatest(F.col("n_ascii"), F.lit(1)), F.col("n_shouts") / words, F.col("word_chars") / words
-    distinct = F.col("n_distinct_words") / F.sqrt(words)
+    distinct, stutters = F.col("n_distinct_words") / F.sqrt(words), F.col("n_stutters") / words
+    never = F.lit(False)
     return [
-        Voter("repetition", repeat > 0.2, repeat < 0.02),
+        Voter("repetition", repeat > 0.3, repeat < 0.02),
+        Voter("stutter", stutters > 0.2, stutters < 0.05),
         Voter("symbols", symbols > 0.1, symbols < 0.01),
-        Voter("duplicate_lines", (dups > 0.3) & (F.col("n_dup_lines") > 1), F.col("n_lines") < 0),
-        Voter("capitals", capitals > 0.4, capitals < 0.15),
+        Voter("symbol_words", symbols > 0.3, never),
+        Voter("duplicate_lines", (dups > 0.5) & (F.col("n_dup_lines") > 2), never),
+        Voter("capitals", (capitals > 0.4) & (F.col("n_ascii") >= 20), capitals < 0.15),
         Voter("shouting", shouts > 0.2, shouts < 0.01),
         Voter("word_length", (length < 2.5) | (length > 12), (length >= 3) & (length <= 9)),
-        Voter("line_ends", ended < 0.2, ended > 0.6),
-        Voter("variety", (distinct < 2.0) & (F.col("n_words") >= 50), distinct > 4.0),
-        Voter("length", F.col("n_words") < 20, F.col("n_words") >= 50),
+        Voter("line_ends", (ended < 0.5) & (F.col("n_words") >= 20), ended > 0.9),
+        Voter("variety", (distinct < 2.0) & (F.col("n_words") >= 30), distinct > 4.0),
     ]
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0) -> tuple[float, np.ndarray]:
     """Prior of good, and chances[rule, quality, vote] (quality 0 bad, 1 good; vote 0 none, 1 good, 2 bad).
 
-    Starts from the share of bad among a pattern's votes, so that class 1 is the good one. After each round, a bad vote may not be likelier
+    Starts from whether a pattern has bad votes, so that class 1 is the good one. After each round, a bad vote may not be likelier
     among the good than among the bad (nor the reverse): such a chance is set to its mean, and the rule then says nothing."""
     n = patterns.shape[1]
     hits = np.stack([(patterns == v) for v in range(3)], axis=2).astype(float)
     bad = (patterns == 2).sum(axis=1)
-    post = np.where(bad == 0, 0.98, np.where(bad == 1, 0.35, 0.05))
+    post = np.where(bad == 0, 0.98, np.where(bad == 1, 0.1, 0.02))
     prior, chances = 0.8, np.zeros((n, 2, 3))
     for _ in range(rounds):
         prior = float(np.clip((post * counts).sum() / max(counts.sum(), 1e-9), 0.05, 0.98))
