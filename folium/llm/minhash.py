@@ -7,9 +7,9 @@ lowest rank is kept. Two sets agree in a coordinate with the probability of thei
 k ln k darts serve all k coordinates, whatever the number of elements.
 
 Steps: texts that are equal word for word become one class, and only its earliest document goes on. Signatures are cut
-into bands. Within a bucket of equal bands each member is paired with the earliest and with the next few in order, so
+into bands. Within a bucket of equal bands each member is paired with the earliest and with the next few in a seeded order, so
 pairs grow with members, not with their square; every pair is verified exactly. Verified links are closed into groups.
-Buckets that still span several groups are paired anew, each time in another order, until a round finds no link.
+Buckets of more than 9 different texts that still span several groups are paired once more: those outside a bucket's largest group with 16 others of it, in each band.
 
 Defined results: a null, empty or blank text, or one of fewer than 5 words, has one shingle of what words it has;
 documents without a word are not grouped at all. Ties go to the lowest id. Repeated rows are copies. An empty table
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import dropped, slices, stored
+from folium.llm.common import dropped, slices, stored, with_size
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,7 +44,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 #: Rank ranges are [0, FIRST), [FIRST, 2 FIRST), [2 FIRST, 4 FIRST) ..., the same for every set: equal elements throw equal darts.
 FIRST = 2.0**-8
 #: Elements x cells that one step handles at a time.
-STEP = 1 << 21
+STEP = 1 << 18
 
 
 def _poisson(mean: float) -> np.ndarray:
@@ -113,7 +113,7 @@ class _WordHash(dict):
     """Hashes of words, the same in every process."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -141,7 +141,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = 5, k: int = 96,
 
     def run(batches):
         known = _WordHash()
-        for batch in slices(batches, "text", max_rows=1024, max_bytes=4 << 20):
+        for batch in slices(batches, "text", max_rows=512, max_bytes=1 << 20):
             parts = [shingles(_words(t), known, size) for t in batch.column("text").to_pylist()]
             n = np.array([len(p) for p in parts], np.int64)
             owner, flat = np.repeat(np.arange(len(parts)), n), np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -171,7 +171,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFra
 
     def run(batches):
         known = _WordHash()
-        for batch in slices(batches, "text", max_bytes=2 << 20):
+        for batch in slices(batches, "text", max_bytes=1 << 20):
             lists = []
             for t in batch.column("text").to_pylist():
                 flat = np.sort(shingles(_words(t), known, size))
@@ -203,23 +203,57 @@ def components(edges: DataFrame) -> DataFrame:
         now, mark = new, seen
 
 
-#: Members of a bucket that are paired with each other in a round; a smaller bucket has all its pairs.
+#: Members of a bucket that are paired with each other; a bucket of one more has all its pairs.
 NEAR = 8
+#: In the second turn, the members of a bucket's largest group that one outside of it is paired with, anew in each band.
+REACH = 16
 
 
-def _pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b) from buckets: each member with the earliest, and with NEAR others of its part of the bucket.
+def _pairs(members: DataFrame) -> DataFrame:
+    """(a, b, x, y: their sizes) from buckets: each member with the earliest, and with NEAR others of its part of the bucket.
 
-    members: key, id, n, count, first, first_n. A part holds about NEAR members whatever the bucket's size; each turn
-    deals parts and orders them in another way."""
-    part = F.when(F.col("count") <= NEAR + 1, 0).otherwise(F.pmod(F.xxhash64(F.lit(turn), "id"), F.ceil(F.col("count") / NEAR)))
+    members: key, id, n, count, first, first_n. A part holds about NEAR members whatever the bucket's size, so pairs grow with members.
+    The parts of a document's bands agree, which keeps distinct pairs few."""
+    lot = F.xxhash64(F.lit(0), "id")
+    part = F.when(F.col("count") <= NEAR + 1, 0).otherwise(F.pmod(lot, F.ceil(F.col("count") / NEAR)))
     w = Window.partitionBy("key", "part").orderBy("order", "id")
-    own = members.withColumn("part", part).withColumn("order", F.xxhash64(F.lit(turn), "id"))
-    others = F.array(*[F.struct(F.lag("id", i).over(w).alias("id"), F.lag("n", i).over(w).alias("n")) for i in range(1, NEAR + 1)], F.struct(F.col("first").alias("id"), F.col("first_n").alias("n")))
-    found = own.select("id", "n", others.alias("others")).select("id", "n", F.explode("others").alias("o")).where("o.id is not null and o.id <> id")
+    own = members.withColumn("part", part).withColumn("order", F.xxhash64(F.lit(1), lot))
+    others = [F.struct(F.lag("id", i).over(w).alias("id"), F.lag("n", i).over(w).alias("n")) for i in range(1, NEAR + 1)]
+    others.append(F.struct(F.col("first").alias("id"), F.col("first_n").alias("n")))
+    found = own.select("id", "n", F.array(*others).alias("others")).select("id", "n", F.explode("others").alias("o")).where("o.id is not null and o.id <> id")
     return found.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.least("n", "o.n").alias("x"), F.greatest("n", "o.n").alias("y"))
 
 
+def _pairs_across(members: DataFrame) -> DataFrame:
+    """(a, b, x, y, root_a, root_b) from buckets that span several groups: each member outside the largest group of its bucket
+    with about REACH of that group, and with its neighbour outside.
+
+    members: key, id, n, root. Both sides are dealt to parts of the bucket by the hash of key and id, so that every band reaches others."""
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("major"), F.ceil(F.col("m.c") / REACH).alias("parts"))
+    dealt = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("key", "id"), "parts"))
+    inside = dealt.where("root = major").select("key", "part", F.struct("id", "n", "root").alias("o"))
+    outside = dealt.where("root <> major")
+    w = Window.partitionBy("key", "part").orderBy("id")
+    near = outside.withColumn("o", F.lag(F.struct("id", "n", "root")).over(w)).where("o.root <> root")
+    found = outside.join(inside, ["key", "part"]).select("id", "n", "root", "o").unionByName(near.select("id", "n", "root", "o"))
+    low = F.col("id") < F.col("o.id")
+    return found.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.least("n", "o.n").alias("x"), F.greatest("n", "o.n").alias("y"), F.when(low, F.col("root")).otherwise(F.col("o.root")).alias("root_a"), F.when(low, F.col("o.root")).otherwise(F.col("root")).alias("root_b"))
+
+
+def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Those of pairs (a, b) whose weighted Jaccard similarity reaches threshold, from the texts."""
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(with_size(ids), "id", "left_semi")
+    sets = stored(shingle_sets(chosen, "id", "text", size), "sets")
+    near = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    near = near.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("all"))
+    found = stored(near.where(F.col("both") >= threshold * (F.col("all") - F.col("both")) - 1e-9).select("a", "b").distinct(), "links")
+    dropped(ids)
+    dropped(sets)
+    return found
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, k: int = 96, rows: int = 4, seed: int = 1) -> DataFrame:
     """One row per row of docs: key, class_id (least key of the same words), group_id (least key of its group), links
     (verified links to other classes), n_shingles.
@@ -230,34 +264,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     band = reps.select("id", "n", F.explode("bands").alias("key"))
     sizes = band.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("id", "n")).alias("first")).where("count > 1")
     members = stored(band.join(sizes.select("key", "count", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "key"), "members")
-    links, turn, roots, tested = None, 0, None, members
-    while True:
-        pairs = _pairs(tested, turn).where(F.col("x") >= threshold * F.col("y") - 1e-9).select("a", "b").distinct()
-        if roots is not None:
-            at = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-            pairs = pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        pairs = stored(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        sets = stored(shingle_sets(chosen, "id", "text", size), "sets")
-        near = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        near = near.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("all"))
-        new = stored(near.where(F.col("both") >= threshold * (F.col("all") - F.col("both")) - 1e-9).select("a", "b"), "links")
-        dropped(sets)
+    alike = F.col("x") >= threshold * F.col("y") - 1e-9
+    pairs = stored(_pairs(members).where(alike).select("a", "b").distinct(), "pairs")
+    links = _verified(docs, key, text, pairs, threshold, size)
+    roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+    dropped(pairs)
+    large = members.where(F.col("count") > NEAR + 1)
+    large = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = large.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
+    again = stored(large.join(mixed, "key", "left_semi"), "mixed")
+    if again.limit(1).count():
+        pairs = stored(_pairs_across(again).where(alike).groupBy("a", "b").agg(F.first("root_a").alias("root_a"), F.first("root_b").alias("root_b")), "pairs")
+        new = _verified(docs, key, text, pairs.select("a", "b"), threshold, size)
+        joined = new.join(pairs, ["a", "b"]).select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))
+        moved = components(joined).select(F.col("node").alias("root"), F.col("root").alias("new"))
+        roots = roots.unionByName(joined.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node")))
+        roots = stored(roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")).groupBy("node").agg(F.min("root").alias("root")), "roots")
+        links = links.unionByName(new)
         dropped(pairs)
-        fresh = new.limit(1).count()
-        links = new if links is None else links.union(new)
-        if fresh or roots is None:
-            roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-        if turn and not fresh:
-            break
-        large = members.where(F.col("count") > NEAR + 1).join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = large.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
-        turn += 1
-        tested = stored(large.join(mixed, "key", "left_semi").drop("root"), "mixed")
-        if not tested.limit(1).count():
-            break
+    dropped(again)
+    dropped(members)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     classes = found.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("class_id"))
     whole = classes.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").join(degree.withColumnRenamed("id", "class_id"), "class_id", "left")
