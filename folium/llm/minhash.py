@@ -9,7 +9,7 @@ k ln k darts serve all k coordinates, whatever the number of elements.
 Steps: texts that are equal word for word become one class, and only its earliest document goes on. Signatures are cut
 into bands. Within a bucket of equal bands each member is paired with the earliest and with the next few in a seeded order, so
 pairs grow with members, not with their square; every pair is verified exactly. Verified links are closed into groups.
-Buckets of more than 9 different texts that still span several groups are paired once more: those outside a bucket's largest group with 16 others of it, in each band.
+Buckets of more than 9 different texts that still span several groups are paired once more: those outside a bucket's largest group with about nine of it, in each band.
 
 Defined results: a null, empty or blank text, or one of fewer than 5 words, has one shingle of what words it has;
 documents without a word are not grouped at all. Ties go to the lowest id. Repeated rows are copies. An empty table
@@ -205,12 +205,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Members of a bucket that are paired with each other; a bucket of one more has all its pairs.
 NEAR = 8
+#: The same in larger buckets, where every member is also paired with the earliest.
+NEAR_LARGE = 1
 #: In the second turn, the members of a bucket's largest group that one outside of it is paired with, anew in each band.
-REACH = 16
+REACH = 9
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """(a, b, x, y: their sizes) from buckets: each member with the earliest, and with NEAR others of its part of the bucket.
+    """(a, b, x, y: their sizes) from buckets: each member with the earliest, and with others of its part of the bucket.
 
     members: key, id, n, count, first, first_n. A part holds about NEAR members whatever the bucket's size, so pairs grow with members.
     The parts of a document's bands agree, which keeps distinct pairs few."""
@@ -218,7 +220,8 @@ def _pairs(members: DataFrame) -> DataFrame:
     part = F.when(F.col("count") <= NEAR + 1, 0).otherwise(F.pmod(lot, F.ceil(F.col("count") / NEAR)))
     w = Window.partitionBy("key", "part").orderBy("order", "id")
     own = members.withColumn("part", part).withColumn("order", F.xxhash64(F.lit(1), lot))
-    others = [F.struct(F.lag("id", i).over(w).alias("id"), F.lag("n", i).over(w).alias("n")) for i in range(1, NEAR + 1)]
+    within = lambda i: F.lit(True) if i <= NEAR_LARGE else F.col("count") <= NEAR + 1
+    others = [F.when(within(i), F.struct(F.lag("id", i).over(w).alias("id"), F.lag("n", i).over(w).alias("n"))) for i in range(1, NEAR + 1)]
     others.append(F.struct(F.col("first").alias("id"), F.col("first_n").alias("n")))
     found = own.select("id", "n", F.array(*others).alias("others")).select("id", "n", F.explode("others").alias("o")).where("o.id is not null and o.id <> id")
     return found.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.least("n", "o.n").alias("x"), F.greatest("n", "o.n").alias("y"))
