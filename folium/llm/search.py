@@ -4,7 +4,8 @@ Documents are indexed shard by shard (about shard_docs of them, within one task)
 document frequencies, the number of documents and the mean length of the whole collection, so scores of different shards compare,
 and the merged top k is exact. A shard's documents stand in blocks of 64, similar ones together; of each term
 and block the largest impact is kept. For a query, the block-max bounds of its terms are summed per block; blocks are visited by falling bound,
-their postings read and summed, and the walk ends where no bound exceeds the score of the k-th best so far. Terms
+their postings read and summed, and the walk ends where no bound exceeds the score of the k-th best so far. An eighth of the documents is searched first; its
+k-th scores are where the others' walks start. Terms
 that an eighth of a shard's documents have would never let a cursor skip; their lists are kept as columns
 and their exact share of the scores takes the place of a bound.
 
@@ -85,8 +86,8 @@ class Shard:
             weights[at[at >= 0], j] = times[at >= 0]
         return np.ascontiguousarray((self.table @ weights).T)
 
-    def top(self, share: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, by falling score and rising id."""
+    def top(self, share: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best, by falling score and rising id; scores below floor are of no interest."""
         rare = self.column[terms] < 0
         starts, ends = self.term_entry[terms[rare]], self.term_entry[terms[rare] + 1]
         entries = spans(starts, ends)
@@ -94,7 +95,7 @@ class Shard:
         blocks = self.entry_block[entries]
         bound = share.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(blocks, weights=weight * self.entry_max[entries], minlength=self.blocks)
         visit = np.argsort(-bound, kind="stable")
-        scores, done, limit, take = share, 0, 0.0, 2
+        scores, done, limit, take = share, 0, floor, 2
         total = np.full(len(share), -1.0)
         while done < self.blocks:
             now = visit[done : done + take]
@@ -111,9 +112,9 @@ class Shard:
             total[at] = scores[at] + extra[at]
             done, take = done + take, take * 4
             if (total > 0).sum() >= k:
-                limit = np.partition(total, -k)[-k]
+                limit = max(floor, np.partition(total, -k)[-k])
         total = np.round(total[: len(self.ids)], 6)
-        found = np.flatnonzero(total > 0)
+        found = np.flatnonzero((total > 0) & (total >= floor))
         if len(found) > k:
             found = found[total[found] >= np.partition(total[found], -k)[-k]]
         best = found[np.lexsort((self.ids[found], -total[found]))][:k]
@@ -168,7 +169,7 @@ def _searched(shared, k: int, shard_docs: int):
             yield pa.Table.from_batches(parts).combine_chunks()
 
     def run(batches):
-        queries, idf, mean_length = shared.value
+        queries, idf, mean_length, floors = shared.value
         for t in shards(batches):
             terms, tf = (pc.list_flatten(t.column(c)).to_numpy() for c in ("terms", "tf"))
             place = np.repeat(np.arange(t.num_rows), pc.list_value_length(t.column("terms")).to_numpy())
@@ -176,7 +177,7 @@ def _searched(shared, k: int, shard_docs: int):
             for i in range(0, len(queries), AT_ONCE):
                 some = queries[i : i + AT_ONCE]
                 shares = shard.shares([q[1:] for q in some])
-                out = [(np.full(len(ids), q[0]), ids, scores) for q, share in zip(some, shares) for ids, scores in (shard.top(share, *q[1:], k),)]
+                out = [(np.full(len(ids), q[0]), ids, scores) for q, share in zip(some, shares) for ids, scores in (shard.top(share, *q[1:], k, floors.get(q[0], 0.0)),)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "doc_id", "score"])
 
     return run
@@ -205,10 +206,22 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id",
         for b in index.select("terms").mapInArrow(_frequencies(len(known)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow().to_batches():
             df[b.column(0).to_numpy()] = b.column(1).to_numpy()
         idf = np.log1p((total - df + 0.5) / (df + 0.5))
-        shared = spark.sparkContext.broadcast((queries, idf, (words or 0) / max(total, 1)))
-        found = index.where(F.size("terms") > 0).mapInArrow(_searched(shared, k, shard_docs), "query_id long, doc_id long, score double")
+        mean = (words or 0) / max(total, 1)
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        best = stored(found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score"), "best")
+        schema = "query_id long, doc_id long, score double"
+
+        def ranked(part: DataFrame, floors: dict[int, float]) -> DataFrame:
+            found = part.mapInArrow(_searched(spark.sparkContext.broadcast((queries, idf, mean, floors)), k, shard_docs), schema)
+            return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+
+        # an eighth of the documents first: its k-th scores are floors for the others, which then skip more and send less
+        some = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(8)) == 0
+        matched = index.where(F.size("terms") > 0)
+        first = stored(ranked(matched.where(some), {}), "first")
+        floors = {r["query_id"]: r["score"] for r in first.where(F.col("rank") == k).select("query_id", "score").collect()}
+        both = first.select("query_id", "doc_id", "score").unionByName(matched.where(~some).mapInArrow(_searched(spark.sparkContext.broadcast((queries, idf, mean, floors)), k, shard_docs), schema))
+        best = stored(both.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score"), "best")
+        dropped(first)
         dropped(index)
         out = best if out is None else out.unionByName(best)
     return out
