@@ -34,7 +34,7 @@ WORD = re.compile(r"[^\W_]+")
 BLOCK = 64
 K1, B = 1.2, 0.75
 #: Queries whose shares of common terms are computed at once.
-AT_ONCE = 128
+AT_ONCE = 64
 
 
 def words_of(text: str | None) -> list[str]:
@@ -126,7 +126,7 @@ def _indexed(shared):
 
     def run(batches):
         known = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", max_bytes=2 << 20):
             lengths, terms, times = [], [], []
             for t in batch.column("text").to_pylist():
                 words = words_of(t)
@@ -183,7 +183,7 @@ def _searched(shared, k: int, shard_docs: int):
     return run
 
 
-def search(docs: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", text: str = "text", query_block: int = 4096, query_chars: int = 1 << 26, shard_docs: int = 8192) -> DataFrame:
+def search(docs: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", text: str = "text", query_block: int = 4096, query_chars: int = 1 << 26, shard_docs: int = 4096) -> DataFrame:
     """query_id, doc_id, rank, score: the k best rows of docs for each of its rows where is_query holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), is_query.alias("q"))
