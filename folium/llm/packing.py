@@ -2,8 +2,8 @@
 
 A document's ids and a closing id make one run. A run beyond the capacity is cut into full pieces, of which the first
 may be shorter; full pieces fill a sequence each. Every other piece is placed where the sum of the squared numbers of
-open sequences per residual gap becomes smallest, a new sequence being one of the choices. Pieces are dealt to shards
-of about shard_items documents by a hash; each shard packs on its own, in the better of two orders, so that a shard leaves only few sequences
+open sequences per residual gap becomes smallest. Pieces are dealt to shards
+of about shard_items documents by a hash; each shard packs on its own, in the better of two ways, so that a shard leaves only few sequences
 unfilled and no task holds more than its shard.
 
 Defined results: a null or empty text is its closing id alone. Repeated rows are packed once each. An empty table
@@ -74,8 +74,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pack_in(order: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum-of-squares packing in a given order: sequence number and offset of each piece."""
+def pack_in(order: np.ndarray, lengths: np.ndarray, capacity: int, thrifty: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sum-of-squares packing in a given order: sequence number and offset of each piece.
+
+    A new sequence is one of the choices; with thrifty, only where no open one has room."""
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by residual gap
     counts = np.zeros(capacity + 1, np.int64)
     number, offset, used = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
@@ -91,7 +93,7 @@ def pack_in(order: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.n
             change[0] = 1 - 2 * counts[size]
             change = np.where(there > 0, change, never)
             best = int(change.argmin())
-            if change[best] <= 2 * counts[capacity - size] + 1:
+            if change[best] < never and (thrifty or change[best] <= 2 * counts[capacity - size] + 1):
                 gap = best + size
         if gap:
             b = open_bins[gap].pop()
@@ -106,11 +108,12 @@ def pack_in(order: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.n
 
 
 def pack(lengths: np.ndarray, capacity: int, mixed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The better of two orders: the longest first; or the longest first down to half the capacity, then the others in the order of mixed."""
+    """The better of two ways: thrifty, the longest first; or the longest first down to a quarter of the capacity, then the others in the order of mixed."""
     down = np.argsort(-lengths, kind="stable")
     mixed = np.arange(len(lengths)) if mixed is None else np.argsort(mixed, kind="stable")
-    halves = np.concatenate([down[lengths[down] > capacity // 2], mixed[lengths[mixed] <= capacity // 2]])
-    return min((pack_in(order, lengths, capacity) for order in (down, halves)), key=lambda found: found[0].max(initial=-1))
+    quarters = np.concatenate([down[lengths[down] > capacity // 4], mixed[lengths[mixed] <= capacity // 4]])
+    ways = (pack_in(down, lengths, capacity, thrifty=True), pack_in(quarters, lengths, capacity))
+    return min(ways, key=lambda found: found[0].max(initial=-1))
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -115,7 +115,7 @@ def extract(page: str) -> tuple[str, list[str], str]:
     """Title, links and text of a page: a block element starts a line, source line breaks are blanks, empty lines go."""
     body = _DROPPED.sub("", page)
     title = _TITLE.search(body)
-    links = [html_entities.unescape(next(x for x in m if x or x is m[-1])).strip() for m in _LINK.findall(body)]
+    links = [html_entities.unescape(next((x for x in m if x), "")).strip() for m in _LINK.findall(body)]
     body = _TITLE.sub("", body)
     lines = _BREAK.sub("\x00", body).split("\x00")
     return _plain(title[1]) if title else "", links, "\n".join(x for x in map(_plain, lines) if x)
