@@ -258,6 +258,7 @@ def changed_outputs(spark, d):
 def epub_convert(spark, d):
     """Conversations as EPUB books: zipped, then converted."""
     turns = t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turns = turns.repartition(spark.sparkContext.defaultParallelism)  # small rows, much work in each
 
     def book(ids: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
