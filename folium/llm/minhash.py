@@ -9,8 +9,8 @@ k ln k darts serve all k coordinates, whatever the number of elements.
 Steps: texts that are equal word for word become one class, and only its earliest document goes on. Signatures are cut
 into bands. Within a bucket of equal bands each member is paired with the earliest and with the next few in a seeded order, so
 pairs grow with members, not with their square; every pair is verified exactly. Verified links are closed into groups.
-Buckets of more than 9 different texts that still span several groups are paired once more: those outside a bucket's largest group with about twenty of it, in each band,
-as far as their signatures agree.
+Buckets of more than 9 different texts that still span several groups are paired once more: those outside a bucket's largest group with about 64 of it and 64 of each other, in
+each band, as far as their parity sketches (and, of long texts, their signatures) let them be alike.
 
 Defined results: a null, empty or blank text, or one of fewer than 5 words, has one shingle of what words it has;
 documents without a word are not grouped at all. Ties go to the lowest id. Repeated rows are copies. An empty table
@@ -152,8 +152,28 @@ def sketches(found: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.ravel()))
 
 
+#: Bits of the parity sketch of a set.
+PARITY = 1024
+
+
+def _occurrences(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of (shingle, which time it occurs) from sorted hashes; start: where each run of equal ones begins."""
+    time = np.arange(len(flat)) - np.repeat(start, np.diff(np.append(start, len(flat))))
+    return np.where(time > 0, mix(flat ^ mix(time)), flat)
+
+
+def parities(elements: np.ndarray, owner: np.ndarray, sets: int) -> pa.ListArray:
+    """PARITY bits of each set, in 64-bit words: bit b is odd where an odd number of elements hash to b.
+
+    An element that two sets do not share flips one bit, so sets differ in as many bits at most as they have elements apart."""
+    at = owner * PARITY + (mix(elements ^ GOLDEN) % np.uint64(PARITY)).astype(np.int64)
+    bits = (np.bincount(at, minlength=sets * PARITY) & 1).astype(np.uint8)
+    packed = np.packbits(bits.reshape(sets, PARITY), axis=1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(sets + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.ravel()))
+
+
 def signatures(docs: DataFrame, key: str, text: str, size: int = 5, k: int = 96, rows: int = 4, seed: int = 1) -> DataFrame:
-    """id, n (shingles), one and two (128 bits of the content), bands (array of k / rows hashes), sketch (PLANES bits of each coordinate)."""
+    """id, n (shingles), one and two (128 bits of the content), bands (array of k / rows hashes), sketch (PLANES bits of each coordinate), parity (PARITY bits of the set)."""
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches):
@@ -177,10 +197,10 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = 5, k: int = 96,
             one = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64)
             two = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * (k // rows)), pa.array(mix(total).view(np.int64).ravel()))
-            sketch = sketches(found)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(one), pa.array(two), lists, sketch], names=["id", "n", "one", "two", "bands", "sketch"])
+            parity = parities(_occurrences(flat, at), owner, len(parts))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(one), pa.array(two), lists, sketches(found), parity], names=["id", "n", "one", "two", "bands", "sketch", "parity"])
 
-    return source.mapInArrow(run, "id long, n long, one long, two long, bands array<long>, sketch array<long>")
+    return source.mapInArrow(run, "id long, n long, one long, two long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
@@ -194,8 +214,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFra
             for t in batch.column("text").to_pylist():
                 flat = np.sort(shingles(_words(t), known, size))
                 start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
-                time = np.arange(len(flat)) - np.repeat(start, np.diff(np.append(start, len(flat))))
-                lists.append(np.where(time > 0, mix(flat ^ mix(time)), flat).view(np.int64))
+                lists.append(_occurrences(flat, start).view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "set"])
@@ -225,8 +244,8 @@ def components(edges: DataFrame) -> DataFrame:
 NEAR = 8
 #: The same in larger buckets, where every member is also paired with the earliest.
 NEAR_LARGE = 1
-#: In the second turn, the members of a bucket's largest group that one outside of it is paired with, anew in each band.
-REACH = 20
+#: In the second turn, the members of a bucket's largest group, and those outside of it, that one outside of it is compared with, anew in each band.
+REACH = 64
 
 
 def _pairs(members: DataFrame) -> DataFrame:
@@ -254,23 +273,35 @@ def _agree(a: Column, b: Column, threshold: float, k: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(differ(w)) for w in range(words)]) <= k * (1 - p) + 4 * (k * p * (1 - p)) ** 0.5
 
 
+def _may_reach(a: Column, b: Column, threshold: float, k: int) -> Column:
+    """Whether the sets of two members (n, sketch, parity) may have a similarity of threshold.
+
+    Parities never lose a pair, but say little of large sets; of those the sketches have to agree too."""
+    total = a["n"] + b["n"]
+    apart = reduce(lambda x, y: x + y, [F.bit_count(a["parity"][w].bitwiseXOR(b["parity"][w])) for w in range(PARITY // 64)])
+    sizes = F.least(a["n"], b["n"]) >= threshold * F.greatest(a["n"], b["n"]) - 1e-9
+    return sizes & (apart <= total * ((1 - threshold) / (1 + threshold)) + 1e-6) & ((total <= 2 * PARITY) | _agree(a["sketch"], b["sketch"], threshold, k))
+
+
 def _pairs_across(members: DataFrame, threshold: float, k: int) -> DataFrame:
     """(a, b, root_a, root_b) from buckets that span several groups: each member outside the largest group of its bucket
-    with about REACH of that group, and with its neighbour outside, as far as their sketches agree.
-
-    members: key, id, n, root, sketch. Both sides are dealt to parts of the bucket by the hash of key and id, so that every band reaches others."""
-    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("major"), F.ceil(F.col("m.c") / REACH).alias("parts"))
-    dealt = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("key", "id"), "parts"))
-    inside = dealt.where("root = major").select("key", "part", F.struct("id", "n", "root", "sketch").alias("o"))
-    outside = dealt.where("root <> major")
-    w = Window.partitionBy("key", "part").orderBy("id")
-    near = outside.withColumn("o", F.lag(F.struct("id", "n", "root", "sketch")).over(w)).where("o.root <> root")
-    columns = ["id", "n", "root", "sketch", "o"]
-    found = outside.join(inside, ["key", "part"]).select(*columns).unionByName(near.select(*columns))
-    alike = F.least("n", "o.n") >= threshold * F.greatest("n", "o.n") - 1e-9
-    found = found.where(alike & _agree(F.col("sketch"), F.col("o.sketch"), threshold, k))
+    with about REACH of that group, and with about REACH of those outside, as far as their sketches let them be alike.
+
+    members: key, id, n, root, sketch, parity. The sides are dealt to parts of the bucket by the hash of key and id, so that
+    every band reaches others, and comparisons grow with members."""
+    counts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"))
+    sizes = counts.select("key", F.col("m.root").alias("major"), F.ceil(F.col("m.c") / REACH).alias("parts"), F.ceil((F.col("c") - F.col("m.c")) / REACH).alias("parts_outside"))
+    dealt = members.join(sizes, "key")
+    part = lambda parts: F.pmod(F.xxhash64("key", "id"), parts).alias("part")
+    member = F.struct("id", "n", "root", "sketch", "parity")
+    side = lambda df, parts, name: df.select("key", part(parts), member.alias(name))
+    inside, outside = dealt.where("root = major"), dealt.where("root <> major")
+    x, y = F.col("x"), F.col("y")
+    found = side(outside, "parts", "x").join(side(inside, "parts", "y"), ["key", "part"]).where(_may_reach(x, y, threshold, k))
+    others = side(outside, "parts_outside", "x").join(side(outside, "parts_outside", "y"), ["key", "part"]).where((x["id"] < y["id"]) & (x["root"] != y["root"]) & _may_reach(x, y, threshold, k))
+    both = found.select("x.id", "x.root", F.struct("y.id", "y.root").alias("o")).unionByName(others.select("x.id", "x.root", F.struct("y.id", "y.root").alias("o")))
     low = F.col("id") < F.col("o.id")
-    return found.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.when(low, F.col("root")).otherwise(F.col("o.root")).alias("root_a"), F.when(low, F.col("o.root")).otherwise(F.col("root")).alias("root_b"))
+    return both.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.when(low, F.col("root")).otherwise(F.col("o.root")).alias("root_a"), F.when(low, F.col("o.root")).otherwise(F.col("root")).alias("root_b"))
 
 
 def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -307,7 +338,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     again = stored(large.join(mixed, "key", "left_semi"), "mixed")
     if again.limit(1).count():
         ids = stored(again.select("id").distinct(), "ids")
-        drawn = found.join(with_size(ids), "id", "left_semi").select("id", "sketch").dropDuplicates(["id"])
+        drawn = found.join(with_size(ids), "id", "left_semi").select("id", "sketch", "parity").dropDuplicates(["id"])
         across = _pairs_across(again.join(drawn, "id"), threshold, k).groupBy("a", "b").agg(F.first("root_a").alias("root_a"), F.first("root_b").alias("root_b"))
         pairs = stored(across.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = _verified(docs, key, text, pairs.select("a", "b"), threshold, size)
