@@ -13,18 +13,17 @@ Buckets of more than 9 different texts that still span several groups are paired
 each band, as far as their parity sketches (and, of long texts, their signatures) let them be alike.
 
 Defined results: a null, empty or blank text, or one of fewer than 5 words, has one shingle of what words it has;
-documents without a word are not grouped at all. Ties go to the lowest id. Repeated rows are copies. An empty table
-gives an empty result. Nothing is capped: very long texts have all their shingles.
+documents without a word are not grouped at all. Ties go to the lowest id. Repeated rows are copies. Classes and groups are of
+texts, not of ids: different texts of one id are compared like others, and a null id names nothing: class_id and group_id are
+the least of the other ids, null only where there is none. An empty table gives an empty result. Nothing is capped: very long texts have all their shingles.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm.common import dropped, slices, stored, with_size
@@ -138,43 +137,34 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-#: Bits of each coordinate that a sketch keeps, each in a plane of its own.
-PLANES = 4
-
-
-def sketches(found: np.ndarray) -> pa.ListArray:
-    """PLANES bit planes of each signature, in 64-bit words."""
-    words = -(-found.shape[1] // 64)
-    bits = np.zeros((len(found), PLANES, words * 64), bool)
-    for p in range(PLANES):
-        bits[:, p, : found.shape[1]] = (found >> np.uint64(7 + p)) & np.uint64(1)
-    packed = np.packbits(bits.reshape(len(found), -1), axis=1).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.ravel()))
-
-
-#: Bits of the parity sketch of a set.
-PARITY = 1024
-
-
 def _occurrences(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Hashes of (shingle, which time it occurs) from sorted hashes; start: where each run of equal ones begins."""
     time = np.arange(len(flat)) - np.repeat(start, np.diff(np.append(start, len(flat))))
     return np.where(time > 0, mix(flat ^ mix(time)), flat)
 
 
-def parities(elements: np.ndarray, owner: np.ndarray, sets: int) -> pa.ListArray:
-    """PARITY bits of each set, in 64-bit words: bit b is odd where an odd number of elements hash to b.
+#: Bits of a parity sketch, at least.
+PARITY = 1024
+
+
+def parities(elements: np.ndarray, owner: np.ndarray, sets: int, size: int = PARITY) -> np.ndarray:
+    """size bits of each set, in 64-bit words: bit b is odd where an odd number of elements hash to b.
 
     An element that two sets do not share flips one bit, so sets differ in as many bits at most as they have elements apart."""
-    at = owner * PARITY + (mix(elements ^ GOLDEN) % np.uint64(PARITY)).astype(np.int64)
-    bits = (np.bincount(at, minlength=sets * PARITY) & 1).astype(np.uint8)
-    packed = np.packbits(bits.reshape(sets, PARITY), axis=1).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(sets + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.ravel()))
+    bits = np.zeros(sets * size, np.uint8)
+    np.bitwise_xor.at(bits, owner * size + (mix(elements ^ GOLDEN) % np.uint64(size)).astype(np.int64), np.uint8(1))
+    return np.packbits(bits.reshape(sets, size), axis=1).view(np.uint64)
+
+
+def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, text, h1, h2: two hashes that stand for the text, as ids can be null or shared by different texts."""
+    content = F.col(text)
+    return docs.select(F.col(key).cast("long").alias("id"), content.alias("text"), F.xxhash64(content).alias("h1"), F.xxhash64(F.lit(7), F.length(content), content).alias("h2"))
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int = 5, k: int = 96, rows: int = 4, seed: int = 1) -> DataFrame:
-    """id, n (shingles), one and two (128 bits of the content), bands (array of k / rows hashes), sketch (PLANES bits of each coordinate), parity (PARITY bits of the set)."""
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    """id, h1 and h2 (of the text), n (shingles), one and two (128 bits of the content), bands (array of k / rows hashes)."""
+    source = _source(docs, key, text)
 
     def run(batches):
         known = _WordHash()
@@ -197,15 +187,14 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = 5, k: int = 96,
             one = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64)
             two = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * (k // rows)), pa.array(mix(total).view(np.int64).ravel()))
-            parity = parities(_occurrences(flat, at), owner, len(parts))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(one), pa.array(two), lists, sketches(found), parity], names=["id", "n", "one", "two", "bands", "sketch", "parity"])
+            given = [batch.column(c) for c in ("id", "h1", "h2")]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(n), pa.array(one), pa.array(two), lists], names=["id", "h1", "h2", "n", "one", "two", "bands"])
 
-    return source.mapInArrow(run, "id long, n long, one long, two long, bands array<long>, sketch array<long>, parity array<long>")
+    return source.mapInArrow(run, "id long, h1 long, h2 long, n long, one long, two long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
-    """id, set: hashes of (shingle, which time it occurs), so that multisets compare as sets."""
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+def shingle_sets(texts: DataFrame, size: int = 5) -> DataFrame:
+    """c, set: rising hashes of (shingle, which time it occurs), so that multisets compare as sets; texts: c, text."""
 
     def run(batches):
         known = _WordHash()
@@ -214,12 +203,12 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFra
             for t in batch.column("text").to_pylist():
                 flat = np.sort(shingles(_words(t), known, size))
                 start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
-                lists.append(_occurrences(flat, start).view(np.int64))
+                lists.append(np.sort(_occurrences(flat, start).view(np.int64)))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["c", "set"])
 
-    return source.mapInArrow(run, "id long, set array<long>")
+    return texts.select("c", "text").mapInArrow(run, "c long, set array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,121 +229,139 @@ def components(edges: DataFrame) -> DataFrame:
         now, mark = new, seen
 
 
-#: Members of a bucket that are paired with each other; a bucket of one more has all its pairs.
+#: A bucket of one more member at most is paired row by row; larger ones are compared in blocks.
 NEAR = 8
-#: The same in larger buckets, where every member is also paired with the earliest.
-NEAR_LARGE = 1
-#: In the second turn, the members of a bucket's largest group, and those outside of it, that one outside of it is compared with, anew in each band.
-REACH = 64
+#: Members, and shingles, of a part of a larger bucket, about: a block holds two parts.
+PART_MEMBERS, PART_SHINGLES = 2048, 1 << 21
+#: Words of parity sketches that are compared at once.
+WORDS_AT_ONCE = 1 << 20
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """(a, b, x, y: their sizes) from buckets: each member with the earliest, and with others of its part of the bucket.
-
-    members: key, id, n, count, first, first_n. A part holds about NEAR members whatever the bucket's size, so pairs grow with members.
-    The parts of a document's bands agree, which keeps distinct pairs few."""
-    lot = F.xxhash64(F.lit(0), "id")
-    part = F.when(F.col("count") <= NEAR + 1, 0).otherwise(F.pmod(lot, F.ceil(F.col("count") / NEAR)))
-    w = Window.partitionBy("key", "part").orderBy("order", "id")
-    own = members.withColumn("part", part).withColumn("order", F.xxhash64(F.lit(1), lot))
-    within = lambda i: F.lit(True) if i <= NEAR_LARGE else F.col("count") <= NEAR + 1
-    others = [F.when(within(i), F.struct(F.lag("id", i).over(w).alias("id"), F.lag("n", i).over(w).alias("n"))) for i in range(1, NEAR + 1)]
-    others.append(F.struct(F.col("first").alias("id"), F.col("first_n").alias("n")))
-    found = own.select("id", "n", F.array(*others).alias("others")).select("id", "n", F.explode("others").alias("o")).where("o.id is not null and o.id <> id")
-    return found.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.least("n", "o.n").alias("x"), F.greatest("n", "o.n").alias("y"))
-
-
-def _agree(a: Column, b: Column, threshold: float, k: int) -> Column:
-    """Whether two sketches agree in as many coordinates as threshold lets expect, less 4 standard deviations.
-
-    A pair at the threshold is lost with a chance of 3e-5; at a similarity of 0.56 nine pairs of ten go."""
-    words, p = -(-k // 64), threshold + (1 - threshold) / 2**PLANES
-    differ = lambda w: reduce(lambda x, y: x.bitwiseOR(y), [a[q * words + w].bitwiseXOR(b[q * words + w]) for q in range(PLANES)])
-    return reduce(lambda x, y: x + y, [F.bit_count(differ(w)) for w in range(words)]) <= k * (1 - p) + 4 * (k * p * (1 - p)) ** 0.5
-
-
-def _may_reach(a: Column, b: Column, threshold: float, k: int) -> Column:
-    """Whether the sets of two members (n, sketch, parity) may have a similarity of threshold.
-
-    Parities never lose a pair, but say little of large sets; of those the sketches have to agree too."""
-    total = a["n"] + b["n"]
-    apart = reduce(lambda x, y: x + y, [F.bit_count(a["parity"][w].bitwiseXOR(b["parity"][w])) for w in range(PARITY // 64)])
-    sizes = F.least(a["n"], b["n"]) >= threshold * F.greatest(a["n"], b["n"]) - 1e-9
-    return sizes & (apart <= total * ((1 - threshold) / (1 + threshold)) + 1e-6) & ((total <= 2 * PARITY) | _agree(a["sketch"], b["sketch"], threshold, k))
-
-
-def _pairs_across(members: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(a, b, root_a, root_b) from buckets that span several groups: each member outside the largest group of its bucket
-    with about REACH of that group, and with about REACH of those outside, as far as their sketches let them be alike.
-
-    members: key, id, n, root, sketch, parity. The sides are dealt to parts of the bucket by the hash of key and id, so that
-    every band reaches others, and comparisons grow with members."""
-    counts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"))
-    sizes = counts.select("key", F.col("m.root").alias("major"), F.ceil(F.col("m.c") / REACH).alias("parts"), F.ceil((F.col("c") - F.col("m.c")) / REACH).alias("parts_outside"))
-    dealt = members.join(sizes, "key")
-    part = lambda parts: F.pmod(F.xxhash64("key", "id"), parts).alias("part")
-    member = F.struct("id", "n", "root", "sketch", "parity")
-    side = lambda df, parts, name: df.select("key", part(parts), member.alias(name))
-    inside, outside = dealt.where("root = major"), dealt.where("root <> major")
-    x, y = F.col("x"), F.col("y")
-    found = side(outside, "parts", "x").join(side(inside, "parts", "y"), ["key", "part"]).where(_may_reach(x, y, threshold, k))
-    others = side(outside, "parts_outside", "x").join(side(outside, "parts_outside", "y"), ["key", "part"]).where((x["id"] < y["id"]) & (x["root"] != y["root"]) & _may_reach(x, y, threshold, k))
-    both = found.select("x.id", "x.root", F.struct("y.id", "y.root").alias("o")).unionByName(others.select("x.id", "x.root", F.struct("y.id", "y.root").alias("o")))
-    low = F.col("id") < F.col("o.id")
-    return both.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.when(low, F.col("root")).otherwise(F.col("o.root")).alias("root_a"), F.when(low, F.col("o.root")).otherwise(F.col("root")).alias("root_b"))
-
-
-def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, threshold: float, size: int) -> DataFrame:
-    """Those of pairs (a, b) whose weighted Jaccard similarity reaches threshold, from the texts."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(with_size(ids), "id", "left_semi")
-    sets = stored(shingle_sets(chosen, "id", "text", size), "sets")
-    near = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    """(a, b, x, y: their sizes) of all pairs of the buckets of NEAR + 1 members at most; members: key, c, n."""
+    w = Window.partitionBy("key").orderBy("c")
+    others = [F.struct(F.lag("c", i).over(w).alias("c"), F.lag("n", i).over(w).alias("n")) for i in range(1, NEAR + 1)]
+    found = members.select("c", "n", F.array(*others).alias("others")).select("c", "n", F.explode("others").alias("o")).where("o.c is not null")
+    return found.select(F.col("o.c").alias("a"), F.col("c").alias("b"), F.least("n", "o.n").alias("x"), F.greatest("n", "o.n").alias("y"))
+
+
+def _linked(key: int, c: np.ndarray, part: np.ndarray, bands: np.ndarray, small: np.ndarray, ends: np.ndarray, flat: np.ndarray, threshold: float):
+    """(links, root) of each member of a block: of all pairs of its two parts (or within its one) those that reach threshold are counted and joined.
+
+    A pair that meets in several buckets is compared in the first only, and not at all if one of them is small: each counts once."""
+    n = np.diff(ends)
+    low, high = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+    within = part.min() == part.max()
+    size = max(PARITY, 1 << int(2 * len(flat) // len(n)).bit_length())  # of texts of any length, memory stays near that of the sets
+    parity = parities(flat.view(np.uint64), np.repeat(np.arange(len(n)), n), len(n), size)
+    links, root = np.zeros(len(c), np.int64), np.arange(len(c))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    at_once = max(1, WORDS_AT_ONCE // (len(high) * parity.shape[1]))
+    for i in range(0, len(low), at_once):
+        rows = low[i : i + at_once]
+        apart = np.bitwise_count(parity[rows][:, None] ^ parity[high][None]).sum(axis=2, dtype=np.int64)
+        total = n[rows][:, None] + n[high][None]
+        near = (apart <= total * ((1 - threshold) / (1 + threshold)) + 1e-6) & (np.minimum(n[rows][:, None], n[high][None]) >= threshold * np.maximum(n[rows][:, None], n[high][None]) - 1e-9)
+        if within:
+            near &= rows[:, None] < high[None]
+        xs, ys = np.nonzero(near)
+        xs, ys = rows[xs], high[ys]
+        same = bands[xs] == bands[ys]
+        own = (bands[xs, same.argmax(axis=1)] == key) & ~(same & small[xs]).any(axis=1)
+        xs, ys = xs[own], ys[own]
+        for x in np.unique(xs):
+            others = ys[xs == x]
+            a = flat[ends[x] : ends[x + 1]]
+            for j in range(0, len(others), 256):
+                some = others[j : j + 256]
+                b = np.concatenate([flat[ends[y] : ends[y + 1]] for y in some])
+                hit = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+                both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(n[some])[:-1])))
+                for y in some[both >= threshold * (n[x] + n[some] - both) - 1e-9]:
+                    links[x] += 1
+                    links[y] += 1
+                    root[find(y)] = find(x)
+    return links, np.array([find(i) for i in range(len(c))], np.int64)
+
+
+def _in_blocks(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """u, v, links: of each member that has links in a block, another of its component there (or itself) and their number.
+
+    large: c, n, key, count, bands, small (whether the bucket of each band is); sets: c, set. A bucket is cut into parts and each two parts make a block,
+    so that every pair of the bucket meets, however large it is, and no task holds more than two parts."""
+    wide = large.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES)).alias("parts"))
+    # sets join once for each text, not once for each of its buckets
+    places = large.select("c", "key", "bands", "small").join(wide, "key").groupBy("c").agg(F.first("bands").alias("bands"), F.first("small").alias("small"), F.collect_list(F.struct("key", "parts")).alias("places"))
+    each = places.join(sets, "c").select("c", "bands", "small", "set", F.explode("places").alias("p")).select("c", "bands", "small", "set", F.col("p.key").alias("key"), F.pmod(F.xxhash64("c"), F.col("p.parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.parts") - 1)).alias("other"))
+    blocks = each.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        column = lambda name: t.column(name).combine_chunks()
+        c, part, i, j = (t.column(x).to_numpy() for x in ("c", "part", "i", "j"))
+        links, root = np.zeros(len(c), np.int64), np.arange(len(c))
+        if i[0] == j[0] or part.min() < part.max():
+            sets_, k = column("set"), len(column("bands")[0])
+            bands = column("bands").flatten().to_numpy().reshape(-1, k)
+            small = column("small").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            ends = np.concatenate(([0], np.cumsum(sets_.value_lengths().to_numpy())))
+            links, root = _linked(int(t.column("key")[0].as_py()), c, part, bands, small, ends, sets_.flatten().to_numpy(), threshold)
+        at = np.flatnonzero(links)
+        return pa.table({"u": pa.array(c[at]), "v": pa.array(c[root[at]]), "links": pa.array(links[at])})
+
+    return blocks.groupBy("key", "i", "j").applyInArrow(run, "u long, v long, links long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs (a, b) whose weighted Jaccard similarity reaches threshold."""
+    near = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("set_b")), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     near = near.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("all"))
-    found = stored(near.where(F.col("both") >= threshold * (F.col("all") - F.col("both")) - 1e-9).select("a", "b").distinct(), "links")
-    dropped(ids)
-    dropped(sets)
-    return found
+    return near.where(F.col("both") >= threshold * (F.col("all") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, threshold: float, size: int, k: int, rows: int, seed: int) -> DataFrame:
+    """id, h1, h2, n, c (the number of its class; null without words), class_id, root (the number of its group), group_id, links of every row of docs."""
+    found = stored(signatures(docs, key, text, size, k, rows, seed), "signatures")
+    reps = found.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("class_id"), F.min(F.struct("h1", "h2", "n", "bands")).alias("r"))
+    reps = stored(reps.select("one", "two", "class_id", "r.*", F.monotonically_increasing_id().alias("c")), "classes")
+    band = reps.select("c", "n", F.posexplode("bands").alias("band", "key"))
+    sizes = band.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    members = stored(band.join(sizes, "key"), "members")
+    few = F.col("count") <= NEAR + 1
+    alike = F.col("x") >= threshold * F.col("y") - 1e-9
+    tried = stored(_pairs(members.where(few)).where(alike).select("a", "b").distinct(), "pairs")
+    at = stored(tried.select(F.explode(F.array("a", "b")).alias("c")).union(members.where(~few).select("c")).distinct(), "ids")
+    chosen = stored(reps.join(with_size(at), "c", "left_semi").select("c", "h1", "h2"), "chosen")
+    texts = _source(docs, key, text).join(with_size(chosen), ["h1", "h2"]).dropDuplicates(["c"])
+    sets = stored(shingle_sets(texts, size), "sets")
+    links = stored(_verified(tried, sets, threshold), "links")
+    # of each member of a larger bucket: all its bands, and which of them are in small buckets
+    bits = members.where(~few).select("c").distinct().join(members, "c").groupBy("c").agg(F.collect_set(F.when(few, F.col("band"))).alias("few"))
+    bits = bits.join(reps.select("c", "bands"), "c").select("c", "bands", F.transform("bands", lambda x, i: F.array_contains("few", i)).alias("small"))
+    blocks = stored(_in_blocks(members.where(~few).join(bits, "c"), sets, threshold), "blocks")
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(blocks.select("u", "v")))
+    counts = links.select(F.explode(F.array("a", "b")).alias("c"), F.lit(1).cast("long").alias("links")).union(blocks.select("u", "links"))
+    degree = counts.groupBy("c").agg(F.sum("links").alias("links"))
+    whole = reps.select("one", "two", "c", "class_id").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").join(degree, "c", "left")
+    whole = stored(whole.select("one", "two", "c", "class_id", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "whole")
+    named = whole.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    for x in (members, tried, at, chosen, sets):
+        dropped(x)
+    return found.drop("bands").join(whole.join(named, "root"), ["one", "two"], "left").drop("one", "two")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, k: int = 96, rows: int = 4, seed: int = 1) -> DataFrame:
     """One row per row of docs: key, class_id (least key of the same words), group_id (least key of its group), links
-    (verified links to other classes), n_shingles.
+    (all other classes that share a band with its own and reach threshold), n_shingles.
 
     At similarity 0.8, 24 bands of 4 miss a pair with a chance of 3e-6."""
-    found = stored(signatures(docs, key, text, size, k, rows, seed), "signatures")
-    reps = found.where("n > 0").groupBy("one", "two").agg(F.min(F.struct("id", "n", "bands")).alias("r")).select("r.*")
-    band = reps.select("id", "n", F.explode("bands").alias("key"))
-    sizes = band.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("id", "n")).alias("first")).where("count > 1")
-    members = stored(band.join(sizes.select("key", "count", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "key"), "members")
-    alike = F.col("x") >= threshold * F.col("y") - 1e-9
-    tried = stored(_pairs(members).where(alike).select("a", "b").distinct(), "pairs")
-    links = _verified(docs, key, text, tried, threshold, size)
-    roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    large = members.where(F.col("count") > NEAR + 1)
-    large = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = large.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
-    again = stored(large.join(mixed, "key", "left_semi"), "mixed")
-    if again.limit(1).count():
-        ids = stored(again.select("id").distinct(), "ids")
-        drawn = found.join(with_size(ids), "id", "left_semi").select("id", "sketch", "parity").dropDuplicates(["id"])
-        across = _pairs_across(again.join(drawn, "id"), threshold, k).groupBy("a", "b").agg(F.first("root_a").alias("root_a"), F.first("root_b").alias("root_b"))
-        pairs = stored(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = _verified(docs, key, text, pairs.select("a", "b"), threshold, size)
-        joined = new.join(pairs, ["a", "b"]).select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))
-        moved = components(joined).select(F.col("node").alias("root"), F.col("root").alias("new"))
-        roots = roots.unionByName(joined.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node")))
-        roots = stored(roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")).groupBy("node").agg(F.min("root").alias("root")), "roots")
-        links = links.unionByName(new)
-        dropped(ids)
-        dropped(pairs)
-    for x in (again, members, tried):
-        dropped(x)
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    classes = found.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("class_id"))
-    whole = classes.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").join(degree.withColumnRenamed("id", "class_id"), "class_id", "left")
-    whole = whole.select("one", "two", "class_id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    rows_ = found.select("id", "n", "one", "two").join(whole, ["one", "two"], "left")
     lone = F.col("n") == 0
-    return rows_.select(F.col("id").alias(key), F.when(lone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("id")).otherwise(F.col("group_id")).alias("group_id"), F.when(lone, 0).otherwise(F.col("links")).cast("long").alias("links"), F.col("n").alias("n_shingles"))
+    named = [F.when(lone, F.col("id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "group_id")]
+    return _grouped(docs, key, text, threshold, size, k, rows, seed).select(F.col("id").alias(key), *named, F.when(lone, 0).otherwise(F.col("links")).cast("long").alias("links"), F.col("n").alias("n_shingles"))

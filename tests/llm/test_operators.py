@@ -298,6 +298,15 @@ def test_near_duplicates_brute_force(spark):
     assert got == groups_by_hand(docs)
 
 
+def test_near_duplicates_lone_pairs_among_look_alikes(spark):
+    base = " ".join(words(7, 98))
+    tail = lambda i, first=0: " ".join(f"u{i}x{j}" for j in range(first, 12))
+    # 94 of 106 shingles in common are a similarity of 0.797, 95 of them one of 0.812
+    docs = [(i, f"{base} {tail(i)}") for i in range(1000)] + [(1000 + i, f"{base} u{i}x0 {tail(1000 + i, 1)}") for i in range(0, 300, 10)]
+    got = {x["doc_id"]: x["group_id"] for x in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in docs}
+
+
 def test_near_duplicates_odd(spark):
     found = minhash.near_duplicates(odd_docs(spark)).collect()
     got = {r["doc_id"]: r["group_id"] for r in found}
