@@ -307,6 +307,27 @@ def test_near_duplicates_lone_pairs_among_look_alikes(spark):
     assert got == {i: i - 1000 if i >= 1000 else i for i, _ in docs}
 
 
+def test_near_duplicates_count_all_links(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART_MEMBERS", 16, raising=False)
+    base, docs = words(31, 150), []
+    for i in range(90):
+        w = list(base)
+        for j in range(i % 3):
+            w[(17 * i + 50 * j) % 150] = f"v{i}x{j}"
+        docs.append((i, " ".join(w)))
+    bags = {}
+    for i, t in docs:
+        w = t.split()
+        bags.setdefault(t, (i, Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))))
+    bags, want = dict(bags.values()), Counter()
+    for a in bags:
+        for b in bags:
+            both = sum((bags[a] & bags[b]).values())
+            want[a] += a != b and both >= 0.8 * (sum((bags[a] | bags[b]).values())) - 1e-9
+    rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert max(want.values()) > 50 and {r["class_id"]: r["links"] for r in rows} == dict(want)
+
+
 def test_near_duplicates_odd(spark):
     found = minhash.near_duplicates(odd_docs(spark)).collect()
     got = {r["doc_id"]: r["group_id"] for r in found}
