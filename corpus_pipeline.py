@@ -25,15 +25,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the lowest id of each group of near-duplicates."""
-    groups = stored(minhash.near_duplicates(docs).where("doc_id = group_id").select("doc_id").distinct(), "kept")
-    return docs.select(*COLUMNS).join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps the document of the lowest id of each group of near-duplicates; one of a null id where there is no other."""
+    return minhash.keep_first(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the source weights select, as often as they are selected."""
-    chosen = stored(mixing.select_mix(docs, queries.domain_of(F.col("source")), queries.MIX).select("doc_id", "copies"), "chosen")
-    return docs.join(chosen, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    # ids can be null, or shared by different texts
+    named = docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.length("text"), "text").alias("h2")))
+    chosen = stored(mixing.select_mix(named, queries.domain_of(F.col("source")), queries.MIX, key="row").select("row", "copies"), "chosen")
+    return named.join(chosen, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

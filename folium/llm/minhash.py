@@ -365,3 +365,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     lone = F.col("n") == 0
     named = [F.when(lone, F.col("id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "group_id")]
     return _grouped(docs, key, text, threshold, size, k, rows, seed).select(F.col("id").alias(key), *named, F.when(lone, 0).otherwise(F.col("links")).cast("long").alias("links"), F.col("n").alias("n_shingles"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, k: int = 96, rows: int = 4, seed: int = 1) -> DataFrame:
+    """Of each group of near-duplicates one row of docs: that of the least key, of a null key only where there is no other.
+
+    Documents without a word are kept: once for each key, and all those of a null key."""
+    found = _grouped(docs, key, text, threshold, size, k, rows, seed).where("n > 0")
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "h1", "h2")).alias("m"))
+    kept = stored(least.select(*[F.col(f"m.{c}").alias(f"__{c}") for c in ("none", "id", "h1", "h2")]), "kept")
+    own = F.col(key).cast("long")
+    named = [own.isNull().alias("__none"), F.coalesce(own, F.lit(0)).alias("__id"), F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(7), F.length(text), text).alias("__h2")]
+    marks = ["__none", "__id", "__h1", "__h2"]
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    marked = docs.select("*", *named)
+    first = marked.where(~wordless).join(with_size(kept), marks, "left_semi").dropDuplicates(marks)
+    blank = marked.where(wordless)
+    return first.unionByName(blank.where("not __none").dropDuplicates(marks)).unionByName(blank.where("__none")).select(*docs.columns)

@@ -328,6 +328,24 @@ def test_near_duplicates_count_all_links(spark, monkeypatch):
     assert max(want.values()) > 50 and {r["class_id"]: r["links"] for r in rows} == dict(want)
 
 
+def test_near_duplicates_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    copy, other, third = words(11, 60), words(12, 60), words(13, 60)
+    near = " ".join(copy[:58] + ["changed", "end"])
+    rows = [(None, " ".join(copy)), (5, " ".join(copy)), (6, near), (None, " ".join(other)), (7, " ".join(third)), (7, " ".join(words(14, 60))), (None, ""), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["doc_id"], r["n_shingles"], r["group_id"], r["links"]) for r in minhash.near_duplicates(docs).collect()}
+    assert {(5, 56, 5, 1), (None, 56, 5, 1), (6, 56, 5, 1), (None, 56, None, 0)} <= got
+    kept = corpus_pipeline.stored(corpus_pipeline.near(spark, docs, ""), "kept")
+    worded = [(5, rows[0][1]), (None, rows[3][1]), *rows[4:6]]
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([*worded, (None, ""), (None, None), (8, "")])
+    # all that the weights select goes on once for each of its copies, and at least one of a null id does
+    doubled = kept.unionByName(spark.createDataFrame([(None, f"{i} " + " ".join(words(50 + i, 60)), "en", "src0", 0) for i in range(9)], docs.schema))
+    mixed = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, doubled, "").collect()]
+    assert mixed and None in {i for i, _ in mixed} and len(set(mixed)) == len(mixed)
+
+
 def test_near_duplicates_odd(spark):
     found = minhash.near_duplicates(odd_docs(spark)).collect()
     got = {r["doc_id"]: r["group_id"] for r in found}
