@@ -9,7 +9,8 @@ by their least member, so a key shared by any number of lines costs one row each
 
 A distinct line is dropped if an earlier one (by first occurrence: key, then line number) is within one edit of it.
 
-Defined results: null and empty texts stay as they are. Lines under min_chars characters are always kept. Rows that
+Defined results: null and empty texts stay as they are. Equal lines take part from equal_chars characters (min_chars if
+not given), those within an edit from min_chars: of shorter ones an edit makes another word. Lines of blanks are always kept. Rows that
 repeat (same key) count as occurrences of the same lines: the lines of all rows of a key are kept or dropped alike.
 An empty table gives an empty result. Rows of a null key are kept untouched.
 """
@@ -156,11 +157,11 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, min_ch
     return found
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, equal_chars: int | None = None) -> DataFrame:
     """doc, pos, near (dropped for an edit rather than for being equal) of every line to drop."""
     # each line as hashes: texts don't travel
-    lines = lines_of(docs, key, text, min_chars)
-    own = stored(lines.select("doc", "pos", F.xxhash64("line").alias("one"), F.xxhash64(F.lit(7), F.length("line"), "line").alias("two"), _half_keys().alias("halves")), "lines")
+    lines = lines_of(docs, key, text, min_chars if equal_chars is None else max(1, min(equal_chars, min_chars)))
+    own = stored(lines.select("doc", "pos", F.xxhash64("line").alias("one"), F.xxhash64(F.lit(7), F.length("line"), "line").alias("two"), F.when(F.length("line") >= min_chars, _half_keys()).alias("halves")), "lines")
     distinct = stored(own.groupBy("one", "two").agg(F.min(F.struct("doc", "pos", "halves")).alias("f"), F.count(F.lit(1)).alias("n")).select("one", "two", "n", "f.*"), "distinct")
     near = near_lines(docs, distinct, key, text, min_chars)
     lost = near.select("doc", "pos").distinct().withColumn("near", F.lit(True))
@@ -174,9 +175,9 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return found
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, equal_chars: int | None = None) -> DataFrame:
     """All columns of docs, text without the lines to drop, and n_lines, dropped_equal, dropped_near."""
-    lost = dropped_lines(docs, key, text, min_chars)
+    lost = dropped_lines(docs, key, text, min_chars, equal_chars)
     by_doc = stored(lost.groupBy("doc").agg(F.collect_list(F.struct("pos", "near")).alias("lost")).select(F.col("doc").alias("__doc"), F.col("lost.pos").alias("__pos"), F.size(F.filter("lost.near", lambda x: x)).alias("__near")), "by_doc")
     dropped(lost)
     marked = docs.join(with_size(by_doc), F.col(key).cast("long") == F.col("__doc"), "left")

@@ -64,6 +64,15 @@ def test_line_dedup_brute_force(spark):
     assert {(x["doc"], x["pos"]) for x in line_dedup.dropped_lines(df).collect()} == dropped_by_hand(docs)
 
 
+def test_line_dedup_short_lines(spark, tmp_path):
+    docs = [(0, "Les.\n\nx\nLes"), (1, " Les.\t\n\n \na line that is long enough"), (2, "x\na line that is long enouhg\na line that is long enoug"), (3, "Wh the.\nWh the.")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    kept = {0: docs[0][1], 1: "\n \na line that is long enough", 2: "a line that is long enouhg", 3: "Wh the."}
+    assert {i: r["kept_crc32"] for i, r in rows.items()} == {i: zlib.crc32(t.encode()) for i, t in kept.items()}
+    assert [(r["dropped_equal"], r["dropped_near"]) for _, r in sorted(rows.items())] == [(0, 0), (1, 0), (1, 1), (1, 0)]
+
+
 def test_line_dedup_odd(spark):
     found = line_dedup.dedup_lines(odd_docs(spark))
     assert set(SCHEMA.replace("`", "").replace(",", "").split()[::2]) <= set(found.columns)
