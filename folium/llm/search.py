@@ -1,26 +1,28 @@
-"""Exact BM25 top-k by an inverted index with block-max WAND pruning, per shard, merged under global statistics.
+"""Exact BM25 top-k: an inverted index, searched shard by shard with block-max WAND, merged under global statistics.
 
-Documents are indexed shard by shard (about shard_docs of them, within one task). Postings hold BM25 impacts made with the
-document frequencies, the number of documents and the mean length of the whole collection, so scores of different shards compare,
-and the merged top k is exact. A shard's documents stand in blocks of 64, similar ones together; of each term
-and block the largest impact is kept. For a query, the block-max bounds of its terms are summed per block; blocks are visited by falling bound,
-their postings read and summed, and the walk ends where no bound exceeds the score of the k-th best so far. An eighth of the documents is searched first; its
-k-th scores are where the others' walks start. Terms
-that an eighth of a shard's documents have would never let a cursor skip; their lists are kept as columns
-and their exact share of the scores takes the place of a bound.
+The index is built once, over every word of every document, and written to the shared folder: one row for each shard of at most
+shard_docs documents, with posting lists (places in rising order, and frequencies). Scores use the document frequencies, the number
+of documents and the mean length of the whole collection, so those of different shards compare and the merged top k is exact.
 
-Queries are bags of words: a word repeated in the query counts as often. They are run in blocks whose vocabulary
-is bounded (query_block rows, query_chars characters); every block reads the whole collection once.
+In a shard similar documents have neighbouring places. Each list has the largest impact of each window of WINDOW places and, where it
+holds an eighth of the shard's documents or more, of each block of BLOCK places; such a list is kept with its gaps, as a column.
+A query walks the shard in the order of places, with a cursor into each of its lists. The next pivot is the first window, from the cursors on, whose
+summed maxima pass the threshold (the k-th score so far, or a floor known from other shards); all cursors skip to it, and what lies
+between is never read. Within the window the postings of the shorter lists are summed, and with the block maxima of the long ones they name the pivot documents;
+only those are scored in full and can raise the threshold. An eighth of the shards is searched first: its k-th scores are the floors of the others.
+
+Queries are bags of words: a word repeated in the query counts as often. They run in blocks of query_block rows and query_chars
+characters at most, each against the same index.
 
 Defined results: a null or empty text matches nothing, as document or query; only documents that share a word with the
 query are returned, so a query can have fewer than k. Scores are rounded to 6 places; equal ones rank by the lower id. Repeated rows are
-separate documents. An empty table gives an empty result.
+separate documents, but ask once for each different text of an id. Rows of a null id neither ask nor are found nor counted. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,198 +32,275 @@ from pyspark.sql import functions as F
 
 from folium.llm.common import dropped, slices, stored
 
-WORD = re.compile(r"[^\W_]+")
-BLOCK = 64
 K1, B = 1.2, 0.75
-#: Queries whose shares of common terms are computed at once.
+#: Places of a window and of a block.
+WINDOW, BLOCK = 8192, 8
+#: Queries whose bounds of long lists are computed at once.
 AT_ONCE = 64
+#: So many documents are scored first where there is no threshold yet.
+FEW = 64
+#: Scores that differ by less may be equal once they are rounded.
+NEAR = 1e-5
+
 
+#: What stands between words, which are runs of Unicode letters and numbers in lower case.
+BETWEEN = r"[^\p{L}\p{N}]+"
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), BETWEEN, " "))
+    words, lengths = parts.flatten(), pc.list_value_length(parts).to_numpy()
+    real = pc.not_equal(pc.binary_length(words), 0)
+    owner = np.repeat(np.arange(len(texts)), lengths)[real.to_numpy(zero_copy_only=False)]
+    return words.filter(real), np.bincount(owner, minlength=len(texts))
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All integers of the ranges [starts, ends), one after another."""
     n = ends - starts
-    return np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
+    if not len(n):
+        return np.zeros(0, np.int64)
+    return np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
 
 
-class Shard:
-    """The index of some documents: ids, lengths, and parallel arrays (document place, term, frequency)."""
-
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, place: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean_length: float):
-        n = len(ids)
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[place] / max(mean_length, 1e-9)))
-        df = np.bincount(term, minlength=len(idf))
-        self.common = np.flatnonzero(df >= max(8, n / 8))
-        column = np.full(len(idf), -1)
-        column[self.common] = np.arange(len(self.common))
-        dense = column[term] >= 0
-        # similar documents side by side: by the common term that gives them most
-        table = np.zeros((n, len(self.common)))
-        table[place[dense], column[term[dense]]] = impact[dense]
-        order = np.lexsort((lengths, table.argmax(axis=1))) if len(self.common) else np.arange(n)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        self.ids, self.column, self.blocks = ids[order], column, -(-n // BLOCK)
-        self.table = np.zeros((self.blocks * BLOCK, len(self.common)))
-        self.table[:n] = table[order]
-        place, term, impact = rank[place[~dense]], term[~dense], impact[~dense]
-        by = np.lexsort((place, term))
-        self.place, self.impact, term = place[by], impact[by], term[by]
-        # entries: one for each (term, block) with postings
-        code = term.astype(np.int64) * (self.blocks + 1) + self.place // BLOCK
-        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
-        self.entry_start, self.entry_end = first, np.append(first[1:], len(code)) if len(code) else first
-        self.entry_block = self.place[first] // BLOCK if len(code) else first
-        self.entry_max = np.maximum.reduceat(self.impact, first) if len(code) else np.zeros(0)
-        self.term_entry = np.searchsorted(term[first], np.arange(len(idf) + 1)) if len(code) else np.zeros(len(idf) + 1, np.int64)
-
-    def shares(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the common terms give each document, for each query (queries x places)."""
-        weights = np.zeros((len(self.common), len(queries)))
-        for j, (terms, times) in enumerate(queries):
-            at = self.column[terms]
-            weights[at[at >= 0], j] = times[at >= 0]
-        return np.ascontiguousarray((self.table @ weights).T)
-
-    def top(self, share: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, by falling score and rising id; scores below floor are of no interest."""
-        rare = self.column[terms] < 0
-        starts, ends = self.term_entry[terms[rare]], self.term_entry[terms[rare] + 1]
-        entries = spans(starts, ends)
-        weight = np.repeat(times[rare], ends - starts)
-        blocks = self.entry_block[entries]
-        bound = share.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(blocks, weights=weight * self.entry_max[entries], minlength=self.blocks)
-        visit = np.argsort(-bound, kind="stable")
-        scores, done, limit, take = share, 0, floor, 2
-        total = np.full(len(share), -1.0)
-        while done < self.blocks:
-            now = visit[done : done + take]
-            now = now[(bound[now] > 0) & (bound[now] >= limit - 1e-5)]
-            if not len(now):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now] = True
-            hit = chosen[blocks]
-            e = entries[hit]
-            postings = spans(self.entry_start[e], self.entry_end[e])
-            extra = np.bincount(self.place[postings], weights=self.impact[postings] * np.repeat(weight[hit], self.entry_end[e] - self.entry_start[e]), minlength=len(share))
-            at = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            total[at] = scores[at] + extra[at]
-            done, take = done + take, take * 4
-            if (total > 0).sum() >= k:
-                limit = max(floor, np.partition(total, -k)[-k])
-        total = np.round(total[: len(self.ids)], 6)
-        found = np.flatnonzero((total > 0) & (total >= floor))
-        if len(found) > k:
-            found = found[total[found] >= np.partition(total[found], -k)[-k]]
-        best = found[np.lexsort((self.ids[found], -total[found]))][:k]
-        return self.ids[best], total[best]
-
-
-def _indexed(shared):
-    """id, length, terms, tf of the documents, for the words of a block of queries."""
+# -- the index
+INDEX = "docs long, words long, ids binary, lengths binary, terms binary, counts binary, places binary, times binary"
+
+
+def shard_row(ids: np.ndarray, lengths: np.ndarray, words: pa.ChunkedArray) -> dict:
+    """INDEX of documents, those that are alike side by side: of the same heaviest word among the frequent ones."""
+    n = len(ids)
+    coded = words.combine_chunks().dictionary_encode() if words.num_chunks else pa.array([], pa.string()).dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    found, times = np.unique(np.repeat(np.arange(n), lengths) * size + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+    place, term = np.divmod(found, size)
+    df = np.bincount(term, minlength=len(coded.dictionary))
+    frequent = np.flatnonzero(df[term] >= max(8, n / 8))
+    weight = times[frequent] / (times[frequent] + lengths[place[frequent]] / max(1.0, lengths.mean())) * np.log1p(n / df[term[frequent]])
+    by = frequent[np.argsort(weight, kind="stable")]
+    heaviest = np.full(n, -1)
+    heaviest[place[by]] = term[by]  # of several the largest is written last
+    order = np.lexsort((lengths, heaviest))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    place = rank[place]
+    by = np.argsort(term * n + place, kind="stable")
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return {
+        "docs": n, "words": int(lengths.sum()), "ids": ids[order].tobytes(), "lengths": lengths[order].tobytes(), "terms": "\n".join(coded.dictionary.to_pylist()).encode(),
+        "counts": df.astype(np.int32).tobytes(), "places": small(place[by]).tobytes(), "times": small(times[by]).tobytes(),
+    }
+
+
+def _numbers(blob: bytes, n: int) -> np.ndarray:
+    """n whole numbers of the width that they were written with."""
+    return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(blob) // n] if n else np.uint8)
+
+
+def _terms(row: dict) -> list[str]:
+    return row["terms"].decode().split("\n") if row["terms"] else []
+
+
+def _indexed(shard_docs: int, shard_words: int):
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
 
     def run(batches):
-        known = shared.value
+        ids, lengths, words = [], [], []
+
+        def shard() -> pa.RecordBatch:
+            row = shard_row(np.concatenate(ids), np.concatenate(lengths), pa.chunked_array(words, pa.string()))
+            ids.clear(), lengths.clear(), words.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], names=list(row))
+
         for batch in slices(batches, "text", max_bytes=2 << 20):
-            lengths, terms, times = [], [], []
-            for t in batch.column("text").to_pylist():
-                words = words_of(t)
-                at = np.array([x for x in map(known.get, words) if x is not None], np.int32)
-                at, n = np.unique(at, return_counts=True)
-                lengths.append(len(words))
-                terms.append(at)
-                times.append(n.astype(np.int32))
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in terms]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (terms, times)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lengths, pa.int64()), *lists], names=["id", "length", "terms", "tf"])
+            found, n = words_of(batch.column("text"))
+            ids.append(batch.column("id").to_numpy())
+            lengths.append(n)
+            words.append(found)
+            if sum(map(len, ids)) >= shard_docs or sum(map(len, words)) >= shard_words:
+                yield shard()
+        if ids:
+            yield shard()
 
     return run
 
 
-def _frequencies(size: int):
+def _rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+
+
+def _frequencies(shared):
+    """term (number in the block's vocabulary) and df in each shard."""
+
     def run(batches):
-        df = np.zeros(size, np.int64)
-        for batch in batches:
-            df += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=size)
+        known: dict[str, int] = shared.value
+        df = np.zeros(len(known), np.int64)
+        for row in _rows(batches):
+            at = np.fromiter((known.get(t, -1) for t in _terms(row)), np.int64)
+            df[at[at >= 0]] += np.frombuffer(row["counts"], np.int32)[at >= 0]
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "df"])
 
     return run
 
 
-def _searched(shared, k: int, shard_docs: int):
-    def shards(batches):
-        parts, rows = [], 0
-        for batch in batches:
-            while batch.num_rows:
-                part = batch.slice(0, shard_docs - rows)
-                batch = batch.slice(part.num_rows)
-                parts.append(part)
-                rows += part.num_rows
-                if rows == shard_docs:
-                    yield pa.Table.from_batches(parts).combine_chunks()
-                    parts, rows = [], 0
-        if parts:
-            yield pa.Table.from_batches(parts).combine_chunks()
-
+# -- the search
+class Shard:
+    """The posting lists of a shard that a block of queries asks for, with their maxima."""
+
+    def __init__(self, row: dict, known: dict[str, int], idf: np.ndarray, mean_length: float):
+        self.ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int64)
+        counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
+        code = np.fromiter((known.get(t, -1) for t in _terms(row)), np.int64, len(counts))
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        asked = np.flatnonzero(code >= 0)
+        postings = spans(ends[asked] - counts[asked], ends[asked])
+        place, times = _numbers(row["places"], total)[postings].astype(np.int64), _numbers(row["times"], total)[postings].astype(float)
+        n, counts, code = len(self.ids), counts[asked], code[asked]
+        norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
+        impact = np.repeat(idf[code], counts) * times * (K1 + 1) / (times + norm[place])
+        # long lists: a column each
+        long = counts >= max(8, n / 8)
+        self.windows = -(-n // WINDOW)
+        self.column = np.full(len(idf), -1)
+        self.column[code[long]] = np.arange(int(long.sum()))
+        held = np.repeat(long, counts)
+        self.table = np.zeros((self.windows * WINDOW, int(long.sum())))
+        self.table[place[held], np.repeat(np.arange(int(long.sum())), counts[long])] = impact[held]
+        self.block_max = self.table.reshape(self.windows * (WINDOW // BLOCK), BLOCK, -1).max(axis=1)
+        # the others: postings in the order of lists, and an entry for each (list, window) that has any
+        place, impact = place[~held], impact[~held]
+        of = np.repeat(np.arange(int((~long).sum())), counts[~long])
+        entry = of * self.windows + place // WINDOW
+        first = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1]))) if len(entry) else np.zeros(0, np.int64)
+        self.entry_window = place[first] // WINDOW
+        self.entry_max = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
+        self.entry_places, self.entry_impacts = np.split(place % WINDOW, first[1:]), np.split(impact, first[1:])
+        bounds = np.searchsorted(of[first], np.arange(int((~long).sum()) + 1))
+        self.list_start, self.list_end = np.zeros(len(idf), np.int64), np.zeros(len(idf), np.int64)
+        self.list_start[code[~long]], self.list_end[code[~long]] = bounds[:-1], bounds[1:]
+
+    def weights(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of each query (a row) and long list how often it counts."""
+        weights = np.zeros((len(queries), self.table.shape[1]))
+        for j, (terms, times) in enumerate(queries):
+            at = self.column[terms]
+            weights[j, at[at >= 0]] = times[at >= 0]
+        return weights
+
+    def top(self, terms: np.ndarray, times: np.ndarray, weight: np.ndarray, block_bound: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best, by falling score and rising id; scores below floor are of no interest.
+
+        weight: how often each long list counts; block_bound: the most that these lists give in each block."""
+        starts, ends = self.list_start[terms], self.list_end[terms]
+        entries, often = spans(starts, ends), np.repeat(times, ends - starts)
+        window = self.entry_window[entries]
+        by_block = block_bound.reshape(self.windows, WINDOW // BLOCK)
+        bound = by_block.max(axis=1) + np.bincount(window, weights=often * self.entry_max[entries], minlength=self.windows)
+        # the cursors: what each list has next, window after window
+        order = np.argsort(window, kind="stable")
+        entries, often = entries[order], often[order]
+        cursor = np.searchsorted(window[order], np.arange(self.windows + 1))
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        threshold, at = floor, 0
+        while True:
+            ahead = np.flatnonzero((bound[at:] > 0) & (bound[at:] >= threshold - NEAR))
+            if not len(ahead):
+                return best_ids, best
+            at += int(ahead[0])  # the pivot window: none before it can hold a result, and no posting before it is read
+            now, times_now = entries[cursor[at] : cursor[at + 1]].tolist(), often[cursor[at] : cursor[at + 1]]
+            score = np.zeros(WINDOW)
+            if now:
+                given = [self.entry_impacts[e] for e in now]
+                for i in np.flatnonzero(times_now != 1).tolist():
+                    given[i] = given[i] * times_now[i]
+                score = np.bincount(np.concatenate([self.entry_places[e] for e in now]), weights=np.concatenate(given), minlength=WINDOW)
+            upper = (score.reshape(-1, BLOCK) + by_block[at][:, None]).ravel()
+            pivots = np.flatnonzero((upper > 0) & (upper >= threshold - NEAR))
+            low = at * WINDOW
+            while len(pivots):
+                some = pivots
+                if len(pivots) > FEW and len(best) < k:  # the most promising ones set a threshold for the others
+                    some = pivots[np.argpartition(-upper[pivots], FEW)[:FEW]]
+                found = np.round(score[some] + self.table[low + some] @ weight, 6)
+                keep = np.flatnonzero((found > 0) & (found >= threshold - NEAR))
+                best, best_ids = np.concatenate((best, found[keep])), np.concatenate((best_ids, self.ids[low + some[keep]]))
+                top = np.lexsort((best_ids, -best))[:k]
+                best, best_ids = best[top], best_ids[top]
+                if len(best) == k:
+                    threshold = max(floor, float(best[-1]))
+                upper[some] = -1.0
+                pivots = pivots[(upper[pivots] > 0) & (upper[pivots] >= threshold - NEAR)]
+            at += 1
+
+
+def _searched(shared, k: int):
     def run(batches):
-        queries, idf, mean_length, floors = shared.value
-        for t in shards(batches):
-            terms, tf = (pc.list_flatten(t.column(c)).to_numpy() for c in ("terms", "tf"))
-            place = np.repeat(np.arange(t.num_rows), pc.list_value_length(t.column("terms")).to_numpy())
-            shard = Shard(t.column("id").to_numpy(), t.column("length").to_numpy(), place, terms, tf, idf, mean_length)
+        known, queries, idf, mean_length, floors = shared.value
+        for row in _rows(batches):
+            shard = Shard(row, known, idf, mean_length)
             for i in range(0, len(queries), AT_ONCE):
                 some = queries[i : i + AT_ONCE]
-                shares = shard.shares([q[1:] for q in some])
-                out = [(np.full(len(ids), q[0]), ids, scores) for q, share in zip(some, shares) for ids, scores in (shard.top(share, *q[1:], k, floors.get(q[0], 0.0)),)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "doc_id", "score"])
+                weights = shard.weights([q[1:] for q in some])
+                bounds = weights @ shard.block_max.T
+                found = [shard.top(*q[1:], weights[j], bounds[j], k, floors.get(q[0], 0.0)) for j, q in enumerate(some)]
+                numbers = np.repeat([q[0] for q in some], [len(ids) for ids, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), *(pa.array(np.concatenate(c)) for c in zip(*found))], names=["query", "doc_id", "score"])
 
     return run
 
 
-def search(docs: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", text: str = "text", query_block: int = 4096, query_chars: int = 1 << 26, shard_docs: int = 4096) -> DataFrame:
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
+    """INDEX rows, stored: one for each shard. A shard ends with its task's input, or at about shard_docs documents or shard_words words."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    return stored(rows.mapInArrow(_indexed(shard_docs, shard_words), INDEX), "index")
+
+
+def _asked(asked: DataFrame) -> tuple[list[int], dict[str, int], list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Ids of the queries by number, the words' numbers, and (number, words, times) of those that have any."""
+    texts = sorted({(r["id"], r["text"]) for r in asked.toLocalIterator()})
+    known: dict[str, int] = {}
+    queries = []
+    for q, (_, text) in enumerate(texts):
+        bag = Counter(words_of(pa.array([text]))[0].to_pylist())
+        if bag:
+            queries.append((q, np.array([known.setdefault(w, len(known)) for w in bag], np.int64), np.fromiter(bag.values(), float, len(bag))))
+    return [doc for doc, _ in texts], known, queries
+
+
+def search(docs: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", text: str = "text", query_block: int = 4096, query_chars: int = 1 << 26, shard_docs: int = 16_384) -> DataFrame:
     """query_id, doc_id, rank, score: the k best rows of docs for each of its rows where is_query holds."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), is_query.alias("q"))
-    asked = rows.where("q").where("id is not null and text is not null")
+    asked = docs.where(is_query).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    index = build_index(docs, key, text, shard_docs)
+    total, words = index.agg(F.sum("docs"), F.sum("words")).first()
     n, chars = asked.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     blocks = max(1, math.ceil(n / query_block), math.ceil((chars or 0) / query_chars))
-    out = None
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    some, schema, out = F.pmod(F.xxhash64("ids"), F.lit(8)) == 0, "query long, doc_id long, score double", []
     for i in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else asked
-        known: dict[str, int] = {}
-        queries = []
-        for r in own.select("id", "text").toLocalIterator():
-            at = np.array([known.setdefault(w, len(known)) for w in words_of(r["text"])], np.int64)
-            if len(at):
-                queries.append((r["id"], *(x.astype(np.int64) for x in np.unique(at, return_counts=True))))
-        queries.sort(key=lambda q: q[0])
-        index = stored(rows.select("id", "text").where("id is not null").mapInArrow(_indexed(spark.sparkContext.broadcast(known)), "id long, length long, terms array<int>, tf array<int>"), "index")
-        total, words = index.agg(F.count(F.lit(1)), F.sum("length")).first()
+        ids, known, queries = _asked(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i))
+        if not queries:
+            continue
+        counts = index.select("terms", "counts").mapInArrow(_frequencies(spark.sparkContext.broadcast(known)), "term long, df long")
         df = np.zeros(len(known))
-        for b in index.select("terms").mapInArrow(_frequencies(len(known)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow().to_batches():
+        for b in counts.groupBy("term").agg(F.sum("df").alias("df")).toArrow().to_batches():
             df[b.column(0).to_numpy()] = b.column(1).to_numpy()
-        idf = np.log1p((total - df + 0.5) / (df + 0.5))
-        mean = (words or 0) / max(total, 1)
-        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        schema = "query_id long, doc_id long, score double"
-
-        def ranked(part: DataFrame, floors: dict[int, float]) -> DataFrame:
-            found = part.mapInArrow(_searched(spark.sparkContext.broadcast((queries, idf, mean, floors)), k, shard_docs), schema)
-            return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
-
-        # an eighth of the documents first: its k-th scores are floors for the others, which then skip more and send less
-        some = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(8)) == 0
-        matched = index.where(F.size("terms") > 0)
-        first = stored(ranked(matched.where(some), {}), "first")
-        floors = {r["query_id"]: r["score"] for r in first.where(F.col("rank") == k).select("query_id", "score").collect()}
-        both = first.select("query_id", "doc_id", "score").unionByName(matched.where(~some).mapInArrow(_searched(spark.sparkContext.broadcast((queries, idf, mean, floors)), k, shard_docs), schema))
-        best = stored(both.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score"), "best")
+        model = (known, queries, np.log1p((total - df + 0.5) / (df + 0.5)), words / max(total, 1))
+        # an eighth of the shards first: its k-th scores are where the others' walks start
+        first = stored(ranked(index.where(some).mapInArrow(_searched(spark.sparkContext.broadcast((*model, {})), k), schema)), "first")
+        floors = {r["query"]: r["score"] for r in first.where(F.col("rank") == k).select("query", "score").collect()}
+        rest = index.where(~some).mapInArrow(_searched(spark.sparkContext.broadcast((*model, floors)), k), schema)
+        best = ranked(first.select("query", "doc_id", "score").unionByName(rest))
+        numbered = F.broadcast(spark.createDataFrame(list(enumerate(ids)), "query long, query_id long"))  # query_block rows at most
+        out.append(stored(best.join(numbered, "query").select("query_id", "doc_id", "rank", "score"), "best"))
         dropped(first)
-        dropped(index)
-        out = best if out is None else out.unionByName(best)
-    return out
+    dropped(index)
+    if not out:
+        return spark.createDataFrame([], "query_id long, doc_id long, rank int, score double")
+    return spark.read.schema(out[0].schema).parquet(*[t._folium_path for t in out])

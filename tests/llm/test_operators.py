@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -107,26 +108,79 @@ def test_pii_formats(spark):
 
 
 # -- 3 search
-def test_search_brute_force(spark, monkeypatch):
-    docs = [(i, " ".join(words(i, 5 + i % 60))) for i in range(600)] + [(600, None), (601, ""), (700, "of " * 50), (5, " ".join(words(5, 10)))]
+def words_by_hand(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def best_by_hand(docs, query, k):
+    """The k best (doc, score) of rows of different ids for a query's text, from the formula."""
+    bags = [(i, Counter(words_by_hand(t))) for i, t in docs if i is not None]
+    mean, df = sum(b.total() for _, b in bags) / len(bags), Counter(w for _, b in bags for w in b)
+    found = []
+    for i, b in bags:
+        s = 0.0
+        for w, n in Counter(words_by_hand(query)).items():
+            if w in b:
+                s += n * math.log1p((len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * b.total() / mean))
+        if s > 0:
+            found.append((-round(s, 6), i))
+    return [(i, -s) for s, i in sorted(found)[:k]]
+
+
+@pytest.mark.parametrize("shard", [100, 16384])
+def test_search_brute_force(spark, shard):
+    docs = [(i, " ".join(words(i, 5 + i % 60))) for i in range(600)] + [(600, None), (601, ""), (700, "of " * 50), (5, " ".join(words(5, 10))), (None, "of river"), (50, "of of river"), (701, "ÉTÉ été_x ½²"), (750, "été x")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {}
-    for r in search.search(df, F.col("doc_id") % 50 == 0, k=7, shard_docs=100, query_block=5).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
-    bags = [(i, Counter(search.words_of(t))) for i, t in docs]
-    mean, df_ = sum(sum(b.values()) for _, b in bags) / len(bags), Counter(w for _, b in bags for w in b)
-    for q, bag in bags:
-        if q % 50 or not bag:
-            continue
-        scores = []
-        for i, b in bags:
-            s = sum(n * math.log1p((len(bags) - df_[w] + 0.5) / (df_[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w, n in bag.items() if w in b)
-            if s > 0:
-                scores.append((-round(s, 6), i))
-        best = sorted(scores)[:7]
-        assert [i for i, _ in got[q]] == [i for _, i in best] and np.allclose([s for _, s in got[q]], [-s for s, _ in best], atol=2e-6)
+    for r in search.search(df, F.col("doc_id") % 50 == 0, k=7, shard_docs=shard, query_block=9).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"], r["rank"]))
+    for q, text in docs:
+        if q is not None and q % 50 == 0 and q != 50 and text:
+            want = best_by_hand(docs, text, 7)
+            assert [i for i, _, _ in got[q]] == [i for i, _ in want] and np.allclose([s for _, s, _ in got[q]], [s for _, s in want], atol=2e-6)
+            assert [r for _, _, r in got[q]] == list(range(1, len(want) + 1))
+    # two texts of one id are two queries, a repeated one is asked once
+    assert len(got[50]) == 14
+    again = search.search(df.union(df), F.col("doc_id") == 50, k=7).groupBy("doc_id").count().collect()
+    assert sum(r["count"] for r in again) == 14
+
+
+def test_search_walk_agrees_with_all_scores():
+    """The walk in small windows, with and without floors, against every document's score."""
+    r = random.Random(4)
+    texts = [" ".join(r.choice(WORDS[: 5 + i % 20]) + str(r.randrange(30) if r.random() < 0.5 else "") for _ in range(r.randrange(1, 80))) for i in range(500)]
+    found, lengths = search.words_of(pa.array(texts))
+    row = search.shard_row(np.arange(500), lengths, pa.chunked_array([found]))
+    known = {w: i for i, w in enumerate(search._terms(row))}
+    idf = np.log1p(500 / np.frombuffer(row["counts"], np.int32))
+    docs = list(enumerate(texts))
+    for window, block in ((32, 8), (64, 16), (1024, 8)):
+        search.WINDOW, search.BLOCK = window, block
+        try:
+            shard = search.Shard(row, known, idf, row["words"] / row["docs"])
+            for i in range(0, 500, 25):
+                bag = Counter(words_by_hand(texts[i]))
+                terms, times = np.array([known[w] for w in bag]), np.array(list(bag.values()), float)
+                weight = shard.weights([(terms, times)])
+                scores = []
+                for d, t in docs:
+                    b = Counter(words_by_hand(t))
+                    scores.append(round(sum(n * idf[known[w]] * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * b.total() / (row["words"] / 500))) for w, n in bag.items() if w in b), 6))
+                want = sorted((-s, d) for d, s in enumerate(scores) if s > 0)[:10]
+                for floor in (0.0, -want[-1][0], -want[0][0]):
+                    ids, got = shard.top(terms, times, weight[0], (weight @ shard.block_max.T)[0], 10, floor)
+                    close = [(d, -s) for s, d in want if -s >= floor - 1e-9]
+                    assert ids[: len(close)].tolist() == [d for d, _ in close] and np.allclose(got[: len(close)], [s for _, s in close], atol=2e-6)
+        finally:
+            search.WINDOW, search.BLOCK = 8192, 8
+
+
+def test_search_odd(spark):
     assert search.search(empty(spark), F.col("doc_id") == 0).count() == 0
-    assert search.search(odd_docs(spark), F.lit(True)).where("doc_id = 3").count() == 0
+    found = search.search(odd_docs(spark), F.lit(True))
+    assert found.columns == ["query_id", "doc_id", "rank", "score"] and found.where("doc_id = 3").count() == 0 and found.where("query_id = 7 and rank = 1 and doc_id = 7").count() == 1
+    only = odd_docs(spark).where("text is null or text = ''")
+    assert search.search(only, F.lit(True)).count() == 0
 
 
 # -- 4 mixing
