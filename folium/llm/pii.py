@@ -1,12 +1,16 @@
 """Personal data: values are replaced by format-preserving pseudonyms.
 
-A found value is validated (Luhn for cards, modulo 97 for IBANs, the calendar for dates, octets for addresses, area rules for social
+A found value is validated (Luhn for cards, modulo 97 for IBANs, the calendar for dates, the syntax of addresses, area rules for social
 security numbers), then its number within its format is permuted by a keyed Feistel network and written back in the same
 format, so equal values get equal pseudonyms in every document and a pseudonym is valid again. Letters and digits of mail
-names, keys and passwords are permuted within their own kind (small, capital, digit) at their places.
+names, keys and passwords are permuted within their own kind (small, capital, digit) at their places. Values have no greatest length.
 
-The network works on the integers below the format's size N: two unequal halves a x b >= N, keyed BLAKE2 rounds, and cycle-walking
-back below N, which keeps it a permutation of the format.
+The network works on the integers below the format's size N: two unequal halves a x b >= N, rounds of keyed SHAKE-256, and cycle-walking
+back below N, which keeps it a permutation of the format. Values of over 256 letters and digits are taken in pieces of 256, each
+under a tweak made of the pieces before it.
+
+Not looked for: names and postal addresses; phone numbers that are bare digits without ``+``, brackets or separators; dates with days or months of one digit or
+in words; hexadecimal keys outside of quotes and assignments; values of ``secret``, ``token`` and ``api_key`` that have neither a digit nor quotes.
 
 Defined results: null stays null, empty stays empty, no value found leaves the text as it is. A text of any length is searched whole. Where two
 kinds overlap, the first in KINDS wins. Repeated rows give equal results. An empty table gives an empty result.
@@ -17,6 +21,7 @@ from __future__ import annotations
 import bisect
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable
@@ -29,6 +34,14 @@ from pyspark.sql import functions as F
 from folium.llm.common import slices
 
 ROUNDS = 10
+#: Characters that one permutation takes at most.
+PIECE = 256
+#: Characters of a kind are permuted among themselves; the last two are the small and capital letters of Latin-1.
+KINDS_OF_CHARACTERS = (
+    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7),
+)
+HEXADECIMAL = ("0123456789abcdef",)
 
 
 class Feistel:
@@ -54,15 +67,21 @@ class Feistel:
 
     def _round(self, r: int, half: int, n: int, tweak: str) -> int:
         size = max(16, (n.bit_length() + 7) // 8 + 8)
-        seed = f"{tweak}|{n}|{r}|{half}".encode()
+        seed = f"{tweak}|{n:x}|{r}|{half:x}".encode()
         return int.from_bytes(hashlib.shake_256(self.key + seed).digest(size), "big")
 
     def digits(self, s: str, tweak: str) -> str:
         return str(self.permute(int(s), 10 ** len(s), tweak)).zfill(len(s)) if s else s
 
     def classes(self, s: str, tweak: str, hexadecimal: bool = False) -> str:
-        """Permute the ASCII letters and digits of s, each within its kind and at its place."""
-        sets = [next((k for k in ("0123456789abcdef",) * hexadecimal + ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in k), "") for c in s]
+        """Permute the letters and digits of s, each within its kind and at its place."""
+        out = ""
+        for at in range(0, len(s), PIECE):
+            out += self._classes(s[at : at + PIECE], f"{tweak}|{hashlib.sha256(out.encode()).hexdigest()}" if at else tweak, hexadecimal)
+        return out
+
+    def _classes(self, s: str, tweak: str, hexadecimal: bool) -> str:
+        sets = [next((k for k in (HEXADECIMAL if hexadecimal else KINDS_OF_CHARACTERS) if c in k), "") for c in s]
         x, n = 0, 1
         for c, k in zip(s, sets):
             if k:
@@ -101,8 +120,10 @@ def card(m: str, f: Feistel) -> str | None:
 
 def phone(m: str, f: Feistel) -> str | None:
     d = _only_digits(m)
-    if not 10 <= len(d) <= 15:
+    if not (8 if m[0] == "+" else 10) <= len(d) <= 15:
         return None
+    if len(d) < 10 or (m[0] == "+" and d[0] != "1"):  # the country's code stays, of unknown length: its first digit
+        return _spread(m, d[0] + f.digits(d[1:], "phone-abroad"))
     head, local = d[:-10], d[-10:]
     if local[0] >= "2" and local[3] >= "2":
         area, exchange, line = int(local[:3]) - 200, int(local[3:6]) - 200, int(local[6:])
@@ -115,12 +136,22 @@ def phone(m: str, f: Feistel) -> str | None:
 
 def address(m: str, f: Feistel) -> str | None:
     parts = m.split(".")
-    if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
+    if any(len(p) > 3 or int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
     y = f.permute(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ipv4")
     return ".".join(map(str, y.to_bytes(4, "big")))
 
 
+def address6(m: str, f: Feistel) -> str | None:
+    if len(m) > 45 or not any("0" <= c <= "9" for c in m):
+        return None
+    try:
+        x = int(ipaddress.IPv6Address(m))
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(f.permute(x, 1 << 128, "ipv6"))) if x > 1 else None
+
+
 def social(m: str, f: Feistel) -> str | None:
     a, g, s = m.split("-")
     if a in ("000", "666") or a >= "900" or g == "00" or s == "0000":
@@ -143,8 +174,10 @@ def iban(m: str, f: Feistel) -> str | None:
     return "".join(c if c == " " else next(left) for c in m)
 
 
-#: Dates from the first of these days to the last are permuted among themselves.
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+def _era(year: int) -> tuple[int, int]:
+    """First and last day of the years whose dates are permuted among themselves: 1900 to 2099, else the century."""
+    first, last = (1900, 2099) if 1900 <= year < 2100 else (max(1, year // 100 * 100), year // 100 * 100 + 99)
+    return datetime.date(first, 1, 1).toordinal(), datetime.date(last, 12, 31).toordinal()
 
 
 def date(m: str, f: Feistel) -> str | None:
@@ -157,9 +190,9 @@ def date(m: str, f: Feistel) -> str | None:
             day = datetime.date(v["y"], v["m"], v["d"]).toordinal()
         except ValueError:
             continue
-        if FIRST_DAY <= day <= LAST_DAY:
-            new = datetime.date.fromordinal(FIRST_DAY + f.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-            return sep.join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[c] for c in order)
+        first, last = _era(v["y"])
+        new = datetime.date.fromordinal(first + f.permute(day - first, last - first + 1, "date"))
+        return sep.join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[c] for c in order)
     return None
 
 
@@ -168,8 +201,11 @@ def email(m: str, f: Feistel) -> str | None:
     return f"{f.classes(name, 'email|' + host.lower())}@{host}"
 
 
+_ASSIGNED = re.compile(r"""(?s)(AKIA|[a-zA-Z_]+["']?\s*[:=]\s*["']?|)(.+)""")
+
+
 def secret(m: str, f: Feistel) -> str | None:
-    head, value = re.fullmatch(r"""(?s)(AKIA|[a-zA-Z_]+["']?\s*[:=]\s*["']?|)(.+)""", m).groups()
+    head, value = _ASSIGNED.fullmatch(m).groups()
     hexadecimal = re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) is not None and any("0" <= c <= "9" for c in value)
     if not hexadecimal:
         return head + f.classes(value, "secret")
@@ -177,20 +213,28 @@ def secret(m: str, f: Feistel) -> str | None:
     return head + (new if value == value.lower() else new.upper())
 
 
-#: kind, pattern, pseudonym (None: not valid, left alone). The first to match at a place wins.
+#: A value that is assigned: to the end of its word, without the sentence's punctuation.
+_VALUE = r"""[^\s"',;<>]*[^\s"',;<>.:!?)]"""
+_SECRETS = [
+    r"\bAKIA[A-Z0-9]{16}\b", r'(?<=")(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?=")',
+    rf"""\b(?i:password|passwd|pwd)["']?\s{{0,3}}[:=]\s{{0,3}}["']?(?=[^\s"',;<>]{{8}}){_VALUE}""",
+    rf"""\b(?i:secret|token|api_?key)["']?\s{{0,3}}[:=]\s{{0,3}}(?:["'](?=[^\s"',;<>]{{8}})|(?=[^\s"',;<>]{{8}})(?=[^\s"',;<>0-9]*+[0-9])){_VALUE}""",
+]
+#: kind, pattern, pseudonym (None: not valid, left alone). The first to match at a place wins. No pattern starts within a run that it could have started with.
 KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
-    ("email", r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}\b", email),
-    ("secret", r"""\bAKIA[A-Z0-9]{16}\b|(?<=")[0-9a-f]{32,64}(?=")|(?<=")[0-9A-F]{32,64}(?=")|\b(?i:password|passwd|pwd|secret|token|api_?key)["']?\s{0,3}[:=]\s{0,3}["']?(?=[A-Za-z_\-]{0,60}[0-9])[A-Za-z0-9_\-]{8,128}""", secret),
+    ("email", r"(?<![\w.%+\-])[\w.%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}+(?![A-Za-z0-9\-])", email),
+    ("secret", "|".join(_SECRETS), secret),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
-    ("date", r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9\-/]|\.[0-9])", date),
+    ("date", r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2})(?![0-9\-/]|\.[0-9])", date),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])", address),
+    ("ip6", r"(?<![\w:.])(?=[0-9A-Fa-f]*+:[0-9A-Fa-f]*+:)[0-9A-Fa-f:]++(?![\w:])", address6),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])", social),
-    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .\-]?[0-9]{10}(?![0-9])", phone),
+    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9])", phone),
     ("card", r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])", card),
 ]
 NAMES = [k for k, _, _ in KINDS]
 _PATTERNS = [(i, re.compile(p), f) for i, (_, p, f) in enumerate(KINDS)]
-_HINT = re.compile("[0-9@]")
+_HINT = re.compile("[0-9@:=]")
 
 
 class Pseudonymizer:
