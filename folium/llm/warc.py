@@ -5,6 +5,8 @@ status, the title and the links; the conversion record (text/plain) holds the pa
 WARC-Refers-To, its target URI and its date, and carry digests of their own block; the metadata record also names the payload digest of the source.
 Record ids are UUIDs made from the response's id and the kind, so a rerun makes the same records.
 
+The page is the response's payload with chunks joined, gzip or deflate undone and the named charset decoded; payload digests are of the payload as it came.
+
 Defined results: a null or empty page gives a response with an empty payload and derivatives with empty text. A null url is an empty target URI.
 HTML need not be well formed; an unclosed script, style or comment ends with the page. Repeated rows give equal records.
 An empty table gives an empty result.
@@ -18,13 +20,15 @@ import hashlib
 import html as html_entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folium.llm.common import slices
 
@@ -92,6 +96,38 @@ def read(data: bytes) -> Iterator[Record]:
             at += 2
 
 
+RECORDS = "path string, position long, record_type string, record_id string, headers array<struct<name:string,value:string>>, block binary"
+
+
+def read_warc(spark: SparkSession, path: str | list[str], glob: str = "*.warc*") -> DataFrame:
+    """RECORDS of WARC files. A file is read by one task and held whole, so files of up to 2 GB; archives usually have one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for where, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                for i, r in enumerate(read(content.as_py())):
+                    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary()]
+                    row = [where, i, r.header("WARC-Type"), r.header("WARC-Record-ID"), [{"name": k, "value": v} for k, v in r.headers], r.block]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
+
+    return files.mapInArrow(run, RECORDS)
+
+
+def derive_records(records: DataFrame) -> DataFrame:
+    """SCHEMA rows (key: the position in the file) of the metadata and conversion records of each response among RECORDS."""
+
+    def run(batches):
+        for batch in slices(batches, "block"):
+            out = []
+            for position, headers, block in zip(*(batch.column(c).to_pylist() for c in ("position", "headers", "block"))):
+                source = Record(tuple((h["name"], h["value"]) for h in headers), block)
+                out += [_row(position, r, source.header("WARC-Payload-Digest") or digest(http_parts(block)[2])) for r in derive(source)]
+            yield _batch(out, pa.int64())
+
+    return records.where("record_type = 'response'").mapInArrow(run, "key long, " + SCHEMA)
+
+
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and payload of a response's block; without a blank line all of it is head."""
     head, _, payload = block.partition(b"\r\n\r\n")
@@ -99,33 +135,122 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], payload
 
 
-_DROPPED = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.I | re.S)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
-_LINK = re.compile(r"""<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|ul|ol|li|table|tr|article|section|header|footer|nav|main|aside|blockquote|pre|dl|dt|dd|form|body|figure|figcaption)|br|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-_BLANKS = re.compile(r"[ \t\r\f\v]+")
+# Elements whose content is no text, and those that start a line.
+DROPPED = frozenset("script style noscript template".split())
+LINES = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li table tr article section header footer nav main aside blockquote pre dl dt dd form body figure figcaption br hr".split())
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_BLANKS = re.compile(r"[ \t\r\n\f\v]+")
 
 
-def _plain(fragment: str) -> str:
-    return _BLANKS.sub(" ", html_entities.unescape(_TAG.sub("", fragment)).replace("\n", " ")).strip()
+def _plain(parts: list[str]) -> str:
+    return _BLANKS.sub(" ", html_entities.unescape("".join(parts))).strip(" ")
+
+
+def pieces(page: str) -> Iterator[tuple[str, str]]:
+    """("", text) and (name, what stands in the tag) of a page in one pass: no character is looked at twice for a mark that is not there."""
+    at, low = 0, None
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            yield "", page[at:]
+            return
+        yield "", page[at:start]
+        if page.startswith("<!--", start):
+            at = page.find("-->", start + 4) + 3
+            if at < 3:
+                return
+            continue
+        end = page.find(">", start)
+        if end < 0:
+            yield "", page[start:]
+            return
+        if not page[start + 1].isalpha() and page[start + 1] not in "/!?":
+            yield "", "<"
+            at = start + 1
+            continue
+        name = _NAME.match(page, start + 1, end)
+        at = end + 1
+        if name is None:
+            continue
+        tag = name[1].lower()
+        opens = page[start + 1] != "/"
+        if opens and tag in DROPPED:
+            low = low if low is not None else page.translate(_LOWER)
+            close = low.find(f"</{tag}", at)
+            at = low.find(">", close) + 1 if close >= 0 else 0
+            if not at:
+                return
+            continue
+        yield tag if opens else "/" + tag, page[name.end() : end]
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def extract(page: str) -> tuple[str, list[str], str]:
-    """Title, links and text of a page: a block element starts a line, source line breaks are blanks, empty lines go."""
-    body = _DROPPED.sub("", page)
-    title = _TITLE.search(body)
-    links = [html_entities.unescape(next((x for x in m if x), "")).strip() for m in _LINK.findall(body)]
-    body = _TITLE.sub("", body)
-    lines = _BREAK.sub("\x00", body).split("\x00")
-    return _plain(title[1]) if title else "", links, "\n".join(x for x in map(_plain, lines) if x)
+    """Title (the first), links and text of a page: a block element starts a line, source line breaks are blanks, empty lines go."""
+    title, in_title, links, lines, line = None, None, [], [], []
+    for tag, value in pieces(page):
+        if not tag:
+            (line if in_title is None else in_title).append(value)
+        elif tag == "title":
+            in_title = [] if in_title is None else in_title
+        elif tag == "/title":
+            if in_title is not None and title is None:
+                title = _plain(in_title)
+            in_title = None
+        elif tag.removeprefix("/") in LINES:
+            lines.append(_plain(line))
+            line = []
+        elif tag == "a" and (m := _HREF.search(value)):
+            links.append(html_entities.unescape(next((x for x in m.groups() if x), "")).strip())
+    if title is None and in_title is not None:
+        title = _plain(in_title)
+    lines.append(_plain(line))
+    return title or "", links, "\n".join([x for x in lines if x])
+
+
+def _unchunked(payload: bytes) -> bytes:
+    """The body of a chunked payload; at the first thing that is no chunk, what is left stays as it is."""
+    out, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        size = re.match(rb"[0-9a-fA-F]+", payload[at : end if end >= 0 else at])
+        if size is None:
+            return b"".join([*out, payload[at:]])
+        n = int(size[0], 16)
+        if not n:
+            return b"".join(out)
+        out.append(payload[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def body_of(headers: list[tuple[str, str]], payload: bytes) -> str:
+    """The page as text: chunks joined, gzip and deflate undone (what is damaged stays as it is), decoded by the charset named, else UTF-8."""
+    named = {k.lower(): v.lower() for k, v in headers}
+    if "chunked" in named.get("transfer-encoding", ""):
+        payload = _unchunked(payload)
+    coding = named.get("content-encoding", "")
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for window in (47, -15):
+            try:
+                payload = zlib.decompressobj(window).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    charset = re.search(r"charset\s*=\s*[\"']?([\w.:\-]+)", named.get("content-type", ""))
+    try:
+        return payload.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
 
 
 def derive(source: Record) -> tuple[Record, Record]:
     """(metadata, conversion) of a response record."""
     status, headers, payload = http_parts(source.block)
     rid, url, when = source.header("WARC-Record-ID") or "", source.header("WARC-Target-URI") or "", source.header("WARC-Date") or ""
-    title, links, text = extract(payload.decode("utf-8", "replace"))
+    title, links, text = extract(body_of(headers, payload))
     fields = [("status", status), *(("response-header", f"{k}: {v}") for k, v in headers), ("payload-digest", source.header("WARC-Payload-Digest") or digest(payload)), ("title", title), *(("outlink", clean(_joined(url, x))) for x in links)]
     linked = (("WARC-Refers-To", rid), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", when))
     block = "".join(f"{k}: {v}{CRLF}" for k, v in fields).encode("utf-8", "surrogatepass")
@@ -140,18 +265,23 @@ def _joined(base: str, link: str) -> str:
         return link
 
 
-SCHEMA = "key long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, record binary"
+SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, record binary"
 
 
-def _row(key: int, r: Record, payload_digest: str) -> tuple:
+def _row(key: object, r: Record, payload_digest: str) -> tuple:
     return (key, r.header("WARC-Type"), r.header("WARC-Record-ID"), r.header("WARC-Refers-To"), r.header("WARC-Target-URI") or "", r.header("WARC-Date"), r.header("Content-Type"), payload_digest, r.header("WARC-Block-Digest"), len(r.block), r.to_bytes())
 
 
+def _batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+    kinds = [key, *[pa.string()] * 8, pa.int64(), pa.binary()]
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", *(x.split()[0] for x in SCHEMA.split(", "))])
+
+
 def derivatives(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", when: str = "2024-01-01T00:00:00Z", with_source: bool = True) -> DataFrame:
-    """SCHEMA rows: of each page its response (unless with_source is off), metadata and conversion records."""
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(page).alias("page"))
-    kinds = [pa.int64(), *[pa.string()] * 8, pa.int64(), pa.binary()]
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    """key (of its own type) and SCHEMA: of each page its response (unless with_source is off), metadata and conversion records."""
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("page"))
+    schema = T.StructType([rows.schema["key"], *T.StructType.fromDDL(SCHEMA).fields])
 
     def run(batches):
         for batch in slices(batches, "page"):
@@ -160,6 +290,6 @@ def derivatives(pages: DataFrame, key: str = "page_id", url: str = "url", page:
                 source = response(record_id("response", k, u), u, p, when)
                 digest_ = source.header("WARC-Payload-Digest")
                 out += [_row(k, r, digest_) for r in ((source,) * with_source + derive(source))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+            yield _batch(out, batch.schema.field("key").type)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, schema)
