@@ -12,12 +12,14 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,28 +34,58 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Codes(dict):
+    """Hashes of words, the same in every process."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_CODES = _Codes()
+
+
 def repeated_words(words: Sequence[bytes], window: int = WINDOW) -> int:
-    """Words that lie in a window of so many words found twice or more in the text, the first time included."""
+    """Words that lie in a window of so many words found twice or more in the text, the first time included.
+
+    Windows meet by hash; those that meet are compared word by word."""
     n = len(words)
     if n <= window:
         return 0
-    codes = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
+    codes = np.fromiter(map(_CODES.__getitem__, words), np.uint64, n)
     total = np.zeros(n - window + 1, np.uint64)
     for k in range(window):
         total = (total ^ (total >> np.uint64(29))) * _MIX + codes[k : n - window + 1 + k]
     at = np.argsort(total, kind="stable")
-    same = total[at][1:] == total[at][:-1]
-    if not same.any():
+    same = np.flatnonzero(total[at][1:] == total[at][:-1])
+    if not len(same):
         return 0
+    # the same word codes at each place: equal words, as far as 64 bits of a word's own hash tell; the words themselves decide
+    pairs = zip(at[same].tolist(), at[same + 1].tolist())
+    if any(words[a : a + window] != words[b : b + window] for a, b in pairs):
+        return _repeated_exactly(words, window)
     twice = np.zeros(n - window + 1, bool)
-    twice[at[1:][same]] = True
-    twice[at[:-1][same]] = True
+    twice[at[same]] = True
+    twice[at[same + 1]] = True
+    return _covered(twice, n, window)
+
+
+def _covered(starts: np.ndarray, n: int, window: int) -> int:
     steps = np.zeros(n + 1, np.int64)
-    steps[:-window][twice] += 1
-    np.subtract.at(steps, np.flatnonzero(twice) + window, 1)
+    steps[:-window][starts] += 1
+    np.subtract.at(steps, np.flatnonzero(starts) + window, 1)
     return int((np.cumsum(steps)[:n] > 0).sum())
 
 
+def _repeated_exactly(words: Sequence[bytes], window: int) -> int:
+    """The same by the words themselves, for a text in which different windows share a hash."""
+    windows = [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
+    seen = Counter(windows)
+    return _covered(np.array([seen[w] > 1 for w in windows]), len(words), window)
+
+
 def statistics(text: str | None) -> tuple[int, ...]:
     """STATS of one whole text."""
     if not text:
@@ -101,17 +133,16 @@ def voters() -> list[Voter]:
     capitals, shouts, length = F.col("n_upper") / F.greatest(F.col("n_ascii"), F.lit(1)), F.col("n_shouts") / words, F.col("word_chars") / words
     distinct, stutters = F.col("n_distinct_words") / F.sqrt(words), F.col("n_stutters") / words
     never = F.lit(False)
+    # what is measured by one thing votes once: the model takes votes as independent given the quality
+    stale = (repeat > 0.3) | (stutters > 0.2) | ((distinct < 2.0) & (F.col("n_words") >= 30))
     return [
-        Voter("repetition", repeat > 0.3, repeat < 0.02),
-        Voter("stutter", stutters > 0.2, stutters < 0.05),
+        Voter("repetition", stale, (repeat < 0.02) & (stutters < 0.05) & (distinct > 4.0)),
         Voter("symbols", symbols > 0.1, symbols < 0.01),
-        Voter("symbol_words", symbols > 0.3, never),
         Voter("duplicate_lines", (dups > 0.5) & (F.col("n_dup_lines") > 2), never),
         Voter("capitals", (capitals > 0.4) & (F.col("n_ascii") >= 20), capitals < 0.15),
         Voter("shouting", shouts > 0.2, shouts < 0.01),
         Voter("word_length", (length < 2.5) | (length > 12), (length >= 3) & (length <= 9)),
         Voter("line_ends", (ended < 0.5) & (F.col("n_words") >= 20), ended > 0.9),
-        Voter("variety", (distinct < 2.0) & (F.col("n_words") >= 30), distinct > 4.0),
     ]
 
 
