@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folium.llm.charlm import CharModel, count_grams, kneser_ney, word_scores
-from folium.llm.common import fraction_of, slices
+from folium.llm.common import dropped, fraction_of, free_name, slices, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: How sharply a difference in cross-entropy (nats a character) turns into the score.
@@ -89,30 +90,38 @@ def _count(order: int):
 
 
 def _entropies(shared):
+    """lang, entropy (under its own model), other and away (the best of the other models, as if lang had not been learned) of each text."""
+
     def run(batches):
         score = None
         for batch in slices(batches, "text"):
             score = score or shared.value.scorer()
             langs = shared.value.langs
             found, chars = score(batch.column("text").to_pylist())
-            for i, lang in enumerate(batch.column("lang").to_pylist()):
-                if chars[i] and lang in langs:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([float(found[i, langs.index(lang)])])], names=["lang", "entropy"])
+            own = np.array([langs.index(x) if x in langs else -1 for x in batch.column("lang").to_pylist()], np.int64)
+            at = np.flatnonzero((chars > 0) & (own >= 0))
+            rest = found[at]
+            entropy = rest[np.arange(len(at)), own[at]]
+            rest[np.arange(len(at)), own[at]] = np.inf
+            other = rest.argmin(axis=1) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(entropy), pa.array(other), pa.array(rest.min(axis=1) if len(at) else entropy)], names=["lang", "entropy", "other", "away"])
 
     return run
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, docs_per_lang: int = 2000, seed: int = 7, margin: float = 1.0) -> LanguageModels:
-    """Models from labelled rows. Of each language a sample of about docs_per_lang documents, drawn by the hash of key,
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, docs_per_lang: int = 2000, chars_per_lang: int = 8_000_000, seed: int = 7, tail: float = 0.002) -> LanguageModels:
+    """Models from labelled rows. Of each language a sample of about docs_per_lang documents and chars_per_lang characters at most, drawn by the hash of key,
     is read whole: three quarters of it give the counts, the rest calibrates the rejection.
 
-    limit of a language = the 99.8 % point of its held-back cross-entropies + margin (nats a character)."""
+    A language's limit lies in the middle between what its own held-back texts reach (all but the share tail of them) and what texts of a language that was
+    never learned reach: held-back texts under the other languages' models, of which a share of tail lies below. Where the two meet, no text of its own is given up for them.
+    With one language alone the price of a character never seen takes the place of the latter."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: (r["n"], r["chars"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
     if not sizes:
         return LanguageModels([], [], np.zeros(0))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, docs_per_lang / n))) for k, n in sizes.items()])
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, docs_per_lang / n, chars_per_lang / max(1, chars)))) for k, (n, chars) in sizes.items()])
     drawn = rows.where(fraction_of(F.col("key"), seed) < share)
     held = fraction_of(F.col("key"), seed + 1) < 0.25
     counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
@@ -124,38 +133,47 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     trained = LanguageModels(langs, [kneser_ney(counts[k], order) for k in langs], np.full(len(langs), np.inf))
     if not langs:
         return trained
-    shared = spark.sparkContext.broadcast(trained)
-    points = drawn.where(held).select("text", "lang").mapInArrow(_entropies(shared), "lang string, entropy double").groupBy("lang").agg(F.percentile_approx("entropy", 0.998, 10_000).alias("q")).collect()
-    for r in points:
-        trained.limits[langs.index(r["lang"])] = r["q"] + margin
+    measured = drawn.where(held).select("text", "lang").mapInArrow(_entropies(spark.sparkContext.broadcast(trained)), "lang long, entropy double, other long, away double")
+    measured = stored(measured, "entropies")
+    point = lambda c, share: F.percentile_approx(c, share, 10_000).alias("q")
+    inside = {r[0]: r["q"] for r in measured.groupBy("lang").agg(point("entropy", 1 - tail)).collect()}
+    outside = {r[0]: r["q"] for r in measured.where("away < double('infinity')").groupBy("other").agg(point("away", tail)).collect()}
+    dropped(measured)
+    for i, model in enumerate(trained.models):
+        if i in inside:
+            trained.limits[i] = max(inside[i], (inside[i] + outside.get(i, -model.floor)) / 2)
     return trained
 
 
+FOUND = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "rejected": "boolean"}
+
+
 def predict(docs: DataFrame, trained: LanguageModels, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred, score, cross_entropy and rejected to the columns in keep (all of docs by default)."""
-    keep = keep or docs.columns
+    """Adds FOUND to the columns in keep (all of docs by default); columns of these names are replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in FOUND]
+    content = free_name(docs, "content")
     shared = docs.sparkSession.sparkContext.broadcast(trained)
-    # the text travels under a name of its own, so that no column of docs can clash with it
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("cross_entropy", "double"), ("rejected", "boolean")):
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(content))
+    schema = T.StructType([rows.schema[c] for c in keep])
+    for name, kind in FOUND.items():
         schema = schema.add(name, kind)
 
     def run(batches):
         models = shared.value
         score = models.scorer()
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, content):
             n = batch.num_rows
             labels, points, entropy, out = ["und"] * n, np.zeros(n), [None] * n, np.ones(n, bool)
             if models.langs:
-                found, chars = score(batch.column("__text").to_pylist())
+                found, chars = score(batch.column(content).to_pylist())
                 best = found.argmin(axis=1)
                 spread = np.exp(-SHARPNESS * (found - found.min(axis=1)[:, None]))
                 for i in np.flatnonzero(chars):
                     k = int(best[i])
                     labels[i], points[i], entropy[i] = models.langs[k], 1.0 / spread[i].sum(), float(found[i, k])
                     out[i] = found[i, k] > models.limits[k]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(labels, pa.string()), pa.array(points), pa.array(entropy, pa.float64()), pa.array(out)], names=[*keep, "lang_pred", "score", "cross_entropy", "rejected"])
+            columns = [pa.array(labels, pa.string()), pa.array(points), pa.array(entropy, pa.float64()), pa.array(out)]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + columns, names=[*keep, *FOUND])
 
     return rows.mapInArrow(run, schema)
 

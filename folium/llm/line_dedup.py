@@ -9,7 +9,7 @@ by their least member, so a key shared by any number of lines costs one row each
 
 A distinct line is dropped if an earlier one (by first occurrence: key, then line number) is within one edit of it.
 
-Defined results: null and empty texts stay as they are. Equal lines take part from equal_chars characters (min_chars if
+Defined results: keys are whole numbers. Null and empty texts stay as they are. Equal lines take part from equal_chars characters (min_chars if
 not given), those within an edit from min_chars: of shorter ones an edit makes another word. Lines of blanks are always kept. Rows that
 repeat (same key) count as occurrences of the same lines: the lines of all rows of a key are kept or dropped alike.
 An empty table gives an empty result. Rows of a null key are kept untouched.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import code_points, dropped, slices, stored, with_size
+from folium.llm.common import code_points, dropped, slices, stored, whole, with_size
 from folium.llm.minhash import mix
 
 BLOCKS = 16
@@ -35,7 +35,7 @@ BLANKS = " \t\r"
 def lines_of(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     """doc, pos, line (stripped) of the lines that take part."""
     split = F.posexplode(F.split(F.col(text), "\n"))
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), split.alias("pos", "line"))
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(whole(docs, key).alias("doc"), split.alias("pos", "line"))
     return rows.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.length("line") >= min_chars)
 
 
@@ -175,14 +175,26 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return found
 
 
+COUNTS = ("n_lines", "dropped_equal", "dropped_near")
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, equal_chars: int | None = None) -> DataFrame:
-    """All columns of docs, text without the lines to drop, and n_lines, dropped_equal, dropped_near."""
+    """All columns of docs, text without the lines to drop, and COUNTS; columns of docs with the names of COUNTS are replaced."""
     lost = dropped_lines(docs, key, text, min_chars, equal_chars)
-    by_doc = stored(lost.groupBy("doc").agg(F.collect_list(F.struct("pos", "near")).alias("lost")).select(F.col("doc").alias("__doc"), F.col("lost.pos").alias("__pos"), F.size(F.filter("lost.near", lambda x: x)).alias("__near")), "by_doc")
+    by_doc = stored(lost.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("pos"), F.sum(F.col("near").cast("long")).alias("near")), "by_doc")
     dropped(lost)
-    marked = docs.join(with_size(by_doc), F.col(key).cast("long") == F.col("__doc"), "left")
-    parts = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__pos", i)), "\n")
-    out = marked.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
-    out = out.withColumn("dropped_near", F.coalesce("__near", F.lit(0)).cast("long")).withColumn("dropped_equal", F.coalesce(F.size("__pos"), F.lit(0)).cast("long") - F.col("dropped_near"))
-    return out.withColumn(text, F.when(F.col("__doc").isNull(), F.col(text)).otherwise(kept)).drop("__doc", "__pos", "__near")
+    # the row goes as one column, so that no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    marked = rows.join(with_size(by_doc, F.size("pos")), F.col(f"row.`{key}`").cast("long") == F.col("doc"), "left")
+    content = F.col(f"row.`{text}`")
+
+    def without(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("pos"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    # a lambda's variable holds the lines: they are split once
+    kept = F.get(F.transform(F.array(F.split(content, "\n")), without), F.lit(0))
+    near, all_ = F.coalesce("near", F.lit(0)).cast("long"), F.coalesce(F.size("pos"), F.lit(0)).cast("long")
+    counts = (F.coalesce(F.size(F.split(content, "\n")), F.lit(0)).cast("long"), all_ - near, near)
+    same = [F.when(F.col("doc").isNull(), content).otherwise(kept).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in COUNTS]
+    return marked.select(*same, *[x.alias(c) for x, c in zip(counts, COUNTS)])

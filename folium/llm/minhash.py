@@ -20,13 +20,15 @@ the least of the other ids, null only where there is none. An empty table gives
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import dropped, slices, stored, with_size
+from folium.llm.common import dropped, slices, stored, whole, with_size
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,7 +161,7 @@ def parities(elements: np.ndarray, owner: np.ndarray, sets: int, size: int = PAR
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, text, h1, h2: two hashes that stand for the text, as ids can be null or shared by different texts."""
     content = F.col(text)
-    return docs.select(F.col(key).cast("long").alias("id"), content.alias("text"), F.xxhash64(content).alias("h1"), F.xxhash64(F.lit(7), F.length(content), content).alias("h2"))
+    return docs.select(whole(docs, key).alias("id"), content.alias("text"), F.xxhash64(content).alias("h1"), F.xxhash64(F.lit(7), F.length(content), content).alias("h2"))
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int = 5, k: int = 96, rows: int = 4, seed: int = 1) -> DataFrame:
@@ -349,12 +351,15 @@ def _grouped(docs: DataFrame, key: str, text: str, threshold: float, size: int,
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(blocks.select("u", "v")))
     counts = links.select(F.explode(F.array("a", "b")).alias("c"), F.lit(1).cast("long").alias("links")).union(blocks.select("u", "links"))
     degree = counts.groupBy("c").agg(F.sum("links").alias("links"))
-    whole = reps.select("one", "two", "c", "class_id").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").join(degree, "c", "left")
-    whole = stored(whole.select("one", "two", "c", "class_id", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "whole")
-    named = whole.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    for x in (members, tried, at, chosen, sets):
+    grouped = reps.select("one", "two", "c", "class_id").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").join(degree, "c", "left")
+    grouped = stored(grouped.select("one", "two", "c", "class_id", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "grouped")
+    named = stored(grouped.join(grouped.groupBy("root").agg(F.min("class_id").alias("group_id")), "root"), "named")
+    for x in (members, tried, at, chosen, sets, links, blocks, grouped):
         dropped(x)
-    return found.drop("bands").join(whole.join(named, "root"), ["one", "two"], "left").drop("one", "two")
+    # texts without words share a digest, and may be many: they have no part in the join, whose copies of one text Spark can split
+    with_words = found.where("n > 0").drop("bands").join(named, ["one", "two"]).drop("one", "two")
+    lone = found.where("n = 0").select("id", "h1", "h2", "n", *[F.lit(None).cast("long").alias(c) for c in ("root", "c", "class_id", "links", "group_id")])
+    return with_words.unionByName(lone)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, k: int = 96, rows: int = 4, seed: int = 1) -> DataFrame:
@@ -372,13 +377,21 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
     Documents without a word are kept: once for each key, and all those of a null key."""
     found = _grouped(docs, key, text, threshold, size, k, rows, seed).where("n > 0")
-    least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "h1", "h2")).alias("m"))
-    kept = stored(least.select(*[F.col(f"m.{c}").alias(f"__{c}") for c in ("none", "id", "h1", "h2")]), "kept")
-    own = F.col(key).cast("long")
-    named = [own.isNull().alias("__none"), F.coalesce(own, F.lit(0)).alias("__id"), F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(7), F.length(text), text).alias("__h2")]
-    marks = ["__none", "__id", "__h1", "__h2"]
-    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    marked = docs.select("*", *named)
-    first = marked.where(~wordless).join(with_size(kept), marks, "left_semi").dropDuplicates(marks)
-    blank = marked.where(wordless)
-    return first.unionByName(blank.where("not __none").dropDuplicates(marks)).unionByName(blank.where("__none")).select(*docs.columns)
+    own = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "h1", "h2")
+    # only rows that are there twice have to be told apart: texts of the others don't travel
+    each = found.groupBy("root", own.alias("m")).agg(F.count(F.lit(1)).alias("times"))
+    least = each.groupBy("root").agg(F.min(F.struct("m", "times")).alias("x")).select("x.m.*", (F.col("x.times") > 1).alias("twice"))
+    kept = stored(least, "kept")
+    marks = ["none", "id", "h1", "h2"]
+    names = docs.columns
+    id_, content = whole(docs, key), F.col(f"`{text}`")
+    wordless = ~F.coalesce(content, F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), wordless.alias("wordless"), id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"),
+        F.xxhash64(content).alias("h1"), F.xxhash64(F.lit(7), F.length(content), content).alias("h2"),
+    )
+    first = marked.where("not wordless").join(with_size(kept), marks)
+    blank = marked.where("wordless")
+    parts = [first.where("not twice"), first.where("twice").dropDuplicates(marks), blank.where("not none").dropDuplicates(marks), blank.where("none")]
+    whole_rows = [p.select(*[F.col(f"row.`{c}`").alias(c) for c in names]) for p in parts]
+    return reduce(DataFrame.unionByName, whole_rows)

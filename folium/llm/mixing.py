@@ -6,7 +6,7 @@ their weights, before anything goes back to its parent's siblings: a child's sho
 once the whole family is used up. Each leaf then fills its budget from epochs: in an epoch its documents stand in an order
 seeded by (seed, epoch, key), whole epochs are taken whole, and of the last one the prefix whose tokens fit.
 
-Weights and budgets are exact: shares are rounded down to whole tokens at every node. Ties in the seeded order go to the
+Shares are rounded down to whole tokens at every node. Ties in the seeded order go to the
 lower key, and repeated rows count as rows of their own with the order of their number.
 
 Defined results: a null source or language is a leaf of its own (named ``unknown``); null and empty texts have no tokens and are never selected.
@@ -15,13 +15,12 @@ An empty table, or a budget of 0, gives an empty result. Nodes without a weight
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import stored
+from folium.llm.common import stored, with_size
 
 UNKNOWN = "unknown"
 
@@ -35,35 +34,43 @@ class Weights:
     source: dict[str, float] = field(default_factory=dict)
 
 
-def fill(budget: int, children: dict[str, tuple[float, int]]) -> dict[str, int]:
-    """Split budget among children (weight, capacity) by weight; what a child cannot take goes to the others, by theirs."""
-    out, open_, left = {}, {k: v for k, v in children.items() if v[0] > 0}, budget
-    while open_:
-        total = sum(w for w, _ in open_.values())
-        full = {k for k, (w, cap) in open_.items() if cap * total <= left * w}
-        if not full:
-            out |= {k: int(left * w / total) for k, (w, _) in open_.items()}
-            break
-        for k in full:
-            out[k] = open_.pop(k)[1]
-            left -= out[k]
-    return {k: out.get(k, 0) for k in children}
-
-
-def budgets(tokens: dict[tuple[str, str, str], int], total: int, weights: Weights, max_epochs: int) -> dict[tuple[str, str, str], int]:
-    """Budget of each leaf (domain, lang, source) from its tokens."""
-    cap = {k: n * max_epochs for k, n in tokens.items()}
-    levels = (weights.domain, weights.lang, weights.source)
-
-    def down(prefix: tuple, given: int) -> dict:
-        depth = len(prefix)
-        if depth == 3:
-            return {prefix: given}
-        names = sorted({k[depth] for k in cap if k[:depth] == prefix})
-        shares = fill(given, {n: (levels[depth].get(n, 1.0), sum(c for k, c in cap.items() if k[: depth + 1] == (*prefix, n))) for n in names})
-        return {k: v for n in names for k, v in down((*prefix, n), shares[n]).items()}
-
-    return down((), total)
+def _weight_of(name: str, weights: dict[str, float]) -> Column:
+    """The weight of the node named in a column: a literal map, as long as the weights that were given."""
+    if not weights:
+        return F.lit(1.0)
+    table = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
+    return F.coalesce(F.element_at(table, F.col(name)), F.lit(1.0))
+
+
+def fill(nodes: DataFrame, parent: list[str], node: str) -> DataFrame:
+    """nodes with share: what each gets of its parent's budget (column budget), by weight, up to its capacity (cap); rounded down.
+
+    Siblings stand in the order of cap / weight. As long as a sibling's capacity is no more than its part of what is left, it is filled, and the
+    others divide the rest by their weights: filling one only raises the parts of those behind it."""
+    open_ = nodes.where("weight > 0").withColumn("level", F.col("cap") / F.col("weight"))
+    siblings = Window.partitionBy(*parent).orderBy("level", node)
+    before, onward = siblings.rowsBetween(Window.unboundedPreceding, -1), siblings.rowsBetween(0, Window.unboundedFollowing)
+    given = F.coalesce(F.sum("cap").over(before), F.lit(0))
+    found = open_.withColumn("left", F.col("budget") - given).withColumn("open", F.sum("weight").over(onward))
+    found = found.withColumn("full", F.col("cap") * F.col("open") <= F.col("left") * F.col("weight"))
+    # behind the first that is not full, all divide what it divides
+    first = F.min(F.when(~F.col("full"), F.struct("level", node, "left", "open"))).over(Window.partitionBy(*parent))
+    found = found.withColumn("first", first)
+    share = F.when(F.col("full"), F.col("cap")).otherwise(F.floor(F.col("first.left") * F.col("weight") / F.col("first.open")).cast("long"))
+    return found.withColumn("share", share).drop("level", "left", "open", "full", "first")
+
+
+def budgets(tokens: DataFrame, share: float, weights: Weights, max_epochs: int) -> DataFrame:
+    """tokens (domain, lang, source, t, n of its leaves) with budget, of the leaves that have any. Everything is a window over the nodes of a level: nothing goes to the driver."""
+    leaves = tokens.withColumn("cap", F.col("t") * max_epochs)
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
+    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("root", F.lit(0))
+    total = leaves.agg(F.floor(F.coalesce(F.sum("t"), F.lit(0)) * F.lit(float(share))).cast("long").alias("budget")).withColumn("root", F.lit(0))
+    level = domains.join(F.broadcast(total), "root").withColumn("weight", _weight_of("domain", weights.domain))  # total is one row
+    level = fill(level, ["root"], "domain").select("domain", F.col("share").alias("budget"))
+    level = fill(langs.join(level, "domain").withColumn("weight", _weight_of("lang", weights.lang)), ["domain"], "lang").select("domain", "lang", F.col("share").alias("budget"))
+    level = fill(leaves.join(level, ["domain", "lang"]).withColumn("weight", _weight_of("source", weights.source)), ["domain", "lang"], "source")
+    return level.where("share > 0").select("domain", "lang", "source", "t", "n", F.col("share").alias("budget"))
 
 
 def token_count(text: Column) -> Column:
@@ -74,18 +81,16 @@ def token_count(text: Column) -> Column:
 def select_mix(docs: DataFrame, domain: Column, weights: Weights, share: float = 0.5, max_epochs: int = 2, seed: int = 17, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tokens: Column | None = None) -> DataFrame:
     """key, domain, lang, source, tokens, copies (in how many epochs it is taken) of the selected documents.
 
-    The budget is share x all tokens. Leaves are as many as the tree has, so their sums go to the driver."""
+    The budget is share x all tokens."""
     leaf = ["domain", "lang", "source"]
     named = lambda c: F.coalesce(c, F.lit(UNKNOWN))
     rows = docs.select(F.col(key).alias("key"), named(domain).alias("domain"), named(F.col(lang)).alias("lang"), named(F.col(source)).alias("source"), (token_count(F.col(text)) if tokens is None else tokens).alias("tokens"))
     rows = stored(rows.where("tokens > 0"), "mix")
-    sums = rows.groupBy(*leaf).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
-    have = {tuple(r[c] for c in leaf): r["t"] for r in sums}
-    given = budgets(have, int(share * sum(have.values())), weights, max_epochs)
+    leaves = stored(rows.groupBy(*leaf).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")), "leaves")
+    given = budgets(leaves, share, weights, max_epochs)
     # a leaf's last epoch is cut into about as many ranges of the seeded order as a range has documents: neither grows beyond the root of a leaf
-    plan = [(*k, v // have[k], v % have[k], max(1, math.isqrt(next(r["n"] for r in sums if tuple(r[c] for c in leaf) == k)))) for k, v in given.items()]
-    schema = "domain string, lang string, source string, epochs long, rest long, ranges long"
-    marked = rows.join(F.broadcast(docs.sparkSession.createDataFrame(plan, schema)), leaf)
+    plan = given.select(*leaf, F.expr("budget div t").alias("epochs"), (F.col("budget") % F.col("t")).alias("rest"), F.greatest(F.lit(1), F.floor(F.sqrt("n"))).cast("long").alias("ranges"))
+    marked = rows.join(with_size(stored(plan, "plan")), leaf)
     order = F.pmod(F.xxhash64(F.lit(seed), "epochs", "key"), F.lit(1 << 40))
     marked = marked.withColumn("order", order).withColumn("range", F.floor(F.col("order") * F.col("ranges") / float(1 << 40)).cast("long"))
     last = marked.where("rest > 0")

@@ -1,12 +1,14 @@
-"""Packing documents into sequences of a fixed length by the sum-of-squares rule.
+"""Packing documents into sequences of a fixed length by the sum-of-squares rule, mostly in its thrifty form.
+
+A piece is placed where the sum of the squared numbers of open sequences per residual gap becomes smallest. Each shard is packed in two ways, of which the one with
+fewer sequences counts: thrifty, the longest first, where a new sequence is opened only if no open one has room (this wins on most mixes of lengths); or by the plain rule, where a
+new sequence is one of the choices, the longest first down to a quarter of the capacity and the others mixed.
 
 A document's ids and a closing id make one run. A run beyond the capacity is cut into full pieces, of which the first
-may be shorter; full pieces fill a sequence each. Every other piece is placed where the sum of the squared numbers of
-open sequences per residual gap becomes smallest. Pieces are dealt to shards
-of about shard_items documents by a hash; each shard packs on its own, in the better of two ways, so that a shard leaves only few sequences
-unfilled and no task holds more than its shard.
+may be shorter; full pieces fill a sequence each. The others are dealt to shards of about shard_items documents by a hash; each shard packs on its own,
+so that it leaves only few sequences unfilled and no task holds more than its shard.
 
-Defined results: a null or empty text is its closing id alone. Repeated rows are packed once each. An empty table
+Defined results: keys are whole numbers. A null or empty text is its closing id alone. Repeated rows are packed once each. An empty table
 gives an empty result. Texts of any length are tokenized whole.
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import slices
+from folium.llm.common import slices, stored, whole
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -118,7 +120,7 @@ def pack(lengths: np.ndarray, capacity: int, mixed: np.ndarray | None = None) ->
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece, without its place."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(whole(docs, key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
         encode = tokenizer(vocabulary)
@@ -135,8 +137,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", shard_items: int = 12_000, rows: int | None = None) -> DataFrame:
-    """PIECES: every piece with its sequence and its offset there. rows: of docs, if known (else they are counted)."""
+    """PIECES: every piece with its sequence and its offset there. rows: of docs, if known (else they are counted).
+
+    Full pieces are sequences already and need no shard; of the others a document has one at most, so that shards grow with documents."""
     shards = max(1, math.ceil((docs.count() if rows is None else rows) / shard_items))
+    found = stored(pieces(docs, vocabulary, capacity, end_id, key, text), "pieces")
+    full = found.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     shard = F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(shards)).cast("int")
 
     def run(group: pa.Table) -> pa.Table:
@@ -146,4 +152,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_i
         ids = (int(group.column("shard")[0].as_py()) << 40) + number
         return group.drop_columns(["shard"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
 
-    return pieces(docs, vocabulary, capacity, end_id, key, text).withColumn("shard", shard).groupBy("shard").applyInArrow(run, PIECES)
+    return found.where(F.col("length") < capacity).withColumn("shard", shard).groupBy("shard").applyInArrow(run, PIECES).unionByName(full)

@@ -22,6 +22,8 @@ URL_RULES = [
     url_filter.Rule("block", "example.net", "/de/8"),
     url_filter.Rule("block", "org", "/es/"),
 ]
+#: Tokens to select: as many as the documents have, each of them at most twice.
+MIX_SHARE, MAX_EPOCHS = 1.0, 2
 MIX = mixing.Weights(domain={"web": 5, "reference": 3, "forum": 2}, lang={"en": 4, "de": 2, "fr": 2, "es": 2})
 
 
@@ -48,8 +50,12 @@ def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
 
 
+def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    return mixing.select_mix(docs, domain_of(F.col("source")), MIX, share=MIX_SHARE, max_epochs=MAX_EPOCHS, key=key)
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.select_mix(table(spark, sf_dir, "documents"), domain_of(F.col("source")), MIX)
+    return mixed(table(spark, sf_dir, "documents"))
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import dropped, slices, stored
+from folium.llm.common import dropped, slices, stored, whole
 
 K1, B = 1.2, 0.75
 #: Places of a window and of a block.
@@ -256,7 +256,7 @@ def _searched(shared, k: int):
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
     """INDEX rows, stored: one for each shard. A shard ends with its task's input, or at about shard_docs documents or shard_words words."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    rows = docs.select(whole(docs, key).alias("id"), F.col(text).alias("text")).where("id is not null")
     return stored(rows.mapInArrow(_indexed(shard_docs, shard_words), INDEX), "index")
 
 
@@ -275,7 +275,7 @@ def _asked(asked: DataFrame) -> tuple[list[int], dict[str, int], list[tuple[int,
 def search(docs: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", text: str = "text", query_block: int = 4096, query_chars: int = 1 << 26, shard_docs: int = 16_384) -> DataFrame:
     """query_id, doc_id, rank, score: the k best rows of docs for each of its rows where is_query holds."""
     spark = docs.sparkSession
-    asked = docs.where(is_query).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    asked = docs.where(is_query).select(whole(docs, key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     index = build_index(docs, key, text, shard_docs)
     total, words = index.agg(F.sum("docs"), F.sum("words")).first()
     n, chars = asked.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
