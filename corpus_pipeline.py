@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm import language_id, line_dedup, minhash, mixing, packing, queries
-from folium.llm.common import stored, table
+from folium.llm.common import stored, table, with_size
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; a document that had words and has lost them all goes with its last line."""
-    found = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    found = line_dedup.dedup_lines(docs.select(*COLUMNS), equal_chars=1)
     lost_all = (F.col("dropped_equal") + F.col("dropped_near") > 0) & ~F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
     return found.where(~lost_all).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -33,8 +33,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the source weights select, as often as they are selected."""
     # ids can be null, or shared by different texts
     named = docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.length("text"), "text").alias("h2")))
-    chosen = stored(mixing.select_mix(named, queries.domain_of(F.col("source")), queries.MIX, key="row").select("row", "copies"), "chosen")
-    return named.join(chosen, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    chosen = queries.mixed(named, key="row").groupBy("row").agg(F.max("copies").alias("copies"))
+    marked = named.join(with_size(stored(chosen, "chosen"), F.lit(3)), "row")
+    return marked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
