@@ -85,16 +85,15 @@ def longest_run(code: Column) -> Column:
 
 
 def code_fence(code: Column, language: Column | None = None) -> Column:
-    code = F.rtrim(F.replace(code, F.lit("\r\n"), F.lit("\n")), F.lit("\n"))
     fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), longest_run(code) + 1))
+    code = F.rtrim(code, F.lit("\n"))
     return F.concat(fence, F.lit("") if language is None else F.coalesce(language, F.lit("")), F.lit("\n"), rstrip_lines(code), F.lit("\n"), fence)
 
 
 def code_span(code: Column) -> Column:
-    code = F.regexp_replace(code, r"\r\n|\r|\n", " ")
     tick = F.repeat(F.lit("`"), longest_run(code) + 1)
     pad = F.when(F.startswith(code, F.lit("`")) | F.endswith(code, F.lit("`")), " ").otherwise("")
-    return F.concat(tick, pad, code, pad, tick)
+    return F.concat(tick, pad, F.replace(code, F.lit("\n"), F.lit(" ")), pad, tick)
 
 
 def heading(level: Column, content: Column, max_level: int = 6) -> Column:
@@ -108,8 +107,8 @@ def front_matter(pairs: Column, body: Column) -> Column:
 
 
 def cell(value: Column) -> Column:
-    parts = F.split(trimmed(escape(value, table=True, line_start=False)), "\n")
-    return F.array_join(F.transform(parts, trimmed), "<br>")
+    parts = F.split(escape(value, table=True, line_start=False), "\n")
+    return trimmed(F.array_join(F.transform(parts, trimmed), "<br>"))
 
 
 def table_row(cells: Column) -> Column:
@@ -150,15 +149,48 @@ def vocabulary(source: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(source, F.lit(r"\p{L}{2,}"), F.lit(0)), F.lower))
 
 
-# What separates tokens of the corpus measures.
+# What separates tokens of the corpus measures, the blanks they know beside ASCII's, and what Python counts as white space.
 PUNCTUATION = r"""[\s!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
-THIN = "      "
+THIN = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+PY_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Line ends of the table statistics, rows, delimiter rows.
+LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
+TABLE_ROW = rf"^[{PY_SPACE}]*\|.*\|[{PY_SPACE}]*$"
+DELIMITER_ROW = rf"^[{PY_SPACE}]*\|(?:[{PY_SPACE}]*:?-+:?[{PY_SPACE}]*\|)+[{PY_SPACE}]*$"
+#: Patterns of the structure counts and of hygiene; (?md): lines end at line feeds alone.
+STRUCTURE = {
+    "headings": rf"(?md)^#{{1,6}} [^{PY_SPACE}]", "list_items": rf"(?md)^[{PY_SPACE}]*(?:[-*+]|\p{{Nd}}+\.) [^{PY_SPACE}]",
+    "links": r"(?<!!)\[[^\]]*\]\([^)]*\)", "images": r"!\[[^\]]*\]\([^)]*\)", "code_fences": r"(?md)^```",
+}
+HYGIENE = {"blank_runs": r"\n{4,}", "trailing_ws": r"(?<![ \t])[ \t]++(?=\n|\z)", "empty_links": r"\[\]\(", "raw_html": r"<(?!br>)[a-zA-Z][a-zA-Z0-9]*[ >]"}
+#: What the comparing form of the tokens rewrites first; lines of chrome and tracking images go.
+COMPARED = [
+    ("[\u2013\u2014]", "-"), (r"(?m)^.*move to sidebar.*$", ""), (r"(?m)^\s*hide\s*$", ""), (r"(?m)^[*\s]*Toggle\b.*$", ""),
+    (r"!\[[^\]]*\]\([^)]*CentralAutoLogin[^)]*\)", ""),
+]
+ASCII_PUNCTUATION = r"""[\s!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
+
+
+def _long_tokens(source: Column, separators: str) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(source), separators), lambda t: F.length(t) > 3))
 
 
 def tokens(source: Column) -> Column:
     """The set of lower-cased tokens of more than 3 characters."""
-    parts = F.split(F.lower(F.translate(source, THIN, " " * len(THIN))), PUNCTUATION)
-    return F.array_distinct(F.filter(parts, lambda t: F.length(t) > 3))
+    return _long_tokens(F.translate(source, THIN, " " * len(THIN)), PUNCTUATION)
+
+
+def compared_tokens(source: Column) -> Column:
+    """The same after dashes, blanks and percent signs of printable ASCII are made one, and without chrome: the form that two converters' outputs are compared in."""
+    coded = F.transform(F.split(source, "%(?=[0-9A-Fa-f]{2})"), lambda part, i: F.when(i == 0, part).otherwise(_decoded(part)))
+    source = F.translate(F.array_join(coded, ""), THIN, " " * len(THIN))
+    return _long_tokens(reduce(lambda c, p: F.regexp_replace(c, *p), COMPARED, source), ASCII_PUNCTUATION)
+
+
+def _decoded(part: Column) -> Column:
+    """part, from after a percent sign, with its two hexadecimal digits as their printable ASCII character, or as it was."""
+    code = F.conv(F.substring(part, 1, 2), 16, 10).cast("int")
+    return F.when((code >= 0x20) & (code <= 0x7E), F.concat(F.chr(code), F.substring(part, 3, 2**31 - 1))).otherwise(F.concat(F.lit("%"), part))
 
 
 def token_similarity(reference: Column, actual: Column) -> Column:
@@ -169,14 +201,33 @@ def missing_tokens(reference: Column, actual: Column) -> Column:
     return F.sort_array(F.array_except(reference, actual))
 
 
+def table_stats(md: Column) -> Column:
+    """struct(tables, table_rows, broken_rows): runs of lines between pipes; a row is broken if it has not as many cells as its table's first."""
+    strip = lambda x, what: F.regexp_replace(x, rf"^[{what}]+|(?<![{what}])[{what}]+$", "")
+    width = lambda line: F.size(F.split(strip(strip(line, PY_SPACE), "|"), r"\|"))
+    rows = F.transform(F.split(md, LINE_END), lambda x: F.struct(F.when(x.rlike(TABLE_ROW), width(x)).alias("width"), x.rlike(DELIMITER_ROW).alias("rule")))
+    start = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("tables", "table_rows", "broken_rows")], F.lit(None).cast("int").alias("columns"))
+
+    def step(a: Column, row: Column) -> Column:
+        inside, opens = row["width"].isNotNull() & a["columns"].isNotNull(), row["width"].isNotNull() & a["columns"].isNull()
+        broken = inside & (row["width"] != a["columns"])
+        return F.struct(
+            (a["tables"] + opens.cast("long")).alias("tables"), (a["table_rows"] + (inside & ~row["rule"]).cast("long")).alias("table_rows"),
+            (a["broken_rows"] + F.coalesce(broken, F.lit(False)).cast("long")).alias("broken_rows"), F.when(row["width"].isNotNull(), F.coalesce(a["columns"], row["width"])).alias("columns"),
+        )
+
+    found = F.aggregate(rows, start, step)
+    return F.struct(*[found[c].alias(c) for c in ("tables", "table_rows", "broken_rows")])
+
+
 def structure(md: Column) -> dict[str, Column]:
-    count = lambda p: F.regexp_count(md, F.lit(p))
-    return {
-        "headings": count(r"(?m)^#{1,6} "), "list_items": count(r"(?m)^[ \t]*(?:[-*+]|[0-9]+\.) "), "images": count(r"!\[[^\]\n]*\]\([^)\n]*\)"),
-        "links": count(r"(?<!!)\[[^\]\n]*\]\([^)\n]*\)"), "code_blocks": F.floor(count(r"(?m)^```") / 2).cast("int"),
-    }
+    """Counts of what a document has, tables included."""
+    counts = {name: F.regexp_count(md, F.lit(p)).cast("long") for name, p in STRUCTURE.items()}
+    counts["code_fences"] = F.floor(counts["code_fences"] / 2)
+    stats = table_stats(md)
+    return counts | {name: stats[name] for name in ("tables", "table_rows", "broken_rows")}
 
 
 def hygiene(md: Column) -> dict[str, Column]:
-    count = lambda p: F.regexp_count(md, F.lit(p))
-    return {"blank_runs": count(r"\n{4,}"), "trailing_space": count(r"(?m)[ \t]+$"), "empty_links": count(r"\]\(\)"), "raw_html": count(r"</?(?:div|span|p|br|table|td|tr|script|style)\b[^>]*>")}
+    """Counts of what a converter should not leave behind."""
+    return {name: F.regexp_count(md, F.lit(p)).cast("long") for name, p in HYGIENE.items()}

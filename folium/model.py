@@ -11,6 +11,8 @@ from typing import Any
 
 from pyspark.sql import types as T
 
+from folium.text import is_blank, unbounded_depth
+
 NODE = T.StructType([
     T.StructField("node_id", T.IntegerType()), T.StructField("parent_id", T.IntegerType()), T.StructField("depth", T.IntegerType()), T.StructField("ordinal", T.IntegerType()),
     T.StructField("slot", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("level", T.IntegerType()),
@@ -84,24 +86,30 @@ def plain_text(content: list[Node]) -> str:
     return "".join(out)
 
 
-def to_nodes(blocks: list[Node]) -> list[dict]:
-    """Preorder list; parent_id of a top-level block is -1."""
-    out: list[dict] = []
+def node_rows(blocks: list[Node]) -> list[tuple]:
+    """Preorder list, each node as the values of NODE's fields; parent_id of a top-level block is -1."""
+    out: list[tuple] = []
 
     def add(n: Node, parent: int, depth: int, ordinal: int, slot: str) -> None:
         me = len(out)
-        row = dict.fromkeys(NODE.names)
-        row |= {"node_id": me, "parent_id": parent, "depth": depth, "ordinal": ordinal, "slot": slot, "kind": n["kind"]} | {k: n[k] for k in _PLAIN if n.get(k) is not None}
-        out.append(row)
+        get = n.get
+        out.append((me, parent, depth, ordinal, slot, n["kind"], *[get(k) for k in _PLAIN]))
         for name, slot_ in SLOTS.items():
-            for i, child in enumerate(n.get(name) or ()):
-                add(child, me, depth + 1, i, slot_)
+            if children := get(name):
+                for i, child in enumerate(children):
+                    add(child, me, depth + 1, i, slot_)
 
-    for i, b in enumerate(blocks):
-        add(b, -1, 0, i, "block")
+    with unbounded_depth():
+        for i, b in enumerate(blocks):
+            add(b, -1, 0, i, "block")
     return out
 
 
+def to_nodes(blocks: list[Node]) -> list[dict]:
+    """The same as dicts."""
+    return [dict(zip(NODE.names, row)) for row in node_rows(blocks)]
+
+
 def from_nodes(nodes: list[dict]) -> list[Node]:
     """The trees again, from a preorder list."""
     names = {v: k for k, v in SLOTS.items()}
@@ -161,13 +169,13 @@ class InlineBuilder:
 def styled(content: list[Node], bold: bool = False, italic: bool = False, strike: bool = False) -> list[Node]:
     """content in strong, emphasis and strikethrough, from the outside in."""
     for on, kind in ((strike, "strikethrough"), (italic, "emphasis"), (bold, "strong")):
-        if on and content:
+        if on:
             content = [node(kind, content=content)]
     return content
 
 
 class DocumentBuilder:
-    """Collects blocks; blank strings and empty lists add nothing."""
+    """Collects blocks. Blank headings, paragraphs and raw Markdown, and tables and lists without rows, add nothing; code and comments always count."""
 
     def __init__(self) -> None:
         self.document = Document()
@@ -181,13 +189,11 @@ class DocumentBuilder:
         return self
 
     def asset(self, asset: Node) -> DocumentBuilder:
-        same = lambda a: (a["id"], a["media_type"], a.get("name"))
-        if all(same(a) != same(asset) for a in self.document.assets):
-            self.document.assets.append(asset)
+        self.document.assets.append(asset)
         return self
 
     def meta(self, key: str, value: str | None) -> DocumentBuilder:
-        if value and value.strip():
+        if value and not is_blank(value):
             self.document.metadata[key] = value
         return self
 
@@ -196,12 +202,12 @@ class DocumentBuilder:
         return self
 
     def title_if_absent(self, value: str | None) -> DocumentBuilder:
-        if self.document.title is None:
+        if self.document.title is None and value and not is_blank(value):
             self.document.title = value
         return self
 
     def _content(self, what: str | list[Node]) -> list[Node]:
-        return ([text(what)] if what.strip() else []) if isinstance(what, str) else what
+        return ([] if is_blank(what) else [text(what)]) if isinstance(what, str) else what
 
     def heading(self, level: int, what: str | list[Node], anchor: str | None = None) -> DocumentBuilder:
         content = self._content(what)
@@ -212,20 +218,20 @@ class DocumentBuilder:
         return self.add(paragraph(content)) if content else self
 
     def code(self, code: str, language: str | None = None) -> DocumentBuilder:
-        return self.add(node("code_block", text=code, language=language)) if code.strip() else self
+        return self.add(node("code_block", text=code, language=language))
 
     def comment(self, value: str) -> DocumentBuilder:
-        return self.add(node("html_comment", text=value)) if value.strip() else self
+        return self.add(node("html_comment", text=value))
 
     def raw(self, value: str) -> DocumentBuilder:
-        return self.add(node("raw_block", text=value)) if value.strip() else self
+        return self if is_blank(value) else self.add(node("raw_block", text=value))
 
     def bullet_list(self, items: list[str]) -> DocumentBuilder:
-        made = [node("list_item", blocks=[paragraph([text(i)])]) for i in items if i.strip()]
+        made = [node("list_item", blocks=[paragraph([text(i)])]) for i in items]
         return self.add(node("list", ordered=False, items=made)) if made else self
 
-    def table(self, header: list[str], rows: list[list[str]]) -> DocumentBuilder:
-        return self.add(table([plain_cell(c) for c in header], [[plain_cell(c) for c in r] for r in rows])) if header or rows else self
+    def table(self, header: list[str], rows: list[list[str]], alignments: list[str] | None = None) -> DocumentBuilder:
+        return self.add(table([plain_cell(c) for c in header], [[plain_cell(c) for c in r] for r in rows], alignments)) if header or rows else self
 
     def build(self) -> Document:
         return self.document

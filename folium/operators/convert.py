@@ -7,17 +7,20 @@ failures="raise" ends the job instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folium.functions import columns as C
-from folium.model import ASSET, ERROR, NODE, PAIR, Document, MarkdownOptions, from_nodes, to_nodes
+from folium.model import ASSET, ERROR, NODE, PAIR, Document, MarkdownOptions, from_nodes, node_rows
 from folium.plans.registry import Registry
 from folium.render import render as render_document
 
 NATIVE = ("markdown", "text")
+Detector = Callable[[Column, Column], Column]
 INFO = "struct<mimetype:string,extension:string,filename:string>"
 PARSED = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("title", T.StringType()), T.StructField("metadata", T.ArrayType(PAIR)), T.StructField("assets", T.ArrayType(ASSET)), T.StructField("markdown", T.StringType()), T.StructField("error", ERROR)])
 
@@ -31,61 +34,101 @@ def dispatched(df: DataFrame, content: Column, path: Column | None = None, detec
     return df.withColumn("error", F.when(F.col("converter").isNull(), F.struct(F.lit("unsupported").alias("kind"), message.alias("message"))))
 
 
+def _guarded(convert_one, what: str):
+    """(result, error) of one document: its failure is its own."""
+    try:
+        return convert_one(), None
+    except Exception as e:
+        return None, {"kind": "conversion", "message": f"{what} failed with {type(e).__name__}: {e}"}
+
+
 def _worker(registry: Registry, options: MarkdownOptions, tree: bool, markdown: bool):
     parsers = {c.name: c.parse for c in registry.converters}
 
-    def one(name: str | None, content: bytes | None, base: str | None) -> dict:
-        out = dict.fromkeys(PARSED.names)
-        if name is None:
-            return out
-        try:
-            doc: Document = parsers[name](content or b"", base or "")
-            out["title"] = doc.title
-            if tree:
-                out |= {"nodes": to_nodes(doc.blocks), "metadata": [{"key": k, "value": v} for k, v in doc.metadata.items()], "assets": doc.assets}
-            if markdown:
-                out["markdown"] = render_document(doc, options)
-        except Exception as e:  # one document's failure is its own
-            out["error"] = {"kind": "conversion", "message": f"Conversion failed with {type(e).__name__}: {e}"}
-        return out
+    def one(name: str, content: bytes | None, base: str | None) -> tuple[Document, str | None]:
+        doc = parsers[name](content or b"", base or "")
+        return doc, render_document(doc, options) if markdown else None
 
     def run(names: pa.Array, contents: pa.Array, bases: pa.Array) -> pa.Array:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        rows = [one(*x) for x in zip(names.to_pylist(), contents.to_pylist(), bases.to_pylist())]
-        return pa.array(rows, type=to_arrow_type(PARSED))
+        docs, made, errors = [], [], []
+        for name, content, base in zip(names.to_pylist(), contents.to_pylist(), bases.to_pylist()):
+            found, error = (None, None) if name is None else _guarded(lambda: one(name, content, base), "Conversion")
+            doc, md = found or (None, None)
+            docs.append(doc)
+            made.append(md)
+            errors.append(error)
+        kind = to_arrow_type(PARSED)
+        pairs = [[{"key": k, "value": v} for k, v in d.metadata.items()] if d and tree else None for d in docs]
+        columns = {
+            "nodes": node_lists([d.blocks if d and tree else None for d in docs], kind.field("nodes").type), "title": pa.array([d and d.title for d in docs], pa.string()),
+            "metadata": pa.array(pairs, kind.field("metadata").type), "assets": pa.array([d.assets if d and tree else None for d in docs], kind.field("assets").type),
+            "markdown": pa.array(made, pa.string()), "error": pa.array(errors, kind.field("error").type),
+        }
+        return pa.StructArray.from_arrays([columns[f.name].cast(f.type) for f in kind], fields=list(kind))
 
     return F.arrow_udf(run, PARSED)
 
 
-def convert(df: DataFrame, content: str = "content", path: str | None = "path", detected: Column | None = None, base_url: str | None = None, registry: Registry | None = None, options: MarkdownOptions | None = None, tree: bool = False, failures: str = "record") -> DataFrame:
-    """df with detected, converter, markdown, title, error; with tree also nodes, metadata, assets."""
+def node_lists(trees: list[list | None], kind: pa.DataType) -> pa.Array:
+    """Preorder lists as one Arrow array, built field by field."""
+    rows, ends = [], [0]
+    for tree in trees:
+        if tree is not None:
+            rows += node_rows(tree)
+        ends.append(len(rows))
+    struct = kind.value_type
+    fields = list(zip(*rows)) or [()] * struct.num_fields
+    values = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(fields, struct)], fields=list(struct))
+    missing = pa.array([t is None for t in trees], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=kind, mask=missing)
+
+
+def convert(
+    df: DataFrame, content: str = "content", path: str | None = "path", detected: Column | None = None, base_url: str | None = None, registry: Registry | None = None, options: MarkdownOptions | None = None,
+    tree: bool = False, failures: str = "record", markdown: bool = True, detector: Detector | None = None,
+) -> DataFrame:
+    """df with detected, converter, markdown (unless turned off), title, error; with tree also nodes, metadata, assets. Columns of these names are replaced.
+
+    detector: of the path (null without one) and the content, in place of the detection by signature and extension."""
     registry, options = registry or Registry(), options or MarkdownOptions()
+    if detector is not None:
+        detected = detector(F.col(path) if path else F.lit(None).cast("string"), F.col(content))
     df = dispatched(df, F.col(content), F.col(path) if path else None, detected, registry)
     native = F.col("converter").isin(*NATIVE) if not tree else F.lit(False)
     names = F.when(~native, F.col("converter"))
     # rows that Catalyst converts send nulls to Python
-    parsed = _worker(registry, options, tree, True)(names, F.when(names.isNotNull(), F.col(content)), F.col(base_url) if base_url else F.lit(None).cast("string"))
+    parsed = _worker(registry, options, tree, markdown)(names, F.when(names.isNotNull(), F.col(content)), F.col(base_url) if base_url else F.lit(None).cast("string"))
     df = df.withColumn("__parsed", parsed)
-    df = df.withColumn("markdown", F.when(native, C.raw_block(C.decoded(F.col(content)))).otherwise(F.col("__parsed.markdown"))).withColumn("title", F.col("__parsed.title"))
-    df = df.withColumn("error", F.coalesce("error", "__parsed.error"))
+    if markdown:
+        df = df.withColumn("markdown", F.when(native, C.raw_block(C.decoded(F.col(content)))).otherwise(F.col("__parsed.markdown")))
+    df = df.withColumn("title", F.col("__parsed.title")).withColumn("error", F.coalesce("error", "__parsed.error"))
     if tree:
         df = df.withColumns({c: F.col(f"__parsed.{c}") for c in ("nodes", "metadata", "assets")})
     if failures == "raise":
-        df = df.withColumn("markdown", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error.message"))).otherwise(F.col("markdown")))
+        of = "markdown" if markdown else "title"
+        df = df.withColumn(of, F.when(F.col("error").isNotNull(), F.raise_error(F.col("error.message"))).otherwise(F.col(of)))
     return df.drop("__parsed")
 
 
+RENDERED = T.StructType([T.StructField("markdown", T.StringType()), T.StructField("error", T.StringType())])
+
+
 def render(df: DataFrame, nodes: str = "nodes", metadata: str | None = None, options: MarkdownOptions | None = None) -> DataFrame:
-    """df with markdown from node lists."""
+    """df with markdown from node lists, and render_error: why a list could not be rendered, else null."""
     options = options or MarkdownOptions()
 
     def run(lists: pa.Array, metas: pa.Array) -> pa.Array:
-        made = [None if n is None else render_document(Document(from_nodes(n), metadata={p["key"]: p["value"] for p in m or ()}), options) for n, m in zip(lists.to_pylist(), metas.to_pylist())]
-        return pa.array(made, pa.string())
+        out = []
+        for n, m in zip(lists.to_pylist(), metas.to_pylist()):
+            made, error = (None, None) if n is None else _guarded(lambda: render_document(Document(from_nodes(n), metadata={p["key"]: p["value"] for p in m or ()}), options), "Rendering")
+            out.append({"markdown": made, "error": error and error["message"]})
+        return pa.array(out, pa.struct([("markdown", pa.string()), ("error", pa.string())]))
 
     meta = F.col(metadata) if metadata else F.lit(None).cast(T.ArrayType(PAIR))
-    return df.withColumn("markdown", F.arrow_udf(run, "string")(F.col(nodes), meta))
+    df = df.withColumn("__made", F.arrow_udf(run, RENDERED)(F.col(nodes), meta))
+    return df.withColumn("markdown", F.col("__made.markdown")).withColumn("render_error", F.col("__made.error")).drop("__made")
 
 
 def node_table(df: DataFrame, key: str, nodes: str = "nodes") -> DataFrame:
@@ -100,10 +143,10 @@ def tables(nodes: DataFrame, key: str) -> DataFrame:
 
 
 def titles(df: DataFrame, html: str = "html") -> DataFrame:
-    """df with title of HTML text, without building blocks where a title element has one."""
+    """df with title of HTML text, without building blocks where a title element has one; null where the text cannot be parsed."""
     from folium.parsers.html_walk import html_title
 
     def run(sources: pa.Array) -> pa.Array:
-        return pa.array([None if s is None else html_title(s) for s in sources.to_pylist()], pa.string())
+        return pa.array([None if s is None else _guarded(lambda: html_title(s), "Conversion")[0] for s in sources.to_pylist()], pa.string())
 
     return df.withColumn("title", F.arrow_udf(run, "string")(F.col(html)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions import columns as C
@@ -18,25 +18,72 @@ def consensus(rows: DataFrame) -> DataFrame:
 
 
 def recall(rows: DataFrame) -> DataFrame:
-    """file, engine, recall (share of the consensus it has; 1 without one), unique_tokens (that no other engine gives)."""
-    known = rows.groupBy("file", "token").agg(F.count(F.lit(1)).alias("engines"))
-    size = known.groupBy("file").agg(F.sum((F.col("engines") >= 2).cast("long")).alias("consensus"))
-    own = rows.join(known, ["file", "token"]).groupBy("file", "engine").agg(F.sum((F.col("engines") >= 2).cast("long")).alias("hit"), F.sum((F.col("engines") == 1).cast("long")).alias("unique_tokens"))
+    """file, engine, recall (share of the consensus it has; 1 without one), unique_tokens (that no other engine gives).
+
+    rows are distinct, so one aggregate by token knows who gives it; a second, by engine, sums up."""
+    by_token = rows.groupBy("file", "token").agg(F.collect_list("engine").alias("engines"))
+    shared = F.size("engines") >= 2
+    each = by_token.select("file", F.explode("engines").alias("engine"), shared.cast("long").alias("shared"))
+    own = each.groupBy("file", "engine").agg(F.sum("shared").alias("hit"), F.sum(1 - F.col("shared")).alias("unique_tokens"))
+    size = by_token.groupBy("file").agg(F.sum(shared.cast("long")).alias("consensus"))
     return own.join(size, "file").select("file", "engine", F.when(F.col("consensus") == 0, 1.0).otherwise(F.col("hit") / F.col("consensus")).alias("recall"), "unique_tokens")
 
 
 def table_stats(df: DataFrame, key: str, md: str) -> DataFrame:
-    """key, tables, table_rows, ragged_rows: runs of lines that start with a pipe and have a delimiter row second."""
-    lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(md), "\n")).alias("pos", "line"))
-    rows = lines.where(F.startswith(F.ltrim("line"), F.lit("|")))
-    w = Window.partitionBy("key").orderBy("pos")
-    # lines of one table follow each other: pos less their rank stays the same
-    rows = rows.withColumn("island", F.col("pos") - F.row_number().over(w))
-    inside = Window.partitionBy("key", "island").orderBy("pos")
-    rows = rows.withColumn("i", F.row_number().over(inside)).withColumn("cells", F.size(F.split(F.regexp_replace(F.trim("line"), r"^\||(?<!\\)\|$", ""), r"(?<!\\)\|")))
-    rows = rows.withColumn("width", F.first("cells").over(inside)).withColumn("rule", (F.col("i") == 2) & F.col("line").rlike(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"))
-    by = rows.groupBy("key", "island").agg(F.max("rule").alias("real"), F.count(F.lit(1)).alias("n"), F.sum(((F.col("i") > 1) & (F.col("cells") != F.col("width"))).cast("long")).alias("bad")).where("real")
-    return by.groupBy("key").agg(F.count(F.lit(1)).alias("tables"), F.sum(F.col("n") - 2).alias("table_rows"), F.sum("bad").alias("ragged_rows")).withColumnRenamed("key", key)
+    """key, tables, table_rows, broken_rows of each row of df; nothing is shuffled."""
+    return df.select(key, C.table_stats(F.col(md)).alias("s")).select(key, "s.*")
+
+
+COUNTS = ("headings", "list_items", "links", "images", "code_fences", "tables", "table_rows", "broken_rows", "blank_runs", "trailing_ws", "empty_links", "raw_html")
+
+
+def measures(df: DataFrame, file: str = "file", engine: str = "engine", markdown: str = "markdown") -> DataFrame:
+    """file, engine, recall, unique_tokens, bytes (characters) and COUNTS of every output."""
+    counted = C.structure(F.col(markdown)) | C.hygiene(F.col(markdown))
+    own = df.select(F.col(file).alias("file"), F.col(engine).alias("engine"), F.length(markdown).cast("long").alias("bytes"), *[counted[c].alias(c) for c in COUNTS])
+    found = recall(token_rows(df, file, engine, markdown))
+    return own.join(found, ["file", "engine"], "left").withColumns({"recall": F.coalesce("recall", F.lit(1.0)), "unique_tokens": F.coalesce("unique_tokens", F.lit(0).cast("long"))})
+
+
+def totals(measured: DataFrame) -> DataFrame:
+    """engine, files, mean_recall and the sums of COUNTS over its files."""
+    return measured.groupBy("engine").agg(F.count(F.lit(1)).alias("files"), F.avg("recall").alias("mean_recall"), *[F.sum(c).alias(c) for c in COUNTS])
+
+
+def _percent(share: Column) -> Column:
+    return F.concat(F.format_string("%.1f", share * 100), F.lit("%"))
+
+
+# Columns of the report's tables.
+PER_FILE = {"engine": "engine", "recall": "recall", "unique": "unique_tokens", "bytes": "bytes", "headings": "headings", "lists": "list_items", "links": "links", "images": "images", "tables": "tables", "rows": "table_rows", "broken rows": "broken_rows", "blank runs": "blank_runs", "trail ws": "trailing_ws", "raw html": "raw_html"}
+IN_TOTAL = {"engine": "engine", "files": "files", "mean recall": "mean_recall", "headings": "headings", "tables": "tables", "broken rows": "broken_rows", "blank runs": "blank_runs", "trail ws": "trailing_ws"}
+
+
+def _listed(df: DataFrame, shown: dict[str, str]) -> Column:
+    cells = [_percent(F.col(c)) if c.endswith("recall") else F.col(c).cast("string") for c in shown.values()]
+    rows = F.sort_array(F.collect_list(F.struct("engine", F.array(*cells).alias("cells"))))
+    return C.table(F.array(*map(F.lit, shown)), F.transform(rows, lambda r: r["cells"]))
+
+
+def report(measured: DataFrame) -> DataFrame:
+    """section, markdown: a table of engines for each file, and ``Totals``. An engine is a row, so a section is as short as the list of engines."""
+    files = measured.groupBy("file").agg(_listed(measured, PER_FILE).alias("table")).select(F.col("file").cast("string").alias("section"), "table", F.lit(0).alias("last"))
+    whole = totals(measured)
+    total = whole.agg(_listed(whole, IN_TOTAL).alias("table")).select(F.lit("Totals").alias("section"), "table", F.lit(1).alias("last"))
+    both = files.unionByName(total)
+    return both.select("section", F.concat(F.lit("## "), "section", F.lit("\n\n"), "table").alias("markdown"), "last").orderBy("last", "section").drop("last")
+
+
+def write_report(measured: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The report as text files, in order."""
+    report(measured).select(F.concat("markdown", F.lit("\n")).alias("value")).write.mode(mode).text(path)
+
+
+def recall_gate(df: DataFrame, key: str, reference: str, actual: str, least: float = 1.0) -> DataFrame:
+    """key, similarity, missing (at most 20 tokens) of the outputs that keep less than least of the reference's tokens; no row: passed."""
+    compared = df.select(key, C.compared_tokens(F.col(reference)).alias("r"), C.compared_tokens(F.col(actual)).alias("a"))
+    found = compared.select(key, C.token_similarity(F.col("r"), F.col("a")).alias("similarity"), F.slice(C.missing_tokens(F.col("r"), F.col("a")), 1, 20).alias("missing"))
+    return found.where(F.col("similarity") < least)
 
 
 def best_of(df: DataFrame, keys: list[str], seconds: str) -> DataFrame:
@@ -49,6 +96,19 @@ def ab_delta(df: DataFrame, case: str, binary: str, seconds: str, champion: str,
     return best.withColumn("delta_percent", (F.col("candidate") - F.col("champion")) / F.col("champion") * 100)
 
 
+def promoted(champions: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """The champions' table after candidates took their places: a candidate replaces the champion of its keys, others stay."""
+    return champions.join(candidates.select(*keys), keys, "left_anti").unionByName(candidates)
+
+
+def cold_start(df: DataFrame, case: str, run: str, seconds: str) -> DataFrame:
+    """Of each case the time of its first run, the best of the later ones, and what starting up cost (0 at least; null after a single run)."""
+    first, best = F.min_by(seconds, run), F.min(F.when(F.col("__first") < F.col(run), F.col(seconds)))
+    marked = df.withColumn("__first", F.min(run).over(Window.partitionBy(case)))
+    out = marked.groupBy(case).agg(first.alias("cold"), best.alias("warm"))
+    return out.withColumn("start_up", F.when(F.col("warm").isNotNull(), F.greatest(F.lit(0.0), F.col("cold") - F.col("warm"))))
+
+
 def changed_outputs(baseline: DataFrame, now: DataFrame, key: str, output: str) -> DataFrame:
     """Keys whose output differs from the baseline, or is missing on either side."""
     a, b = baseline.select(key, F.sha2(output, 256).alias("was")), now.select(key, F.sha2(output, 256).alias("is"))

@@ -26,6 +26,10 @@ TABLE_CONTEXT = frozenset("table tbody tfoot thead tr".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript noframes".split())
 
 
+#: Fixed value: how many open elements a search for one in scope looks at.
+SCOPE_DEPTH = 101
+
+
 @dataclass(eq=False)
 class Element:
     tag: str
@@ -83,7 +87,7 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*
 
 
 def tokens(source: str):
-    """("text", s), ("start", tag, attrs, closed by itself) and ("end", tag)."""
+    """("text", s), ("start", tag, attrs, closed by itself), ("end", tag) and ("comment",)."""
     at = 0
     while at < len(source):
         m = _TOKEN.search(source, at)
@@ -95,7 +99,10 @@ def tokens(source: str):
         at = m.end()
         if m[1]:
             yield "end", m[1].lower()
-        elif m[2]:
+        elif not m[2]:
+            if not m[0][:9].lower() == "<!doctype":
+                yield ("comment",)
+        else:
             tag, raw = m[2].lower(), m[3]
             attrs: dict[str, str] = {}
             for a in _ATTRIBUTE.finditer(raw):
@@ -126,7 +133,7 @@ class TreeBuilder:
         return self.open[-1]
 
     def in_scope(self, tags, stops=SCOPE) -> bool:
-        for e in reversed(self.open):
+        for e in reversed(self.open[-SCOPE_DEPTH:]):
             if e.tag in tags:
                 return True
             if e.tag in stops:
@@ -427,6 +434,11 @@ class TreeBuilder:
                 self.reconstruct()
             self.place(value)
 
+    def comment(self) -> None:
+        """An element without content stands for it: texts on its two sides stay apart."""
+        if not self.in_head:
+            self.top().append(Element("#comment"))
+
 
 def parse(source: str) -> TreeBuilder:
     """The builder after all of source: head, body and root are its elements."""
@@ -436,6 +448,8 @@ def parse(source: str) -> TreeBuilder:
             b.characters(t[1])
         elif t[0] == "start":
             b.start(*t[1:])
+        elif t[0] == "comment":
+            b.comment()
         else:
             b.end(t[1])
     for pre in b.root.find_all({"pre", "textarea", "listing"}):

@@ -6,21 +6,33 @@ import re
 from urllib.parse import urljoin, urlsplit
 
 from folium.model import Document, Node, node, paragraph, plain_text, table, text
-from folium.parsers.html_tree import Element, parse
-from folium.text import HTML_SPACE, SPACE, decode, is_blank, trim, trim_end
+from folium.parsers.html_tree import Element, TreeBuilder, parse
+from folium.text import HTML_SPACE, SPACE, decode, is_blank, trim, trim_end, unbounded_depth
 
-# What is dropped with all it holds, what stands as a block, what only holds blocks.
+# What is dropped with all it holds, what only holds blocks, what stands as a block, the marks of inlines.
 DROPPED = frozenset("script style noscript template button svg iframe form input select".split())
-CONTAINERS = frozenset("html body div section article main header footer nav aside figure details summary address fieldset hgroup center dialog".split())
+CONTAINERS = frozenset("div section article main header footer aside nav body html figure details summary fieldset center hgroup picture colgroup".split())
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol table pre blockquote hr dl li figcaption".split()) | CONTAINERS
-STRONG, EMPHASIS, STRIKE, CODE = frozenset({"strong", "b"}), frozenset({"em", "i", "cite", "var"}), frozenset({"del", "s", "strike"}), frozenset({"code", "kbd", "samp", "tt"})
+MARKS = {
+    **dict.fromkeys(("strong", "b"), "strong"), **dict.fromkeys(("em", "i", "cite", "var"), "emphasis"), **dict.fromkeys(("del", "s", "strike"), "strikethrough"),
+    **dict.fromkeys(("code", "kbd", "samp", "tt"), "code_span"),
+}
+_INTEGER = re.compile(r"[+-]?[0-9]{1,10}")
 
 
 def _integer(value: str | None, default: int) -> int:
-    try:
-        return int(value) if value else default
-    except ValueError:
-        return default
+    """A whole number of 32 bits, written without blanks."""
+    found = int(value) if value and _INTEGER.fullmatch(value) else None
+    return default if found is None or not -(2**31) <= found < 2**31 else found
+
+
+def prune(root: Element) -> None:
+    """Remove the subtrees that never count, wherever they stand."""
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        e.children = [c for c in e.children if isinstance(c, str) or c.tag not in DROPPED]
+        stack += [c for c in e.children if isinstance(c, Element)]
 
 
 class Walker:
@@ -37,6 +49,7 @@ class Walker:
 
     # -- blocks
     def blocks(self, e: Element) -> list[Node]:
+        """Children as blocks, runs of inlines as paragraphs. Containers are entered and left on a stack of their own."""
         out: list[Node] = []
         run: list[Node] = []
 
@@ -45,30 +58,32 @@ class Walker:
                 out.append(paragraph(content))
             run.clear()
 
-        for c in e.children:
-            if isinstance(c, Element) and c.tag in DROPPED:
-                continue
-            if isinstance(c, Element) and c.tag in BLOCKS:
+        stack = [iter(e.children)]
+        while stack:
+            c = next(stack[-1], None)
+            if c is None:
                 flush()
-                out += self.block(c)
+                stack.pop()
+            elif isinstance(c, str) or c.tag not in BLOCKS:
+                self.add_inline(c, run)
             else:
-                run += self.inline(c)
-        flush()
+                flush()
+                if c.tag in CONTAINERS or c.tag == "li":
+                    stack.append(iter(c.children))
+                else:
+                    out += self.block(c)
         return out
 
     def block(self, e: Element) -> list[Node]:
         tag = e.tag
-        if tag in CONTAINERS or tag == "li":
-            return self.blocks(e)
-        if tag == "p":
-            content = trim_edges(self.inlines(e))
-            return [paragraph(content)] if content else []
-        if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            content = trim_edges(self.inlines(e))
-            return [node("heading", level=int(tag[1]), content=content, anchor=e.attrs.get("id") or None)] if content else []
         if tag in ("ul", "ol"):
-            items = [b for b in (self.blocks(c) for c in e.children if isinstance(c, Element) and c.tag == "li") if b]
-            return [node("list", ordered=tag == "ol", start=_integer(e.attrs.get("start"), 1), loose=False, items=[node("list_item", blocks=b) for b in items])] if items else []
+            return self.item_list(e)
+        if tag == "table":
+            return self.table(e)
+        if tag == "dl":
+            return self.definitions(e)
+        if tag == "hr":
+            return [node("thematic_break")]
         if tag == "pre":
             code = next(e.find_all({"code"}), e)
             language = next((c.partition("-")[2] for c in code.attrs.get("class", "").split() if c.startswith(("language-", "lang-"))), None)
@@ -76,33 +91,45 @@ class Walker:
         if tag == "blockquote":
             inner = self.blocks(e)
             return [node("block_quote", blocks=inner)] if inner else []
-        if tag == "hr":
-            return [node("thematic_break")]
-        if tag == "dl":
-            out = []
-            for c in e.children:
-                if isinstance(c, Element) and c.tag in ("dt", "dd") and (content := trim_edges(self.inlines(c))):
-                    out.append(paragraph([node("strong", content=content)] if c.tag == "dt" else content))
-            return out
+        content = trim_edges(self.inlines(e))
+        if not content:
+            return []
+        if tag == "p":
+            return [paragraph(content)]
         if tag == "figcaption":
-            content = trim_edges(self.inlines(e))
-            return [paragraph([node("emphasis", content=content)])] if content else []
-        return self.table(e)
+            return [paragraph([node("emphasis", content=content)])]
+        return [node("heading", level=int(tag[1]), content=content, anchor=None if is_blank(e.attrs.get("id", "")) else e.attrs["id"])]
+
+    def item_list(self, e: Element) -> list[Node]:
+        items = []
+        for c in e.children:
+            if isinstance(c, Element) and c.tag == "li" and (inner := self.blocks(c)):
+                items.append(node("list_item", blocks=inner))
+        return [node("list", ordered=e.tag == "ol", start=_integer(e.attrs.get("start"), 1), loose=False, items=items)] if items else []
+
+    def definitions(self, e: Element) -> list[Node]:
+        out = []
+        for c in e.children:
+            if isinstance(c, Element) and c.tag in ("dt", "dd") and (content := trim_edges(self.inlines(c))):
+                out.append(paragraph([node("strong", content=content)] if c.tag == "dt" else content))
+        return out
 
     def table(self, e: Element) -> list[Node]:
         caption = next(e.find_all({"caption"}), None)
-        rows = []
-        for tr in e.find_all({"tr"}):
-            if nearest_table(tr) is not e:
+        header: list[Node] = []
+        body: list[list[Node]] = []
+        own = [tr for tr in e.find_all({"tr"}) if nearest_table(tr) is e]
+        for i, tr in enumerate(own):
+            parts = [c for c in tr.children if isinstance(c, Element) and c.tag != "#comment"]
+            cells = [self.cell(c) for c in parts if c.tag in ("td", "th")]
+            if not cells:
                 continue
-            cells = [c for c in tr.children if isinstance(c, Element) and c.tag in ("td", "th")]
-            if cells:
-                rows.append(cells)
-        if not rows:
-            return []
-        made = [[self.cell(c) for c in r] for r in rows]
-        head = all(c.tag == "th" for c in rows[0])
-        return [table(made[0] if head else [], made[1:] if head else made, caption=trim_edges(self.inlines(caption)) if caption else [])]
+            # only the very first row can be the header
+            if i == 0 and all(c.tag == "th" for c in parts):
+                header = cells
+            else:
+                body.append(cells)
+        return [table(header, body, caption=trim_edges(self.inlines(caption)) if caption else [])] if header or body else []
 
     def cell(self, e: Element) -> Node:
         span = lambda name: min(100, max(1, _integer(e.attrs.get(name), 1)))
@@ -110,46 +137,45 @@ class Walker:
 
     # -- inlines
     def inlines(self, e: Element) -> list[Node]:
-        return [x for c in e.children for x in self.inline(c)]
+        out: list[Node] = []
+        for c in e.children:
+            self.add_inline(c, out)
+        return out
 
-    def inline(self, c: Element | str) -> list[Node]:
+    def add_inline(self, c: Element | str, out: list[Node]) -> None:
         if isinstance(c, str):
-            value = HTML_SPACE.sub(" ", c)
-            return [text(value)] if value else []
+            if value := HTML_SPACE.sub(" ", c):
+                out.append(text(value))
+            return
         tag = c.tag
-        if tag in DROPPED:
-            return []
         if tag == "br":
-            return [node("line_break")]
-        if tag == "img":
-            src = c.attrs.get("src", "")
-            return [] if is_blank(src) else [node("image", text=c.attrs.get("alt", ""), url=self.url(src), link_title=c.attrs.get("title") or None)]
-        if tag == "a":
-            content, href = self.inlines(c), c.attrs.get("href", "")
-            if not content or is_blank(href) or trim(href).lower().startswith("javascript:"):
-                return content
-            return [node("link", content=content, url=self.url(href), link_title=c.attrs.get("title") or None)]
-        if tag in CODE:
-            value = c.text()
-            return [node("code_span", text=value)] if value else []
-        kind = "strong" if tag in STRONG else "emphasis" if tag in EMPHASIS else "strikethrough" if tag in STRIKE else None
-        content = self.inlines(c)
-        return _wrapped(kind, content) if kind else content
-
-
-def _wrapped(kind: str, content: list[Node]) -> list[Node]:
-    """content in its mark, a blank at either edge left outside."""
-    if not content:
-        return []
-    content = [dict(x) for x in content]
-    before = content[0]["kind"] == "text" and content[0]["text"].startswith(" ")
-    if before:
-        content[0]["text"] = content[0]["text"][1:]
-    after = content[-1]["kind"] == "text" and content[-1]["text"].endswith(" ")
-    if after:
-        content[-1]["text"] = content[-1]["text"][:-1]
-    content = [x for x in content if x["kind"] != "text" or x["text"]]
-    return [text(" ")] * before + ([node(kind, content=content)] if content else []) + [text(" ")] * after
+            out.append(node("line_break"))
+        elif tag == "img":
+            if not is_blank(src := c.attrs.get("src", "")):
+                out.append(node("image", text=c.attrs.get("alt", ""), url=self.url(src), link_title=_title(c)))
+        elif tag == "a":
+            content, href = trim_edges(self.inlines(c)), c.attrs.get("href", "")
+            if content and (is_blank(href) or href.startswith("javascript:")):
+                out += content
+            elif content:
+                out.append(node("link", content=content, url=self.url(href), link_title=_title(c)))
+        elif tag not in MARKS:
+            for x in c.children:
+                self.add_inline(x, out)
+        elif MARKS[tag] == "code_span":
+            if code := trim(c.text()):
+                out.append(node("code_span", text=code))
+        else:
+            content = self.inlines(c)
+            if inner := trim_edges(content):
+                # a blank at either edge stays, outside of the mark
+                blank = lambda x, at: x["kind"] == "text" and x["text"][at] == " "
+                out += [text(" ")] * blank(content[0], 0) + [node(MARKS[tag], content=inner)] + [text(" ")] * blank(content[-1], -1)
+
+
+def _title(e: Element) -> str | None:
+    value = e.attrs.get("title", "")
+    return None if is_blank(value) else value
 
 
 def trim_edges(content: list[Node]) -> list[Node]:
@@ -173,30 +199,32 @@ def nearest_table(e: Element) -> Element | None:
     return up
 
 
-_SPACES = re.compile(r"[ \t\n\r\f]+")
+# What a title folds into one blank, and what it leaves out.
+_SPACES, _UNSEEN = re.compile("[ \t\n\r\f\u00a0]+"), re.compile("[\u200b\u00ad]")
 
 
-def title_of(tree) -> str | None:
-    found = next(tree.root.find_all({"title"}), None)
-    value = trim(_SPACES.sub(" ", found.text())) if found is not None else ""
+def title_of(tree: TreeBuilder) -> str | None:
+    """Of the first title element in the head."""
+    found = next(tree.head.find_all({"title"}), None)
+    value = trim(_SPACES.sub(" ", _UNSEEN.sub("", found.text()))) if found is not None else ""
     return value or None
 
 
 def html_document(source: str, base: str = "") -> Document:
     tree = parse(source)
-    blocks = Walker(base).blocks(tree.body)
-    title = title_of(tree)
-    if title is None:
-        title = next((trim(plain_text(b["content"])) for b in blocks if b["kind"] == "heading"), None)
+    prune(tree.root)
+    with unbounded_depth():
+        blocks = Walker(base).blocks(tree.body)
+        title = title_of(tree)
+        if title is None:
+            first = next((b for b in blocks if b["kind"] == "heading"), None)
+            title = trim(plain_text(first["content"])) or None if first else None
     return Document(blocks, title)
 
 
 def html_title(source: str) -> str | None:
-    """The title alone."""
-    tree = parse(source)
-    if title := title_of(tree):
-        return title
-    return html_document(source).title
+    """The title alone: blocks are made only where no title element has one."""
+    return title_of(parse(source)) or html_document(source).title
 
 
 def parse_html(content: bytes, base: str = "") -> Document:

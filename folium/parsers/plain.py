@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from folium.model import Document, node, plain_cell, table
-from folium.text import decode, is_letter, trim
+from folium.text import SPACE, decode, is_letter, trim
 
 _CSV = re.compile(r'"|,|\r\n|\r|\n')
 
@@ -55,42 +55,41 @@ def parse_csv(content: bytes) -> Document:
     return Document([table(cells[0], cells[1:])])
 
 
-_JSON = re.compile(r'\s+|"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:]+', re.S)
+_BLANK = re.escape(SPACE)
+_JSON = re.compile(rf'[{_BLANK}]+|("(?:[^"\\]|\\.)*")|([{{}}\[\],:])|([^{_BLANK}{{}}\[\],:]+)', re.S)
 
 
 def pretty_json(source: str) -> str:
-    """Re-indented by 4, tokens as they were written; text that breaks off within a string or before a value comes back as it is."""
+    """Re-indented by 4, tokens as they were written; text that breaks off within a string, after a comma or before any value comes back as it is."""
+    found = [m for m in _JSON.finditer(source) if m.lastindex]
+    if any(m[0][0] == '"' and m[1] is None for m in found):  # a string that never ends
+        return source
+    tokens = [m[0] for m in found]
     out: list[str] = []
-    depth, needs_value = 0, True
-    tokens = [t for t in _JSON.findall(source) if not t.isspace()]
-    at = 0
+    depth, at, complete = 0, 0, False
     while at < len(tokens):
         t = tokens[at]
         at += 1
-        if t[0] == '"' and (len(t) < 2 or t[-1] != '"'):
-            return source
         if t in "{[":
             if at < len(tokens) and tokens[at] in "}]":
                 out.append(t + tokens[at])
-                at, needs_value = at + 1, False
+                at, complete = at + 1, True
             else:
                 depth += 1
                 out.append(t + "\n" + "    " * depth)
-                needs_value = True
         elif t in "}]":
             depth -= 1
-            out.append("\n" + "    " * max(depth, 0) + t)
-            needs_value = False
+            out.append("\n" + "    " * depth + t)
+            complete = True
         elif t == ",":
-            out.append(",\n" + "    " * max(depth, 0))
-            needs_value = True
+            out.append(",\n" + "    " * depth)
+            complete = False
         elif t == ":":
             out.append(": ")
-            needs_value = True
         else:
             out.append(t)
-            needs_value = False
-    return source if needs_value else "".join(out)
+            complete = True
+    return "".join(out) if complete else source
 
 
 def parse_json(content: bytes) -> Document:
@@ -173,13 +172,33 @@ def text_blocks(source: str, reflow: bool = True) -> list[str]:
     return [_join(p, words) for p in merged]
 
 
-_BROKEN = re.compile("([^\\W\\d_]*)￾([^\\W\\d_]*)")
+BROKEN = "\ufffe"
+_FIRST_LETTERS = re.compile(r"[^\W\d_]*")
+_BROKEN_WORD = re.compile(rf"(?<![^\W\d_])[^\W\d_]+{BROKEN}[^\W\d_]+")
+
+
+def _last_letters(s: str) -> str:
+    """The run of letters that s ends with, read from its end."""
+    n = len(s)
+    while n and is_letter(s[n - 1]):
+        n -= 1
+    return s[n:]
 
 
 def repair_hyphens(source: str) -> str:
     """U+FFFE, a hyphen at a line's end in extracted text: kept as ``-`` between two words known elsewhere in the text, else dropped."""
-    words = {w.lower() for w in _WORD.findall(_BROKEN.sub(" ", source))}
-    return _BROKEN.sub(lambda m: m[1] + ("-" if m[1].lower() in words and m[2].lower() in words else "") + m[2], source)
+    first, *rest = source.split(BROKEN)
+    if not rest:
+        return source
+    # halves of broken words are no evidence of themselves
+    words = {w.lower() for w in _WORD.findall(_BROKEN_WORD.sub(" ", source))}
+    out, before = [first], _last_letters(first)
+    for part in rest:
+        after = _FIRST_LETTERS.match(part)[0]
+        known = before.lower() in words and after.lower() in words
+        out += ["-" * known, part]
+        before = before + part if after == part and not known else _last_letters(part)
+    return "".join(out)
 
 
 def parse_pdf_text(extracted: str) -> Document:

@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium import cases
 from folium.functions import columns as C
 from folium.functions.png import encode_png
-from folium.model import MarkdownOptions
+from folium.model import Document, MarkdownOptions, node
 from folium.operators import convert as ops
 from folium.operators import corpus
 from folium.parsers import plain
-from folium.plans.registry import Registry
-from folium.sources.files import from_column
+from folium.plans.registry import Converter, Registry
+from folium.render import render
+from folium.sources.files import from_column, read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +40,62 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _literal(value: str) -> str:
+    """SQL for value, with the nation's name where it says {n}."""
+    return "('" + value.replace("'", "''").replace("{n}", "' || replace(n_name, ' ', '') || '") + "')"
+
+
+def _parts_sql(expected: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT n_nationkey, '{part}' AS part, {_literal(value)} AS markdown FROM nation" for part, value in expected.items())
+
+
+def _parts(spark: SparkSession, d: str, make: Callable[[str, str], str], names) -> DataFrame:
+    """n_nationkey, part, markdown: make(part, the nation's name) for each part."""
+    rows = t(spark, d, "nation").select("n_nationkey", F.replace("n_name", F.lit(" "), F.lit("")).alias("n"), F.explode(F.array(*map(F.lit, names))).alias("part"))
+
+    def run(parts: pa.Array, words: pa.Array) -> pa.Array:
+        return pa.array([make(p, w) for p, w in zip(parts.to_pylist(), words.to_pylist())], pa.string())
+
+    return rows.select("n_nationkey", "part", F.arrow_udf(run, "string")("part", "n").alias("markdown"))
+
+
+@query(_parts_sql({k: v[1] for k, v in cases.RENDERED.items()}))
+def render_parts(spark, d):
+    """Every kind of block and inline, and every option, against Markdown written by hand."""
+    return _parts(spark, d, lambda part, n: render(cases.RENDERED[part][0](n), cases.RENDERED[part][2]), cases.RENDERED)
+
+
+def _converted(spark: SparkSession, d: str, given: dict[str, tuple[str, str]]) -> DataFrame:
+    """Cases (extension, text) through the converter of their extension."""
+    name = F.replace("n_name", F.lit(" "), F.lit(""))
+    rows = [F.struct(F.lit(part).alias("part"), F.lit(kind).alias("extension"), F.replace(F.lit(source), F.lit("{n}"), name).alias("source")) for part, (kind, source) in given.items()]
+    df = t(spark, d, "nation").select("n_nationkey", F.explode(F.array(*rows)).alias("c")).select("n_nationkey", "c.*")
+    detected = F.struct(F.lit(None).cast("string").alias("mimetype"), F.col("extension"), F.lit(None).cast("string").alias("filename"))
+    return ops.convert(df.withColumn("content", F.encode("source", "UTF-8")), path=None, detected=detected).select("n_nationkey", "part", "markdown")
+
+
+@query(_parts_sql({k: v[1] for k, v in cases.HTML.items()}))
+def html_parts(spark, d):
+    """Every rule of the HTML walk, against Markdown written by hand."""
+    return _converted(spark, d, {k: ("html", v[0]) for k, v in cases.HTML.items()})
+
+
+@query(_parts_sql({k: v[2] for k, v in cases.OTHERS.items()}))
+def format_parts(spark, d):
+    """CSV, JSON, XML, text and Markdown: shapes and edge cases, against Markdown written by hand."""
+    return _converted(spark, d, {k: v[:2] for k, v in cases.OTHERS.items()})
+
+
+@query(_parts_sql({k: v[1] for k, v in cases.REFLOWED.items()}))
+def reflow_parts(spark, d):
+    return _parts(spark, d, lambda part, n: "\n\n".join(plain.text_blocks(cases.REFLOWED[part][0].replace("{n}", n))), cases.REFLOWED)
+
+
+@query(_parts_sql({k: v[1] for k, v in cases.REPAIRED.items()}))
+def repair_parts(spark, d):
+    return _parts(spark, d, lambda part, n: plain.repair_hyphens(cases.REPAIRED[part][0].replace("{n}", n)), cases.REPAIRED)
+
+
 @query("""
 SELECT r_name AS region, count(*) AS nations,
  '| Key | Nation |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown
@@ -75,6 +133,38 @@ def detect_mime(spark, d):
     return t(spark, d, "pages").select("page_id", found.alias("d")).select("page_id", "d.filename", "d.extension", "d.mimetype")
 
 
+#: First bytes (hexadecimal), extension, MIME type.
+SIGNED = [
+    ("255044462D312E34", "html", "application/pdf"), ("504B0304", "epub", "application/epub+zip"), ("504B0304", "docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ("504B0304", "txt", "application/zip"),
+    ("D0CF11E0A1B11AE1", "pdf", "application/x-ole-storage"), ("3C68746D6C3E", "HTM", "text/html"), ("", "json", "application/json"), ("2550", "none", None),
+]
+
+
+@query("SELECT n_nationkey, lower(x[2]) AS extension, n_name || '.' || x[2] AS filename, x[3] AS mimetype FROM (SELECT *, [" + ", ".join(f"['{a}', '{b}', " + (f"'{c}'" if c else "NULL") + "]" for a, b, c in SIGNED) + f"][n_nationkey % {len(SIGNED)} + 1] AS x FROM nation)")
+def detect_signature(spark, d):
+    """MIME types from first bytes, which come before the extension."""
+    given = F.element_at(F.array(*[F.struct(F.unhex(F.lit(a)).alias("content"), F.lit(b).alias("extension")) for a, b, _ in SIGNED]), (F.col("n_nationkey") % len(SIGNED) + 1).cast("int"))
+    rows = t(spark, d, "nation").select("n_nationkey", "n_name", given.alias("g"))
+    found = C.detect(F.concat(F.lit("a\\b/"), "n_name", F.lit("."), F.col("g.extension")), F.col("g.content"))
+    return rows.select("n_nationkey", found.alias("d")).select("n_nationkey", "d.extension", "d.filename", "d.mimetype")
+
+
+@query("SELECT 'region.parquet' AS filename, 'parquet' AS extension, 'No converter found for: parquet' AS message")
+def read_files(spark, d):
+    """Files of a folder by pattern; one that no converter takes."""
+    found = ops.dispatched(read_documents(spark, d, glob="region.parquet"), F.col("content"), F.col("path"))
+    return found.select("detected.filename", "detected.extension", F.col("error.message").alias("message"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'odd' ELSE 'text' END AS converter, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '!' ELSE n_name END AS markdown FROM nation")
+def custom_converter(spark, d):
+    """A detector and a converter of one's own."""
+    own = Converter("odd", ("odd",), (), lambda content, base: Document([node("raw_block", text=content.decode() + "!")]))
+    detector = lambda path, content: F.struct(F.lit(None).cast("string").alias("mimetype"), F.when(path.endswith("0"), "odd").otherwise("txt").alias("extension"), F.lit(None).cast("string").alias("filename"))
+    rows = t(spark, d, "nation").select("n_nationkey", F.encode("n_name", "UTF-8").alias("content"), F.concat(F.lit("f"), (F.col("n_nationkey") % 2).cast("string")).alias("path"))
+    return ops.convert(rows, detector=detector, registry=Registry().register(own, -1.0)).select("n_nationkey", "converter", "markdown")
+
+
 @query(_DETECT + "SELECT page_id, CASE WHEN mimetype = 'text/html' THEN 'html' END AS converter, CASE WHEN mimetype IS NULL THEN 'No converter found for: ' || coalesce(extension, 'unknown') END AS message FROM c")
 def dispatch_select(spark, d):
     pages = t(spark, d, "pages")
@@ -151,7 +241,7 @@ def html_title(spark, d):
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<h1')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(html, '<li><a ')) AS BIGINT) AS items, CAST(len(regexp_extract_all(html, '<a href')) AS BIGINT) AS links FROM pages")
 def html_nodes(spark, d):
     """Counts over the node table of every page."""
-    parsed = ops.convert(from_column(t(spark, d, "pages"), F.col("html"), "html"), path=None, detected=F.col("detected"), tree=True)
+    parsed = ops.convert(from_column(t(spark, d, "pages"), F.col("html"), "html"), path=None, detected=F.col("detected"), tree=True, markdown=False)
     nodes = ops.node_table(parsed, "page_id")
     count = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
     return nodes.groupBy("page_id").agg(count("heading").alias("headings"), count("list_item").alias("items"), count("link").alias("links"))
@@ -166,8 +256,8 @@ def html_to_markdown(spark, d):
 @query()
 def render_nodes(spark, d):
     """Parse to node lists, render those: the same Markdown as in one step, with other options."""
-    parsed = ops.convert(from_column(t(spark, d, "pages"), F.col("html"), "html"), path=None, detected=F.col("detected"), tree=True)
-    return ops.render(parsed.drop("markdown"), options=MarkdownOptions(bullet="*", strong_marker="__")).select("page_id", "markdown")
+    parsed = ops.convert(from_column(t(spark, d, "pages"), F.col("html"), "html"), path=None, detected=F.col("detected"), tree=True, markdown=False)
+    return ops.render(parsed, options=MarkdownOptions(bullet="*", strong_marker="__")).select("page_id", "markdown")
 
 
 @query("""
@@ -229,16 +319,116 @@ def engine_recall(spark, d):
     return corpus.recall(corpus.token_rows(t(spark, d, "documents"), "lang", "source", "text"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?m)^#{1,6} ')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(text, '(?m)^[ \t]*(?:[-*+]|[0-9]+\.) ')) AS BIGINT) AS list_items,
-CAST(len(regexp_extract_all(text, '\n{4,}')) AS BIGINT) AS blank_runs, CAST(len(regexp_extract_all(text, '\]\(\)')) AS BIGINT) AS empty_links FROM documents""")
+#: Markdown with what the structure and hygiene counts look for, and with what they must not count.
+SAMPLES = [
+    "# a\n#b\n## \n####### c\n  # d\n###### e\n- x\n  * y\n-z\n12. w\n3.v\n+ \n\n\n+ q",
+    "[a](b)![c](d)[![e](f)](g) [](h) [i]() ![](j) [k\nl](m) [n] (o)\n```py\n[p](q)\n```\n```\n",
+    "x \n\n\n\n\ny\t\n<div>a</div><br><br ><img src=x><a1>< b><B><-c>\n<!-- d -->  ",
+    "| a | b |\n| --- | :-: |\n| 1 | 2 |\n| 3 |\n  | 4 | 5 | 6 |  \nno\n|x|\n||y|z||\n| - |\n\n|lone\n| q | r |\n|:--|--|\n| \\| | s |",
+    "plain text",
+]
+
+
+def _sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a sample before and after their text."""
+    sample = F.element_at(F.array(*map(F.lit, SAMPLES)), (F.col("doc_id") % len(SAMPLES) + 1).cast("int"))
+    return t(spark, d, "documents").select("doc_id", "lang", "source", F.concat(sample, F.lit("\n"), F.col("text"), F.lit("\n"), sample).alias("md"))
+
+
+_SAMPLED = "s AS (SELECT doc_id, lang, source, x || chr(10) || text || chr(10) || x AS md FROM (SELECT *, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in SAMPLES) + f"][CAST(doc_id % {len(SAMPLES)} + 1 AS INTEGER)] AS x FROM documents))"
+_COUNTED = r"""c AS (SELECT doc_id, len(regexp_extract_all(md, '(?m)^#{1,6} \S')) AS headings, len(regexp_extract_all(md, '(?m)^\s*(?:[-*+]|\d+\.) \S')) AS list_items,
+len(regexp_extract_all(replace(md, '![', '!' || chr(1)), '\[[^\]]*\]\([^)]*\)')) AS links, len(regexp_extract_all(md, '!\[[^\]]*\]\([^)]*\)')) AS images, len(regexp_extract_all(md, '(?m)^```')) // 2 AS code_fences,
+len(regexp_extract_all(md, '\n{4,}')) AS blank_runs, len(regexp_extract_all(md, '(?m)[ \t]+$')) AS trailing_ws, len(regexp_extract_all(md, '\[\]\(')) AS empty_links,
+len(regexp_extract_all(md, '<[a-zA-Z][a-zA-Z0-9]*[ >]')) - len(regexp_extract_all(md, '<br>')) AS raw_html FROM s)"""
+# lines with their numbers, islands of rows, the width of an island's first row
+_TABLED = r"""l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS i FROM s),
+r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island, len(string_split(trim(trim(line, E' \t'), '|'), '|')) AS width, regexp_full_match(line, '\s*\|(\s*:?-{1,}:?\s*\|)+\s*') AS rule FROM l WHERE regexp_full_match(line, '\s*\|.*\|\s*')),
+f AS (SELECT *, first_value(width) OVER (PARTITION BY doc_id, island ORDER BY i) AS columns, row_number() OVER (PARTITION BY doc_id, island ORDER BY i) AS k FROM r),
+t AS (SELECT doc_id, count(DISTINCT island) AS tables, count(*) FILTER (k > 1 AND NOT rule) AS table_rows, count(*) FILTER (k > 1 AND width <> columns) AS broken_rows FROM f GROUP BY doc_id)"""
+_MEASURES = ("headings", "list_items", "links", "images", "code_fences", "blank_runs", "trailing_ws", "empty_links", "raw_html")
+
+
+@query(f"WITH {_SAMPLED}, {_COUNTED} SELECT doc_id, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _MEASURES) + " FROM c")
 def structure_counts(spark, d):
-    found = C.structure(F.col("text")) | C.hygiene(F.col("text"))
-    return t(spark, d, "documents").select("doc_id", *[found[c].cast("long").alias(c) for c in ("headings", "list_items", "blank_runs", "empty_links")])
+    found = C.structure(F.col("md")) | C.hygiene(F.col("md"))
+    return _sampled(spark, d).select("doc_id", *[found[c].alias(c) for c in _MEASURES])
 
 
-@query("SELECT o_custkey AS custkey, CAST(1 AS BIGINT) AS tables, count(*) AS table_rows, CAST(0 AS BIGINT) AS ragged_rows FROM orders GROUP BY o_custkey")
+@query(f"WITH {_SAMPLED}, {_TABLED} SELECT doc_id, coalesce(tables, 0) AS tables, coalesce(table_rows, 0) AS table_rows, coalesce(broken_rows, 0) AS broken_rows FROM s LEFT JOIN t USING (doc_id)")
 def table_stats(spark, d):
-    return corpus.table_stats(table_per_customer(spark, d), "custkey", "markdown")
+    return corpus.table_stats(_sampled(spark, d), "doc_id", "md")
+
+
+_PER_OUTPUT = rf"""WITH {_SAMPLED}, {_COUNTED}, {_TABLED}, own AS (SELECT lang || '/' || (doc_id // 20) AS file, source AS engine, md, c.*, coalesce(tables, 0) AS tables, coalesce(table_rows, 0) AS table_rows, coalesce(broken_rows, 0) AS broken_rows FROM s JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)),
+k AS (SELECT DISTINCT file, engine, unnest({{tokens}}) AS token FROM own), n AS (SELECT file, token, count(*) AS engines FROM k GROUP BY 1, 2), z AS (SELECT file, count(*) FILTER (engines >= 2) AS consensus FROM n GROUP BY 1),
+e AS (SELECT file, engine, count(*) FILTER (engines >= 2) AS hit, count(*) FILTER (engines = 1) AS unique_tokens FROM k JOIN n USING (file, token) GROUP BY 1, 2),
+m AS (SELECT own.*, CASE WHEN coalesce(consensus, 0) = 0 THEN 1.0 ELSE coalesce(hit, 0) / consensus END AS recall, coalesce(unique_tokens, 0) AS unique_tokens FROM own LEFT JOIN e USING (file, engine) LEFT JOIN z USING (file))"""
+
+
+def _outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty documents in a row are what engines made of one file; the source is the engine."""
+    file = F.concat("lang", F.lit("/"), F.floor(F.col("doc_id") / 20).cast("string"))
+    return _sampled(spark, d).select(file.alias("file"), F.col("source").alias("engine"), F.col("md").alias("markdown"))
+
+
+@query(_PER_OUTPUT.replace("{tokens}", _TOKENS.replace("lower(text)", "lower(md)")) + " SELECT engine, count(*) AS files, avg(recall) AS mean_recall, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in corpus.COUNTS) + " FROM m GROUP BY engine")
+def engine_totals(spark, d):
+    return corpus.totals(corpus.measures(_outputs(spark, d)))
+
+
+@query(_PER_OUTPUT.replace("{tokens}", _TOKENS.replace("lower(text)", "lower(md)")) + """, u AS (SELECT file AS section, string_agg('| ' || engine || ' | ' || printf('%.1f', recall * 100) || '% | ' || unique_tokens || ' | ' || length(md) || ' | ' || headings || ' | ' || list_items || ' | ' || links || ' | ' || images || ' | ' || tables || ' | ' || table_rows || ' | ' || broken_rows || ' | ' || blank_runs || ' | ' || trailing_ws || ' | ' || raw_html || ' |', chr(10) ORDER BY engine) AS x,
+ '| engine | recall | unique | bytes | headings | lists | links | images | tables | rows | broken rows | blank runs | trail ws | raw html |' || chr(10) || '|' || repeat(' --- |', 14) AS head FROM m GROUP BY file
+UNION ALL SELECT 'Totals', string_agg('| ' || engine || ' | ' || files || ' | ' || printf('%.1f', r * 100) || '% | ' || h || ' | ' || t || ' | ' || b || ' | ' || k || ' | ' || w || ' |', chr(10) ORDER BY engine), '| engine | files | mean recall | headings | tables | broken rows | blank runs | trail ws |' || chr(10) || '|' || repeat(' --- |', 8)
+ FROM (SELECT engine, count(*) AS files, avg(recall) AS r, sum(headings) AS h, sum(tables) AS t, sum(broken_rows) AS b, sum(blank_runs) AS k, sum(trailing_ws) AS w FROM m GROUP BY engine))
+SELECT section, '## ' || section || chr(10) || chr(10) || head || chr(10) || x AS markdown FROM u""")
+def corpus_report(spark, d):
+    """The report's sections: engines per file, and their totals."""
+    return corpus.report(corpus.measures(_outputs(spark, d)))
+
+
+_COMPARED = r"""list_distinct(list_filter(string_split_regex(lower(translate(regexp_replace(regexp_replace(regexp_replace({x}, '[–—]', '-', 'g'), '(?m)^.*move to sidebar.*$', '', 'g'), '(?m)^[*\s]*Toggle\b.*$', '', 'g'), chr(160), ' ')), '[\s!\x22#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]+'), lambda t: length(t) > 3))"""
+_CHROME = "'move to sidebar now' || chr(10) || '* Toggle the menu' || chr(10)"
+
+
+@query(f"WITH a AS (SELECT doc_id, {_COMPARED.replace('{x}', _CHROME + ' || text')} AS r, {_COMPARED.replace('{x}', "left(text, 200) || '—dashed–words'")} AS a FROM documents) SELECT doc_id, CASE WHEN len(r) = 0 THEN 1.0 ELSE len(list_intersect(r, a)) / len(r) END AS similarity, array_to_string(list_slice(list_sort(list_filter(r, lambda t: NOT list_contains(a, t))), 1, 20), ' ') AS missing FROM a WHERE len(r) > 0 AND len(list_intersect(r, a)) < len(r)")
+def recall_gate(spark, d):
+    """The reference's chrome is no loss; words beyond the first 200 characters are."""
+    docs = t(spark, d, "documents").select("doc_id", F.concat(F.lit("move to sidebar now\n* Toggle the menu\n"), F.col("text")).alias("r"), F.concat(F.substring("text", 1, 200), F.lit("—dashed–words")).alias("a"))
+    return corpus.recall_gate(docs, "doc_id", "r", "a").withColumn("missing", F.array_join("missing", " "))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'abcd bcde café caféx d' || doc_id || 'words word' ELSE '00hello abcd café caféx d' || doc_id || 'words' END AS tokens FROM documents")
+def compared_tokens(spark, d):
+    """Escaped bytes of printable ASCII are decoded first, others stay; tracking images and chrome go."""
+    case = F.when(F.col("doc_id") % 2 == 0, "a%2zq/bcde A_wo%72d %C3 ![x](y CentralAutoLogin z)\nhide\n").otherwise("say %2000hello all")
+    text = F.concat(F.lit("café—x caféx-abcd "), case, F.lit(" d"), F.col("doc_id").cast("string"), F.lit("words"))
+    return t(spark, d, "documents").select("doc_id", F.array_join(F.sort_array(C.compared_tokens(text)), " ").alias("tokens"))
+
+
+@query("SELECT l_returnflag AS case_name, l_linestatus AS binary_name, min(l_extendedprice) AS best FROM lineitem GROUP BY ALL")
+def best_of(spark, d):
+    """The best of all runs, over prices in place of seconds."""
+    return corpus.best_of(t(spark, d, "lineitem").select(F.col("l_returnflag").alias("case_name"), F.col("l_linestatus").alias("binary_name"), "l_extendedprice"), ["case_name", "binary_name"], "l_extendedprice")
+
+
+@query("SELECT o_custkey AS custkey, arg_min(o_totalprice, o_orderkey) AS cold, min(o_totalprice) FILTER (k > 1) AS warm, greatest(0.0, arg_min(o_totalprice, o_orderkey) - min(o_totalprice) FILTER (k > 1)) AS start_up FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY o_custkey HAVING count(*) > 1 UNION ALL SELECT o_custkey, min(o_totalprice), NULL, NULL FROM orders GROUP BY o_custkey HAVING count(*) = 1")
+def cold_start(spark, d):
+    """First runs against later ones: a customer's orders in place of a case's runs."""
+    return corpus.cold_start(t(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", "o_totalprice"), "custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'new' ELSE 'old' END AS output FROM part UNION ALL SELECT -p_partkey, 'new' FROM part WHERE p_size > 45")
+def promoted(spark, d):
+    """Candidates of the large parts, and of unknown ones, take the champions' places."""
+    part = t(spark, d, "part")
+    large = part.where("p_size > 25").select("p_partkey").union(part.where("p_size > 45").select(-F.col("p_partkey")))
+    return corpus.promoted(part.select("p_partkey", F.lit("old").alias("output")), large.withColumn("output", F.lit("new")), ["p_partkey"])
+
+
+@query("SELECT p_partkey, p_retailprice AS convert, p_size AS parse, greatest(0.0, p_retailprice - p_size * 40) AS render FROM part")
+def stage_split(spark, d):
+    found = corpus.stage_split(t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("convert"), (F.col("p_size") * 40.0).alias("parse")), "convert", "parse")
+    return found.withColumn("parse", (F.col("parse") / 40).cast("int"))
 
 
 @query("SELECT l_returnflag AS case_name, min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS champion, min(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS candidate, (min(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) - min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END)) / min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) * 100 AS delta_percent FROM lineitem GROUP BY l_returnflag")
@@ -248,10 +438,34 @@ def ab_delta(spark, d):
     return found.withColumnRenamed("l_returnflag", "case_name")
 
 
-@query("SELECT doc_id FROM documents WHERE rtrim(text) <> text OR doc_id % 7 = 0")
+@query("SELECT doc_id FROM documents WHERE rtrim(text) <> text OR contains(text, '...')")
 def changed_outputs(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
-    return corpus.changed_outputs(docs.where("doc_id % 7 <> 0"), docs.withColumn("text", F.rtrim("text")), "doc_id", "text")
+    return corpus.changed_outputs(docs, docs.withColumn("text", F.replace(F.rtrim("text"), F.lit("..."), F.lit("…"))), "doc_id", "text")
+
+
+def _book(title: str, chapters: list[tuple[str, str]]) -> bytes:
+    """A small EPUB of (heading, paragraph) chapters."""
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("META-INF/container.xml", "<container><rootfiles><rootfile full-path='OPS/book.opf'/></rootfiles></container>")
+        items = "".join(f"<item id='c{i}' href='c{i}.xhtml' media-type='application/xhtml+xml'/>" for i in range(len(chapters)))
+        refs = "".join(f"<itemref idref='c{i}'/>" for i in range(len(chapters)))
+        z.writestr("OPS/book.opf", f"<package><metadata><dc:title>{title}</dc:title><dc:language>en</dc:language></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>")
+        for i, (heading, body) in enumerate(chapters):
+            z.writestr(f"OPS/c{i}.xhtml", f"<html><body><h2>{heading}</h2><p>{body.replace('&', '&amp;').replace('<', '&lt;')}</p></body></html>")
+    return made.getvalue()
+
+
+@query("SELECT n_nationkey, 'epub' AS converter, n_name AS title, '**Title:** ' || n_name || chr(10) || chr(10) || '**Language:** en' || chr(10) || chr(10) || '## One' || chr(10) || chr(10) || '1\\. ' || n_name || ' & \\<b>' || chr(10) || chr(10) || '## Two' || chr(10) || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS markdown FROM nation")
+def epub_parts(spark, d):
+    """Books of two chapters, zipped and converted."""
+
+    def run(keys: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([_book(n, [("One", f"1. {n} & <b>"), ("Two", "odd" if k % 2 else "even")]) for k, n in zip(keys.to_pylist(), names.to_pylist())], pa.binary())
+
+    rows = t(spark, d, "nation").select("n_nationkey", F.arrow_udf(run, "binary")("n_nationkey", "n_name").alias("content"), F.lit("b.EPUB").alias("path"))
+    return ops.convert(rows).select("n_nationkey", "converter", "title", "markdown")
 
 
 @query()
@@ -261,19 +475,7 @@ def epub_convert(spark, d):
     turns = turns.repartition(spark.sparkContext.defaultParallelism)  # small rows, much work in each
 
     def book(ids: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for key, parts in zip(ids.to_pylist(), lists.to_pylist()):
-            made = io.BytesIO()
-            with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("META-INF/container.xml", "<container><rootfiles><rootfile full-path='OPS/book.opf'/></rootfiles></container>")
-                items = "".join(f"<item id='c{i}' href='c{i}.xhtml' media-type='application/xhtml+xml'/>" for i in range(len(parts)))
-                refs = "".join(f"<itemref idref='c{i}'/>" for i in range(len(parts)))
-                z.writestr("OPS/book.opf", f"<package><metadata><dc:title>Conversation {key}</dc:title><dc:language>en</dc:language></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>")
-                for i, p in enumerate(parts):
-                    body = (p["text"] or "").replace("&", "&amp;").replace("<", "&lt;")
-                    z.writestr(f"OPS/c{i}.xhtml", f"<html><body><h2>{p['role']}</h2><p>{body}</p></body></html>")
-            out.append(made.getvalue())
-        return pa.array(out, pa.binary())
+        return pa.array([_book(f"Conversation {key}", [(p["role"], p["text"] or "") for p in parts]) for key, parts in zip(ids.to_pylist(), lists.to_pylist())], pa.binary())
 
     books = turns.select("conv_id", F.arrow_udf(book, "binary")("conv_id", "turns").alias("content"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".epub")).alias("path"))
     return ops.convert(books).select("conv_id", "converter", "title", "markdown")

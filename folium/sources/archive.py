@@ -49,13 +49,18 @@ class ZipArchive:
         if self.data[offset : offset + 4] != LOCAL or offset + 30 > len(self.data):
             return None
         n, extra = struct.unpack_from("<HH", self.data, offset + 26)
-        body = self.data[offset + 30 + n + extra :][:packed]
+        start = offset + 30 + n + extra
+        body = self.data[start : start + packed]
+        if len(body) < packed:
+            return None
         if method == 0:
             return body
+        inflate = zlib.decompressobj(-15)
         try:
-            return zlib.decompressobj(-15).decompress(body) if method == 8 else None
+            out = inflate.decompress(body) if method == 8 else None
         except zlib.error:
             return None
+        return out if inflate.eof else None
 
     def read_text(self, name: str) -> str | None:
         found = self.read(name)

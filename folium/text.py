@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
+import threading
 import unicodedata
+from contextlib import contextmanager
 
 #: Zs, Zl, Zp, U+0009-000D and U+001C-001F; U+0085 and U+200B are no white space here.
 SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f                  　"
@@ -46,3 +49,14 @@ def width(s: str) -> int:
 def decode(content: bytes | None) -> str:
     """UTF-8; malformed bytes become U+FFFD, a byte order mark stays."""
     return (content or b"").decode("utf-8", "replace")
+
+
+_DEEP = threading.Lock()
+
+
+@contextmanager
+def unbounded_depth():
+    """Trees of any depth may be walked: calls of Python functions take memory from the heap, so only the interpreter's own limit goes."""
+    with _DEEP:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
+    yield

@@ -1,15 +1,19 @@
 import io
 import struct
+import time
 import zipfile
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from folium import cases
 from folium.functions import columns as C
 from folium.functions.png import encode_png
-from folium.model import Document, DocumentBuilder, MarkdownOptions, from_nodes, node, paragraph, plain_cell, styled, table, text, to_nodes
+from folium.model import NODE, Document, DocumentBuilder, MarkdownOptions, from_nodes, node, paragraph, plain_cell, styled, table, text, to_nodes
 from folium.operators import convert as ops
+from folium.operators import corpus
 from folium.parsers import plain
 from folium.parsers.html_walk import html_document
 from folium.plans.registry import Converter, Registry
@@ -17,6 +21,61 @@ from folium.render import escape, render
 from folium.sources.archive import ZipArchive, parse_epub
 
 
+def put(case, word):
+    return case.replace("{n}", word)
+
+
+@pytest.mark.parametrize("part", cases.RENDERED)
+def test_rendered_cases(part):
+    made, expected, options = cases.RENDERED[part]
+    assert render(made("word"), options) == put(expected, "word")
+    # the same from node lists
+    doc = made("word")
+    assert render(Document(from_nodes(to_nodes(doc.blocks)), metadata=doc.metadata), options) == put(expected, "word")
+
+
+@pytest.mark.parametrize("part", cases.HTML)
+def test_html_cases(part):
+    source, expected = cases.HTML[part]
+    assert md(put(source, "word")) == put(expected, "word")
+
+
+@pytest.mark.parametrize("part", cases.OTHERS)
+def test_format_cases(part):
+    kind, source, expected = cases.OTHERS[part]
+    parse = next(c.parse for c in Registry().converters if kind in c.extensions)
+    assert render(parse(put(source, "word").encode(), "")) == put(expected, "word")
+
+
+@pytest.mark.parametrize(("given", "run"), [(cases.REFLOWED, lambda s: "\n\n".join(plain.text_blocks(s))), (cases.REPAIRED, plain.repair_hyphens)])
+def test_text_cases(given, run):
+    assert {k: run(put(source, "word")) for k, (source, _) in given.items()} == {k: put(expected, "word") for k, (_, expected) in given.items()}
+
+
+def test_trees_of_any_depth():
+    for tag in ("div", "span", "b", "blockquote", "ul><li", "table><td"):
+        assert "x" in md(f"<{tag}>" * 2000 + "x")
+    deep = html_document("<blockquote>" * 3000 + "x")
+    assert render(Document(from_nodes(to_nodes(deep.blocks)))) == render(deep) == "> " * 3000 + "x"
+    began = time.process_time()
+    md("<div>" * 30_000 + "x")
+    plain.repair_hyphens("\u6f22" * 300_000 + "\ufffex")
+    assert time.process_time() - began < 20
+
+
+def test_title_is_the_head_s():
+    assert html_document("<svg><title>icon</title></svg><h1>Real").title == "Real"
+    assert html_document("<title>\u00a0a\u200b \n b</title><h1>c").title == "a b" and html_document("<p>a<title>t</title>").title is None
+    assert html_document("<h1> </h1><h2><b> b </b></h2>").title == "b" and html_document("<p>a").title is None
+
+
+def test_builder_keeps_what_it_is_given():
+    b = DocumentBuilder().asset({"id": "a", "media_type": "m"}).asset({"id": "a", "media_type": "m"}).comment("").code(" ").bullet_list([" "])
+    assert len(b.document.assets) == 2 and [x["kind"] for x in b.document.blocks] == ["html_comment", "code_block", "list"]
+    assert b.title_if_absent(None).title_if_absent("\n").document.title is None and b.title("").title_if_absent("x").document.title == ""
+    assert styled([], bold=True) == [node("strong", content=[])]
+
+
 def md(source, base=""):
     return render(html_document(source, base))
 
@@ -114,7 +173,12 @@ def _book():
 def test_epub_and_zip():
     assert render(parse_epub(_book())) == "**Title:** T\n\n**Authors:** A\n\none\n\ntwo"
     assert parse_epub(b"no zip").blocks == [] and ZipArchive.open(b"PK") is None
-    assert ZipArchive.open(_book()).read("absent") is None
+    book = ZipArchive.open(_book())
+    assert book.read("absent") is None and book.read_text("O/1.xhtml").startswith("<html>")
+    offset, packed, method = book.entries["O/2.xhtml"]
+    for cut in ((offset, packed - 3, method), (offset, 10**6, method), (offset, packed, 99)):
+        book.entries["O/2.xhtml"] = cut
+        assert book.read("O/2.xhtml") is None
 
 
 def test_png_decodes():
@@ -164,3 +228,46 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert [r["markdown"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["x"]
     assert read_documents(spark, str(tmp_path / "in")).count() == 1
+
+
+def test_render_and_titles_go_on_past_a_failure(spark):
+    bad = [{"kind": "no such kind", "parent_id": -1, "node_id": 0, "depth": 0, "ordinal": 0, "slot": "block"}]
+    df = spark.createDataFrame([(1, to_nodes([paragraph([text("a")])])), (2, bad), (3, None)], T.StructType([T.StructField("id", T.LongType()), T.StructField("nodes", T.ArrayType(NODE))]))
+    found = {r["id"]: (r["markdown"], r["render_error"] is None) for r in ops.render(df).collect()}
+    assert found == {1: ("a", True), 2: (None, False), 3: (None, True)}
+    titles = ops.titles(spark.createDataFrame([(1, "<title>t</title>"), (2, None), (3, "<div>" * 3000)], "id long, html string")).collect()
+    assert {r["id"]: r["title"] for r in titles} == {1: "t", 2: None, 3: None}
+
+
+def test_convert_options(spark):
+    df = spark.createDataFrame([("a.html", b"<h1>t</h1><p>x", "mine")], "path string, content binary, title string")
+    tree = ops.convert(df, tree=True, markdown=False)
+    assert "markdown" not in tree.columns and tree.first()["title"] == "t" and [n["kind"] for n in tree.first()["nodes"]] == ["heading", "text", "paragraph", "text"]
+    assert [n.asDict() for n in tree.first()["nodes"]] == to_nodes(html_document("<h1>t</h1><p>x").blocks)
+    own = ops.convert(df, detector=lambda path, content: C.detect(F.lit("x.txt"), content)).first()
+    assert own["converter"] == "text" and own["markdown"] == "<h1>t</h1><p>x"
+    with pytest.raises(Exception, match="No converter found"):
+        ops.convert(df.withColumn("path", F.lit("a.zzz")), failures="raise").collect()
+
+
+def test_markdown_to_files(spark, tmp_path):
+    from folium.sources.files import write_markdown
+
+    df = spark.createDataFrame([("b.md", "# x\n\ny"), ("c d.md", "z")], "path string, markdown string").withColumns({"title": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    write_markdown(df, str(tmp_path / "text"), format="text")
+    files = {f.parent.name: f.read_text() for f in (tmp_path / "text").rglob("part-*") if f.suffix == ".txt"}
+    assert files == {"document=b.md": "# x\n\ny\n", "document=c d.md": "z\n"}
+    write_markdown(df, str(tmp_path / "parquet"))
+    assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
+
+
+def test_report_and_gate(spark, tmp_path):
+    rows = [("f", "a", "# one words\n- listed\n"), ("f", "b", "# one words\n| x |\n| - |\n| 1 | 2 |\n"), ("g", "a", "")]
+    measured = corpus.measures(spark.createDataFrame(rows, "file string, engine string, markdown string"))
+    got = {(r["file"], r["engine"]): r for r in measured.collect()}
+    assert got["f", "a"]["recall"] == 1.0 and got["f", "a"]["unique_tokens"] == 1 and got["g", "a"]["recall"] == 1.0 and got["f", "b"]["broken_rows"] == 1
+    corpus.write_report(measured, str(tmp_path / "report"))
+    text_ = "".join(f.read_text() for f in sorted((tmp_path / "report").glob("part-*.txt")))
+    assert text_.startswith("## f\n\n| engine | recall |") and text_.index("## g") < text_.index("## Totals") and "| a | 2 | 100.0% | 1 | 0 | 0 | 0 | 0 |" in text_
+    pairs = spark.createDataFrame([(1, "Kept words – all", "words kept-all"), (2, "lost token", "token")], "id long, r string, a string")
+    assert [(r["id"], r["similarity"], r["missing"]) for r in corpus.recall_gate(pairs, "id", "r", "a").collect()] == [(2, 0.5, ["lost"])]
