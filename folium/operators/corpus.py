@@ -51,7 +51,10 @@ def totals(measured: DataFrame) -> DataFrame:
 
 
 def _percent(share: Column) -> Column:
-    return F.concat(F.format_string("%.1f", share * 100), F.lit("%"))
+    """With one place; of two equally near ones the even, as they print in Python (.25 and .75 are all the halves a double can hold)."""
+    value = share * 100
+    rest = value - F.floor(value)
+    return F.concat(F.format_string("%.1f", value + F.when(rest == 0.25, -0.05).when(rest == 0.75, 0.05).otherwise(0.0)), F.lit("%"))
 
 
 # Columns of the report's tables.
