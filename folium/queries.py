@@ -247,13 +247,50 @@ def html_nodes(spark, d):
     return nodes.groupBy("page_id").agg(count("heading").alias("headings"), count("list_item").alias("items"), count("link").alias("links"))
 
 
-@query()
+def _unescaped(x: str) -> str:
+    """SQL for HTML text without its entities, blanks folded."""
+    for entity, to in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·")):
+        x = f"replace({x}, '&{entity};', '{to}')"
+    return rf"regexp_replace(regexp_replace({x}, '&amp;?', '&', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')"
+
+
+def _escaped(x: str) -> str:
+    """SQL for the text escaped, at the start of a line; it has no underscore and no line end."""
+    for pattern, to in ((r"([\\*`\[\]])", r"\\\1"), (r"<([\pL/!])", r"\\<\1"), (r"&([\pL\p{Nd}#]{1,9};)", r"\\&\1")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    for pattern, to in ((r"^([ \t]*)([#>=])", r"\1\\\2"), (r"^([ \t]*)([-+])(\s|$)", r"\1\\\2\3"), (r"^([ \t]*\p{Nd}+)([.)])([ \n]|$)", r"\1\\\2\3")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}')"
+    return x
+
+
+# The pages have a list of links, an advertisement, a heading, paragraphs and a footer. A paragraph may open a bold that never closes: what follows is bold as
+# well, once for each of the last three that are open.
+_PAGES = f"""WITH a AS (SELECT page_id, {{base}} AS base, trim({_unescaped("regexp_extract(html, '<title>([^<]*)', 1)")}) AS title, html FROM pages),
+links AS (SELECT page_id, base, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)', 1)) AS label, generate_subscripts(regexp_extract_all(html, '<li><a href'), 1) AS i FROM a),
+nav AS (SELECT page_id, string_agg('{{bullet}} [' || {_escaped("trim(" + _unescaped("label") + ")")} || '](' || base || replace(replace(replace(href, ' ', '%20'), '(', '%28'), ')', '%29') || ')', chr(10) ORDER BY i) AS md FROM links GROUP BY 1),
+cut AS (SELECT page_id, string_split(replace(replace(regexp_extract(html, '(?s)<article>.*', 0), '</article>', ''), '<footer>', '<p>'), '<p>') AS parts FROM a),
+p AS (SELECT page_id, unnest(parts[2:]) AS part, generate_subscripts(parts[2:], 1) AS i FROM cut),
+q AS (SELECT page_id, i, contains(part, '<b>') AS opens, contains(part, '<br>') AS breaks, trim({_unescaped("regexp_replace(part, '<[^>]*>', '', 'g')")}) AS x, sum(CAST(contains(part, '<b>') AS INTEGER)) OVER (PARTITION BY page_id ORDER BY i) - CAST(contains(part, '<b>') AS INTEGER) AS before FROM p),
+r AS (SELECT page_id, i, repeat('{{strong}}', CAST(least(3, before) + CAST(opens AS INTEGER) AS BIGINT)) AS mark, {_escaped("x")} || CASE WHEN breaks THEN '\\' ELSE '' END AS x FROM q WHERE x <> ''),
+body AS (SELECT page_id, string_agg(mark || x || mark, chr(10) || chr(10) ORDER BY i) AS md FROM r GROUP BY 1)
+SELECT page_id, CASE WHEN title <> '' THEN title END AS title, nav.md || chr(10) || chr(10) || {_escaped("trim(" + _unescaped("""regexp_extract(html, '<div class="ad">([^<]*)', 1)""") + ")")} || chr(10) || chr(10) || '# ' || {_escaped("trim(" + _unescaped("regexp_extract(html, '<h1>([^<]*)', 1)") + ")")} || chr(10) || chr(10) || body.md AS markdown
+FROM a JOIN nav USING (page_id) JOIN body USING (page_id)"""
+
+
+def _pages_sql(**given: str) -> str:
+    sql = _PAGES
+    for name, value in given.items():
+        sql = sql.replace("{" + name + "}", value)
+    return sql
+
+
+@query(_pages_sql(base="regexp_extract(url, '^[^/]*//[^/?#]*')", bullet="-", strong="**"))
 def html_to_markdown(spark, d):
     given = t(spark, d, "pages")
     return ops.convert(from_column(given, F.col("html"), "html"), path=None, detected=F.col("detected"), base_url="url").select("page_id", "title", "markdown")
 
 
-@query()
+@query("SELECT page_id, markdown FROM (" + _pages_sql(base="''", bullet="*", strong="__") + ")")
 def render_nodes(spark, d):
     """Parse to node lists, render those: the same Markdown as in one step, with other options."""
     parsed = ops.convert(from_column(t(spark, d, "pages"), F.col("html"), "html"), path=None, detected=F.col("detected"), tree=True, markdown=False)
@@ -269,8 +306,12 @@ def paragraphs(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(found, "\n\n").alias("paragraphs")).where("paragraphs <> ''")
 
 
-@query()
+@query("""
+WITH a AS (SELECT doc_id, unnest(string_split_regex(text, '\\n[ \\t]*\\n')) AS p, generate_subscripts(string_split_regex(text, '\\n[ \\t]*\\n'), 1) AS i FROM documents),
+b AS (SELECT doc_id, i, array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS p FROM a)
+SELECT doc_id, coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i) FILTER (p <> ''), '') AS paragraphs FROM b GROUP BY doc_id""")
 def reflow(spark, d):
+    """No line of these texts ends in a hyphen; reflow_parts has those."""
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(["\n\n".join(plain.text_blocks(x or "")) for x in texts.to_pylist()], pa.string())
 
