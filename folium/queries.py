@@ -255,8 +255,8 @@ def _unescaped(x: str) -> str:
 
 
 def _escaped(x: str) -> str:
-    """SQL for the text escaped, at the start of a line; it has no underscore and no line end."""
-    for pattern, to in ((r"([\\*`\[\]])", r"\\\1"), (r"<([\pL/!])", r"\\<\1"), (r"&([\pL\p{Nd}#]{1,9};)", r"\\&\1")):
+    """SQL for the text escaped, at the start of a line; it has no line end, and underscores behind letters only within words."""
+    for pattern, to in ((r"([\\*`\[\]])", r"\\\1"), (r"([^\pL\p{Nd}]|^)_", r"\1\\_"), (r"<([\pL/!])", r"\\<\1"), (r"&([\pL\p{Nd}#]{1,9};)", r"\\&\1")):
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
     for pattern, to in ((r"^([ \t]*)([#>=])", r"\1\\\2"), (r"^([ \t]*)([-+])(\s|$)", r"\1\\\2\3"), (r"^([ \t]*\p{Nd}+)([.)])([ \n]|$)", r"\1\\\2\3")):
         x = f"regexp_replace({x}, '{pattern}', '{to}')"
@@ -318,7 +318,15 @@ def reflow(spark, d):
     return t(spark, d, "documents").select("doc_id", F.arrow_udf(run, "string")("text").alias("paragraphs"))
 
 
-@query()
+# halves of words around U+FFFE, the words of the text without them, then line by line what has a hyphen between two known words
+_REPAIRED = r"""WITH a AS (SELECT doc_id, regexp_replace(text, '(\pL{3})(\pL{3}) ', '\1' || chr(65534) || '\2 ', 'g') AS x FROM documents),
+v AS (SELECT doc_id, x, list_distinct(regexp_extract_all(lower(regexp_replace(x, '\pL+' || chr(65534) || '\pL+', ' ', 'g')), '\pL{2,}')) AS words, string_split(x, chr(65534)) AS parts FROM a),
+j AS (SELECT doc_id, parts[1] || coalesce(array_to_string(list_transform(range(2, len(parts) + 1), lambda i: CASE WHEN list_contains(words, lower(regexp_extract(parts[i - 1], '\pL*$'))) AND list_contains(words, lower(regexp_extract(parts[i], '^\pL*'))) THEN '-' ELSE '' END || parts[i]), ''), '') AS text FROM v)"""
+
+
+@query(_REPAIRED + r""", b AS (SELECT doc_id, unnest(string_split_regex(text, '\n[ \t]*\n')) AS p, generate_subscripts(string_split_regex(text, '\n[ \t]*\n'), 1) AS i FROM j),
+c AS (SELECT doc_id, i, array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS p FROM b)
+SELECT doc_id, coalesce(string_agg(""" + _escaped("p") + r""", chr(10) || chr(10) ORDER BY i) FILTER (p <> ''), '') AS markdown FROM c GROUP BY doc_id""")
 def pdf_repair(spark, d):
     """Text as a PDF extractor leaves it, through the registered converter."""
     registry = Registry().with_pdf(lambda content: content.decode().removeprefix("%PDF"))
@@ -509,7 +517,9 @@ def epub_parts(spark, d):
     return ops.convert(rows).select("n_nationkey", "converter", "title", "markdown")
 
 
-@query()
+@query(f"""SELECT conv_id, 'epub' AS converter, 'Conversation ' || conv_id AS title, '**Title:** Conversation ' || conv_id || chr(10) || chr(10) || '**Language:** en' || chr(10) || chr(10) ||
+string_agg('## ' || role || CASE WHEN x = '' THEN '' ELSE chr(10) || chr(10) || {_escaped("x")} END, chr(10) || chr(10) ORDER BY turn) AS markdown
+FROM (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g')) AS x FROM conversations) GROUP BY conv_id""")
 def epub_convert(spark, d):
     """Conversations as EPUB books: zipped, then converted."""
     turns = t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
