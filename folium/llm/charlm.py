@@ -120,7 +120,10 @@ def witten_bell(counts: dict[str, int], order: int, least: int = 2) -> CharModel
             probs = {g: c / (totals[""] + types[""]) + share for g, c in level.items()}
             contexts.append((np.zeros(0, np.uint64), np.zeros(0)))
         else:
-            probs = {g: (c / (totals[g[:-1]] + types[g[:-1]]) if g[:-1] in weight else 0.0) + weight.get(g[:-1], 1.0) * lower[g[1:]] for g, c in level.items()}
+            probs = {
+                g: (c / (totals[g[:-1]] + types[g[:-1]]) if g[:-1] in weight else 0.0) + weight.get(g[:-1], 1.0) * lower[g[1:]] for g,
+                c in level.items()
+            }
             contexts.append(_arrays({h: math.log(w) for h, w in weight.items()}))
         grams.append(_arrays({g: math.log(p) for g, p in probs.items()}))
     return CharModel(order, grams, contexts, floor)

@@ -84,7 +84,13 @@ def _count(order: int):
                 words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
         for lang, seen in words.items():
             grams = count_grams(seen, order)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()),
+                    pa.array(list(grams.values()), pa.int64())
+                ],
+                names=["lang", "gram", "n"]
+            )
 
     return run
 
@@ -104,12 +110,18 @@ def _entropies(shared):
             entropy = rest[np.arange(len(at)), own[at]]
             rest[np.arange(len(at)), own[at]] = np.inf
             other = rest.argmin(axis=1) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(entropy), pa.array(other), pa.array(rest.min(axis=1) if len(at) else entropy)], names=["lang", "entropy", "other", "away"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[at]), pa.array(entropy), pa.array(other), pa.array(rest.min(axis=1) if len(at) else entropy)],
+                names=["lang", "entropy", "other", "away"]
+            )
 
     return run
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, docs_per_lang: int = 2000, chars_per_lang: int = 8_000_000, seed: int = 7, tail: float = 0.002) -> LanguageModels:
+def fit(
+    labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, docs_per_lang: int = 2000,
+    chars_per_lang: int = 8_000_000, seed: int = 7, tail: float = 0.002
+) -> LanguageModels:
     """Models from labelled rows. Of each language a sample of about docs_per_lang documents and chars_per_lang characters at most, drawn by the hash of key,
     is read whole: three quarters of it give the counts, the rest calibrates the rejection.
 
@@ -117,11 +129,19 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     never learned reach: held-back texts under the other languages' models, of which a share of tail lies below. Where the two meet, no text of its own is given up for them.
     With one language alone the price of a character never seen takes the place of the latter."""
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: (r["n"], r["chars"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
+        F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")
+    )
+    sizes = {
+        r["lang"]: (r["n"], r["chars"]) for r in rows.groupBy("lang").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")
+        ).collect()
+    }
     if not sizes:
         return LanguageModels([], [], np.zeros(0))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, docs_per_lang / n, chars_per_lang / max(1, chars)))) for k, (n, chars) in sizes.items()])
+    share = F.coalesce(
+        *[F.when(F.col("lang") == k, F.lit(min(1.0, docs_per_lang / n, chars_per_lang / max(1, chars)))) for k, (n, chars) in sizes.items()]
+    )
     drawn = rows.where(fraction_of(F.col("key"), seed) < share)
     held = fraction_of(F.col("key"), seed + 1) < 0.25
     counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
@@ -133,7 +153,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     trained = LanguageModels(langs, [kneser_ney(counts[k], order) for k in langs], np.full(len(langs), np.inf))
     if not langs:
         return trained
-    measured = drawn.where(held).select("text", "lang").mapInArrow(_entropies(spark.sparkContext.broadcast(trained)), "lang long, entropy double, other long, away double")
+    measured = drawn.where(held).select("text", "lang").mapInArrow(
+        _entropies(spark.sparkContext.broadcast(trained)), "lang long, entropy double, other long, away double"
+    )
     measured = stored(measured, "entropies")
     point = lambda c, share: F.percentile_approx(c, share, 10_000).alias("q")
     inside = {r[0]: r["q"] for r in measured.groupBy("lang").agg(point("entropy", 1 - tail)).collect()}

@@ -124,7 +124,10 @@ def _emit(make, columns: list[str], schema: str):
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc", "pos", "line", *columns))):
                 out += [(*row[:2], *x) for x in make(*row[2:])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * (len(out[0]) - 3)))], names=["doc", "pos", "key", *schema])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * (len(out[0]) - 3)))],
+                    names=["doc", "pos", "key", *schema]
+                )
 
     return run
 
@@ -136,12 +139,20 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, min_ch
     half = distinct.select("doc", "pos", F.explode(F.array_distinct("halves")).alias("half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     some = stored(half.join(shared, "half", "left_semi").select("doc", "pos").distinct(), "some")
-    texts = stored(lines_of(docs, key, text, min_chars).join(with_size(some), ["doc", "pos"], "left_semi").dropDuplicates(["doc", "pos"]), "texts")
+    texts = stored(
+        lines_of(docs, key, text, min_chars).join(with_size(some), ["doc", "pos"], "left_semi").dropDuplicates(["doc", "pos"]), "texts"
+    )
     blocks = texts.mapInArrow(_emit(block_keys, [], ["excess", "block"]), "doc long, pos int, key long, excess int, block int")
     shared = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     places = blocks.join(shared, "key", "left_semi").groupBy("doc", "pos").agg(F.collect_set(F.struct("excess", "block")).alias("places"))
     chosen = texts.join(places, ["doc", "pos"]).withColumn("places", F.transform("places", lambda p: p["excess"] * BLOCKS + p["block"]))
-    variants = stored(chosen.mapInArrow(_emit(lambda line, at: variant_keys(line, [divmod(x, BLOCKS) for x in at]), ["places"], ["kind"]), "doc long, pos int, key long, kind int"), "variants")
+    variants = stored(
+        chosen.mapInArrow(
+            _emit(lambda line, at: variant_keys(line, [divmod(x, BLOCKS) for x in at]), ["places"], ["kind"]),
+            "doc long, pos int, key long, kind int"
+        ),
+        "variants"
+    )
     at = F.struct("doc", "pos")
     # of each key, the earliest of the lines that a line of each kind is within one edit of
     least = variants.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, at)).alias(f"k{k}") for k in range(3)])
@@ -149,7 +160,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, min_ch
     witness = F.when(F.col("kind") == 0, F.col("k0")).when(F.col("kind") == 1, F.col("k2")).otherwise(F.col("k1"))
     pairs = variants.join(least, "key").select("doc", "pos", witness.alias("w")).where(F.col("w").isNotNull() & (F.col("w") < at))
     pairs = pairs.select("doc", "pos", F.col("w.doc").alias("w_doc"), F.col("w.pos").alias("w_pos")).distinct()
-    both = pairs.join(texts, ["doc", "pos"]).join(texts.select(F.col("doc").alias("w_doc"), F.col("pos").alias("w_pos"), F.col("line").alias("w_line")), ["w_doc", "w_pos"])
+    both = pairs.join(texts, ["doc", "pos"]).join(
+        texts.select(F.col("doc").alias("w_doc"), F.col("pos").alias("w_pos"), F.col("line").alias("w_line")), ["w_doc", "w_pos"]
+    )
     # levenshtein ends early at its limit
     found = stored(both.where(F.levenshtein("line", "w_line", 1) >= 0).select("doc", "pos", "w_doc", "w_pos"), "near")
     for t in (some, texts, variants):
@@ -157,19 +170,39 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, min_ch
     return found
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, equal_chars: int | None = None) -> DataFrame:
+def dropped_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, equal_chars: int | None = None
+) -> DataFrame:
     """doc, pos, near (dropped for an edit rather than for being equal) of every line to drop."""
     # each line as hashes: texts don't travel
     lines = lines_of(docs, key, text, min_chars if equal_chars is None else max(1, min(equal_chars, min_chars)))
-    own = stored(lines.select("doc", "pos", F.xxhash64("line").alias("one"), F.xxhash64(F.lit(7), F.length("line"), "line").alias("two"), F.when(F.length("line") >= min_chars, _half_keys()).alias("halves")), "lines")
-    distinct = stored(own.groupBy("one", "two").agg(F.min(F.struct("doc", "pos", "halves")).alias("f"), F.count(F.lit(1)).alias("n")).select("one", "two", "n", "f.*"), "distinct")
+    own = stored(
+        lines.select(
+            "doc", "pos", F.xxhash64("line").alias("one"), F.xxhash64(F.lit(7), F.length("line"), "line").alias("two"),
+            F.when(F.length("line") >= min_chars, _half_keys()).alias("halves")
+        ),
+        "lines"
+    )
+    distinct = stored(
+        own.groupBy("one", "two").agg(
+            F.min(F.struct("doc", "pos", "halves")).alias("f"), F.count(F.lit(1)).alias("n")
+        ).select("one", "two", "n", "f.*"),
+        "distinct"
+    )
     near = near_lines(docs, distinct, key, text, min_chars)
     lost = near.select("doc", "pos").distinct().withColumn("near", F.lit(True))
     known = distinct.select("one", "two", "n", F.col("doc").alias("f_doc"), F.col("pos").alias("f_pos"))
-    known = known.join(lost.select(F.col("doc").alias("f_doc"), F.col("pos").alias("f_pos"), "near"), ["f_doc", "f_pos"], "left").where("n > 1 or near")
+    known = known.join(
+        lost.select(F.col("doc").alias("f_doc"), F.col("pos").alias("f_pos"), "near"), ["f_doc", "f_pos"], "left"
+    ).where("n > 1 or near")
     known = stored(known.select("one", "two", "f_doc", "f_pos", F.coalesce("near", F.lit(False)).alias("near")), "known")
     again = (F.col("doc") != F.col("f_doc")) | (F.col("pos") != F.col("f_pos"))
-    found = stored(own.select("doc", "pos", "one", "two").join(with_size(known), ["one", "two"]).where(again | F.col("near")).select("doc", "pos", (F.col("near") & ~again).alias("near")).distinct(), "lost")
+    found = stored(
+        own.select("doc", "pos", "one", "two").join(with_size(known), ["one", "two"]).where(again | F.col("near")).select(
+            "doc", "pos", (F.col("near") & ~again).alias("near")
+        ).distinct(),
+        "lost"
+    )
     for t in (own, distinct, near, known):
         dropped(t)
     return found
@@ -181,7 +214,9 @@ COUNTS = ("n_lines", "dropped_equal", "dropped_near")
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, equal_chars: int | None = None) -> DataFrame:
     """All columns of docs, text without the lines to drop, and COUNTS; columns of docs with the names of COUNTS are replaced."""
     lost = dropped_lines(docs, key, text, min_chars, equal_chars)
-    by_doc = stored(lost.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("pos"), F.sum(F.col("near").cast("long")).alias("near")), "by_doc")
+    by_doc = stored(
+        lost.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("pos"), F.sum(F.col("near").cast("long")).alias("near")), "by_doc"
+    )
     dropped(lost)
     # the row goes as one column, so that no name can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -196,5 +231,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     kept = F.get(F.transform(F.array(F.split(content, "\n")), without), F.lit(0))
     near, all_ = F.coalesce("near", F.lit(0)).cast("long"), F.coalesce(F.size("pos"), F.lit(0)).cast("long")
     counts = (F.coalesce(F.size(F.split(content, "\n")), F.lit(0)).cast("long"), all_ - near, near)
-    same = [F.when(F.col("doc").isNull(), content).otherwise(kept).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in COUNTS]
+    same = [
+        F.when(F.col("doc").isNull(), content).otherwise(kept).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in COUNTS
+    ]
     return marked.select(*same, *[x.alias(c) for x, c in zip(counts, COUNTS)])

@@ -56,7 +56,10 @@ def _poisson(mean: float) -> np.ndarray:
     return np.cumsum(terms)
 
 
-def _throw(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, strip: int, base: float, width: float, low: float, high: float, level: int, seed: int):
+def _throw(
+    elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, strip: int, base: float, width: float, low: float, high: float,
+    level: int, seed: int
+):
     """(owner, rank, dart) of the darts in weights [base, base + width) and ranks [low, high) that fall below their element's weight."""
     cells = max(1, int(np.ceil(width * (high - low))))
     chances = _poisson(width * (high - low) / cells)
@@ -161,7 +164,10 @@ def parities(elements: np.ndarray, owner: np.ndarray, sets: int, size: int = PAR
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, text, h1, h2: two hashes that stand for the text, as ids can be null or shared by different texts."""
     content = F.col(text)
-    return docs.select(whole(docs, key).alias("id"), content.alias("text"), F.xxhash64(content).alias("h1"), F.xxhash64(F.lit(7), F.length(content), content).alias("h2"))
+    return docs.select(
+        whole(docs, key).alias("id"), content.alias("text"), F.xxhash64(content).alias("h1"),
+        F.xxhash64(F.lit(7), F.length(content), content).alias("h2")
+    )
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int = 5, k: int = 96, rows: int = 4, seed: int = 1) -> DataFrame:
@@ -188,9 +194,13 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = 5, k: int = 96,
             digests = [xxhash.xxh3_128_intdigest(b"".join((p.tobytes(), b"."))) for p in parts]
             one = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64)
             two = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * (k // rows)), pa.array(mix(total).view(np.int64).ravel()))
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(parts) + 1, dtype=np.int32) * (k // rows)), pa.array(mix(total).view(np.int64).ravel())
+            )
             given = [batch.column(c) for c in ("id", "h1", "h2")]
-            yield pa.RecordBatch.from_arrays([*given, pa.array(n), pa.array(one), pa.array(two), lists], names=["id", "h1", "h2", "n", "one", "two", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [*given, pa.array(n), pa.array(one), pa.array(two), lists], names=["id", "h1", "h2", "n", "one", "two", "bands"]
+            )
 
     return source.mapInArrow(run, "id long, h1 long, h2 long, n long, one long, two long, bands array<long>")
 
@@ -215,19 +225,25 @@ def shingle_sets(texts: DataFrame, size: int = 5) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) of every node of edges (u, v), by alternating large and small stars."""
-    now, mark = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"), None
+    now, mark = stored(
+        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"
+    ), None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        small = joined.select(F.col("u"), F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        small = joined.select(F.col("u"), F.col("m").alias("v")).union(
+            joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        ).where("u <> v").distinct()
         new = stored(small, "edges")
         dropped(now)
         seen = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root")).union(new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return new.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+                new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            )
         now, mark = new, seen
 
 
@@ -243,11 +259,15 @@ def _pairs(members: DataFrame) -> DataFrame:
     """(a, b, x, y: their sizes) of all pairs of the buckets of NEAR + 1 members at most; members: key, c, n."""
     w = Window.partitionBy("key").orderBy("c")
     others = [F.struct(F.lag("c", i).over(w).alias("c"), F.lag("n", i).over(w).alias("n")) for i in range(1, NEAR + 1)]
-    found = members.select("c", "n", F.array(*others).alias("others")).select("c", "n", F.explode("others").alias("o")).where("o.c is not null")
+    found = members.select(
+        "c", "n", F.array(*others).alias("others")
+    ).select("c", "n", F.explode("others").alias("o")).where("o.c is not null")
     return found.select(F.col("o.c").alias("a"), F.col("c").alias("b"), F.least("n", "o.n").alias("x"), F.greatest("n", "o.n").alias("y"))
 
 
-def _linked(key: int, c: np.ndarray, part: np.ndarray, bands: np.ndarray, small: np.ndarray, ends: np.ndarray, flat: np.ndarray, threshold: float):
+def _linked(
+    key: int, c: np.ndarray, part: np.ndarray, bands: np.ndarray, small: np.ndarray, ends: np.ndarray, flat: np.ndarray, threshold: float
+):
     """(links, root) of each member of a block: of all pairs of its two parts (or within its one) those that reach threshold are counted and joined.
 
     A pair that meets in several buckets is compared in the first only, and not at all if one of them is small: each counts once."""
@@ -269,7 +289,9 @@ def _linked(key: int, c: np.ndarray, part: np.ndarray, bands: np.ndarray, small:
         rows = low[i : i + at_once]
         apart = np.bitwise_count(parity[rows][:, None] ^ parity[high][None]).sum(axis=2, dtype=np.int64)
         total = n[rows][:, None] + n[high][None]
-        near = (apart <= total * ((1 - threshold) / (1 + threshold)) + 1e-6) & (np.minimum(n[rows][:, None], n[high][None]) >= threshold * np.maximum(n[rows][:, None], n[high][None]) - 1e-9)
+        near = (apart <= total * ((1 - threshold) / (1 + threshold)) + 1e-6) & (
+            np.minimum(n[rows][:, None], n[high][None]) >= threshold * np.maximum(n[rows][:, None], n[high][None]) - 1e-9
+        )
         if within:
             near &= rows[:, None] < high[None]
         xs, ys = np.nonzero(near)
@@ -299,8 +321,13 @@ def _in_blocks(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     so that every pair of the bucket meets, however large it is, and no task holds more than two parts."""
     wide = large.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES)).alias("parts"))
     # sets join once for each text, not once for each of its buckets
-    places = large.select("c", "key", "bands", "small").join(wide, "key").groupBy("c").agg(F.first("bands").alias("bands"), F.first("small").alias("small"), F.collect_list(F.struct("key", "parts")).alias("places"))
-    each = places.join(sets, "c").select("c", "bands", "small", "set", F.explode("places").alias("p")).select("c", "bands", "small", "set", F.col("p.key").alias("key"), F.pmod(F.xxhash64("c"), F.col("p.parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.parts") - 1)).alias("other"))
+    places = large.select("c", "key", "bands", "small").join(wide, "key").groupBy("c").agg(
+        F.first("bands").alias("bands"), F.first("small").alias("small"), F.collect_list(F.struct("key", "parts")).alias("places")
+    )
+    each = places.join(sets, "c").select("c", "bands", "small", "set", F.explode("places").alias("p")).select(
+        "c", "bands", "small", "set", F.col("p.key").alias("key"), F.pmod(F.xxhash64("c"), F.col("p.parts")).alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.parts") - 1)).alias("other")
+    )
     blocks = each.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
 
     def run(t: pa.Table) -> pa.Table:
@@ -322,7 +349,9 @@ def _in_blocks(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of pairs (a, b) whose weighted Jaccard similarity reaches threshold."""
-    near = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("set_b")), "b")
+    near = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("set_a")), "a").join(
+        sets.select(F.col("c").alias("b"), F.col("set").alias("set_b")), "b"
+    )
     both = F.size(F.array_intersect("set_a", "set_b"))
     near = near.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("all"))
     return near.where(F.col("both") >= threshold * (F.col("all") - F.col("both")) - 1e-9).select("a", "b")
@@ -331,7 +360,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _grouped(docs: DataFrame, key: str, text: str, threshold: float, size: int, k: int, rows: int, seed: int) -> DataFrame:
     """id, h1, h2, n, c (the number of its class; null without words), class_id, root (the number of its group), group_id, links of every row of docs."""
     found = stored(signatures(docs, key, text, size, k, rows, seed), "signatures")
-    reps = found.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("class_id"), F.min(F.struct("h1", "h2", "n", "bands")).alias("r"))
+    reps = found.where("n > 0").groupBy("one", "two").agg(
+        F.min("id").alias("class_id"), F.min(F.struct("h1", "h2", "n", "bands")).alias("r")
+    )
     reps = stored(reps.select("one", "two", "class_id", "r.*", F.monotonically_increasing_id().alias("c")), "classes")
     band = reps.select("c", "n", F.posexplode("bands").alias("band", "key"))
     sizes = band.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
@@ -345,34 +376,54 @@ def _grouped(docs: DataFrame, key: str, text: str, threshold: float, size: int,
     sets = stored(shingle_sets(texts, size), "sets")
     links = stored(_verified(tried, sets, threshold), "links")
     # of each member of a larger bucket: all its bands, and which of them are in small buckets
-    bits = members.where(~few).select("c").distinct().join(members, "c").groupBy("c").agg(F.collect_set(F.when(few, F.col("band"))).alias("few"))
-    bits = bits.join(reps.select("c", "bands"), "c").select("c", "bands", F.transform("bands", lambda x, i: F.array_contains("few", i)).alias("small"))
+    bits = members.where(~few).select("c").distinct().join(members, "c").groupBy("c").agg(
+        F.collect_set(F.when(few, F.col("band"))).alias("few")
+    )
+    bits = bits.join(reps.select("c", "bands"), "c").select(
+        "c", "bands", F.transform("bands", lambda x, i: F.array_contains("few", i)).alias("small")
+    )
     blocks = stored(_in_blocks(members.where(~few).join(bits, "c"), sets, threshold), "blocks")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(blocks.select("u", "v")))
     counts = links.select(F.explode(F.array("a", "b")).alias("c"), F.lit(1).cast("long").alias("links")).union(blocks.select("u", "links"))
     degree = counts.groupBy("c").agg(F.sum("links").alias("links"))
-    grouped = reps.select("one", "two", "c", "class_id").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").join(degree, "c", "left")
-    grouped = stored(grouped.select("one", "two", "c", "class_id", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "grouped")
+    grouped = reps.select("one", "two", "c", "class_id").join(
+        roots.select(F.col("node").alias("c"), "root"), "c", "left"
+    ).join(degree, "c", "left")
+    grouped = stored(
+        grouped.select("one", "two", "c", "class_id", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("links")),
+        "grouped"
+    )
     named = stored(grouped.join(grouped.groupBy("root").agg(F.min("class_id").alias("group_id")), "root"), "named")
     for x in (members, tried, at, chosen, sets, links, blocks, grouped):
         dropped(x)
     # texts without words share a digest, and may be many: they have no part in the join, whose copies of one text Spark can split
     with_words = found.where("n > 0").drop("bands").join(named, ["one", "two"]).drop("one", "two")
-    lone = found.where("n = 0").select("id", "h1", "h2", "n", *[F.lit(None).cast("long").alias(c) for c in ("root", "c", "class_id", "links", "group_id")])
+    lone = found.where("n = 0").select(
+        "id", "h1", "h2", "n", *[F.lit(None).cast("long").alias(c) for c in ("root", "c", "class_id", "links", "group_id")]
+    )
     return with_words.unionByName(lone)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, k: int = 96, rows: int = 4, seed: int = 1) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, k: int = 96, rows: int = 4,
+    seed: int = 1
+) -> DataFrame:
     """One row per row of docs: key, class_id (least key of the same words), group_id (least key of its group), links
     (all other classes that share a band with its own and reach threshold), n_shingles.
 
     At similarity 0.8, 24 bands of 4 miss a pair with a chance of 3e-6."""
     lone = F.col("n") == 0
     named = [F.when(lone, F.col("id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "group_id")]
-    return _grouped(docs, key, text, threshold, size, k, rows, seed).select(F.col("id").alias(key), *named, F.when(lone, 0).otherwise(F.col("links")).cast("long").alias("links"), F.col("n").alias("n_shingles"))
+    return _grouped(docs, key, text, threshold, size, k, rows, seed).select(
+        F.col("id").alias(key), *named, F.when(lone, 0).otherwise(F.col("links")).cast("long").alias("links"),
+        F.col("n").alias("n_shingles")
+    )
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, k: int = 96, rows: int = 4, seed: int = 1) -> DataFrame:
+def keep_first(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, k: int = 96, rows: int = 4,
+    seed: int = 1
+) -> DataFrame:
     """Of each group of near-duplicates one row of docs: that of the least key, of a null key only where there is no other.
 
     Documents without a word are kept: once for each key, and all those of a null key."""
@@ -392,6 +443,9 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     )
     first = marked.where("not wordless").join(with_size(kept), marks)
     blank = marked.where("wordless")
-    parts = [first.where("not twice"), first.where("twice").dropDuplicates(marks), blank.where("not none").dropDuplicates(marks), blank.where("none")]
+    parts = [
+        first.where("not twice"), first.where("twice").dropDuplicates(marks), blank.where("not none").dropDuplicates(marks),
+        blank.where("none")
+    ]
     whole_rows = [p.select(*[F.col(f"row.`{c}`").alias(c) for c in names]) for p in parts]
     return reduce(DataFrame.unionByName, whole_rows)

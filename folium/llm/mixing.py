@@ -65,11 +65,17 @@ def budgets(tokens: DataFrame, share: float, weights: Weights, max_epochs: int)
     leaves = tokens.withColumn("cap", F.col("t") * max_epochs)
     langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
     domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("root", F.lit(0))
-    total = leaves.agg(F.floor(F.coalesce(F.sum("t"), F.lit(0)) * F.lit(float(share))).cast("long").alias("budget")).withColumn("root", F.lit(0))
+    total = leaves.agg(
+        F.floor(F.coalesce(F.sum("t"), F.lit(0)) * F.lit(float(share))).cast("long").alias("budget")
+    ).withColumn("root", F.lit(0))
     level = domains.join(F.broadcast(total), "root").withColumn("weight", _weight_of("domain", weights.domain))  # total is one row
     level = fill(level, ["root"], "domain").select("domain", F.col("share").alias("budget"))
-    level = fill(langs.join(level, "domain").withColumn("weight", _weight_of("lang", weights.lang)), ["domain"], "lang").select("domain", "lang", F.col("share").alias("budget"))
-    level = fill(leaves.join(level, ["domain", "lang"]).withColumn("weight", _weight_of("source", weights.source)), ["domain", "lang"], "source")
+    level = fill(
+        langs.join(level, "domain").withColumn("weight", _weight_of("lang", weights.lang)), ["domain"], "lang"
+    ).select("domain", "lang", F.col("share").alias("budget"))
+    level = fill(
+        leaves.join(level, ["domain", "lang"]).withColumn("weight", _weight_of("source", weights.source)), ["domain", "lang"], "source"
+    )
     return level.where("share > 0").select("domain", "lang", "source", "t", "n", F.col("share").alias("budget"))
 
 
@@ -78,26 +84,41 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
 
 
-def select_mix(docs: DataFrame, domain: Column, weights: Weights, share: float = 0.5, max_epochs: int = 2, seed: int = 17, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tokens: Column | None = None) -> DataFrame:
+def select_mix(
+    docs: DataFrame, domain: Column, weights: Weights, share: float = 0.5, max_epochs: int = 2, seed: int = 17, key: str = "doc_id",
+    text: str = "text", lang: str = "lang", source: str = "source", tokens: Column | None = None
+) -> DataFrame:
     """key, domain, lang, source, tokens, copies (in how many epochs it is taken) of the selected documents.
 
     The budget is share x all tokens."""
     leaf = ["domain", "lang", "source"]
     named = lambda c: F.coalesce(c, F.lit(UNKNOWN))
-    rows = docs.select(F.col(key).alias("key"), named(domain).alias("domain"), named(F.col(lang)).alias("lang"), named(F.col(source)).alias("source"), (token_count(F.col(text)) if tokens is None else tokens).alias("tokens"))
+    rows = docs.select(
+        F.col(key).alias("key"), named(domain).alias("domain"), named(F.col(lang)).alias("lang"), named(F.col(source)).alias("source"),
+        (token_count(F.col(text)) if tokens is None else tokens).alias("tokens")
+    )
     rows = stored(rows.where("tokens > 0"), "mix")
     leaves = stored(rows.groupBy(*leaf).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")), "leaves")
     given = budgets(leaves, share, weights, max_epochs)
     # a leaf's last epoch is cut into about as many ranges of the seeded order as a range has documents: neither grows beyond the root of a leaf
-    plan = given.select(*leaf, F.expr("budget div t").alias("epochs"), (F.col("budget") % F.col("t")).alias("rest"), F.greatest(F.lit(1), F.floor(F.sqrt("n"))).cast("long").alias("ranges"))
+    plan = given.select(
+        *leaf, F.expr("budget div t").alias("epochs"), (F.col("budget") % F.col("t")).alias("rest"),
+        F.greatest(F.lit(1), F.floor(F.sqrt("n"))).cast("long").alias("ranges")
+    )
     marked = rows.join(with_size(stored(plan, "plan")), leaf)
     order = F.pmod(F.xxhash64(F.lit(seed), "epochs", "key"), F.lit(1 << 40))
     marked = marked.withColumn("order", order).withColumn("range", F.floor(F.col("order") * F.col("ranges") / float(1 << 40)).cast("long"))
     last = marked.where("rest > 0")
     ranges = last.groupBy(*leaf, "range").agg(F.sum("tokens").alias("t"))
     before = ranges.select(*leaf, "range", (F.sum("t").over(Window.partitionBy(*leaf).orderBy("range")) - F.col("t")).alias("before"))
-    inside = F.sum("tokens").over(Window.partitionBy(*leaf, "range").orderBy("order", "key", "tokens").rowsBetween(Window.unboundedPreceding, 0))
-    kept = last.withColumn("inside", inside).join(before, [*leaf, "range"]).withColumn("more", (F.col("before") + F.col("inside") <= F.col("rest")).cast("long"))
+    inside = F.sum("tokens").over(
+        Window.partitionBy(*leaf, "range").orderBy("order", "key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    kept = last.withColumn("inside", inside).join(before, [*leaf, "range"]).withColumn(
+        "more", (F.col("before") + F.col("inside") <= F.col("rest")).cast("long")
+    )
     whole = marked.where("rest = 0").withColumn("more", F.lit(0).cast("long"))
     both = kept.select("key", *leaf, "tokens", "epochs", "more").unionByName(whole.select("key", *leaf, "tokens", "epochs", "more"))
-    return both.withColumn("copies", F.col("epochs") + F.col("more")).where("copies > 0").select(F.col("key").alias(key), *leaf, "tokens", "copies")
+    return both.withColumn("copies", F.col("epochs") + F.col("more")).where("copies > 0").select(
+        F.col("key").alias(key), *leaf, "tokens", "copies"
+    )

@@ -131,18 +131,25 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
                     out.append((doc, k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
+            )
 
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", shard_items: int = 12_000, rows: int | None = None) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text",
+    shard_items: int = 12_000, rows: int | None = None
+) -> DataFrame:
     """PIECES: every piece with its sequence and its offset there. rows: of docs, if known (else they are counted).
 
     Full pieces are sequences already and need no shard; of the others a document has one at most, so that shards grow with documents."""
     shards = max(1, math.ceil((docs.count() if rows is None else rows) / shard_items))
     found = stored(pieces(docs, vocabulary, capacity, end_id, key, text), "pieces")
-    full = found.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    full = found.where(F.col("length") == capacity).withColumn(
+        "sequence_id", -1 - F.monotonically_increasing_id()
+    ).withColumn("offset", F.lit(0).cast("long"))
     shard = F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(shards)).cast("int")
 
     def run(group: pa.Table) -> pa.Table:

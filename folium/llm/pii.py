@@ -225,11 +225,19 @@ KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
     ("email", r"(?<![\w.%+\-])[\w.%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}+(?![A-Za-z0-9\-])", email),
     ("secret", "|".join(_SECRETS), secret),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
-    ("date", r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2})(?![0-9\-/]|\.[0-9])", date),
+    (
+        "date",
+        r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2})(?![0-9\-/]|\.[0-9])",
+        date
+    ),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])", address),
     ("ip6", r"(?<![\w:.])(?=[0-9A-Fa-f]*+:[0-9A-Fa-f]*+:)[0-9A-Fa-f:]++(?![\w:])", address6),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])", social),
-    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9])", phone),
+    (
+        "phone",
+        r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9])",
+        phone
+    ),
     ("card", r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])", card),
 ]
 NAMES = [k for k, _, _ in KINDS]
@@ -286,7 +294,10 @@ def pseudonymize(docs: DataFrame, secret_key: bytes, key: str = "doc_id", text:
             found = [change(t) for t in batch.column("text").to_pylist()]
             counts = [c for _, c in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([t for t, _ in found], pa.string()), pa.array([sum(c) for c in counts], pa.int32()), *(pa.array([c[i] for c in counts], pa.int32()) for i in range(len(KINDS)))],
+                [
+                    batch.column("key"), pa.array([t for t, _ in found], pa.string()), pa.array([sum(c) for c in counts], pa.int32()),
+                    *(pa.array([c[i] for c in counts], pa.int32()) for i in range(len(KINDS)))
+                ],
                 names=schema.names,
             )
 

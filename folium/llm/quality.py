@@ -30,7 +30,10 @@ UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 ENDS = (b".", b"!", b"?", b'"', b":")
 WINDOW = 8
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper", "n_ascii", "n_shouts", "n_distinct_words", "n_stutters")
+STATS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper", "n_ascii", "n_shouts",
+    "n_distinct_words", "n_stutters"
+)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,7 +115,9 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     def run(batches):
         for batch in slices(batches, "text"):
             found = np.array([statistics(t) for t in batch.column("text").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(found[:, i]) for i in range(len(STATS)))], names=["key", *STATS])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), *(pa.array(found[:, i]) for i in range(len(STATS)))], names=["key", *STATS]
+            )
 
     return rows.mapInArrow(run, schema)
 

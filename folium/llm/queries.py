@@ -39,7 +39,10 @@ def vocabulary() -> str:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), equal_chars=1)
-    return found.select("doc_id", "n_lines", "dropped_equal", "dropped_near", F.length("text").cast("long").alias("kept_chars"), F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
+    return found.select(
+        "doc_id", "n_lines", "dropped_equal", "dropped_near", F.length("text").cast("long").alias("kept_chars"),
+        F.crc32(F.col("text").cast("binary")).alias("kept_crc32")
+    )
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +88,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trained = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.predict(docs, trained, keep=["doc_id"])
-    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return found.select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_pii, op3_search, op4_mix, op5_pack, op6_quality, op7_url_filter, op8_warc, op9_near_dedup, op10_language)
+    f.__name__: f for f in (
+        op1_line_dedup, op2_pii, op3_search, op4_mix, op5_pack, op6_quality, op7_url_filter, op8_warc, op9_near_dedup, op10_language
+    )
 }
 #: None of these is expressible in SQL: they are tested against brute force, round trips and held-out rows in tests/llm.
 ORACLES: dict[str, str] = {}

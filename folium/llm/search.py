@@ -192,7 +192,9 @@ class Shard:
             weights[j, at[at >= 0]] = times[at >= 0]
         return weights
 
-    def top(self, terms: np.ndarray, times: np.ndarray, weight: np.ndarray, block_bound: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    def top(
+        self, terms: np.ndarray, times: np.ndarray, weight: np.ndarray, block_bound: np.ndarray, k: int, floor: float = 0.0
+    ) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, by falling score and rising id; scores below floor are of no interest.
 
         weight: how often each long list counts; block_bound: the most that these lists give in each block."""
@@ -249,12 +251,16 @@ def _searched(shared, k: int):
                 bounds = weights @ shard.block_max.T
                 found = [shard.top(*q[1:], weights[j], bounds[j], k, floors.get(q[0], 0.0)) for j, q in enumerate(some)]
                 numbers = np.repeat([q[0] for q in some], [len(ids) for ids, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), *(pa.array(np.concatenate(c)) for c in zip(*found))], names=["query", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers), *(pa.array(np.concatenate(c)) for c in zip(*found))], names=["query", "doc_id", "score"]
+                )
 
     return run
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
+def build_index(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shard_docs: int = 16_384, shard_words: int = 8_000_000
+) -> DataFrame:
     """INDEX rows, stored: one for each shard. A shard ends with its task's input, or at about shard_docs documents or shard_words words."""
     rows = docs.select(whole(docs, key).alias("id"), F.col(text).alias("text")).where("id is not null")
     return stored(rows.mapInArrow(_indexed(shard_docs, shard_words), INDEX), "index")
@@ -268,14 +274,21 @@ def _asked(asked: DataFrame) -> tuple[list[int], dict[str, int], list[tuple[int,
     for q, (_, text) in enumerate(texts):
         bag = Counter(words_of(pa.array([text]))[0].to_pylist())
         if bag:
-            queries.append((q, np.array([known.setdefault(w, len(known)) for w in bag], np.int64), np.fromiter(bag.values(), float, len(bag))))
+            queries.append(
+                (q, np.array([known.setdefault(w, len(known)) for w in bag], np.int64), np.fromiter(bag.values(), float, len(bag)))
+            )
     return [doc for doc, _ in texts], known, queries
 
 
-def search(docs: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", text: str = "text", query_block: int = 4096, query_chars: int = 1 << 26, shard_docs: int = 16_384) -> DataFrame:
+def search(
+    docs: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", text: str = "text", query_block: int = 4096,
+    query_chars: int = 1 << 26, shard_docs: int = 16_384
+) -> DataFrame:
     """query_id, doc_id, rank, score: the k best rows of docs for each of its rows where is_query holds."""
     spark = docs.sparkSession
-    asked = docs.where(is_query).select(whole(docs, key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    asked = docs.where(is_query).select(
+        whole(docs, key).alias("id"), F.col(text).alias("text")
+    ).where("id is not null and text is not null")
     index = build_index(docs, key, text, shard_docs)
     total, words = index.agg(F.sum("docs"), F.sum("words")).first()
     n, chars = asked.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()

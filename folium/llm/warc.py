@@ -62,10 +62,15 @@ def make(kind: str, rid: str, target: str, when: str, content_type: str, block:
     head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", when)]
     if target:
         head.append(("WARC-Target-URI", target))
-    return Record((*head, *more, ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))), block)
+    return Record(
+        (*head, *more, ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))), block
+    )
 
 
-def response(rid: str, url: str | None, page: str | None, when: str, headers: tuple[tuple[str, str], ...] = (("Content-Type", "text/html; charset=utf-8"),)) -> Record:
+def response(
+    rid: str, url: str | None, page: str | None, when: str,
+    headers: tuple[tuple[str, str], ...] = (("Content-Type", "text/html; charset=utf-8"),)
+) -> Record:
     """A response record around a page's HTML."""
     payload = (page or "").encode("utf-8", "surrogatepass")
     head = "".join(f"{k}: {v}{CRLF}" for k, v in (*headers, ("Content-Length", str(len(payload)))))
@@ -107,9 +112,17 @@ def read_warc(spark: SparkSession, path: str | list[str], glob: str = "*.warc*")
         for batch in batches:
             for where, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 for i, r in enumerate(read(content.as_py())):
-                    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary()]
-                    row = [where, i, r.header("WARC-Type"), r.header("WARC-Record-ID"), [{"name": k, "value": v} for k, v in r.headers], r.block]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
+                    kinds = [
+                        pa.string(), pa.int64(), pa.string(), pa.string(),
+                        pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary()
+                    ]
+                    row = [
+                        where, i, r.header("WARC-Type"), r.header("WARC-Record-ID"), [{"name": k, "value": v} for k, v in r.headers],
+                        r.block
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([v], t) for v, t in zip(row, kinds)], names=[x.split()[0] for x in RECORDS.split(", ")]
+                    )
 
     return files.mapInArrow(run, RECORDS)
 
@@ -137,7 +150,9 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 # Elements whose content is no text, and those that start a line.
 DROPPED = frozenset("script style noscript template".split())
-LINES = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li table tr article section header footer nav main aside blockquote pre dl dt dd form body figure figcaption br hr".split())
+LINES = frozenset(
+    "p div h1 h2 h3 h4 h5 h6 ul ol li table tr article section header footer nav main aside blockquote pre dl dt dd form body figure figcaption br hr".split()
+)
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _BLANKS = re.compile(r"[ \t\r\n\f\v]+")
@@ -251,11 +266,17 @@ def derive(source: Record) -> tuple[Record, Record]:
     status, headers, payload = http_parts(source.block)
     rid, url, when = source.header("WARC-Record-ID") or "", source.header("WARC-Target-URI") or "", source.header("WARC-Date") or ""
     title, links, text = extract(body_of(headers, payload))
-    fields = [("status", status), *(("response-header", f"{k}: {v}") for k, v in headers), ("payload-digest", source.header("WARC-Payload-Digest") or digest(payload)), ("title", title), *(("outlink", clean(_joined(url, x))) for x in links)]
+    fields = [
+        ("status", status), *(("response-header", f"{k}: {v}") for k, v in headers),
+        ("payload-digest", source.header("WARC-Payload-Digest") or digest(payload)), ("title", title),
+        *(("outlink", clean(_joined(url, x))) for x in links)
+    ]
     linked = (("WARC-Refers-To", rid), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", when))
     block = "".join(f"{k}: {v}{CRLF}" for k, v in fields).encode("utf-8", "surrogatepass")
     meta = make("metadata", record_id(rid, "metadata"), url, when, "application/warc-fields", block, *linked)
-    return meta, make("conversion", record_id(rid, "conversion"), url, when, "text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass"), *linked)
+    return meta, make(
+        "conversion", record_id(rid, "conversion"), url, when, "text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass"), *linked
+    )
 
 
 def _joined(base: str, link: str) -> str:
@@ -269,16 +290,24 @@ SCHEMA = "record_type string, record_id string, refers_to string, target_uri str
 
 
 def _row(key: object, r: Record, payload_digest: str) -> tuple:
-    return (key, r.header("WARC-Type"), r.header("WARC-Record-ID"), r.header("WARC-Refers-To"), r.header("WARC-Target-URI") or "", r.header("WARC-Date"), r.header("Content-Type"), payload_digest, r.header("WARC-Block-Digest"), len(r.block), r.to_bytes())
+    return (
+        key, r.header("WARC-Type"), r.header("WARC-Record-ID"), r.header("WARC-Refers-To"), r.header("WARC-Target-URI") or "",
+        r.header("WARC-Date"), r.header("Content-Type"), payload_digest, r.header("WARC-Block-Digest"), len(r.block), r.to_bytes()
+    )
 
 
 def _batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
     kinds = [key, *[pa.string()] * 8, pa.int64(), pa.binary()]
     columns = list(zip(*rows)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", *(x.split()[0] for x in SCHEMA.split(", "))])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", *(x.split()[0] for x in SCHEMA.split(", "))]
+    )
 
 
-def derivatives(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", when: str = "2024-01-01T00:00:00Z", with_source: bool = True) -> DataFrame:
+def derivatives(
+    pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", when: str = "2024-01-01T00:00:00Z",
+    with_source: bool = True
+) -> DataFrame:
     """key (of its own type) and SCHEMA: of each page its response (unless with_source is off), metadata and conversion records."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("page"))
     schema = T.StructType([rows.schema["key"], *T.StructType.fromDDL(SCHEMA).fields])
