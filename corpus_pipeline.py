@@ -32,7 +32,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the source weights select, as often as they are selected."""
     # ids can be null, or shared by different texts
-    named = docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.length("text"), "text").alias("h2")))
+    named = docs.withColumn(
+        "row", F.struct("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.length("text"), "text").alias("h2"))
+    )
     chosen = queries.mixed(named, key="row").groupBy("row").agg(F.max("copies").alias("copies"))
     marked = named.join(with_size(stored(chosen, "chosen"), F.lit(3)), "row")
     return marked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)

@@ -47,7 +47,10 @@ def mimetype(content: Column, ext: Column) -> Column:
 def detect(path: Column, content: Column | None = None) -> Column:
     """struct(mimetype, extension, filename)."""
     ext = extension(path)
-    return F.struct(mimetype(F.lit(None).cast("binary") if content is None else content, ext).alias("mimetype"), ext.alias("extension"), filename(path).alias("filename"))
+    return F.struct(
+        mimetype(F.lit(None).cast("binary") if content is None else content, ext).alias("mimetype"), ext.alias("extension"),
+        filename(path).alias("filename")
+    )
 
 
 def decoded(content: Column) -> Column:
@@ -71,7 +74,10 @@ def raw_block(source: Column) -> Column:
 def escape(value: Column, table: bool = False, line_start: bool = True) -> Column:
     any_ = r"[\\*`\[\]]|(?<![\p{L}\p{Nd}])_|_(?![\p{L}\p{Nd}])|<(?=[\p{L}/!])|&(?=[\p{L}\p{Nd}#]{1,9};)" + (r"|\|" if table else "")
     start = r"((?:\A|\n)[ \t]*" if line_start else r"(\n[ \t]*"
-    passes = [(f"({any_})", r"\\$1"), (start + ")([#>=])", r"$1\\$2"), (start + f")([-+])(?={SPACE_CLASS}|\\z)", r"$1\\$2"), (start + r"\p{Nd}+)([.)])(?=[ \n]|\z)", r"$1\\$2")]
+    passes = [
+        (f"({any_})", r"\\$1"), (start + ")([#>=])", r"$1\\$2"), (start + f")([-+])(?={SPACE_CLASS}|\\z)", r"$1\\$2"),
+        (start + r"\p{Nd}+)([.)])(?=[ \n]|\z)", r"$1\\$2")
+    ]
     value = F.replace(F.replace(value, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     return reduce(lambda c, p: F.regexp_replace(c, *p), passes, value)
 
@@ -87,7 +93,9 @@ def longest_run(code: Column) -> Column:
 def code_fence(code: Column, language: Column | None = None) -> Column:
     fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), longest_run(code) + 1))
     code = F.rtrim(code, F.lit("\n"))
-    return F.concat(fence, F.lit("") if language is None else F.coalesce(language, F.lit("")), F.lit("\n"), rstrip_lines(code), F.lit("\n"), fence)
+    return F.concat(
+        fence, F.lit("") if language is None else F.coalesce(language, F.lit("")), F.lit("\n"), rstrip_lines(code), F.lit("\n"), fence
+    )
 
 
 def code_span(code: Column) -> Column:
@@ -102,7 +110,9 @@ def heading(level: Column, content: Column, max_level: int = 6) -> Column:
 
 def front_matter(pairs: Column, body: Column) -> Column:
     """pairs: array of struct(key, value), in the order shown."""
-    head = F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit(": "), F.replace(p["value"], F.lit("\n"), F.lit(" ")), F.lit("\n"))), "")
+    head = F.array_join(
+        F.transform(pairs, lambda p: F.concat(p["key"], F.lit(": "), F.replace(p["value"], F.lit("\n"), F.lit(" ")), F.lit("\n"))), ""
+    )
     return F.when(F.size(pairs) > 0, F.rtrim(F.concat(F.lit("---\n"), head, F.lit("---\n\n"), body), F.lit(SPACE))).otherwise(body)
 
 
@@ -120,7 +130,9 @@ def padded(cells: Column, n: Column) -> Column:
 
 
 def delimiters(alignments: Column, n: Column) -> Column:
-    marks = F.transform(alignments, lambda a: F.when(a == "LEFT", ":--").when(a == "RIGHT", "--:").when(a == "CENTER", ":-:").otherwise("---"))
+    marks = F.transform(
+        alignments, lambda a: F.when(a == "LEFT", ":--").when(a == "RIGHT", "--:").when(a == "CENTER", ":-:").otherwise("---")
+    )
     return F.slice(F.concat(marks, F.array_repeat(F.lit("---"), n.cast("int"))), F.lit(1), n.cast("int"))
 
 
@@ -135,7 +147,11 @@ def table(header: Column, rows: Column, alignments: Column | None = None) -> Col
 
 def spanned(cells: Column) -> Column:
     """array<struct(text, col_span)> to cells: each followed by the empty ones it spans."""
-    return F.flatten(F.transform(cells, lambda c: F.concat(F.array(c["text"]), F.array_repeat(F.lit(""), (F.coalesce(c["col_span"], F.lit(1)) - 1).cast("int")))))
+    return F.flatten(
+        F.transform(
+            cells, lambda c: F.concat(F.array(c["text"]), F.array_repeat(F.lit(""), (F.coalesce(c["col_span"], F.lit(1)) - 1).cast("int")))
+        )
+    )
 
 
 def paragraphs(source: Column) -> Column:
@@ -162,7 +178,10 @@ STRUCTURE = {
     "headings": rf"(?md)^#{{1,6}} [^{PY_SPACE}]", "list_items": rf"(?md)^[{PY_SPACE}]*(?:[-*+]|\p{{Nd}}+\.) [^{PY_SPACE}]",
     "links": r"(?<!!)\[[^\]]*\]\([^)]*\)", "images": r"!\[[^\]]*\]\([^)]*\)", "code_fences": r"(?md)^```",
 }
-HYGIENE = {"blank_runs": r"\n{4,}", "trailing_ws": r"(?<![ \t])[ \t]++(?=\n|\z)", "empty_links": r"\[\]\(", "raw_html": r"<(?!br>)[a-zA-Z][a-zA-Z0-9]*[ >]"}
+HYGIENE = {
+    "blank_runs": r"\n{4,}", "trailing_ws": r"(?<![ \t])[ \t]++(?=\n|\z)", "empty_links": r"\[\]\(",
+    "raw_html": r"<(?!br>)[a-zA-Z][a-zA-Z0-9]*[ >]"
+}
 #: What the comparing form of the tokens rewrites first; lines of chrome and tracking images go.
 COMPARED = [
     ("[\u2013\u2014]", "-"), (r"(?m)^.*move to sidebar.*$", ""), (r"(?m)^\s*hide\s*$", ""), (r"(?m)^[*\s]*Toggle\b.*$", ""),
@@ -190,7 +209,9 @@ def compared_tokens(source: Column) -> Column:
 def _decoded(part: Column) -> Column:
     """part, from after a percent sign, with its two hexadecimal digits as their printable ASCII character, or as it was."""
     code = F.conv(F.substring(part, 1, 2), 16, 10).cast("int")
-    return F.when((code >= 0x20) & (code <= 0x7E), F.concat(F.chr(code), F.substring(part, 3, 2**31 - 1))).otherwise(F.concat(F.lit("%"), part))
+    return F.when(
+        (code >= 0x20) & (code <= 0x7E), F.concat(F.chr(code), F.substring(part, 3, 2**31 - 1))
+    ).otherwise(F.concat(F.lit("%"), part))
 
 
 def token_similarity(reference: Column, actual: Column) -> Column:
@@ -205,15 +226,23 @@ def table_stats(md: Column) -> Column:
     """struct(tables, table_rows, broken_rows): runs of lines between pipes; a row is broken if it has not as many cells as its table's first."""
     strip = lambda x, what: F.regexp_replace(x, rf"^[{what}]+|(?<![{what}])[{what}]+$", "")
     width = lambda line: F.size(F.split(strip(strip(line, PY_SPACE), "|"), r"\|"))
-    rows = F.transform(F.split(md, LINE_END), lambda x: F.struct(F.when(x.rlike(TABLE_ROW), width(x)).alias("width"), x.rlike(DELIMITER_ROW).alias("rule")))
-    start = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("tables", "table_rows", "broken_rows")], F.lit(None).cast("int").alias("columns"))
+    rows = F.transform(
+        F.split(md, LINE_END), lambda x: F.struct(F.when(x.rlike(TABLE_ROW), width(x)).alias("width"), x.rlike(DELIMITER_ROW).alias("rule"))
+    )
+    start = F.struct(
+        *[F.lit(0).cast("long").alias(c) for c in ("tables", "table_rows", "broken_rows")], F.lit(None).cast("int").alias("columns")
+    )
 
     def step(a: Column, row: Column) -> Column:
         inside, opens = row["width"].isNotNull() & a["columns"].isNotNull(), row["width"].isNotNull() & a["columns"].isNull()
         broken = inside & (row["width"] != a["columns"])
         return F.struct(
-            (a["tables"] + opens.cast("long")).alias("tables"), (a["table_rows"] + (inside & ~row["rule"]).cast("long")).alias("table_rows"),
-            (a["broken_rows"] + F.coalesce(broken, F.lit(False)).cast("long")).alias("broken_rows"), F.when(row["width"].isNotNull(), F.coalesce(a["columns"], row["width"])).alias("columns"),
+            (a["tables"] + opens.cast("long")).alias("tables"), (
+                a["table_rows"] + (inside & ~row["rule"]).cast("long")
+            ).alias("table_rows"),
+            (a["broken_rows"] + F.coalesce(broken, F.lit(False)).cast("long")).alias("broken_rows"), F.when(
+                row["width"].isNotNull(), F.coalesce(a["columns"], row["width"])
+            ).alias("columns"),
         )
 
     found = F.aggregate(rows, start, step)

@@ -17,11 +17,18 @@ NODE = T.StructType([
     T.StructField("node_id", T.IntegerType()), T.StructField("parent_id", T.IntegerType()), T.StructField("depth", T.IntegerType()), T.StructField("ordinal", T.IntegerType()),
     T.StructField("slot", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("level", T.IntegerType()),
     T.StructField("language", T.StringType()), T.StructField("ordered", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("loose", T.BooleanType()),
-    T.StructField("checked", T.BooleanType()), T.StructField("col_span", T.IntegerType()), T.StructField("row_span", T.IntegerType()), T.StructField("alignments", T.ArrayType(T.StringType())),
+    T.StructField("checked", T.BooleanType()), T.StructField("col_span", T.IntegerType()), T.StructField("row_span", T.IntegerType()), T.StructField(
+        "alignments", T.ArrayType(T.StringType())
+    ),
     T.StructField("url", T.StringType()), T.StructField("link_title", T.StringType()), T.StructField("asset_id", T.StringType()), T.StructField("anchor", T.StringType()),
 ])
 PAIR = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
-ASSET = T.StructType([T.StructField("id", T.StringType()), T.StructField("media_type", T.StringType()), T.StructField("bytes", T.BinaryType()), T.StructField("name", T.StringType())])
+ASSET = T.StructType(
+    [
+        T.StructField("id", T.StringType()), T.StructField("media_type", T.StringType()), T.StructField("bytes", T.BinaryType()),
+        T.StructField("name", T.StringType())
+    ]
+)
 ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("message", T.StringType())])
 #: slots in which children hang: field of the tree -> slot of the node.
 SLOTS = {"blocks": "block", "content": "inline", "items": "item", "header": "header", "rows": "row", "cells": "cell", "caption": "caption"}
@@ -231,7 +238,9 @@ class DocumentBuilder:
         return self.add(node("list", ordered=False, items=made)) if made else self
 
     def table(self, header: list[str], rows: list[list[str]], alignments: list[str] | None = None) -> DocumentBuilder:
-        return self.add(table([plain_cell(c) for c in header], [[plain_cell(c) for c in r] for r in rows], alignments)) if header or rows else self
+        return self.add(
+            table([plain_cell(c) for c in header], [[plain_cell(c) for c in r] for r in rows], alignments)
+        ) if header or rows else self
 
     def build(self) -> Document:
         return self.document

@@ -22,16 +22,25 @@ from folium.render import render as render_document
 NATIVE = ("markdown", "text")
 Detector = Callable[[Column, Column], Column]
 INFO = "struct<mimetype:string,extension:string,filename:string>"
-PARSED = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("title", T.StringType()), T.StructField("metadata", T.ArrayType(PAIR)), T.StructField("assets", T.ArrayType(ASSET)), T.StructField("markdown", T.StringType()), T.StructField("error", ERROR)])
+PARSED = T.StructType(
+    [
+        T.StructField("nodes", T.ArrayType(NODE)), T.StructField("title", T.StringType()), T.StructField("metadata", T.ArrayType(PAIR)),
+        T.StructField("assets", T.ArrayType(ASSET)), T.StructField("markdown", T.StringType()), T.StructField("error", ERROR)
+    ]
+)
 
 
-def dispatched(df: DataFrame, content: Column, path: Column | None = None, detected: Column | None = None, registry: Registry | None = None) -> DataFrame:
+def dispatched(
+    df: DataFrame, content: Column, path: Column | None = None, detected: Column | None = None, registry: Registry | None = None
+) -> DataFrame:
     """df with detected, converter and error (kind ``unsupported`` where no converter accepts)."""
     found = detected if detected is not None else C.detect(path, content)
     df = df.withColumn("detected", found.cast(INFO))
     df = df.withColumn("converter", (registry or Registry()).select(F.col("detected")))
     message = F.concat(F.lit("No converter found for: "), F.coalesce("detected.extension", "detected.mimetype", F.lit("unknown")))
-    return df.withColumn("error", F.when(F.col("converter").isNull(), F.struct(F.lit("unsupported").alias("kind"), message.alias("message"))))
+    return df.withColumn(
+        "error", F.when(F.col("converter").isNull(), F.struct(F.lit("unsupported").alias("kind"), message.alias("message")))
+    )
 
 
 def _guarded(convert_one, what: str):
@@ -62,8 +71,12 @@ def _worker(registry: Registry, options: MarkdownOptions, tree: bool, markdown:
         kind = to_arrow_type(PARSED)
         pairs = [[{"key": k, "value": v} for k, v in d.metadata.items()] if d and tree else None for d in docs]
         columns = {
-            "nodes": node_lists([d.blocks if d and tree else None for d in docs], kind.field("nodes").type), "title": pa.array([d and d.title for d in docs], pa.string()),
-            "metadata": pa.array(pairs, kind.field("metadata").type), "assets": pa.array([d.assets if d and tree else None for d in docs], kind.field("assets").type),
+            "nodes": node_lists(
+                [d.blocks if d and tree else None for d in docs], kind.field("nodes").type
+            ), "title": pa.array([d and d.title for d in docs], pa.string()),
+            "metadata": pa.array(pairs, kind.field("metadata").type), "assets": pa.array(
+                [d.assets if d and tree else None for d in docs], kind.field("assets").type
+            ),
             "markdown": pa.array(made, pa.string()), "error": pa.array(errors, kind.field("error").type),
         }
         return pa.StructArray.from_arrays([columns[f.name].cast(f.type) for f in kind], fields=list(kind))
@@ -99,7 +112,9 @@ def convert(
     native = F.col("converter").isin(*NATIVE) if not tree else F.lit(False)
     names = F.when(~native, F.col("converter"))
     # rows that Catalyst converts send nulls to Python
-    parsed = _worker(registry, options, tree, markdown)(names, F.when(names.isNotNull(), F.col(content)), F.col(base_url) if base_url else F.lit(None).cast("string"))
+    parsed = _worker(registry, options, tree, markdown)(
+        names, F.when(names.isNotNull(), F.col(content)), F.col(base_url) if base_url else F.lit(None).cast("string")
+    )
     df = df.withColumn("__parsed", parsed)
     if markdown:
         df = df.withColumn("markdown", F.when(native, C.raw_block(C.decoded(F.col(content)))).otherwise(F.col("__parsed.markdown")))
@@ -122,7 +137,9 @@ def render(df: DataFrame, nodes: str = "nodes", metadata: str | None = None, opt
     def run(lists: pa.Array, metas: pa.Array) -> pa.Array:
         out = []
         for n, m in zip(lists.to_pylist(), metas.to_pylist()):
-            made, error = (None, None) if n is None else _guarded(lambda: render_document(Document(from_nodes(n), metadata={p["key"]: p["value"] for p in m or ()}), options), "Rendering")
+            made, error = (None, None) if n is None else _guarded(
+                lambda: render_document(Document(from_nodes(n), metadata={p["key"]: p["value"] for p in m or ()}), options), "Rendering"
+            )
             out.append({"markdown": made, "error": error and error["message"]})
         return pa.array(out, pa.struct([("markdown", pa.string()), ("error", pa.string())]))
 
@@ -139,7 +156,9 @@ def node_table(df: DataFrame, key: str, nodes: str = "nodes") -> DataFrame:
 def tables(nodes: DataFrame, key: str) -> DataFrame:
     """key, node_id and body_rows of every table of a node table."""
     rows = nodes.where("kind = 'table_row'").groupBy(key, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("body_rows"))
-    return nodes.where("kind = 'table'").select(key, "node_id").join(rows, [key, "node_id"], "left").withColumn("body_rows", F.coalesce("body_rows", F.lit(0)))
+    return nodes.where("kind = 'table'").select(key, "node_id").join(rows, [key, "node_id"], "left").withColumn(
+        "body_rows", F.coalesce("body_rows", F.lit(0))
+    )
 
 
 def titles(df: DataFrame, html: str = "html") -> DataFrame:

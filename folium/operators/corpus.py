@@ -26,7 +26,9 @@ def recall(rows: DataFrame) -> DataFrame:
     each = by_token.select("file", F.explode("engines").alias("engine"), shared.cast("long").alias("shared"))
     own = each.groupBy("file", "engine").agg(F.sum("shared").alias("hit"), F.sum(1 - F.col("shared")).alias("unique_tokens"))
     size = by_token.groupBy("file").agg(F.sum(shared.cast("long")).alias("consensus"))
-    return own.join(size, "file").select("file", "engine", F.when(F.col("consensus") == 0, 1.0).otherwise(F.col("hit") / F.col("consensus")).alias("recall"), "unique_tokens")
+    return own.join(size, "file").select(
+        "file", "engine", F.when(F.col("consensus") == 0, 1.0).otherwise(F.col("hit") / F.col("consensus")).alias("recall"), "unique_tokens"
+    )
 
 
 def table_stats(df: DataFrame, key: str, md: str) -> DataFrame:
@@ -34,20 +36,30 @@ def table_stats(df: DataFrame, key: str, md: str) -> DataFrame:
     return df.select(key, C.table_stats(F.col(md)).alias("s")).select(key, "s.*")
 
 
-COUNTS = ("headings", "list_items", "links", "images", "code_fences", "tables", "table_rows", "broken_rows", "blank_runs", "trailing_ws", "empty_links", "raw_html")
+COUNTS = (
+    "headings", "list_items", "links", "images", "code_fences", "tables", "table_rows", "broken_rows", "blank_runs", "trailing_ws",
+    "empty_links", "raw_html"
+)
 
 
 def measures(df: DataFrame, file: str = "file", engine: str = "engine", markdown: str = "markdown") -> DataFrame:
     """file, engine, recall, unique_tokens, bytes (characters) and COUNTS of every output."""
     counted = C.structure(F.col(markdown)) | C.hygiene(F.col(markdown))
-    own = df.select(F.col(file).alias("file"), F.col(engine).alias("engine"), F.length(markdown).cast("long").alias("bytes"), *[counted[c].alias(c) for c in COUNTS])
+    own = df.select(
+        F.col(file).alias("file"), F.col(engine).alias("engine"), F.length(markdown).cast("long").alias("bytes"),
+        *[counted[c].alias(c) for c in COUNTS]
+    )
     found = recall(token_rows(df, file, engine, markdown))
-    return own.join(found, ["file", "engine"], "left").withColumns({"recall": F.coalesce("recall", F.lit(1.0)), "unique_tokens": F.coalesce("unique_tokens", F.lit(0).cast("long"))})
+    return own.join(found, ["file", "engine"], "left").withColumns(
+        {"recall": F.coalesce("recall", F.lit(1.0)), "unique_tokens": F.coalesce("unique_tokens", F.lit(0).cast("long"))}
+    )
 
 
 def totals(measured: DataFrame) -> DataFrame:
     """engine, files, mean_recall and the sums of COUNTS over its files."""
-    return measured.groupBy("engine").agg(F.count(F.lit(1)).alias("files"), F.avg("recall").alias("mean_recall"), *[F.sum(c).alias(c) for c in COUNTS])
+    return measured.groupBy("engine").agg(
+        F.count(F.lit(1)).alias("files"), F.avg("recall").alias("mean_recall"), *[F.sum(c).alias(c) for c in COUNTS]
+    )
 
 
 def _percent(share: Column) -> Column:
@@ -58,8 +70,15 @@ def _percent(share: Column) -> Column:
 
 
 # Columns of the report's tables.
-PER_FILE = {"engine": "engine", "recall": "recall", "unique": "unique_tokens", "bytes": "bytes", "headings": "headings", "lists": "list_items", "links": "links", "images": "images", "tables": "tables", "rows": "table_rows", "broken rows": "broken_rows", "blank runs": "blank_runs", "trail ws": "trailing_ws", "raw html": "raw_html"}
-IN_TOTAL = {"engine": "engine", "files": "files", "mean recall": "mean_recall", "headings": "headings", "tables": "tables", "broken rows": "broken_rows", "blank runs": "blank_runs", "trail ws": "trailing_ws"}
+PER_FILE = {
+    "engine": "engine", "recall": "recall", "unique": "unique_tokens", "bytes": "bytes", "headings": "headings", "lists": "list_items",
+    "links": "links", "images": "images", "tables": "tables", "rows": "table_rows", "broken rows": "broken_rows",
+    "blank runs": "blank_runs", "trail ws": "trailing_ws", "raw html": "raw_html"
+}
+IN_TOTAL = {
+    "engine": "engine", "files": "files", "mean recall": "mean_recall", "headings": "headings", "tables": "tables",
+    "broken rows": "broken_rows", "blank runs": "blank_runs", "trail ws": "trailing_ws"
+}
 
 
 def _listed(df: DataFrame, shown: dict[str, str]) -> Column:
@@ -70,11 +89,15 @@ def _listed(df: DataFrame, shown: dict[str, str]) -> Column:
 
 def report(measured: DataFrame) -> DataFrame:
     """section, markdown: a table of engines for each file, and ``Totals``. An engine is a row, so a section is as short as the list of engines."""
-    files = measured.groupBy("file").agg(_listed(measured, PER_FILE).alias("table")).select(F.col("file").cast("string").alias("section"), "table", F.lit(0).alias("last"))
+    files = measured.groupBy("file").agg(_listed(measured, PER_FILE).alias("table")).select(
+        F.col("file").cast("string").alias("section"), "table", F.lit(0).alias("last")
+    )
     whole = totals(measured)
     total = whole.agg(_listed(whole, IN_TOTAL).alias("table")).select(F.lit("Totals").alias("section"), "table", F.lit(1).alias("last"))
     both = files.unionByName(total)
-    return both.select("section", F.concat(F.lit("## "), "section", F.lit("\n\n"), "table").alias("markdown"), "last").orderBy("last", "section").drop("last")
+    return both.select(
+        "section", F.concat(F.lit("## "), "section", F.lit("\n\n"), "table").alias("markdown"), "last"
+    ).orderBy("last", "section").drop("last")
 
 
 def write_report(measured: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -85,7 +108,10 @@ def write_report(measured: DataFrame, path: str, mode: str = "errorifexists") ->
 def recall_gate(df: DataFrame, key: str, reference: str, actual: str, least: float = 1.0) -> DataFrame:
     """key, similarity, missing (at most 20 tokens) of the outputs that keep less than least of the reference's tokens; no row: passed."""
     compared = df.select(key, C.compared_tokens(F.col(reference)).alias("r"), C.compared_tokens(F.col(actual)).alias("a"))
-    found = compared.select(key, C.token_similarity(F.col("r"), F.col("a")).alias("similarity"), F.slice(C.missing_tokens(F.col("r"), F.col("a")), 1, 20).alias("missing"))
+    found = compared.select(
+        key, C.token_similarity(F.col("r"), F.col("a")).alias("similarity"),
+        F.slice(C.missing_tokens(F.col("r"), F.col("a")), 1, 20).alias("missing")
+    )
     return found.where(F.col("similarity") < least)
 
 
@@ -95,7 +121,10 @@ def best_of(df: DataFrame, keys: list[str], seconds: str) -> DataFrame:
 
 def ab_delta(df: DataFrame, case: str, binary: str, seconds: str, champion: str, candidate: str) -> DataFrame:
     """Best times of two binaries per case and their difference in percent of the champion's."""
-    best = df.groupBy(case).agg(F.min(F.when(F.col(binary) == champion, F.col(seconds))).alias("champion"), F.min(F.when(F.col(binary) == candidate, F.col(seconds))).alias("candidate"))
+    best = df.groupBy(case).agg(
+        F.min(F.when(F.col(binary) == champion, F.col(seconds))).alias("champion"),
+        F.min(F.when(F.col(binary) == candidate, F.col(seconds))).alias("candidate")
+    )
     return best.withColumn("delta_percent", (F.col("candidate") - F.col("champion")) / F.col("champion") * 100)
 
 

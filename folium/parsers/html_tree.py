@@ -15,9 +15,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 ESCAPABLE = frozenset("textarea title".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul dd dt plaintext".split())
+CLOSES_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul dd dt plaintext".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SPECIAL = CLOSES_P | frozenset("applet area base body br button caption col colgroup embed frame head html iframe img input link marquee meta noembed noframes noscript object param script select source style tbody td template textarea tfoot th thead title tr track wbr xmp".split())
+SPECIAL = CLOSES_P | frozenset(
+    "applet area base body br button caption col colgroup embed frame head html iframe img input link marquee meta noembed noframes noscript object param script select source style tbody td template textarea tfoot th thead title tr track wbr xmp".split()
+)
 SCOPE = frozenset("applet caption html table td th marquee object template #root".split())
 IMPLIED = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
 MARKED = frozenset("applet marquee object td th caption".split())
@@ -82,7 +86,10 @@ class Element:
         return "".join(out)
 
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    re.S
+)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""", re.S)
 
 
@@ -156,7 +163,9 @@ class TreeBuilder:
 
     # -- where nodes go
     def place(self, child: Element | str) -> None:
-        if self.top().tag in TABLE_CONTEXT and not (isinstance(child, Element) and child.tag in TABLE_PARTS | {"script", "style", "template", "form"}) and not (isinstance(child, str) and not child.strip()):
+        if self.top().tag in TABLE_CONTEXT and not (
+            isinstance(child, Element) and child.tag in TABLE_PARTS | {"script", "style", "template", "form"}
+        ) and not (isinstance(child, str) and not child.strip()):
             table = next((e for e in reversed(self.open) if e.tag == "table"), None)
             if table is not None and table.parent is not None:
                 table.parent.insert_before(child, table)

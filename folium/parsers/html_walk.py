@@ -11,7 +11,9 @@ from folium.text import HTML_SPACE, SPACE, decode, is_blank, trim, trim_end, unb
 
 # What is dropped with all it holds, what only holds blocks, what stands as a block, the marks of inlines.
 DROPPED = frozenset("script style noscript template button svg iframe form input select".split())
-CONTAINERS = frozenset("div section article main header footer aside nav body html figure details summary fieldset center hgroup picture colgroup".split())
+CONTAINERS = frozenset(
+    "div section article main header footer aside nav body html figure details summary fieldset center hgroup picture colgroup".split()
+)
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol table pre blockquote hr dl li figcaption".split()) | CONTAINERS
 MARKS = {
     **dict.fromkeys(("strong", "b"), "strong"), **dict.fromkeys(("em", "i", "cite", "var"), "emphasis"), **dict.fromkeys(("del", "s", "strike"), "strikethrough"),
@@ -86,7 +88,9 @@ class Walker:
             return [node("thematic_break")]
         if tag == "pre":
             code = next(e.find_all({"code"}), e)
-            language = next((c.partition("-")[2] for c in code.attrs.get("class", "").split() if c.startswith(("language-", "lang-"))), None)
+            language = next(
+                (c.partition("-")[2] for c in code.attrs.get("class", "").split() if c.startswith(("language-", "lang-"))), None
+            )
             return [node("code_block", text=trim_end(code.text()), language=language or None)]
         if tag == "blockquote":
             inner = self.blocks(e)

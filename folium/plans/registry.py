@@ -23,7 +23,9 @@ class Converter:
     parse: Callable[[bytes, str], Document]
 
     def accepts(self, detected: Column) -> Column:
-        return F.coalesce(detected["extension"].isin(*self.extensions), F.lit(False)) | F.coalesce(detected["mimetype"].isin(*self.mimetypes), F.lit(False))
+        return F.coalesce(
+            detected["extension"].isin(*self.extensions), F.lit(False)
+        ) | F.coalesce(detected["mimetype"].isin(*self.mimetypes), F.lit(False))
 
 
 def _defaults() -> list[tuple[float, Converter]]:

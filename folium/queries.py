@@ -46,12 +46,16 @@ def _literal(value: str) -> str:
 
 
 def _parts_sql(expected: dict[str, str]) -> str:
-    return " UNION ALL ".join(f"SELECT n_nationkey, '{part}' AS part, {_literal(value)} AS markdown FROM nation" for part, value in expected.items())
+    return " UNION ALL ".join(
+        f"SELECT n_nationkey, '{part}' AS part, {_literal(value)} AS markdown FROM nation" for part, value in expected.items()
+    )
 
 
 def _parts(spark: SparkSession, d: str, make: Callable[[str, str], str], names) -> DataFrame:
     """n_nationkey, part, markdown: make(part, the nation's name) for each part."""
-    rows = t(spark, d, "nation").select("n_nationkey", F.replace("n_name", F.lit(" "), F.lit("")).alias("n"), F.explode(F.array(*map(F.lit, names))).alias("part"))
+    rows = t(spark, d, "nation").select(
+        "n_nationkey", F.replace("n_name", F.lit(" "), F.lit("")).alias("n"), F.explode(F.array(*map(F.lit, names))).alias("part")
+    )
 
     def run(parts: pa.Array, words: pa.Array) -> pa.Array:
         return pa.array([make(p, w) for p, w in zip(parts.to_pylist(), words.to_pylist())], pa.string())
@@ -68,10 +72,17 @@ def render_parts(spark, d):
 def _converted(spark: SparkSession, d: str, given: dict[str, tuple[str, str]]) -> DataFrame:
     """Cases (extension, text) through the converter of their extension."""
     name = F.replace("n_name", F.lit(" "), F.lit(""))
-    rows = [F.struct(F.lit(part).alias("part"), F.lit(kind).alias("extension"), F.replace(F.lit(source), F.lit("{n}"), name).alias("source")) for part, (kind, source) in given.items()]
+    rows = [
+        F.struct(
+            F.lit(part).alias("part"), F.lit(kind).alias("extension"), F.replace(F.lit(source), F.lit("{n}"), name).alias("source")
+        ) for part,
+        (kind, source) in given.items()
+    ]
     df = t(spark, d, "nation").select("n_nationkey", F.explode(F.array(*rows)).alias("c")).select("n_nationkey", "c.*")
     detected = F.struct(F.lit(None).cast("string").alias("mimetype"), F.col("extension"), F.lit(None).cast("string").alias("filename"))
-    return ops.convert(df.withColumn("content", F.encode("source", "UTF-8")), path=None, detected=detected).select("n_nationkey", "part", "markdown")
+    return ops.convert(
+        df.withColumn("content", F.encode("source", "UTF-8")), path=None, detected=detected
+    ).select("n_nationkey", "part", "markdown")
 
 
 @query(_parts_sql({k: v[1] for k, v in cases.HTML.items()}))
@@ -105,7 +116,9 @@ def table_render(spark, d):
     rows = F.sort_array(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("cells"))))
     joined = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     by = joined.groupBy(F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("nations"), rows.alias("rows"))
-    return by.select("region", "nations", C.table(F.array(F.lit("Key"), F.lit("Nation")), F.transform("rows", lambda r: r["cells"])).alias("markdown"))
+    return by.select(
+        "region", "nations", C.table(F.array(F.lit("Key"), F.lit("Nation")), F.transform("rows", lambda r: r["cells"])).alias("markdown")
+    )
 
 
 @query("""
@@ -113,10 +126,17 @@ SELECT o_custkey AS custkey, count(*) AS orders,
  '| Order | Status | Priority |' || chr(10) || '| --: | :-: | --- |' || chr(10) || string_agg('| ' || CAST(o_orderkey AS VARCHAR) || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |', chr(10) ORDER BY o_orderkey) AS markdown
 FROM orders GROUP BY o_custkey""")
 def table_per_customer(spark, d):
-    rows = F.sort_array(F.collect_list(F.struct("o_orderkey", F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("cells"))))
+    rows = F.sort_array(
+        F.collect_list(
+            F.struct("o_orderkey", F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("cells"))
+        )
+    )
     by = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).alias("orders"), rows.alias("rows"))
     header = F.array(*map(F.lit, ("Order", "Status", "Priority")))
-    return by.select("custkey", "orders", C.table(header, F.transform("rows", lambda r: r["cells"]), F.array(F.lit("RIGHT"), F.lit("CENTER"))).alias("markdown"))
+    return by.select(
+        "custkey", "orders",
+        C.table(header, F.transform("rows", lambda r: r["cells"]), F.array(F.lit("RIGHT"), F.lit("CENTER"))).alias("markdown")
+    )
 
 
 _EXT = "nullif(lower(CASE WHEN fn LIKE '%.%' THEN regexp_extract(fn, '([^.]*)$', 1) END), '')"
@@ -135,15 +155,26 @@ def detect_mime(spark, d):
 
 #: First bytes (hexadecimal), extension, MIME type.
 SIGNED = [
-    ("255044462D312E34", "html", "application/pdf"), ("504B0304", "epub", "application/epub+zip"), ("504B0304", "docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ("504B0304", "txt", "application/zip"),
-    ("D0CF11E0A1B11AE1", "pdf", "application/x-ole-storage"), ("3C68746D6C3E", "HTM", "text/html"), ("", "json", "application/json"), ("2550", "none", None),
+    ("255044462D312E34", "html", "application/pdf"), ("504B0304", "epub", "application/epub+zip"), (
+        "504B0304", "docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+    ), ("504B0304", "txt", "application/zip"),
+    (
+        "D0CF11E0A1B11AE1", "pdf", "application/x-ole-storage"
+    ), ("3C68746D6C3E", "HTM", "text/html"), ("", "json", "application/json"), ("2550", "none", None),
 ]
 
 
-@query("SELECT n_nationkey, lower(x[2]) AS extension, n_name || '.' || x[2] AS filename, x[3] AS mimetype FROM (SELECT *, [" + ", ".join(f"['{a}', '{b}', " + (f"'{c}'" if c else "NULL") + "]" for a, b, c in SIGNED) + f"][n_nationkey % {len(SIGNED)} + 1] AS x FROM nation)")
+@query(
+    "SELECT n_nationkey, lower(x[2]) AS extension, n_name || '.' || x[2] AS filename, x[3] AS mimetype FROM (SELECT *, [" + ", ".join(
+        f"['{a}', '{b}', " + (f"'{c}'" if c else "NULL") + "]" for a, b, c in SIGNED
+    ) + f"][n_nationkey % {len(SIGNED)} + 1] AS x FROM nation)"
+)
 def detect_signature(spark, d):
     """MIME types from first bytes, which come before the extension."""
-    given = F.element_at(F.array(*[F.struct(F.unhex(F.lit(a)).alias("content"), F.lit(b).alias("extension")) for a, b, _ in SIGNED]), (F.col("n_nationkey") % len(SIGNED) + 1).cast("int"))
+    given = F.element_at(
+        F.array(*[F.struct(F.unhex(F.lit(a)).alias("content"), F.lit(b).alias("extension")) for a, b, _ in SIGNED]),
+        (F.col("n_nationkey") % len(SIGNED) + 1).cast("int")
+    )
     rows = t(spark, d, "nation").select("n_nationkey", "n_name", given.alias("g"))
     found = C.detect(F.concat(F.lit("a\\b/"), "n_name", F.lit("."), F.col("g.extension")), F.col("g.content"))
     return rows.select("n_nationkey", found.alias("d")).select("n_nationkey", "d.extension", "d.filename", "d.mimetype")
@@ -156,19 +187,28 @@ def read_files(spark, d):
     return found.select("detected.filename", "detected.extension", F.col("error.message").alias("message"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'odd' ELSE 'text' END AS converter, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '!' ELSE n_name END AS markdown FROM nation")
+@query(
+    "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'odd' ELSE 'text' END AS converter, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '!' ELSE n_name END AS markdown FROM nation"
+)
 def custom_converter(spark, d):
     """A detector and a converter of one's own."""
     own = Converter("odd", ("odd",), (), lambda content, base: Document([node("raw_block", text=content.decode() + "!")]))
     detector = lambda path, content: F.struct(F.lit(None).cast("string").alias("mimetype"), F.when(path.endswith("0"), "odd").otherwise("txt").alias("extension"), F.lit(None).cast("string").alias("filename"))
-    rows = t(spark, d, "nation").select("n_nationkey", F.encode("n_name", "UTF-8").alias("content"), F.concat(F.lit("f"), (F.col("n_nationkey") % 2).cast("string")).alias("path"))
+    rows = t(spark, d, "nation").select(
+        "n_nationkey", F.encode("n_name", "UTF-8").alias("content"),
+        F.concat(F.lit("f"), (F.col("n_nationkey") % 2).cast("string")).alias("path")
+    )
     return ops.convert(rows, detector=detector, registry=Registry().register(own, -1.0)).select("n_nationkey", "converter", "markdown")
 
 
-@query(_DETECT + "SELECT page_id, CASE WHEN mimetype = 'text/html' THEN 'html' END AS converter, CASE WHEN mimetype IS NULL THEN 'No converter found for: ' || coalesce(extension, 'unknown') END AS message FROM c")
+@query(
+    _DETECT + "SELECT page_id, CASE WHEN mimetype = 'text/html' THEN 'html' END AS converter, CASE WHEN mimetype IS NULL THEN 'No converter found for: ' || coalesce(extension, 'unknown') END AS message FROM c"
+)
 def dispatch_select(spark, d):
     pages = t(spark, d, "pages")
-    return ops.dispatched(pages, F.lit(None).cast("binary"), F.col("url")).select("page_id", "converter", F.col("error.message").alias("message"))
+    return ops.dispatched(pages, F.lit(None).cast("binary"), F.col("url")).select(
+        "page_id", "converter", F.col("error.message").alias("message")
+    )
 
 
 @query(r"""
@@ -181,13 +221,17 @@ def escape_text(spark, d):
     return t(spark, d, "documents").select("doc_id", C.escape(F.col("text")).alias("markdown"))
 
 
-@query("SELECT p_partkey, '| ' || replace(p_name, '|', '\\|') || ' | ' || replace(p_brand, '#', '#') || ' | ' || p_type || ' |' AS markdown FROM part")
+@query(
+    "SELECT p_partkey, '| ' || replace(p_name, '|', '\\|') || ' | ' || replace(p_brand, '#', '#') || ' | ' || p_type || ' |' AS markdown FROM part"
+)
 def escape_cells(spark, d):
     cells = F.array(*[C.cell(F.col(c)) for c in ("p_name", "p_brand", "p_type")])
     return t(spark, d, "part").select("p_partkey", C.table_row(cells).alias("markdown"))
 
 
-@query(r"SELECT doc_id, regexp_replace(trim(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), E' \t\n\r'), '[ \t]+(\n|$)', '\1', 'g') AS markdown FROM documents")
+@query(
+    r"SELECT doc_id, regexp_replace(trim(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), E' \t\n\r'), '[ \t]+(\n|$)', '\1', 'g') AS markdown FROM documents"
+)
 def raw_block(spark, d):
     return t(spark, d, "documents").select("doc_id", C.raw_block(F.col("text")).alias("markdown"))
 
@@ -204,10 +248,14 @@ def code_fence(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", C.code_fence(F.col("text"), F.lit("text")).alias("markdown"))
 
 
-@query("SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10) || chr(10) || 'Document ' || CAST(doc_id AS VARCHAR) AS markdown FROM documents")
+@query(
+    "SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10) || chr(10) || 'Document ' || CAST(doc_id AS VARCHAR) AS markdown FROM documents"
+)
 def front_matter(spark, d):
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("lang", "source")])
-    return t(spark, d, "documents").select("doc_id", C.front_matter(pairs, F.concat(F.lit("Document "), F.col("doc_id").cast("string"))).alias("markdown"))
+    return t(spark, d, "documents").select(
+        "doc_id", C.front_matter(pairs, F.concat(F.lit("Document "), F.col("doc_id").cast("string"))).alias("markdown")
+    )
 
 
 def _convert(df: DataFrame, key: str, text, extension: str, **more) -> DataFrame:
@@ -215,33 +263,48 @@ def _convert(df: DataFrame, key: str, text, extension: str, **more) -> DataFrame
     return ops.convert(given, path=None, detected=F.col("detected"), **more).select(key, "title", "markdown")
 
 
-@query(r"""SELECT event_id, '```json' || chr(10) || regexp_replace(regexp_replace(props, '^\{\s*("[^"]*")\s*:\s*', '{' || chr(10) || '    \1: '), '\s*\}$', chr(10) || '}') || chr(10) || '```' AS markdown FROM events""")
+@query(
+    r"""SELECT event_id, '```json' || chr(10) || regexp_replace(regexp_replace(props, '^\{\s*("[^"]*")\s*:\s*', '{' || chr(10) || '    \1: '), '\s*\}$', chr(10) || '}') || chr(10) || '```' AS markdown FROM events"""
+)
 def json_pretty(spark, d):
     return _convert(t(spark, d, "events"), "event_id", F.col("props"), "json").select("event_id", "markdown")
 
 
-@query("SELECT n_nationkey, '| Key | Name | Quote |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ', of region | a \"' || CAST(n_regionkey AS VARCHAR) || '\" |' AS markdown FROM nation")
+@query(
+    "SELECT n_nationkey, '| Key | Name | Quote |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ', of region | a \"' || CAST(n_regionkey AS VARCHAR) || '\" |' AS markdown FROM nation"
+)
 def csv_parse(spark, d):
     """CSV with quotes, doubled quotes and a comma inside them."""
-    source = F.concat(F.lit("Key,Name,Quote\n"), F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit(', of region","a ""'), F.col("n_regionkey").cast("string"), F.lit('"""\n'))
+    source = F.concat(
+        F.lit("Key,Name,Quote\n"), F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit(', of region","a ""'),
+        F.col("n_regionkey").cast("string"), F.lit('"""\n')
+    )
     return _convert(t(spark, d, "nation"), "n_nationkey", source, "csv").select("n_nationkey", "markdown")
 
 
-@query("SELECT r_regionkey, '```xml' || chr(10) || '<region>' || chr(10) || '  <name>' || r_name || '</name>' || chr(10) || '  <key/>' || chr(10) || '</region>' || chr(10) || '```' AS markdown FROM region")
+@query(
+    "SELECT r_regionkey, '```xml' || chr(10) || '<region>' || chr(10) || '  <name>' || r_name || '</name>' || chr(10) || '  <key/>' || chr(10) || '</region>' || chr(10) || '```' AS markdown FROM region"
+)
 def xml_pretty(spark, d):
     source = F.concat(F.lit("<?xml version='1.0'?><region><name>"), F.col("r_name"), F.lit("</name><key/></region>"))
     return _convert(t(spark, d, "region"), "r_regionkey", source, "xml").select("r_regionkey", "markdown")
 
 
-@query("SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&amp;', '&')) AS title FROM pages")
+@query(
+    "SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&amp;', '&')) AS title FROM pages"
+)
 def html_title(spark, d):
     return ops.titles(t(spark, d, "pages").select("page_id", "html")).select("page_id", "title")
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<h1')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(html, '<li><a ')) AS BIGINT) AS items, CAST(len(regexp_extract_all(html, '<a href')) AS BIGINT) AS links FROM pages")
+@query(
+    "SELECT page_id, CAST(len(regexp_extract_all(html, '<h1')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(html, '<li><a ')) AS BIGINT) AS items, CAST(len(regexp_extract_all(html, '<a href')) AS BIGINT) AS links FROM pages"
+)
 def html_nodes(spark, d):
     """Counts over the node table of every page."""
-    parsed = ops.convert(from_column(t(spark, d, "pages"), F.col("html"), "html"), path=None, detected=F.col("detected"), tree=True, markdown=False)
+    parsed = ops.convert(
+        from_column(t(spark, d, "pages"), F.col("html"), "html"), path=None, detected=F.col("detected"), tree=True, markdown=False
+    )
     nodes = ops.node_table(parsed, "page_id")
     count = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
     return nodes.groupBy("page_id").agg(count("heading").alias("headings"), count("list_item").alias("items"), count("link").alias("links"))
@@ -256,9 +319,13 @@ def _unescaped(x: str) -> str:
 
 def _escaped(x: str) -> str:
     """SQL for the text escaped, at the start of a line; it has no line end, and underscores behind letters only within words."""
-    for pattern, to in ((r"([\\*`\[\]])", r"\\\1"), (r"([^\pL\p{Nd}]|^)_", r"\1\\_"), (r"<([\pL/!])", r"\\<\1"), (r"&([\pL\p{Nd}#]{1,9};)", r"\\&\1")):
+    for pattern, to in (
+        (r"([\\*`\[\]])", r"\\\1"), (r"([^\pL\p{Nd}]|^)_", r"\1\\_"), (r"<([\pL/!])", r"\\<\1"), (r"&([\pL\p{Nd}#]{1,9};)", r"\\&\1")
+    ):
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
-    for pattern, to in ((r"^([ \t]*)([#>=])", r"\1\\\2"), (r"^([ \t]*)([-+])(\s|$)", r"\1\\\2\3"), (r"^([ \t]*\p{Nd}+)([.)])([ \n]|$)", r"\1\\\2\3")):
+    for pattern, to in (
+        (r"^([ \t]*)([#>=])", r"\1\\\2"), (r"^([ \t]*)([-+])(\s|$)", r"\1\\\2\3"), (r"^([ \t]*\p{Nd}+)([.)])([ \n]|$)", r"\1\\\2\3")
+    ):
         x = f"regexp_replace({x}, '{pattern}', '{to}')"
     return x
 
@@ -287,13 +354,17 @@ def _pages_sql(**given: str) -> str:
 @query(_pages_sql(base="regexp_extract(url, '^[^/]*//[^/?#]*')", bullet="-", strong="**"))
 def html_to_markdown(spark, d):
     given = t(spark, d, "pages")
-    return ops.convert(from_column(given, F.col("html"), "html"), path=None, detected=F.col("detected"), base_url="url").select("page_id", "title", "markdown")
+    return ops.convert(
+        from_column(given, F.col("html"), "html"), path=None, detected=F.col("detected"), base_url="url"
+    ).select("page_id", "title", "markdown")
 
 
 @query("SELECT page_id, markdown FROM (" + _pages_sql(base="''", bullet="*", strong="__") + ")")
 def render_nodes(spark, d):
     """Parse to node lists, render those: the same Markdown as in one step, with other options."""
-    parsed = ops.convert(from_column(t(spark, d, "pages"), F.col("html"), "html"), path=None, detected=F.col("detected"), tree=True, markdown=False)
+    parsed = ops.convert(
+        from_column(t(spark, d, "pages"), F.col("html"), "html"), path=None, detected=F.col("detected"), tree=True, markdown=False
+    )
     return ops.render(parsed, options=MarkdownOptions(bullet="*", strong_marker="__")).select("page_id", "markdown")
 
 
@@ -349,7 +420,10 @@ def token_similarity(spark, d):
     """Each document against the first of its language."""
     docs = t(spark, d, "documents").select("doc_id", "lang", C.tokens(F.col("text")).alias("x"))
     first = docs.groupBy("lang").agg(F.min_by("x", "doc_id").alias("y"))
-    return docs.join(first, "lang").select("doc_id", C.token_similarity(F.col("y"), F.col("x")).alias("similarity"), F.array_join(C.missing_tokens(F.col("y"), F.col("x")), " ").alias("missing"))
+    return docs.join(first, "lang").select(
+        "doc_id", C.token_similarity(F.col("y"), F.col("x")).alias("similarity"),
+        F.array_join(C.missing_tokens(F.col("y"), F.col("x")), " ").alias("missing")
+    )
 
 
 _ROWS = f"WITH k AS (SELECT DISTINCT lang AS file, source AS engine, unnest({_TOKENS}) AS token FROM documents), n AS (SELECT file, token, count(*) AS engines FROM k GROUP BY 1, 2)"
@@ -381,10 +455,14 @@ SAMPLES = [
 def _sampled(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a sample before and after their text."""
     sample = F.element_at(F.array(*map(F.lit, SAMPLES)), (F.col("doc_id") % len(SAMPLES) + 1).cast("int"))
-    return t(spark, d, "documents").select("doc_id", "lang", "source", F.concat(sample, F.lit("\n"), F.col("text"), F.lit("\n"), sample).alias("md"))
+    return t(spark, d, "documents").select(
+        "doc_id", "lang", "source", F.concat(sample, F.lit("\n"), F.col("text"), F.lit("\n"), sample).alias("md")
+    )
 
 
-_SAMPLED = "s AS (SELECT doc_id, lang, source, x || chr(10) || text || chr(10) || x AS md FROM (SELECT *, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in SAMPLES) + f"][CAST(doc_id % {len(SAMPLES)} + 1 AS INTEGER)] AS x FROM documents))"
+_SAMPLED = "s AS (SELECT doc_id, lang, source, x || chr(10) || text || chr(10) || x AS md FROM (SELECT *, [" + ", ".join(
+    "'" + x.replace("'", "''") + "'" for x in SAMPLES
+) + f"][CAST(doc_id % {len(SAMPLES)} + 1 AS INTEGER)] AS x FROM documents))"
 _COUNTED = r"""c AS (SELECT doc_id, len(regexp_extract_all(md, '(?m)^#{1,6} \S')) AS headings, len(regexp_extract_all(md, '(?m)^\s*(?:[-*+]|\d+\.) \S')) AS list_items,
 len(regexp_extract_all(replace(md, '![', '!' || chr(1)), '\[[^\]]*\]\([^)]*\)')) AS links, len(regexp_extract_all(md, '!\[[^\]]*\]\([^)]*\)')) AS images, len(regexp_extract_all(md, '(?m)^```')) // 2 AS code_fences,
 len(regexp_extract_all(md, '\n{4,}')) AS blank_runs, len(regexp_extract_all(md, '(?m)[ \t]+$')) AS trailing_ws, len(regexp_extract_all(md, '\[\]\(')) AS empty_links,
@@ -403,7 +481,9 @@ def structure_counts(spark, d):
     return _sampled(spark, d).select("doc_id", *[found[c].alias(c) for c in _MEASURES])
 
 
-@query(f"WITH {_SAMPLED}, {_TABLED} SELECT doc_id, coalesce(tables, 0) AS tables, coalesce(table_rows, 0) AS table_rows, coalesce(broken_rows, 0) AS broken_rows FROM s LEFT JOIN t USING (doc_id)")
+@query(
+    f"WITH {_SAMPLED}, {_TABLED} SELECT doc_id, coalesce(tables, 0) AS tables, coalesce(table_rows, 0) AS table_rows, coalesce(broken_rows, 0) AS broken_rows FROM s LEFT JOIN t USING (doc_id)"
+)
 def table_stats(spark, d):
     return corpus.table_stats(_sampled(spark, d), "doc_id", "md")
 
@@ -420,7 +500,11 @@ def _outputs(spark: SparkSession, d: str) -> DataFrame:
     return _sampled(spark, d).select(file.alias("file"), F.col("source").alias("engine"), F.col("md").alias("markdown"))
 
 
-@query(_PER_OUTPUT.replace("{tokens}", _TOKENS.replace("lower(text)", "lower(md)")) + " SELECT engine, count(*) AS files, avg(recall) AS mean_recall, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in corpus.COUNTS) + " FROM m GROUP BY engine")
+@query(
+    _PER_OUTPUT.replace("{tokens}", _TOKENS.replace("lower(text)", "lower(md)")) + " SELECT engine, count(*) AS files, avg(recall) AS mean_recall, " + ", ".join(
+        f"CAST(sum({c}) AS BIGINT) AS {c}" for c in corpus.COUNTS
+    ) + " FROM m GROUP BY engine"
+)
 def engine_totals(spark, d):
     return corpus.totals(corpus.measures(_outputs(spark, d)))
 
@@ -439,14 +523,21 @@ _COMPARED = r"""list_distinct(list_filter(string_split_regex(lower(translate(reg
 _CHROME = "'move to sidebar now' || chr(10) || '* Toggle the menu' || chr(10)"
 
 
-@query(f"WITH a AS (SELECT doc_id, {_COMPARED.replace('{x}', _CHROME + ' || text')} AS r, {_COMPARED.replace('{x}', "left(text, 200) || '—dashed–words'")} AS a FROM documents) SELECT doc_id, CASE WHEN len(r) = 0 THEN 1.0 ELSE len(list_intersect(r, a)) / len(r) END AS similarity, array_to_string(list_slice(list_sort(list_filter(r, lambda t: NOT list_contains(a, t))), 1, 20), ' ') AS missing FROM a WHERE len(r) > 0 AND len(list_intersect(r, a)) < len(r)")
+@query(
+    f"WITH a AS (SELECT doc_id, {_COMPARED.replace('{x}', _CHROME + ' || text')} AS r, {_COMPARED.replace('{x}', "left(text, 200) || '—dashed–words'")} AS a FROM documents) SELECT doc_id, CASE WHEN len(r) = 0 THEN 1.0 ELSE len(list_intersect(r, a)) / len(r) END AS similarity, array_to_string(list_slice(list_sort(list_filter(r, lambda t: NOT list_contains(a, t))), 1, 20), ' ') AS missing FROM a WHERE len(r) > 0 AND len(list_intersect(r, a)) < len(r)"
+)
 def recall_gate(spark, d):
     """The reference's chrome is no loss; words beyond the first 200 characters are."""
-    docs = t(spark, d, "documents").select("doc_id", F.concat(F.lit("move to sidebar now\n* Toggle the menu\n"), F.col("text")).alias("r"), F.concat(F.substring("text", 1, 200), F.lit("—dashed–words")).alias("a"))
+    docs = t(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("move to sidebar now\n* Toggle the menu\n"), F.col("text")).alias("r"),
+        F.concat(F.substring("text", 1, 200), F.lit("—dashed–words")).alias("a")
+    )
     return corpus.recall_gate(docs, "doc_id", "r", "a").withColumn("missing", F.array_join("missing", " "))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'abcd bcde café caféx d' || doc_id || 'words word' ELSE '00hello abcd café caféx d' || doc_id || 'words' END AS tokens FROM documents")
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'abcd bcde café caféx d' || doc_id || 'words word' ELSE '00hello abcd café caféx d' || doc_id || 'words' END AS tokens FROM documents"
+)
 def compared_tokens(spark, d):
     """Escaped bytes of printable ASCII are decoded first, others stay; tracking images and chrome go."""
     case = F.when(F.col("doc_id") % 2 == 0, "a%2zq/bcde A_wo%72d %C3 ![x](y CentralAutoLogin z)\nhide\n").otherwise("say %2000hello all")
@@ -457,16 +548,28 @@ def compared_tokens(spark, d):
 @query("SELECT l_returnflag AS case_name, l_linestatus AS binary_name, min(l_extendedprice) AS best FROM lineitem GROUP BY ALL")
 def best_of(spark, d):
     """The best of all runs, over prices in place of seconds."""
-    return corpus.best_of(t(spark, d, "lineitem").select(F.col("l_returnflag").alias("case_name"), F.col("l_linestatus").alias("binary_name"), "l_extendedprice"), ["case_name", "binary_name"], "l_extendedprice")
+    return corpus.best_of(
+        t(spark, d, "lineitem").select(
+            F.col("l_returnflag").alias("case_name"), F.col("l_linestatus").alias("binary_name"), "l_extendedprice"
+        ),
+        ["case_name", "binary_name"], "l_extendedprice"
+    )
 
 
-@query("SELECT o_custkey AS custkey, arg_min(o_totalprice, o_orderkey) AS cold, min(o_totalprice) FILTER (k > 1) AS warm, greatest(0.0, arg_min(o_totalprice, o_orderkey) - min(o_totalprice) FILTER (k > 1)) AS start_up FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY o_custkey HAVING count(*) > 1 UNION ALL SELECT o_custkey, min(o_totalprice), NULL, NULL FROM orders GROUP BY o_custkey HAVING count(*) = 1")
+@query(
+    "SELECT o_custkey AS custkey, arg_min(o_totalprice, o_orderkey) AS cold, min(o_totalprice) FILTER (k > 1) AS warm, greatest(0.0, arg_min(o_totalprice, o_orderkey) - min(o_totalprice) FILTER (k > 1)) AS start_up FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY o_custkey HAVING count(*) > 1 UNION ALL SELECT o_custkey, min(o_totalprice), NULL, NULL FROM orders GROUP BY o_custkey HAVING count(*) = 1"
+)
 def cold_start(spark, d):
     """First runs against later ones: a customer's orders in place of a case's runs."""
-    return corpus.cold_start(t(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", "o_totalprice"), "custkey", "o_orderkey", "o_totalprice")
+    return corpus.cold_start(
+        t(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", "o_totalprice"), "custkey", "o_orderkey",
+        "o_totalprice"
+    )
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'new' ELSE 'old' END AS output FROM part UNION ALL SELECT -p_partkey, 'new' FROM part WHERE p_size > 45")
+@query(
+    "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'new' ELSE 'old' END AS output FROM part UNION ALL SELECT -p_partkey, 'new' FROM part WHERE p_size > 45"
+)
 def promoted(spark, d):
     """Candidates of the large parts, and of unknown ones, take the champions' places."""
     part = t(spark, d, "part")
@@ -476,11 +579,16 @@ def promoted(spark, d):
 
 @query("SELECT p_partkey, p_retailprice AS convert, p_size AS parse, greatest(0.0, p_retailprice - p_size * 40) AS render FROM part")
 def stage_split(spark, d):
-    found = corpus.stage_split(t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("convert"), (F.col("p_size") * 40.0).alias("parse")), "convert", "parse")
+    found = corpus.stage_split(
+        t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("convert"), (F.col("p_size") * 40.0).alias("parse")),
+        "convert", "parse"
+    )
     return found.withColumn("parse", (F.col("parse") / 40).cast("int"))
 
 
-@query("SELECT l_returnflag AS case_name, min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS champion, min(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS candidate, (min(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) - min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END)) / min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) * 100 AS delta_percent FROM lineitem GROUP BY l_returnflag")
+@query(
+    "SELECT l_returnflag AS case_name, min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS champion, min(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS candidate, (min(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) - min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END)) / min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) * 100 AS delta_percent FROM lineitem GROUP BY l_returnflag"
+)
 def ab_delta(spark, d):
     """The A/B measure, over prices in place of seconds."""
     found = corpus.ab_delta(t(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice", "F", "O")
@@ -500,20 +608,35 @@ def _book(title: str, chapters: list[tuple[str, str]]) -> bytes:
         z.writestr("META-INF/container.xml", "<container><rootfiles><rootfile full-path='OPS/book.opf'/></rootfiles></container>")
         items = "".join(f"<item id='c{i}' href='c{i}.xhtml' media-type='application/xhtml+xml'/>" for i in range(len(chapters)))
         refs = "".join(f"<itemref idref='c{i}'/>" for i in range(len(chapters)))
-        z.writestr("OPS/book.opf", f"<package><metadata><dc:title>{title}</dc:title><dc:language>en</dc:language></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>")
+        z.writestr(
+            "OPS/book.opf",
+            f"<package><metadata><dc:title>{title}</dc:title><dc:language>en</dc:language></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>"
+        )
         for i, (heading, body) in enumerate(chapters):
-            z.writestr(f"OPS/c{i}.xhtml", f"<html><body><h2>{heading}</h2><p>{body.replace('&', '&amp;').replace('<', '&lt;')}</p></body></html>")
+            z.writestr(
+                f"OPS/c{i}.xhtml", f"<html><body><h2>{heading}</h2><p>{body.replace('&', '&amp;').replace('<', '&lt;')}</p></body></html>"
+            )
     return made.getvalue()
 
 
-@query("SELECT n_nationkey, 'epub' AS converter, n_name AS title, '**Title:** ' || n_name || chr(10) || chr(10) || '**Language:** en' || chr(10) || chr(10) || '## One' || chr(10) || chr(10) || '1\\. ' || n_name || ' & \\<b>' || chr(10) || chr(10) || '## Two' || chr(10) || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS markdown FROM nation")
+@query(
+    "SELECT n_nationkey, 'epub' AS converter, n_name AS title, '**Title:** ' || n_name || chr(10) || chr(10) || '**Language:** en' || chr(10) || chr(10) || '## One' || chr(10) || chr(10) || '1\\. ' || n_name || ' & \\<b>' || chr(10) || chr(10) || '## Two' || chr(10) || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS markdown FROM nation"
+)
 def epub_parts(spark, d):
     """Books of two chapters, zipped and converted."""
 
     def run(keys: pa.Array, names: pa.Array) -> pa.Array:
-        return pa.array([_book(n, [("One", f"1. {n} & <b>"), ("Two", "odd" if k % 2 else "even")]) for k, n in zip(keys.to_pylist(), names.to_pylist())], pa.binary())
-
-    rows = t(spark, d, "nation").select("n_nationkey", F.arrow_udf(run, "binary")("n_nationkey", "n_name").alias("content"), F.lit("b.EPUB").alias("path"))
+        return pa.array(
+            [
+                _book(n, [("One", f"1. {n} & <b>"), ("Two", "odd" if k % 2 else "even")]) for k,
+                n in zip(keys.to_pylist(), names.to_pylist())
+            ],
+            pa.binary()
+        )
+
+    rows = t(spark, d, "nation").select(
+        "n_nationkey", F.arrow_udf(run, "binary")("n_nationkey", "n_name").alias("content"), F.lit("b.EPUB").alias("path")
+    )
     return ops.convert(rows).select("n_nationkey", "converter", "title", "markdown")
 
 
@@ -522,13 +645,24 @@ string_agg('## ' || role || CASE WHEN x = '' THEN '' ELSE chr(10) || chr(10) ||
 FROM (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g')) AS x FROM conversations) GROUP BY conv_id""")
 def epub_convert(spark, d):
     """Conversations as EPUB books: zipped, then converted."""
-    turns = t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turns = t(spark, d, "conversations").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    )
     turns = turns.repartition(spark.sparkContext.defaultParallelism)  # small rows, much work in each
 
     def book(ids: pa.Array, lists: pa.Array) -> pa.Array:
-        return pa.array([_book(f"Conversation {key}", [(p["role"], p["text"] or "") for p in parts]) for key, parts in zip(ids.to_pylist(), lists.to_pylist())], pa.binary())
-
-    books = turns.select("conv_id", F.arrow_udf(book, "binary")("conv_id", "turns").alias("content"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".epub")).alias("path"))
+        return pa.array(
+            [
+                _book(f"Conversation {key}", [(p["role"], p["text"] or "") for p in parts]) for key,
+                parts in zip(ids.to_pylist(), lists.to_pylist())
+            ],
+            pa.binary()
+        )
+
+    books = turns.select(
+        "conv_id", F.arrow_udf(book, "binary")("conv_id", "turns").alias("content"),
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".epub")).alias("path")
+    )
     return ops.convert(books).select("conv_id", "converter", "title", "markdown")
 
 

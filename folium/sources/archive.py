@@ -68,7 +68,9 @@ class ZipArchive:
 
 
 #: Fixed value: package metadata in the order it is shown, with its labels.
-FIELDS = (("title", "Title"), ("creator", "Authors"), ("language", "Language"), ("description", "Description"), ("identifier", "Identifier"))
+FIELDS = (
+    ("title", "Title"), ("creator", "Authors"), ("language", "Language"), ("description", "Description"), ("identifier", "Identifier")
+)
 
 
 def _first(root: Element, *tags: str) -> Element | None:
@@ -85,7 +87,11 @@ def chapters(data: bytes) -> tuple[dict[str, str], list[str]]:
     if not package:
         return {}, []
     # meta, link and item elements close themselves in XML; the tree then doesn't nest them
-    root = parse(re.sub(r"<([\w:.-]+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/>", r"<\1\2></\1>", package).replace("<title", "<dc:title").replace("</title", "</dc:title")).root
+    root = parse(
+        re.sub(
+            r"<([\w:.-]+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/>", r"<\1\2></\1>", package
+        ).replace("<title", "<dc:title").replace("</title", "</dc:title")
+    ).root
     meta = {}
     for name, _ in FIELDS:
         if (e := _first(root, f"dc:{name}")) is not None and (value := " ".join(e.text().split())):

@@ -14,13 +14,17 @@ def read_documents(spark: SparkSession, path: str | list[str], glob: str | None
 
 def from_column(df: DataFrame, text: Column, extension: str) -> DataFrame:
     """df with content (UTF-8) and detected, for text of a known format."""
-    detected = F.struct(F.lit(None).cast("string").alias("mimetype"), F.lit(extension).alias("extension"), F.lit(None).cast("string").alias("filename"))
+    detected = F.struct(
+        F.lit(None).cast("string").alias("mimetype"), F.lit(extension).alias("extension"), F.lit(None).cast("string").alias("filename")
+    )
     return df.withColumn("content", F.encode(text, "UTF-8")).withColumn("detected", detected)
 
 
 def write_markdown(df: DataFrame, path: str, mode: str = "errorifexists", format: str = "parquet") -> None:
     """Paths with their Markdown: as Parquet, or as text, where each document has a folder named by its path with the Markdown in a file."""
     if format == "text":
-        df.where("markdown is not null").select(F.col("path").alias("document"), F.col("markdown").alias("value")).write.mode(mode).partitionBy("document").text(path)
+        df.where("markdown is not null").select(
+            F.col("path").alias("document"), F.col("markdown").alias("value")
+        ).write.mode(mode).partitionBy("document").text(path)
     else:
         df.select("path", "markdown", "title", "error").write.mode(mode).parquet(path)

@@ -8,7 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folium.operators.convert import convert
 
-FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+FILES = T.StructType(
+    [
+        T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType())
+    ]
+)
 
 
 def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
