@@ -63,12 +63,11 @@ def fill(nodes: DataFrame, parent: list[str], node: str) -> DataFrame:
 def budgets(tokens: DataFrame, share: float, weights: Weights, max_epochs: int) -> DataFrame:
     """tokens (domain, lang, source, t, n of its leaves) with budget, of the leaves that have any. Everything is a window over the nodes of a level: nothing goes to the driver."""
     leaves = tokens.withColumn("cap", F.col("t") * max_epochs)
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
-    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("root", F.lit(0))
-    total = leaves.agg(
-        F.floor(F.coalesce(F.sum("t"), F.lit(0)) * F.lit(float(share))).cast("long").alias("budget")
-    ).withColumn("root", F.lit(0))
-    level = domains.join(F.broadcast(total), "root").withColumn("weight", _weight_of("domain", weights.domain))  # total is one row
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("t").alias("t"))
+    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("t").alias("t")).withColumn("root", F.lit(0))
+    total = F.sum("t").over(Window.partitionBy("root"))
+    level = domains.withColumn("budget", F.floor(total * float(share)).cast("long"))
+    level = level.withColumn("weight", _weight_of("domain", weights.domain))
     level = fill(level, ["root"], "domain").select("domain", F.col("share").alias("budget"))
     level = fill(
         langs.join(level, "domain").withColumn("weight", _weight_of("lang", weights.lang)), ["domain"], "lang"
