@@ -319,9 +319,10 @@ def _in_blocks(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
     large: c, n, key, count, bands, small (whether the bucket of each band is); sets: c, set. A bucket is cut into parts and each two parts make a block,
     so that every pair of the bucket meets, however large it is, and no task holds more than two parts."""
-    wide = large.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES)).alias("parts"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES))
+    wide = stored(large.groupBy("key").agg(parts.alias("parts")), "wide")
     # sets join once for each text, not once for each of its buckets
-    places = large.select("c", "key", "bands", "small").join(wide, "key").groupBy("c").agg(
+    places = large.select("c", "key", "bands", "small").join(with_size(wide), "key").groupBy("c").agg(
         F.first("bands").alias("bands"), F.first("small").alias("small"), F.collect_list(F.struct("key", "parts")).alias("places")
     )
     each = places.join(sets, "c").select("c", "bands", "small", "set", F.explode("places").alias("p")).select(
