@@ -153,7 +153,8 @@ DROPPED = frozenset("script style noscript template".split())
 LINES = frozenset(
     "p div h1 h2 h3 h4 h5 h6 ul ol li table tr article section header footer nav main aside blockquote pre dl dt dd form body figure figcaption br hr".split()
 )
-_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"<(?:(!--)|(/?[a-zA-Z][^\s/>]*)([^>]*)>|[/!?][^>]*>)")
+_CLOSE = {tag: re.compile(f"</{tag}", re.I) for tag in DROPPED}
 _HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _BLANKS = re.compile(r"[ \t\r\n\f\v]+")
 
@@ -163,44 +164,33 @@ def _plain(parts: list[str]) -> str:
 
 
 def pieces(page: str) -> Iterator[tuple[str, str]]:
-    """("", text) and (name, what stands in the tag) of a page in one pass: no character is looked at twice for a mark that is not there."""
-    at, low = 0, None
+    """("", text) and (name, what stands in the tag) of a page in one pass.
+
+    Tags are looked for up to the last ``>`` only, so that each that begins also ends: no character is passed over twice for a mark that never comes."""
+    at, end = 0, page.rfind(">") + 1
     while True:
-        start = page.find("<", at)
-        if start < 0:
-            yield "", page[at:]
+        jump = -1
+        for m in _MARK.finditer(page, at, end):
+            if m.start() > at:
+                yield "", page[at : m.start()]
+            at = m.end()
+            if m[1]:
+                jump = page.find("-->", at) + 3
+                break
+            if m[2]:
+                tag = m[2].lower()
+                if tag in DROPPED:
+                    close = _CLOSE[tag].search(page, at)
+                    jump = page.find(">", close.end()) + 1 if close else 0
+                    break
+                yield tag, m[3]
+        if jump < 0:
+            comment = page.find("<!--", at)
+            yield "", page[at:] if comment < 0 else page[at:comment]
             return
-        yield "", page[at:start]
-        if page.startswith("<!--", start):
-            at = page.find("-->", start + 4) + 3
-            if at < 3:
-                return
-            continue
-        end = page.find(">", start)
-        if end < 0:
-            yield "", page[start:]
+        if jump < 3 or jump > len(page):  # what is dropped ends with the page
             return
-        if not page[start + 1].isalpha() and page[start + 1] not in "/!?":
-            yield "", "<"
-            at = start + 1
-            continue
-        name = _NAME.match(page, start + 1, end)
-        at = end + 1
-        if name is None:
-            continue
-        tag = name[1].lower()
-        opens = page[start + 1] != "/"
-        if opens and tag in DROPPED:
-            low = low if low is not None else page.translate(_LOWER)
-            close = low.find(f"</{tag}", at)
-            at = low.find(">", close) + 1 if close >= 0 else 0
-            if not at:
-                return
-            continue
-        yield tag if opens else "/" + tag, page[name.end() : end]
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+        at = jump
 
 
 def extract(page: str) -> tuple[str, list[str], str]:
