@@ -245,8 +245,7 @@ def table_stats(md: Column) -> Column:
             ).alias("columns"),
         )
 
-    found = F.aggregate(rows, start, step)
-    return F.struct(*[found[c].alias(c) for c in ("tables", "table_rows", "broken_rows")])
+    return F.aggregate(rows, start, step, lambda a: F.struct(*[a[c].alias(c) for c in ("tables", "table_rows", "broken_rows")]))
 
 
 def structure(md: Column) -> dict[str, Column]:

@@ -88,21 +88,20 @@ def _listed(df: DataFrame, shown: dict[str, str]) -> Column:
 
 
 def report(measured: DataFrame) -> DataFrame:
-    """section, markdown: a table of engines for each file, and ``Totals``. An engine is a row, so a section is as short as the list of engines."""
+    """section, markdown, last (1 for the totals): a table of engines for each file, and ``Totals``. An engine is a row, so a section is as short as the list of engines."""
     files = measured.groupBy("file").agg(_listed(measured, PER_FILE).alias("table")).select(
         F.col("file").cast("string").alias("section"), "table", F.lit(0).alias("last")
     )
     whole = totals(measured)
     total = whole.agg(_listed(whole, IN_TOTAL).alias("table")).select(F.lit("Totals").alias("section"), "table", F.lit(1).alias("last"))
     both = files.unionByName(total)
-    return both.select(
-        "section", F.concat(F.lit("## "), "section", F.lit("\n\n"), "table").alias("markdown"), "last"
-    ).orderBy("last", "section").drop("last")
+    return both.select("section", F.concat(F.lit("## "), "section", F.lit("\n\n"), "table").alias("markdown"), "last")
 
 
 def write_report(measured: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The report as text files, in order."""
-    report(measured).select(F.concat("markdown", F.lit("\n")).alias("value")).write.mode(mode).text(path)
+    """The report as text files, in order: the files' sections, then the totals."""
+    rows = report(measured).orderBy("last", "section")
+    rows.select(F.concat("markdown", F.lit("\n")).alias("value")).write.mode(mode).text(path)
 
 
 def recall_gate(df: DataFrame, key: str, reference: str, actual: str, least: float = 1.0) -> DataFrame:

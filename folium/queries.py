@@ -516,7 +516,7 @@ UNION ALL SELECT 'Totals', string_agg('| ' || engine || ' | ' || files || ' | '
 SELECT section, '## ' || section || chr(10) || chr(10) || head || chr(10) || x AS markdown FROM u""")
 def corpus_report(spark, d):
     """The report's sections: engines per file, and their totals."""
-    return corpus.report(corpus.measures(_outputs(spark, d)))
+    return corpus.report(corpus.measures(_outputs(spark, d))).drop("last")
 
 
 _COMPARED = r"""list_distinct(list_filter(string_split_regex(lower(translate(regexp_replace(regexp_replace(regexp_replace({x}, '[–—]', '-', 'g'), '(?m)^.*move to sidebar.*$', '', 'g'), '(?m)^[*\s]*Toggle\b.*$', '', 'g'), chr(160), ' ')), '[\s!\x22#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]+'), lambda t: length(t) > 3))"""
