@@ -486,8 +486,8 @@ def test_quality_against_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     labelled = docs.join(labels, "doc_id", "left_semi")
     rows = quality.filter_quality(labelled).join(labels, "doc_id").select("kept", "quality", "toxic").collect()
-    good = [r["kept"] for r in rows if r["quality"] == 1]
-    assert len(rows) > 300 and sum(good) >= 0.95 * len(good)
+    good, junk = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(rows) > 300 and sum(good) >= 0.95 * len(good) and sum(junk) <= 0.01 * len(junk)
 
 
 def test_repeated_words_survive_equal_hashes(monkeypatch):
