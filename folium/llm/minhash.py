@@ -314,17 +314,12 @@ def _linked(
     return links, np.array([find(i) for i in range(len(c))], np.int64)
 
 
-def _in_blocks(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _in_blocks(places: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """u, v, links: of each member that has links in a block, another of its component there (or itself) and their number.
 
-    large: c, n, key, count, bands, small (whether the bucket of each band is); sets: c, set. A bucket is cut into parts and each two parts make a block,
-    so that every pair of the bucket meets, however large it is, and no task holds more than two parts."""
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES))
-    wide = stored(large.groupBy("key").agg(parts.alias("parts")), "wide")
-    # sets join once for each text, not once for each of its buckets
-    places = large.select("c", "key", "bands", "small").join(with_size(wide), "key").groupBy("c").agg(
-        F.first("bands").alias("bands"), F.first("small").alias("small"), F.collect_list(F.struct("key", "parts")).alias("places")
-    )
+    places: c, bands, small (whether the bucket of each band is), places (key and parts of each larger bucket that it is in), one row for each text;
+    sets: c, set. A bucket is cut into parts and each two parts make a block, so that every pair of the bucket meets, however large it is,
+    and no task holds more than two parts."""
     each = places.join(sets, "c").select("c", "bands", "small", "set", F.explode("places").alias("p")).select(
         "c", "bands", "small", "set", F.col("p.key").alias("key"), F.pmod(F.xxhash64("c"), F.col("p.parts")).alias("part"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.parts") - 1)).alias("other")
@@ -366,7 +361,8 @@ def _grouped(docs: DataFrame, key: str, text: str, threshold: float, size: int,
     )
     reps = stored(reps.select("one", "two", "class_id", "r.*", F.monotonically_increasing_id().alias("c")), "classes")
     band = reps.select("c", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = band.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES))
+    sizes = band.groupBy("key").agg(F.count(F.lit(1)).alias("count"), parts.alias("parts")).where("count > 1")
     members = stored(band.join(sizes, "key"), "members")
     few = F.col("count") <= NEAR + 1
     alike = F.col("x") >= threshold * F.col("y") - 1e-9
@@ -376,14 +372,14 @@ def _grouped(docs: DataFrame, key: str, text: str, threshold: float, size: int,
     texts = _source(docs, key, text).join(with_size(chosen), ["h1", "h2"]).dropDuplicates(["c"])
     sets = stored(shingle_sets(texts, size), "sets")
     links = stored(_verified(tried, sets, threshold), "links")
-    # of each member of a larger bucket: all its bands, and which of them are in small buckets
-    bits = members.where(~few).select("c").distinct().join(members, "c").groupBy("c").agg(
-        F.collect_set(F.when(few, F.col("band"))).alias("few")
-    )
-    bits = bits.join(reps.select("c", "bands"), "c").select(
-        "c", "bands", F.transform("bands", lambda x, i: F.array_contains("few", i)).alias("small")
+    # one row for each member of larger buckets, with these and its bands of small ones: joins take texts, not their places in buckets
+    places = members.groupBy("c").agg(
+        F.collect_set(F.when(few, F.col("band"))).alias("few"), F.collect_list(F.when(~few, F.struct("key", "parts"))).alias("places")
+    ).where(F.size("places") > 0)
+    places = places.join(reps.select("c", "bands"), "c").select(
+        "c", "bands", F.transform("bands", lambda x, i: F.array_contains("few", i)).alias("small"), "places"
     )
-    blocks = stored(_in_blocks(members.where(~few).join(bits, "c"), sets, threshold), "blocks")
+    blocks = stored(_in_blocks(places, sets, threshold), "blocks")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(blocks.select("u", "v")))
     counts = links.select(F.explode(F.array("a", "b")).alias("c"), F.lit(1).cast("long").alias("links")).union(blocks.select("u", "links"))
     degree = counts.groupBy("c").agg(F.sum("links").alias("links"))

@@ -712,6 +712,30 @@ def test_near_duplicates_count_all_links(spark, monkeypatch):
     assert max(want.values()) > 50 and {r["class_id"]: r["links"] for r in rows} == dict(want)
 
 
+def rows_of_joins(spark, done, keys):
+    """Rows that the inner joins by keys have made in the executions after the first `done`."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    for x in list(each(store.executionsList()))[done:]:
+        found = store.executionMetrics(x.executionId())
+        for node in each(store.planGraph(x.executionId()).allNodes()):
+            if "Join" in node.name() and re.search(rf"\[{keys}#\d+L?\], \[{keys}#\d+L?\], Inner", node.desc()):
+                values = [found.get(m.accumulatorId()) for m in each(node.metrics()) if m.name() == "number of output rows"]
+                total += sum(int(v.get().replace(",", "")) for v in values if v.isDefined())
+    return total
+
+
+def test_near_duplicates_join_texts_not_their_buckets(spark):
+    base, docs = words(33, 150), []
+    for i in range(300):
+        docs.append((i, " ".join([*base[: i % 150], f"v{i}", *base[i % 150 + 1 :]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    done = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = minhash.near_duplicates(df).collect()
+    assert {r["group_id"] for r in got} == {0} and min(r["links"] for r in got) == 299
+    assert 0 < rows_of_joins(spark, done, "c") <= 2 * len(docs)
+
+
 def test_near_duplicates_null_and_shared_ids(spark):
     import corpus_pipeline
 
