@@ -101,31 +101,35 @@ def kneser_ney(counts: dict[str, int], order: int) -> CharModel:
 def witten_bell(counts: dict[str, int], order: int, least: int = 2) -> CharModel:
     """Variable-order Markov model: raw counts at every order, Witten-Bell weights, and no context seen under `least` times,
     so that the order used at a position is that of the longest context known well enough."""
-    levels: list[Counter] = [Counter() for _ in range(order)]
-    for g, c in counts.items():
-        for k in range(order):
-            levels[k][g[order - 1 - k :]] += c
-    probs: dict[str, float] = {}
+    return witten_bell_of(code_points("".join(counts)).reshape(-1, order), np.fromiter(counts.values(), np.int64, len(counts)), least)
+
+
+def witten_bell_of(codes: np.ndarray, counts: np.ndarray, least: int = 2) -> CharModel:
+    """witten_bell of full-order n-grams as rows of code points, and their counts."""
+    order = codes.shape[1]
+    # hashes of each row's last k + 1 characters, and of the k before the last one
+    gram, before = np.zeros(len(codes), np.uint64), np.zeros(len(codes), np.uint64)
+    lower = np.full(len(codes), 1 / ALPHABET)
     grams, contexts, floor = [], [], -math.log(ALPHABET)
-    for k, level in enumerate(levels):
-        totals, types = defaultdict(int), defaultdict(int)
-        for g, c in level.items():
-            totals[g[:-1]] += c
-            types[g[:-1]] += 1
-        weight = {h: types[h] / (totals[h] + types[h]) for h in totals if k == 0 or totals[h] >= least}
-        lower = probs
-        if k == 0:
-            share = weight.get("", 1.0) / ALPHABET
-            floor = math.log(share)
-            probs = {g: c / (totals[""] + types[""]) + share for g, c in level.items()}
-            contexts.append((np.zeros(0, np.uint64), np.zeros(0)))
+    for k in range(order):
+        code = codes[:, order - 1 - k].astype(np.uint64)
+        gram = gram + code * POWERS[k]
+        before = before + code * POWERS[k - 1] if k else before
+        keys, first, of = np.unique(gram, return_index=True, return_inverse=True)
+        n = np.bincount(of, weights=counts, minlength=len(keys))
+        histories, history = np.unique(before[first], return_inverse=True)
+        types = np.bincount(history, minlength=len(histories))
+        total = np.bincount(history, weights=n, minlength=len(histories)) + types
+        known = total - types >= (least if k else 0)
+        weight = np.where(known, types / total, 1.0)
+        probs = np.where(known[history], n / total[history], 0.0) + weight[history] * lower[first]
+        if k:
+            contexts.append((histories[known], np.log(weight[known])))
         else:
-            probs = {
-                g: (c / (totals[g[:-1]] + types[g[:-1]]) if g[:-1] in weight else 0.0) + weight.get(g[:-1], 1.0) * lower[g[1:]] for g,
-                c in level.items()
-            }
-            contexts.append(_arrays({h: math.log(w) for h, w in weight.items()}))
-        grams.append(_arrays({g: math.log(p) for g, p in probs.items()}))
+            floor = math.log((weight[0] if len(weight) else 1.0) / ALPHABET)
+            contexts.append((np.zeros(0, np.uint64), np.zeros(0)))
+        grams.append((keys, np.log(probs)))
+        lower = probs[of]
     return CharModel(order, grams, contexts, floor)
 
 
@@ -153,9 +157,9 @@ def word_scores(models: list[CharModel], words: list[str]) -> tuple[np.ndarray,
     return np.add.reduceat(known[inverse], offsets, axis=0), lengths
 
 
-def count_grams(words: Counter, order: int) -> Counter:
-    """Counts of full-order n-grams over padded words with their numbers."""
-    pad, out = " " * (order - 1), Counter()
+def count_grams(words: dict[str, int], order: int, out: Counter | None = None) -> Counter:
+    """Counts of full-order n-grams over padded words with their numbers, added to out."""
+    pad, out = " " * (order - 1), Counter() if out is None else out
     for w, n in words.items():
         s = f"{pad}{w} "
         for i in range(len(w) + 1):
