@@ -179,7 +179,8 @@ class Shard:
         first = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1]))) if len(entry) else np.zeros(0, np.int64)
         self.entry_window = place[first] // WINDOW
         self.entry_max = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
-        self.entry_places, self.entry_impacts = np.split(place % WINDOW, first[1:]), np.split(impact, first[1:])
+        self.entry_start, self.entry_end = first, np.append(first[1:], len(place))
+        self.places, self.impacts = (place % WINDOW).astype(np.int32), impact
         bounds = np.searchsorted(of[first], np.arange(int((~long).sum()) + 1))
         self.list_start, self.list_end = np.zeros(len(idf), np.int64), np.zeros(len(idf), np.int64)
         self.list_start[code[~long]], self.list_end[code[~long]] = bounds[:-1], bounds[1:]
@@ -214,19 +215,19 @@ class Shard:
             if not len(ahead):
                 return best_ids, best
             at += int(ahead[0])  # the pivot window: none before it can hold a result, and no posting before it is read
-            now, times_now = entries[cursor[at] : cursor[at + 1]].tolist(), often[cursor[at] : cursor[at + 1]]
+            now, times_now = entries[cursor[at] : cursor[at + 1]], often[cursor[at] : cursor[at + 1]]
             score = np.zeros(WINDOW)
-            if now:
-                given = [self.entry_impacts[e] for e in now]
-                for i in np.flatnonzero(times_now != 1).tolist():
-                    given[i] = given[i] * times_now[i]
-                score = np.bincount(np.concatenate([self.entry_places[e] for e in now]), weights=np.concatenate(given), minlength=WINDOW)
+            if len(now):
+                starts, ends = self.entry_start[now], self.entry_end[now]
+                postings = spans(starts, ends)
+                given = self.impacts[postings] * np.repeat(times_now, ends - starts)
+                score = np.bincount(self.places[postings], weights=given, minlength=WINDOW)
             upper = (score.reshape(-1, BLOCK) + by_block[at][:, None]).ravel()
             pivots = np.flatnonzero((upper > 0) & (upper >= threshold - NEAR))
             low = at * WINDOW
             while len(pivots):
                 some = pivots
-                if len(pivots) > FEW and len(best) < k:  # the most promising ones set a threshold for the others
+                if len(pivots) > FEW and threshold <= 0:  # the most promising ones set a threshold for the others
                     some = pivots[np.argpartition(-upper[pivots], FEW)[:FEW]]
                 found = np.round(score[some] + self.table[low + some] @ weight, 6)
                 keep = np.flatnonzero((found > 0) & (found >= threshold - NEAR))

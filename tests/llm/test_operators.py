@@ -258,6 +258,23 @@ def test_search_odd(spark):
     assert search.search(only, F.lit(True)).count() == 0
 
 
+def test_search_scores_what_passes_a_floor_at_once(monkeypatch):
+    r, n = random.Random(8), 4000
+    bags = [[f"w{j}" for j in range(12) for _ in range(r.choice((0, 1, 1, 2, 9)))] for _ in range(n)]
+    flat, lengths = [w for bag in bags for w in bag], np.array([len(bag) for bag in bags])
+    row = search.shard_row(np.arange(n), lengths, pa.chunked_array([pa.array(flat)]))
+    shard = search.Shard(row, {f"w{j}": j for j in range(12)}, np.ones(12), lengths.mean())
+    terms, times = np.arange(12), np.ones(12)
+    weight = shard.weights([(terms, times)])[0]
+    ids, scores = shard.top(terms, times, weight, shard.block_max @ weight, 10)
+    rounds, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: rounds.append(len(keys[0])) or lexsort(keys))
+    # three of the shard's documents reach the floor: there are no ten that could raise it, and no more than one round is needed
+    found, known = shard.top(terms, times, weight, shard.block_max @ weight, 10, (scores[2] + scores[3]) / 2)
+    assert found.tolist() == ids[:3].tolist() and known.tolist() == scores[:3].tolist()
+    assert scores[2] > scores[3] and len(rounds) == 1
+
+
 # -- 4 mixing
 def fill_by_hand(budget, children):
     """Split budget among children (weight, capacity) by weight; again and again, those that cannot take their part are filled and leave."""
