@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import language_id, line_dedup, minhash, mixing, packing, pii, quality, search, url_filter, warc
+from folium.llm import decontaminate, language_id, line_dedup, minhash, mixing, packing, pii, quality, search, url_filter, warc
 from folium.llm.common import table
 
 #: The key of the pseudonyms; a deployment passes its own.
@@ -93,10 +93,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_dedup, op2_pii, op3_search, op4_mix, op5_pack, op6_quality, op7_url_filter, op8_warc, op9_near_dedup, op10_language
+        op1_line_dedup, op2_pii, op3_search, op4_mix, op5_pack, op6_quality, op7_url_filter, op8_warc, op9_near_dedup, op10_language, op11_decontaminate
     )
 }
-#: None of these is expressible in SQL: they are tested against brute force, round trips and held-out rows in tests/llm.
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ip AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM ip),
+lengths AS (SELECT DISTINCT n FROM iw),
+dp AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lengths WHERE len(w) >= n),
+m AS (SELECT r, p, n, item_id FROM (SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM dp) JOIN iw USING (n, g)),
+h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
+s AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)"""
+#: The others can't be expressed in SQL: they are tested against brute force, round trips and held-out rows in tests/llm.
+ORACLES: dict[str, str] = {"op11_decontaminate": _OP11}
