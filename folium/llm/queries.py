@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import decontaminate, language_id, line_dedup, minhash, mixing, packing, pii, quality, search, url_filter, warc
+from folium.llm import decontaminate, divergence, language_id, line_dedup, minhash, mixing, packing, pii, quality, search, url_filter, warc, whitening
 from folium.llm.common import table
 
 #: The key of the pseudonyms; a deployment passes its own.
@@ -98,9 +98,18 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_dedup, op2_pii, op3_search, op4_mix, op5_pack, op6_quality, op7_url_filter, op8_warc, op9_near_dedup, op10_language, op11_decontaminate
+        op1_line_dedup, op2_pii, op3_search, op4_mix, op5_pack, op6_quality, op7_url_filter, op8_warc, op9_near_dedup, op10_language, op11_decontaminate,
+        op12_divergence, op13_whitening
     )
 }
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,5 +125,20 @@ h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT r, unnest(range
 s AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)"""
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+kept AS (SELECT lang, t FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, t, count(*) AS n FROM w JOIN kept USING (lang, t) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+dense AS (SELECT g.lang, g.source, kept.t, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = kept.t),
+p AS (SELECT lang, source, t, n, CAST(1 + (1000000000 * (CAST(n AS HUGEINT) + 1)) // sum(n + 1) OVER (PARTITION BY lang, source) AS BIGINT) AS p FROM dense),
+whole AS (SELECT lang, t, sum(n) AS n FROM dense GROUP BY ALL),
+q AS (SELECT lang, t, CAST(1 + (1000000000 * (CAST(n AS HUGEINT) + 1)) // sum(n + 1) OVER (PARTITION BY lang) AS BIGINT) AS q FROM whole),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+scored AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+ UNION ALL SELECT lang, source, 'term', t, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM scored)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
 #: The others can't be expressed in SQL: they are tested against brute force, round trips and held-out rows in tests/llm.
-ORACLES: dict[str, str] = {"op11_decontaminate": _OP11}
+ORACLES: dict[str, str] = {"op11_decontaminate": _OP11, "op12_divergence": _OP12}
