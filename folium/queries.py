@@ -6,17 +6,19 @@ import base64
 import io
 import zipfile
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium import cases
 from folium.functions import columns as C
 from folium.functions.png import encode_png
-from folium.model import Document, MarkdownOptions, node
+from folium.model import NODE, Document, MarkdownOptions, node
 from folium.operators import convert as ops
 from folium.operators import corpus
+from folium.operators.fold import fold
 from folium.parsers import plain
 from folium.plans.registry import Converter, Registry
 from folium.render import render
@@ -361,11 +363,57 @@ def html_to_markdown(spark, d):
 
 @query("SELECT page_id, markdown FROM (" + _pages_sql(base="''", bullet="*", strong="__") + ")")
 def render_nodes(spark, d):
-    """Parse to node lists, render those: the same Markdown as in one step, with other options."""
+    """Parse to the node table, fold that: the same Markdown as in one step, with other options."""
     parsed = ops.convert(
         from_column(t(spark, d, "pages"), F.col("html"), "html"), path=None, detected=F.col("detected"), tree=True, markdown=False
     )
-    return ops.render(parsed, options=MarkdownOptions(bullet="*", strong_marker="__")).select("page_id", "markdown")
+    return fold(ops.node_table(parsed, "page_id"), "page_id", MarkdownOptions(bullet="*", strong_marker="__"))
+
+
+def _nodes(rows: DataFrame, kind: str, node_id, parent_id, depth: int, ordinal, slot: str, **fields) -> DataFrame:
+    """Nodes of one kind, a row each: custkey and the fields of NODE."""
+    own = {"node_id": node_id, "parent_id": parent_id, "depth": F.lit(depth), "ordinal": ordinal, "slot": F.lit(slot), "kind": F.lit(kind)} | fields
+    return rows.select("custkey", *[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NODE.fields])
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+l AS (SELECT l_orderkey AS k, count(*) AS n, string_agg('    - line ' || l_linenumber || ': **' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '** of part ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey, l_quantity) AS md FROM lineitem GROUP BY l_orderkey),
+items AS (SELECT c, string_agg(i || '. > ' || s || ', ' || regexp_replace(p, '^([0-9]+)([.)])( |$)', '\\1\\\\\\2\\3') || coalesce(chr(10) || chr(10) || replace(md, '    - ', CASE WHEN i < 10 THEN '   - ' ELSE '    - ' END), ''), chr(10) ORDER BY i) AS md,
+ string_agg('| ' || k || ' | ' || coalesce(n, 0) || ' |', chr(10) ORDER BY i) AS rows FROM o LEFT JOIN l USING (k) GROUP BY c)
+SELECT c AS custkey, '## Customer ' || c || chr(10) || chr(10) || md || chr(10) || chr(10) || '| Order | Lines |' || chr(10) || '| --: | --- |' || chr(10) || rows AS markdown FROM items""")
+def fold_orders(spark, d):
+    """A document for each customer, as nodes made from tables: a heading, a list of quotes and lists, a table. No Python runs anywhere in it."""
+    o = t(spark, d, "orders").select(
+        F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("k"), "o_orderstatus", "o_orderpriority",
+        F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("i")
+    )
+    li = t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("k"), "l_linenumber", F.col("l_quantity").cast("long").alias("q"), "l_partkey",
+        F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")).alias("j")
+    )
+    counts = li.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    lines = li.join(o.select("custkey", "k", "i"), "k")
+    c, i, j = o.select("custkey").distinct(), F.col("i"), F.col("j")
+    # numbers of a document's nodes: 0 to 9 for it, then 1000 for each order, of which ten for each line
+    at, line = i * 1000, i * 1000 + 10 + j * 10
+    cells = o.join(counts, "k", "left").select("custkey", "i", F.posexplode(F.array(F.col("k").cast("string"), F.coalesce("n", F.lit(0)).cast("string"))))
+    parts = [
+        _nodes(c, "heading", F.lit(0), F.lit(-1), 0, F.lit(0), "block", level=F.lit(2)), _nodes(c, "list", F.lit(1), F.lit(-1), 0, F.lit(1), "block", ordered=F.lit(True), start=F.lit(1)),
+        _nodes(c, "table", F.lit(2), F.lit(-1), 0, F.lit(2), "block", alignments=F.array(F.lit("RIGHT"))),
+        _nodes(c, "text", F.lit(3), F.lit(0), 1, F.lit(0), "inline", text=F.concat(F.lit("Customer "), F.col("custkey").cast("string"))),
+        *[_nodes(c, "table_cell", F.lit(4 + k), F.lit(2), 1, F.lit(k), "header", text=F.lit(x)) for k, x in enumerate(("Order", "Lines"))],
+        _nodes(o, "list_item", at, F.lit(1), 1, i, "item"), _nodes(o, "block_quote", at + 1, at, 2, F.lit(0), "block"), _nodes(o, "paragraph", at + 2, at + 1, 3, F.lit(0), "block"),
+        _nodes(o, "text", at + 3, at + 2, 4, F.lit(0), "inline", text=F.concat("o_orderstatus", F.lit(", "))),
+        _nodes(o, "text", at + 4, at + 2, 4, F.lit(1), "inline", text=F.col("o_orderpriority")),
+        _nodes(o.join(counts, "k", "left_semi"), "list", at + 5, at, 2, F.lit(1), "block"),
+        _nodes(o, "table_row", at + 6, F.lit(2), 1, i, "row"), _nodes(cells, "table_cell", at + 7 + F.col("pos"), at + 6, 2, F.col("pos"), "cell", text=F.col("col")),
+        _nodes(lines, "list_item", line, at + 5, 3, j, "item"), _nodes(lines, "paragraph", line + 1, line, 4, F.lit(0), "block"),
+        _nodes(lines, "text", line + 2, line + 1, 5, F.lit(0), "inline", text=F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(": "))),
+        _nodes(lines, "strong", line + 3, line + 1, 5, F.lit(1), "inline"), _nodes(lines, "text", line + 4, line + 3, 6, F.lit(0), "inline", text=F.col("q").cast("string")),
+        _nodes(lines, "text", line + 5, line + 1, 5, F.lit(2), "inline", text=F.concat(F.lit(" of part "), F.col("l_partkey").cast("string")))
+    ]
+    return fold(reduce(DataFrame.unionAll, parts), "custkey")
 
 
 @query("""
@@ -377,6 +425,52 @@ def paragraphs(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(found, "\n\n").alias("paragraphs")).where("paragraphs <> ''")
 
 
+def _nodes(rows: DataFrame, kind: str, node_id, parent_id, depth: int, ordinal, slot: str, **fields) -> DataFrame:
+    """Nodes of one kind, a row each: custkey and the fields of NODE."""
+    own = {"node_id": node_id, "parent_id": parent_id, "depth": F.lit(depth), "ordinal": ordinal, "slot": F.lit(slot), "kind": F.lit(kind)} | fields
+    return rows.select("custkey", *[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NODE.fields])
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+l AS (SELECT l_orderkey AS k, count(*) AS n, string_agg('    - line ' || l_linenumber || ': **' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '** of part ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey, l_quantity) AS md FROM lineitem GROUP BY l_orderkey),
+items AS (SELECT c, string_agg(i || '. > ' || s || ', ' || regexp_replace(p, '^([0-9]+)([.)])( |$)', '\\1\\\\\\2\\3') || coalesce(chr(10) || chr(10) || replace(md, '    - ', CASE WHEN i < 10 THEN '   - ' ELSE '    - ' END), ''), chr(10) ORDER BY i) AS md,
+ string_agg('| ' || k || ' | ' || coalesce(n, 0) || ' |', chr(10) ORDER BY i) AS rows FROM o LEFT JOIN l USING (k) GROUP BY c)
+SELECT c AS custkey, '## Customer ' || c || chr(10) || chr(10) || md || chr(10) || chr(10) || '| Order | Lines |' || chr(10) || '| --: | --- |' || chr(10) || rows AS markdown FROM items""")
+def fold_orders(spark, d):
+    """A document for each customer, as nodes made from tables: a heading, a list of quotes and lists, a table. No Python runs anywhere in it."""
+    o = t(spark, d, "orders").select(
+        F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("k"), "o_orderstatus", "o_orderpriority",
+        F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("i")
+    )
+    li = t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("k"), "l_linenumber", F.col("l_quantity").cast("long").alias("q"), "l_partkey",
+        F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")).alias("j")
+    )
+    counts = li.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    lines = li.join(o.select("custkey", "k", "i"), "k")
+    c, i, j = o.select("custkey").distinct(), F.col("i"), F.col("j")
+    # numbers of a document's nodes: 0 to 9 for it, then 1000 for each order, of which ten for each line
+    at, line = i * 1000, i * 1000 + 10 + j * 10
+    cells = o.join(counts, "k", "left").select("custkey", "i", F.posexplode(F.array(F.col("k").cast("string"), F.coalesce("n", F.lit(0)).cast("string"))))
+    parts = [
+        _nodes(c, "heading", F.lit(0), F.lit(-1), 0, F.lit(0), "block", level=F.lit(2)), _nodes(c, "list", F.lit(1), F.lit(-1), 0, F.lit(1), "block", ordered=F.lit(True), start=F.lit(1)),
+        _nodes(c, "table", F.lit(2), F.lit(-1), 0, F.lit(2), "block", alignments=F.array(F.lit("RIGHT"))),
+        _nodes(c, "text", F.lit(3), F.lit(0), 1, F.lit(0), "inline", text=F.concat(F.lit("Customer "), F.col("custkey").cast("string"))),
+        *[_nodes(c, "table_cell", F.lit(4 + k), F.lit(2), 1, F.lit(k), "header", text=F.lit(x)) for k, x in enumerate(("Order", "Lines"))],
+        _nodes(o, "list_item", at, F.lit(1), 1, i, "item"), _nodes(o, "block_quote", at + 1, at, 2, F.lit(0), "block"), _nodes(o, "paragraph", at + 2, at + 1, 3, F.lit(0), "block"),
+        _nodes(o, "text", at + 3, at + 2, 4, F.lit(0), "inline", text=F.concat("o_orderstatus", F.lit(", "))),
+        _nodes(o, "text", at + 4, at + 2, 4, F.lit(1), "inline", text=F.col("o_orderpriority")),
+        _nodes(o.join(counts, "k", "left_semi"), "list", at + 5, at, 2, F.lit(1), "block"),
+        _nodes(o, "table_row", at + 6, F.lit(2), 1, i, "row"), _nodes(cells, "table_cell", at + 7 + F.col("pos"), at + 6, 2, F.col("pos"), "cell", text=F.col("col")),
+        _nodes(lines, "list_item", line, at + 5, 3, j, "item"), _nodes(lines, "paragraph", line + 1, line, 4, F.lit(0), "block"),
+        _nodes(lines, "text", line + 2, line + 1, 5, F.lit(0), "inline", text=F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(": "))),
+        _nodes(lines, "strong", line + 3, line + 1, 5, F.lit(1), "inline"), _nodes(lines, "text", line + 4, line + 3, 6, F.lit(0), "inline", text=F.col("q").cast("string")),
+        _nodes(lines, "text", line + 5, line + 1, 5, F.lit(2), "inline", text=F.concat(F.lit(" of part "), F.col("l_partkey").cast("string")))
+    ]
+    return fold(reduce(DataFrame.unionAll, parts), "custkey")
+
+
 @query("""
 WITH a AS (SELECT doc_id, unnest(string_split_regex(text, '\\n[ \\t]*\\n')) AS p, generate_subscripts(string_split_regex(text, '\\n[ \\t]*\\n'), 1) AS i FROM documents),
 b AS (SELECT doc_id, i, array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS p FROM a)
