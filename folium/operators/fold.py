@@ -174,7 +174,15 @@ def _grouped(values: DataFrame, by: list[str]) -> DataFrame:
     return values.withColumn("kid", kid).groupBy(*by).agg(F.sort_array(F.collect_list("kid")).alias("kids"))
 
 
-def _level(nodes: DataFrame, below: DataFrame | None, key: str, o: MarkdownOptions) -> DataFrame:
+def _node_value(o: MarkdownOptions) -> Column:
+    """The value of a node of any kind, of its fields and kids."""
+    value = None
+    for kind, made in (_inlines(o) | _blocks(o)).items():
+        value = F.when(F.col("kind") == kind, made) if value is None else value.when(F.col("kind") == kind, made)
+    return value.alias("value")
+
+
+def _level(nodes: DataFrame, below: DataFrame | None, value: Column) -> DataFrame:
     """key, parent_id, slot, ordinal and value of the nodes of one level."""
     if below is None:
         empty = "array<struct<slot:string,ordinal:int,inner:string,in_cell:string,value:" + _VALUE + ">>"
@@ -183,10 +191,7 @@ def _level(nodes: DataFrame, below: DataFrame | None, key: str, o: MarkdownOptio
         kids = _grouped(below, ["key", "parent_id"]).withColumnRenamed("parent_id", "node_id")
         given = nodes.join(kids, ["key", "node_id"], "left").withColumn("kids", F.coalesce("kids", F.array()))
     given = given.withColumns({"inner": _joined("inner"), "in_cell": _joined("in_cell")})
-    value = None
-    for kind, made in (_inlines(o) | _blocks(o)).items():
-        value = F.when(F.col("kind") == kind, made) if value is None else value.when(F.col("kind") == kind, made)
-    return given.select("key", "parent_id", "slot", "ordinal", value.alias("value"))
+    return given.select("key", "parent_id", "slot", "ordinal", value)
 
 
 def fold(nodes: DataFrame, key: str, options: MarkdownOptions | None = None, metadata: DataFrame | None = None) -> DataFrame:
@@ -196,9 +201,9 @@ def fold(nodes: DataFrame, key: str, options: MarkdownOptions | None = None, met
     o = options or MarkdownOptions()
     table = written(nodes.withColumnRenamed(key, "key"), "nodes", by="depth")
     deepest = table.agg(F.max("depth")).first()[0]
-    below = None
+    below, value = None, _node_value(o)
     for depth in range(-1 if deepest is None else deepest, -1, -1):
-        below = _level(table.where(F.col("depth") == depth), below, key, o)
+        below = _level(table.where(F.col("depth") == depth), below, value)
         if depth % LEVELS == LEVELS - 1:
             below = written(below, "level")
     if below is None:
