@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,11 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df written as Parquet, in folders of the column by, and read again: its lineage ends there. It goes with the application."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own there, to be made; it goes with the application."""
     path = f"{shared_dir(spark)}/folium/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written as Parquet, in folders of the column by, and read again: its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A table of at most so many rows, of a few numbers or short strings each, may be broadcast.
+BROADCAST_ROWS = 1 << 18
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df written, and marked for broadcast if it is counted to have BROADCAST_ROWS at most; else Spark shuffles."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

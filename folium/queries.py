@@ -17,12 +17,15 @@ from folium.functions import columns as C
 from folium.functions.png import encode_png
 from folium.model import NODE, Document, MarkdownOptions, node
 from folium.operators import convert as ops
-from folium.operators import corpus
+from folium.operators import corpus, elements
 from folium.operators.fold import fold
+from folium.operators.stage import scratch, written
 from folium.parsers import plain
 from folium.plans.registry import Converter, Registry
 from folium.render import render
-from folium.sources.files import from_column, read_documents
+from folium.sources.csv import read_csv
+from folium.sources.datasources import read_zip, write_files
+from folium.sources.files import from_column, read_documents, write_markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -416,6 +419,72 @@ def fold_orders(spark, d):
     return fold(reduce(DataFrame.unionAll, parts), "custkey")
 
 
+@query("""
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_custkey AS custkey, 1 + count(n) AS tables, CAST(count(*) + coalesce(sum(n), 0) AS BIGINT) AS body_rows, CAST(1 AS BIGINT) AS headers, CAST(2 + 5 * count(*) AS BIGINT) AS dropped
+FROM orders LEFT JOIN l ON l.k = o_orderkey GROUP BY 1""")
+def html_tables(spark, d):
+    """Tables in tables, and in subtrees that never count: each customer's orders as a page, its element table asked for the rows that are a table's own."""
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    inner = F.concat(F.lit("<table>"), F.repeat(F.lit("<tr><td>line</td><th>x</th></tr>"), F.col("n").cast("int")), F.lit("<tr></tr></table>"))
+    row = F.concat(
+        F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.coalesce(inner, F.lit("-")), F.lit("<form><table><tr><td>a</td></tr></table></form></td></tr>")
+    )
+    orders = t(spark, d, "orders").join(lines, F.col("k") == F.col("o_orderkey"), "left")
+    page = F.concat(
+        F.lit("<title>t</title><script>var x = '<table>'</script><table><caption>c</caption><tr><th>Order</th><th>Lines</th></tr>"),
+        F.array_join(F.sort_array(F.collect_list(row)), ""), F.lit("</table><noscript></noscript>")
+    )
+    pages = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(page.alias("html"))
+    found = elements.marked(written(elements.element_table(pages, "custkey"), "elements"), "custkey")
+    dropped = found.groupBy("custkey").agg(F.sum(F.col("dropped").cast("long")).alias("dropped"))
+    own = elements.table_rows(found.drop("dropped", "table_id"), "custkey").groupBy("custkey").agg(
+        F.count(F.lit(1)).alias("tables"), F.sum("body_rows").alias("body_rows"), F.sum(F.col("has_header").cast("long")).alias("headers")
+    )
+    return own.join(dropped, "custkey")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(5 AS BIGINT) AS cells, trim(coalesce(lang, '')) AS lang, coalesce(text, '') AS text, 'a \"b\", c' AS quoted FROM documents")
+def csv_ranges(spark, d):
+    """A CSV file of all documents, whose quoted texts hold line ends, commas and quotes, read in byte ranges."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.concat(F.coalesce("lang", F.lit("")), F.lit("  ")), quoted(F.col("text")), F.lit(' "a ""b"", c"'), F.lit(""))
+    folder = scratch(spark, "documents-csv")
+    t(spark, d, "documents").select(F.concat(line, F.lit("\r")).alias("value")).write.text(folder)
+    cells = F.col("cells")
+    return read_csv(spark, folder).select(
+        cells[0].alias("doc_id"), F.size(cells).cast("long").alias("cells"), cells[1].alias("lang"), cells[2].alias("text"), cells[3].alias("quoted")
+    )
+
+
+@query("SELECT 'pages-' || CAST(page_id // 100 AS VARCHAR) || '.zip' AS archive, CAST(page_id AS VARCHAR) || '.html' AS name, CAST(strlen(html) AS BIGINT) AS size, md5(html) AS digest FROM pages")
+def zip_entries(spark, d):
+    """Archives of a hundred pages each, written as files, and read entry by entry; other entries are passed over by name."""
+    pages = t(spark, d, "pages").select(F.floor(F.col("page_id") / 100).cast("string").alias("part"), F.col("page_id").cast("string").alias("name"), F.encode("html", "UTF-8").alias("html"))
+
+    def pack(group: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for i, (name, html) in enumerate(zip(group.column("name").to_pylist(), group.column("html").to_pylist())):
+                z.writestr(f"{name}.html", html, zipfile.ZIP_STORED if i % 2 else zipfile.ZIP_DEFLATED)
+                z.writestr(f"{name}.txt", b"passed over")
+        return pa.table({"path": [f"pages-{group.column('part')[0].as_py()}.zip"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    folder = scratch(spark, "archives")
+    write_files(pages.groupBy("part").applyInArrow(pack, "path string, content binary"), folder)
+    found = read_zip(spark, folder, names="*.html", range_bytes=1 << 18)
+    return found.select(C.filename(F.col("path")).alias("archive"), "name", F.length("content").cast("long").alias("size"), F.md5("content").alias("digest"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) || '.html.md' AS name, CAST(strlen(md) AS BIGINT) AS size, md5(md) AS digest FROM (SELECT page_id, regexp_replace(trim(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), E' \\t\\n\\r'), '[ \\t]+(\\n|$)', '\\1', 'g') AS md FROM pages)")
+def file_sink(spark, d):
+    """A file for each page, committed together and read again as documents."""
+    folder = scratch(spark, "files")
+    write_markdown(t(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), C.raw_block(F.col("html")).alias("markdown")), folder, format="text")
+    found = read_documents(spark, folder, glob="*.md")
+    return found.select(C.filename(F.col("path")).alias("name"), F.length("content").cast("long").alias("size"), F.md5("content").alias("digest"))
+
+
 @query("""
 WITH a AS (SELECT doc_id, unnest(string_split_regex(text, '\\n[ \\t]*\\n')) AS p, generate_subscripts(string_split_regex(text, '\\n[ \\t]*\\n'), 1) AS i FROM documents),
 b AS (SELECT doc_id, i, array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS p FROM a)
@@ -471,6 +540,72 @@ def fold_orders(spark, d):
     return fold(reduce(DataFrame.unionAll, parts), "custkey")
 
 
+@query("""
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_custkey AS custkey, 1 + count(n) AS tables, CAST(count(*) + coalesce(sum(n), 0) AS BIGINT) AS body_rows, CAST(1 AS BIGINT) AS headers, CAST(2 + 5 * count(*) AS BIGINT) AS dropped
+FROM orders LEFT JOIN l ON l.k = o_orderkey GROUP BY 1""")
+def html_tables(spark, d):
+    """Tables in tables, and in subtrees that never count: each customer's orders as a page, its element table asked for the rows that are a table's own."""
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    inner = F.concat(F.lit("<table>"), F.repeat(F.lit("<tr><td>line</td><th>x</th></tr>"), F.col("n").cast("int")), F.lit("<tr></tr></table>"))
+    row = F.concat(
+        F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.coalesce(inner, F.lit("-")), F.lit("<form><table><tr><td>a</td></tr></table></form></td></tr>")
+    )
+    orders = t(spark, d, "orders").join(lines, F.col("k") == F.col("o_orderkey"), "left")
+    page = F.concat(
+        F.lit("<title>t</title><script>var x = '<table>'</script><table><caption>c</caption><tr><th>Order</th><th>Lines</th></tr>"),
+        F.array_join(F.sort_array(F.collect_list(row)), ""), F.lit("</table><noscript></noscript>")
+    )
+    pages = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(page.alias("html"))
+    found = elements.marked(written(elements.element_table(pages, "custkey"), "elements"), "custkey")
+    dropped = found.groupBy("custkey").agg(F.sum(F.col("dropped").cast("long")).alias("dropped"))
+    own = elements.table_rows(found.drop("dropped", "table_id"), "custkey").groupBy("custkey").agg(
+        F.count(F.lit(1)).alias("tables"), F.sum("body_rows").alias("body_rows"), F.sum(F.col("has_header").cast("long")).alias("headers")
+    )
+    return own.join(dropped, "custkey")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(5 AS BIGINT) AS cells, trim(coalesce(lang, '')) AS lang, coalesce(text, '') AS text, 'a \"b\", c' AS quoted FROM documents")
+def csv_ranges(spark, d):
+    """A CSV file of all documents, whose quoted texts hold line ends, commas and quotes, read in byte ranges."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.concat(F.coalesce("lang", F.lit("")), F.lit("  ")), quoted(F.col("text")), F.lit(' "a ""b"", c"'), F.lit(""))
+    folder = scratch(spark, "documents-csv")
+    t(spark, d, "documents").select(F.concat(line, F.lit("\r")).alias("value")).write.text(folder)
+    cells = F.col("cells")
+    return read_csv(spark, folder).select(
+        cells[0].alias("doc_id"), F.size(cells).cast("long").alias("cells"), cells[1].alias("lang"), cells[2].alias("text"), cells[3].alias("quoted")
+    )
+
+
+@query("SELECT 'pages-' || CAST(page_id // 100 AS VARCHAR) || '.zip' AS archive, CAST(page_id AS VARCHAR) || '.html' AS name, CAST(strlen(html) AS BIGINT) AS size, md5(html) AS digest FROM pages")
+def zip_entries(spark, d):
+    """Archives of a hundred pages each, written as files, and read entry by entry; other entries are passed over by name."""
+    pages = t(spark, d, "pages").select(F.floor(F.col("page_id") / 100).cast("string").alias("part"), F.col("page_id").cast("string").alias("name"), F.encode("html", "UTF-8").alias("html"))
+
+    def pack(group: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for i, (name, html) in enumerate(zip(group.column("name").to_pylist(), group.column("html").to_pylist())):
+                z.writestr(f"{name}.html", html, zipfile.ZIP_STORED if i % 2 else zipfile.ZIP_DEFLATED)
+                z.writestr(f"{name}.txt", b"passed over")
+        return pa.table({"path": [f"pages-{group.column('part')[0].as_py()}.zip"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    folder = scratch(spark, "archives")
+    write_files(pages.groupBy("part").applyInArrow(pack, "path string, content binary"), folder)
+    found = read_zip(spark, folder, names="*.html", range_bytes=1 << 18)
+    return found.select(C.filename(F.col("path")).alias("archive"), "name", F.length("content").cast("long").alias("size"), F.md5("content").alias("digest"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) || '.html.md' AS name, CAST(strlen(md) AS BIGINT) AS size, md5(md) AS digest FROM (SELECT page_id, regexp_replace(trim(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), E' \\t\\n\\r'), '[ \\t]+(\\n|$)', '\\1', 'g') AS md FROM pages)")
+def file_sink(spark, d):
+    """A file for each page, committed together and read again as documents."""
+    folder = scratch(spark, "files")
+    write_markdown(t(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), C.raw_block(F.col("html")).alias("markdown")), folder, format="text")
+    found = read_documents(spark, folder, glob="*.md")
+    return found.select(C.filename(F.col("path")).alias("name"), F.length("content").cast("long").alias("size"), F.md5("content").alias("digest"))
+
+
 @query("""
 WITH a AS (SELECT doc_id, unnest(string_split_regex(text, '\\n[ \\t]*\\n')) AS p, generate_subscripts(string_split_regex(text, '\\n[ \\t]*\\n'), 1) AS i FROM documents),
 b AS (SELECT doc_id, i, array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS p FROM a)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.sources.datasources import write_files
+
 
 def read_documents(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = True) -> DataFrame:
     """path, modificationTime, length, content of every file."""
@@ -21,10 +23,8 @@ def from_column(df: DataFrame, text: Column, extension: str) -> DataFrame:
 
 
 def write_markdown(df: DataFrame, path: str, mode: str = "errorifexists", format: str = "parquet") -> None:
-    """Paths with their Markdown: as Parquet, or as text, where each document has a folder named by its path with the Markdown in a file."""
+    """Paths with their Markdown: as Parquet, or as text, a file .md for each document, named by its path."""
     if format == "text":
-        df.where("markdown is not null").select(
-            F.col("path").alias("document"), F.col("markdown").alias("value")
-        ).write.mode(mode).partitionBy("document").text(path)
+        write_files(df.select("path", F.col("markdown").alias("content")), path, ".md", mode)
     else:
         df.select("path", "markdown", "title", "error").write.mode(mode).parquet(path)

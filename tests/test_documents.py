@@ -255,8 +255,10 @@ def test_markdown_to_files(spark, tmp_path):
 
     df = spark.createDataFrame([("b.md", "# x\n\ny"), ("c d.md", "z")], "path string, markdown string").withColumns({"title": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
     write_markdown(df, str(tmp_path / "text"), format="text")
-    files = {f.parent.name: f.read_text() for f in (tmp_path / "text").rglob("part-*") if f.suffix == ".txt"}
-    assert files == {"document=b.md": "# x\n\ny\n", "document=c d.md": "z\n"}
+    files = {f.name: f.read_text() for f in (tmp_path / "text").rglob("*") if f.is_file()}
+    assert files == {"b.md.md": "# x\n\ny", "c%20d.md.md": "z"}
+    with pytest.raises(FileExistsError):
+        write_markdown(df, str(tmp_path / "text"), format="text")
     write_markdown(df, str(tmp_path / "parquet"))
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
 
