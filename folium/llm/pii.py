@@ -9,7 +9,10 @@ The network works on the integers below the format's size N: two unequal halves
 back below N, which keeps it a permutation of the format. Values of over 256 letters and digits are taken in pieces of 256, each
 under a tweak made of the pieces before it.
 
-Not looked for: names and postal addresses; phone numbers that are bare digits without ``+``, brackets or separators; dates with days or months of one digit or
+What surrounds a value does not hide it: of a run of groups of digits or capitals every start and length is tried, the longest first, until one is valid (a card before its expiry date or check value, an IBAN before a
+bank's code). A card of several groups, unless it is all that its run has from there, has three digits at least in each but the last; an IBAN is parted after every fourth character or nowhere.
+
+Not looked for: names and postal addresses; mail addresses with hosts beyond ASCII; passwords within URLs; cards and IBANs glued to other digits or capitals; phone numbers that are bare digits without ``+``, brackets or separators; dates with days or months of one digit or
 in words; hexadecimal keys outside of quotes and assignments; values of ``secret``, ``token`` and ``api_key`` that have neither a digit nor quotes.
 
 Defined results: null stays null, empty stays empty, no value found leaves the text as it is. A text of any length is searched whole. Where two
@@ -24,8 +27,8 @@ import hashlib
 import ipaddress
 import math
 import re
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -218,13 +221,15 @@ _VALUE = r"""[^\s"',;<>]*[^\s"',;<>.:!?)]"""
 _SECRETS = [
     r"\bAKIA[A-Z0-9]{16}\b", r'(?<=")(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?=")',
     rf"""\b(?i:password|passwd|pwd)["']?\s{{0,3}}[:=]\s{{0,3}}["']?(?=[^\s"',;<>]{{8}}){_VALUE}""",
-    rf"""\b(?i:secret|token|api_?key)["']?\s{{0,3}}[:=]\s{{0,3}}(?:["'](?=[^\s"',;<>]{{8}})|(?=[^\s"',;<>]{{8}})(?=[^\s"',;<>0-9]*+[0-9])){_VALUE}""",
 ]
+_NAMED = re.compile(r"""\b(?i:secret|token|api_?key)["']?\s{0,3}[:=]\s{0,3}(["']?)""")
+_RUN = re.compile(r"""[^\s"',;<>]*""")
+_LAST_DIGIT = re.compile(r"(?s).*[0-9]")
 #: kind, pattern, pseudonym (None: not valid, left alone). The first to match at a place wins. No pattern starts within a run that it could have started with.
 KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
     ("email", r"(?<![\w.%+\-])[\w.%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}+(?![A-Za-z0-9\-])", email),
     ("secret", "|".join(_SECRETS), secret),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?: [A-Z0-9]++)*+\b", iban),
     (
         "date",
         r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2})(?![0-9\-/]|\.[0-9])",
@@ -238,10 +243,85 @@ KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
         r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9])",
         phone
     ),
-    ("card", r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])", card),
+    ("card", r"(?<![0-9])[0-9]++(?:[ \-][0-9]++)*+", card),
 ]
 NAMES = [k for k, _, _ in KINDS]
-_PATTERNS = [(i, re.compile(p), f) for i, (_, p, f) in enumerate(KINDS)]
+_PATTERNS = [re.compile(p) for _, p, _ in KINDS]
+Span = tuple[int, int, str]
+
+
+def _named(text: str) -> Iterator[tuple[int, int]]:
+    """Values that a name announces: after a quote, or with a digit. A run of characters is looked at once, however many names it holds."""
+    end = last = value_end = taken = 0
+    for m in _NAMED.finditer(text):
+        at = m.end()
+        if m.start() < taken:
+            continue
+        if at >= end or end == 0:
+            end = _RUN.match(text, at).end()
+            digit = _LAST_DIGIT.match(text, at, end)
+            last = digit.end() - 1 if digit else -1
+            value_end = at + len(text[at:end].rstrip(".:!?)"))
+        if end - at >= 8 and value_end > at and (m[1] or last >= at):
+            taken = value_end
+            yield m.start(), value_end
+
+
+def _secrets(text: str, value: Callable[[str], str | None]) -> Iterator[Span]:
+    found = [m.span() for m in _PATTERNS[NAMES.index("secret")].finditer(text)] + list(_named(text))
+    end = 0
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if a >= end and (new := value(text[a:b])) is not None:
+            end = b
+            yield a, b, new
+
+
+def _in_groups(pattern: re.Pattern, most: int, fits: Callable[[list[str], bool], bool]):
+    """A finder of values that are groups of a run: all that are valid of each start and length, the longest of most characters first. Of those that overlap the first that no other kind crosses takes its place."""
+
+    def find(text: str, value: Callable[[str], str | None]) -> Iterator[Span]:
+        for m in pattern.finditer(text):
+            groups = list(_GROUP.finditer(text, *m.span()))
+            sizes = [g.end() - g.start() for g in groups]
+            for i in range(len(groups)):
+                j, total = i, 0
+                while j < len(groups) and total + sizes[j] <= most:
+                    total += sizes[j]
+                    j += 1
+                longest = j
+                while j > i:
+                    a, b = groups[i].start(), groups[j - 1].end()
+                    if fits([g[0] for g in groups[i:j]], j == longest) and (new := value(text[a:b])) is not None:
+                        yield a, b, new
+                    j -= 1
+
+    return find
+
+
+def _card_groups(groups: list[str], longest: bool) -> bool:
+    return sum(map(len, groups)) >= 13 and (longest or all(len(g) >= 3 for g in groups[:-1]))
+
+
+def _iban_groups(groups: list[str], longest: bool) -> bool:
+    return sum(map(len, groups)) >= 15 and _IBAN_HEAD.match(groups[0]) is not None and all(len(g) % 4 == 0 for g in groups[:-1])
+
+
+_GROUP, _IBAN_HEAD = re.compile("[A-Z0-9]+"), re.compile("[A-Z]{2}[0-9]{2}")
+
+
+def _each(pattern: re.Pattern):
+    def find(text: str, value: Callable[[str], str | None]) -> Iterator[Span]:
+        for m in pattern.finditer(text):
+            if (new := value(m[0])) is not None:
+                yield m.start(), m.end(), new
+
+    return find
+
+
+_FINDERS = [_each(p) for p in _PATTERNS]
+_FINDERS[NAMES.index("secret")] = _secrets
+_FINDERS[NAMES.index("iban")] = _in_groups(_PATTERNS[NAMES.index("iban")], 34, _iban_groups)
+_FINDERS[NAMES.index("card")] = _in_groups(_PATTERNS[NAMES.index("card")], 19, _card_groups)
 _HINT = re.compile("[0-9@:=]")
 
 
@@ -259,12 +339,10 @@ class Pseudonymizer:
         if not text or not _HINT.search(text):
             return text, counts
         spans: list[tuple[int, int, int, str]] = []
-        for kind, pattern, _ in _PATTERNS:
+        for kind, find in enumerate(_FINDERS):
             if kind == 0 and "@" not in text:
                 continue
-            for m in pattern.finditer(text):
-                if (new := self.value(kind, m[0])) is not None:
-                    spans.append((kind, m.start(), m.end(), new))
+            spans += [(kind, a, b, new) for a, b, new in find(text, partial(self.value, kind))]
         if not spans:
             return text, counts
         taken, out, end = [], [], 0
