@@ -140,11 +140,5 @@ def cold_start(df: DataFrame, case: str, run: str, seconds: str) -> DataFrame:
     return out.withColumn("start_up", F.when(F.col("warm").isNotNull(), F.greatest(F.lit(0.0), F.col("cold") - F.col("warm"))))
 
 
-def changed_outputs(baseline: DataFrame, now: DataFrame, key: str, output: str) -> DataFrame:
-    """Keys whose output differs from the baseline, or is missing on either side."""
-    a, b = baseline.select(key, F.sha2(output, 256).alias("was")), now.select(key, F.sha2(output, 256).alias("is"))
-    return a.join(b, key, "full").where(~F.col("was").eqNullSafe(F.col("is"))).select(key)
-
-
 def stage_split(df: DataFrame, convert: str, parse: str) -> DataFrame:
     return df.withColumn("render", F.greatest(F.lit(0.0), F.col(convert) - F.col(parse)))

@@ -101,7 +101,7 @@ _TAG = re.compile(r"([^<]*)<([^>]*)>")
 
 def pretty_xml(source: str) -> str:
     """Re-indented by 2; an element of one line of text stays on one line. Declarations go, other tags stay as written."""
-    tags = _TAG.findall(source)
+    tags = _TAG.findall(source[: source.rfind(">") + 1])  # each < before the last > is closed
     out: list[str] = []
     depth, at = 0, 0
 
@@ -142,17 +142,31 @@ _PARAGRAPH = re.compile(r"\n[ \t]*\n")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
-def _join(parts: list[str], words: set[str]) -> str:
-    out = parts[0]
+_FIRST_LETTERS = re.compile(r"[^\W\d_]*")
+
+
+def _last_letters(s: str) -> str:
+    """The run of letters that s ends with, read from its end."""
+    n = len(s)
+    while n and is_letter(s[n - 1]):
+        n -= 1
+    return s[n:]
+
+
+def _join(parts: list[str], words: set[str], longest: int) -> str:
+    """Lines as one; what a hyphen becomes hangs on the word before it, of which only the last is looked at again."""
+    done, tail, word = [], parts[0], _last_letters(parts[0][:-1])
     for part in parts[1:]:
-        if len(out) > 1 and out[-1] == "-" and is_letter(out[-2]):
-            head = re.search(r"[^\W\d_]+-$", out)[0][:-1]
-            tail = re.match(r"[^\W\d_]*", part)[0]
-            known = head.lower() in words and tail.lower() in words
-            out = (out if known else out[:-1]) + part
+        if word and tail[-1] == "-":
+            first = _FIRST_LETTERS.match(part)[0]
+            known = len(word) <= longest and word.lower() in words and first.lower() in words
+            grows = not known and len(first) == len(part) - 1 and part[-1] == "-"
+            tail = (tail if known else tail[:-1]) + part
+            word = word + first if grows or (not known and part == "-") else _last_letters(part[:-1])
         else:
-            out = f"{out} {part}"
-    return out
+            done.append(tail)
+            tail, word = f" {part}", _last_letters(part[:-1])
+    return "".join([*done, tail])
 
 
 def text_blocks(source: str, reflow: bool = True) -> list[str]:
@@ -169,22 +183,14 @@ def text_blocks(source: str, reflow: bool = True) -> list[str]:
             merged[-1] += p
         else:
             merged.append(list(p))
-    return [_join(p, words) for p in merged]
+    longest = max(map(len, words), default=0)
+    return [_join(p, words, longest) for p in merged]
 
 
 BROKEN = "\ufffe"
-_FIRST_LETTERS = re.compile(r"[^\W\d_]*")
 _BROKEN_WORD = re.compile(rf"(?<![^\W\d_])[^\W\d_]+{BROKEN}[^\W\d_]+")
 
 
-def _last_letters(s: str) -> str:
-    """The run of letters that s ends with, read from its end."""
-    n = len(s)
-    while n and is_letter(s[n - 1]):
-        n -= 1
-    return s[n:]
-
-
 def repair_hyphens(source: str) -> str:
     """U+FFFE, a hyphen at a line's end in extracted text: kept as ``-`` between two words known elsewhere in the text, else dropped."""
     first, *rest = source.split(BROKEN)
@@ -192,10 +198,10 @@ def repair_hyphens(source: str) -> str:
         return source
     # halves of broken words are no evidence of themselves
     words = {w.lower() for w in _WORD.findall(_BROKEN_WORD.sub(" ", source))}
-    out, before = [first], _last_letters(first)
+    out, before, longest = [first], _last_letters(first), max(map(len, words), default=0)
     for part in rest:
         after = _FIRST_LETTERS.match(part)[0]
-        known = before.lower() in words and after.lower() in words
+        known = len(before) <= longest and before.lower() in words and after.lower() in words
         out += ["-" * known, part]
         before = before + part if after == part and not known else _last_letters(part)
     return "".join(out)

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from folium import cases
 from folium.functions import columns as C
 from folium.functions.png import encode_png
+from folium.functions.reflow import BROKEN, reflowed, repaired
 from folium.model import NODE, Document, MarkdownOptions, node
 from folium.operators import convert as ops
-from folium.operators import corpus, elements
+from folium.operators import champion, corpus, elements
 from folium.operators.fold import fold
 from folium.operators.stage import scratch, written
-from folium.parsers import plain
 from folium.plans.registry import Converter, Registry
 from folium.render import render
 from folium.sources.csv import read_csv
@@ -68,6 +68,14 @@ def _parts(spark: SparkSession, d: str, make: Callable[[str, str], str], names)
     return rows.select("n_nationkey", "part", F.arrow_udf(run, "string")("part", "n").alias("markdown"))
 
 
+def _texts(spark: SparkSession, d: str, given: dict[str, tuple[str, str]], make: Callable) -> DataFrame:
+    """The cases' texts with each nation's name, made by an expression."""
+    rows = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(source).alias("text")) for part, (source, _) in given.items()])
+    named = t(spark, d, "nation").select("n_nationkey", "n_name", F.explode(rows).alias("c"))
+    text = F.replace(F.col("c.text"), F.lit("{n}"), F.replace("n_name", F.lit(" "), F.lit("")))
+    return named.select("n_nationkey", "c.part", text.alias("text")).select("n_nationkey", "part", make(F.col("text")).alias("markdown"))
+
+
 @query(_parts_sql({k: v[1] for k, v in cases.RENDERED.items()}))
 def render_parts(spark, d):
     """Every kind of block and inline, and every option, against Markdown written by hand."""
@@ -104,12 +112,12 @@ def format_parts(spark, d):
 
 @query(_parts_sql({k: v[1] for k, v in cases.REFLOWED.items()}))
 def reflow_parts(spark, d):
-    return _parts(spark, d, lambda part, n: "\n\n".join(plain.text_blocks(cases.REFLOWED[part][0].replace("{n}", n))), cases.REFLOWED)
+    return _texts(spark, d, cases.REFLOWED, lambda x: F.array_join(reflowed(x), "\n\n"))
 
 
 @query(_parts_sql({k: v[1] for k, v in cases.REPAIRED.items()}))
 def repair_parts(spark, d):
-    return _parts(spark, d, lambda part, n: plain.repair_hyphens(cases.REPAIRED[part][0].replace("{n}", n)), cases.REPAIRED)
+    return _texts(spark, d, cases.REPAIRED, repaired)
 
 
 @query("""
@@ -611,11 +619,21 @@ WITH a AS (SELECT doc_id, unnest(string_split_regex(text, '\\n[ \\t]*\\n')) AS p
 b AS (SELECT doc_id, i, array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS p FROM a)
 SELECT doc_id, coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i) FILTER (p <> ''), '') AS paragraphs FROM b GROUP BY doc_id""")
 def reflow(spark, d):
-    """No line of these texts ends in a hyphen; reflow_parts has those."""
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array(["\n\n".join(plain.text_blocks(x or "")) for x in texts.to_pylist()], pa.string())
+    """No line of these texts ends in a hyphen; those of reflow_hyphens do."""
+    return t(spark, d, "documents").select("doc_id", F.array_join(reflowed(F.coalesce("text", F.lit(""))), "\n\n").alias("paragraphs"))
 
-    return t(spark, d, "documents").select("doc_id", F.arrow_udf(run, "string")("text").alias("paragraphs"))
+
+@query(r"""
+WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(\pL{3})(\pL{3}) ', '\1-' || chr(10) || '\2 ', 'g'), ' (\pL{4})(\pL) ', ' \1-' || chr(10) || '\2 ', 'g') AS text FROM documents),
+y AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(\pL)-\n(\pL)([^\pL])', '\1\2\3', 'g'), '(\pL-)\n(\pL{2})', '\1\2', 'g') AS text FROM x),
+a AS (SELECT doc_id, unnest(string_split_regex(text, '\n[ \t]*\n')) AS p, generate_subscripts(string_split_regex(text, '\n[ \t]*\n'), 1) AS i FROM y),
+b AS (SELECT doc_id, i, array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS p FROM a)
+SELECT doc_id, coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i) FILTER (p <> ''), '') AS paragraphs FROM b GROUP BY doc_id""")
+def reflow_hyphens(spark, d):
+    """Texts wrapped within words: both halves of three letters are words of the text, which keeps their hyphen, a half of one letter is none."""
+    wrapped = F.regexp_replace(F.regexp_replace("text", r"(\p{L}{3})(\p{L}{3}) ", "$1-\n$2 "), r" (\p{L}{4})(\p{L}) ", " $1-\n$2 ")
+    docs = t(spark, d, "documents").select("doc_id", F.coalesce(wrapped, F.lit("")).alias("text"))
+    return docs.select("doc_id", F.array_join(reflowed(F.col("text")), "\n\n").alias("paragraphs"))
 
 
 # halves of words around U+FFFE, the words of the text without them, then line by line what has a hyphen between two known words
@@ -628,10 +646,11 @@ j AS (SELECT doc_id, parts[1] || coalesce(array_to_string(list_transform(range(2
 c AS (SELECT doc_id, i, array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS p FROM b)
 SELECT doc_id, coalesce(string_agg(""" + _escaped("p") + r""", chr(10) || chr(10) ORDER BY i) FILTER (p <> ''), '') AS markdown FROM c GROUP BY doc_id""")
 def pdf_repair(spark, d):
-    """Text as a PDF extractor leaves it, through the registered converter."""
-    registry = Registry().with_pdf(lambda content: content.decode().removeprefix("%PDF"))
-    broken = F.concat(F.lit("%PDF"), F.regexp_replace("text", r"(\p{L}{3})(\p{L}{3}) ", "$1￾$2 "))
-    return _convert(t(spark, d, "documents"), "doc_id", broken, "pdf", registry=registry).select("doc_id", "markdown")
+    """Text as a PDF extractor leaves it: broken words repaired, lines joined, paragraphs rendered."""
+    broken = F.regexp_replace("text", r"(\p{L}{3})(\p{L}{3}) ", f"$1{BROKEN}$2 ")
+    docs = t(spark, d, "documents").select("doc_id", F.coalesce(broken, F.lit("")).alias("text"))
+    paragraphs = F.transform(reflowed(F.col("text")), lambda p: C.rstrip_lines(C.escape(p)))
+    return docs.withColumn("text", repaired(F.col("text"))).select("doc_id", F.array_join(paragraphs, "\n\n").alias("markdown"))
 
 
 _TOKENS = r"list_distinct(list_filter(string_split_regex(lower(text), '[\s!\x22#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]+'), lambda t: length(t) > 3))"
@@ -824,10 +843,25 @@ def ab_delta(spark, d):
     return found.withColumnRenamed("l_returnflag", "case_name")
 
 
-@query("SELECT doc_id FROM documents WHERE rtrim(text) <> text OR contains(text, '...')")
+_FIRST_LINE = "string_split(coalesce(text, ''), chr(10))[1]"
+
+
+@query(f"""
+WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS k, text FROM documents),
+was AS (SELECT k, text AS o FROM a UNION ALL SELECT k || '/title', {_FIRST_LINE} FROM a WHERE contains(text, chr(10))),
+now AS (SELECT k, replace(rtrim(text), '...', '…') AS o FROM a UNION ALL SELECT k || '/lines', {_FIRST_LINE} FROM a WHERE contains(text, chr(10)))
+SELECT coalesce(was.k, now.k) AS key, CASE WHEN now.k IS NULL THEN 'missing' WHEN was.k IS NULL THEN 'added' ELSE 'changed' END AS change
+FROM was FULL JOIN now ON was.k = now.k WHERE now.k IS NULL OR was.k IS NULL OR was.o IS DISTINCT FROM now.o""")
 def changed_outputs(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    return corpus.changed_outputs(docs, docs.withColumn("text", F.replace(F.rtrim("text"), F.lit("..."), F.lit("…"))), "doc_id", "text")
+    """Outputs against the stored champion's: texts that were changed, titles that are gone, line outputs that are new."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "text")
+    first, more = F.split(F.col("text"), "\n")[0], F.contains("text", F.lit("\n"))
+    second = lambda name: docs.where(more).select(F.concat("key", F.lit(name)).alias("key"), first.alias("output"))
+    was = docs.select("key", F.col("text").alias("output")).unionAll(second("/title"))
+    now = docs.select("key", F.replace(F.rtrim("text"), F.lit("..."), F.lit("…")).alias("output")).unionAll(second("/lines"))
+    folder = scratch(spark, "champion")
+    champion.promote(spark, folder, champion.store(was, folder, "key", "output"))
+    return champion.changes(now, folder, "key", "output")
 
 
 def _book(title: str, chapters: list[tuple[str, str]]) -> bytes:

@@ -87,19 +87,18 @@ def chapters(data: bytes) -> tuple[dict[str, str], list[str]]:
     if not package:
         return {}, []
     # meta, link and item elements close themselves in XML; the tree then doesn't nest them
-    root = parse(
-        re.sub(
-            r"<([\w:.-]+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/>", r"<\1\2></\1>", package
-        ).replace("<title", "<dc:title").replace("</title", "</dc:title")
-    ).root
+    closed = re.sub(r"<([\w:.-]+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/>", r"<\1\2></\1>", package)
+    # an element title would take the rest as its text in HTML; here it is none of the names that count
+    root = parse(re.sub(r"(</?)title\b", r"\1x-title", closed)).root
     meta = {}
     for name, _ in FIELDS:
         if (e := _first(root, f"dc:{name}")) is not None and (value := " ".join(e.text().split())):
             meta[name] = value
     base = path.rpartition("/")[0]
-    manifest = {e.attrs.get("id", ""): e.attrs.get("href", "") for e in root.find_all({"item"}) if "html" in e.attrs.get("media-type", "")}
+    below = lambda tag, parent: (e for e in root.find_all({tag}) if e.parent is not None and e.parent.tag == parent)
+    manifest = {e.attrs.get("id", ""): e.attrs.get("href", "") for e in below("item", "manifest") if "html" in e.attrs.get("media-type", "")}
     out = []
-    for e in root.find_all({"itemref"}):
+    for e in below("itemref", "spine"):
         href = manifest.get(e.attrs.get("idref", ""))
         full = f"{base}/{href}" if base and href else href
         if full and (body := book.read_text(full) or book.read_text(full.removeprefix("/"))):
