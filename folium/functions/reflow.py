@@ -1,6 +1,6 @@
 """Wrapped lines and broken words of plain text as Column expressions.
 
-What a hyphen becomes hangs on the word before it, which may have grown from joined pieces. Text is first cut where nothing carries over; only the short runs between are folded.
+What a hyphen becomes hangs on the word before it, which may have grown from joined pieces. So only chains, words with nothing but breaks between them, are folded; all else stays as it is.
 """
 
 from __future__ import annotations
@@ -15,28 +15,43 @@ BROKEN = "
 
 
 def _with_words(words: Column, of: Column, make) -> Column:
-    """make(of, known) with the words looked up by known; they are gathered once for a text."""
-    given = F.array(F.struct(words.alias("words"), F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)).alias("longest"), of.alias("of")))
+    """make(of, known) with the words looked up by known. They are gathered and sorted once for a text, and looked up by halving steps."""
+    words = F.array_sort(words)
+    deepest = F.floor(F.log2(F.greatest(F.size(words), F.lit(1)).cast("double"))).cast("int")
+    steps = F.transform(F.sequence(deepest, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    longest = F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0))
+    given = F.array(F.struct(words.alias("words"), steps.alias("steps"), longest.alias("longest"), of.alias("of")))
 
     def run(x: Column) -> Column:
-        return make(x["of"], lambda w: (F.length(w) > 1) & (F.length(w) <= x["longest"]) & F.array_contains(x["words"], F.lower(w)))
+        def known(word: Column) -> Column:
+            w = F.lower(word)
+            at = F.aggregate(x["steps"], F.lit(0), lambda i, k: F.when(F.get(x["words"], i + k) <= w, i + k).otherwise(i))
+            return (F.length(word) > 1) & (F.length(word) <= x["longest"]) & (F.get(x["words"], at) == w)
+
+        return make(x["of"], known)
 
     return F.transform(given, run)[0]
 
 
-def _lines_joined(lines: Column, known) -> Column:
-    """Lines that all but the last end with a letter and a hyphen: the hyphen stays between two words of the text, else goes."""
-    start = F.struct(F.lit("").alias("done"), lines[0].alias("tail"))
+def _rejoined(text: Column, chain: str, cut: str, words: Column) -> Column:
+    """text with the breaks of its chains (words that breaks hold together) made hyphens or nothing. What stands between chains is not looked at."""
 
-    def step(s: Column, line: Column) -> Column:
-        head = F.regexp_extract(s["tail"], r"(?<!\p{L})(\p{L}++)-\z", 1)
-        kept = known(F.regexp_extract(line, r"\A\p{L}*+", 0)) & known(head)
-        out = F.concat(F.when(kept, s["tail"]).otherwise(F.substring(s["tail"], F.lit(1), F.length(s["tail"]) - 1)), line)
-        # only the last word can change what comes
-        tail = F.regexp_extract(out, r"(?<!\p{L})\p{L}++-\z", 0)
-        return F.struct(F.concat(s["done"], F.substring(out, F.lit(1), F.length(out) - F.length(tail))).alias("done"), tail.alias("tail"))
+    def joined(found: Column, known) -> Column:
+        parts = F.split(found, cut)
+        start = F.struct(F.lit("").alias("done"), parts[0].alias("word"))
 
-    return F.aggregate(F.slice(lines, F.lit(2), F.size(lines)), start, step, lambda s: F.concat(s["done"], s["tail"]))
+        def step(s: Column, part: Column) -> Column:
+            kept = F.coalesce(known(part) & known(s["word"]), F.lit(False))
+            return F.struct(
+                F.when(kept, F.concat(s["done"], s["word"], F.lit("-"))).otherwise(s["done"]).alias("done"), F.when(kept, part).otherwise(F.concat(s["word"], part)).alias("word")
+            )
+
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda s: F.concat(s["done"], s["word"]))
+
+    chains = F.regexp_extract_all(text, F.lit(chain), F.lit(0))
+    made = _with_words(words, chains, lambda found, known: F.transform(found, lambda c: joined(c, known)))
+    whole = F.array_join(F.zip_with(F.split(text, chain), made, lambda between, c: F.concat(between, F.coalesce(c, F.lit("")))), "")
+    return F.when(text.rlike(cut), whole).otherwise(text)
 
 
 def reflowed(source: Column) -> Column:
@@ -45,32 +60,12 @@ def reflowed(source: Column) -> Column:
     flat = F.regexp_replace(flat, r"(?<=\p{L}-)\n\n", "\n")
     # a hyphen alone on a line takes the place of the one before it
     flat = F.regexp_replace(flat, r"(\p{L}-)(?:\n-)+(?=\n|\z)", "$1")
-
-    def paragraph(p: Column, known) -> Column:
-        run = lambda r: F.when(F.contains(r, F.lit("\n")), _lines_joined(F.split(r, "\n"), known)).otherwise(r)
-        return F.array_join(F.transform(F.split(p, r"(?<!\p{L}-)\n"), run), " ")
-
-    made = _with_words(C.vocabulary(source), F.split(flat, "\n\n"), lambda ps, known: F.transform(ps, lambda p: paragraph(p, known)))
-    return F.filter(made, lambda p: p != "")
+    flat = F.regexp_replace(flat, r"(?<!\p{L}-)(?<!\n)\n(?!\n)", " ")
+    made = _rejoined(flat, r"(?<!\p{L})(?:\p{L}++-\n(?!\n))++\p{L}*+", "-\n", C.vocabulary(source))
+    return F.filter(F.split(made, "\n\n"), lambda p: p != "")
 
 
 def repaired(source: Column) -> Column:
     """Text in which U+FFFE is a hyphen between two words known elsewhere in it, else nothing."""
     words = C.vocabulary(F.regexp_replace(source, rf"(?<!\p{{L}})\p{{L}}+{BROKEN}\p{{L}}+", " "))
-    pieces = F.regexp_extract_all(source, F.lit(rf"[\p{{L}}{BROKEN}]++|[^\p{{L}}{BROKEN}]++"), F.lit(0))
-
-    def joined(piece: Column, known) -> Column:
-        parts = F.split(piece, BROKEN)
-        start = F.struct(F.lit("").alias("done"), parts[0].alias("word"))
-
-        def step(s: Column, part: Column) -> Column:
-            kept = known(part) & known(s["word"])
-            return F.struct(
-                F.when(kept, F.concat(s["done"], s["word"], F.lit("-"))).otherwise(s["done"]).alias("done"), F.when(kept, part).otherwise(F.concat(s["word"], part)).alias("word")
-            )
-
-        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda s: F.concat(s["done"], s["word"]))
-
-    one = lambda p, known: F.when(F.contains(p, F.lit(BROKEN)), joined(p, known)).otherwise(p)
-    made = _with_words(words, pieces, lambda ps, known: F.array_join(F.transform(ps, lambda p: one(p, known)), ""))
-    return F.when(F.contains(source, F.lit(BROKEN)), made).otherwise(source)
+    return _rejoined(source, rf"(?<!\p{{L}})\p{{L}}*+(?:{BROKEN}\p{{L}}*+)++", BROKEN, words)
