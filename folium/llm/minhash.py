@@ -7,10 +7,9 @@ lowest rank is kept. Two sets agree in a coordinate with the probability of thei
 k ln k darts serve all k coordinates, whatever the number of elements.
 
 Steps: texts that are equal word for word become one class, and only its earliest document goes on. Signatures are cut
-into bands. Within a bucket of equal bands each member is paired with the earliest and with the next few in a seeded order, so
-pairs grow with members, not with their square; every pair is verified exactly. Verified links are closed into groups.
-Buckets of more than 9 different texts that still span several groups are paired once more: those outside a bucket's largest group with about 64 of it and 64 of each other, in
-each band, as far as their parity sketches (and, of long texts, their signatures) let them be alike.
+into bands. All pairs of different texts that share a bucket are compared: in buckets of up to 9 texts as rows, in larger ones in blocks of two
+parts of about 2,048 texts each, where sizes and parity sketches, which lose no pair, decide what is verified exactly. A member of a bucket of p parts goes
+to p blocks, so its comparisons grow with the bucket. Verified links are counted and closed into groups.
 
 Defined results: a null, empty or blank text, or one of fewer than 5 words, has one shingle of what words it has;
 documents without a word are not grouped at all. Ties go to the lowest id. Repeated rows are copies. Classes and groups are of
