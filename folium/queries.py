@@ -16,6 +16,7 @@ from folium import cases
 from folium.functions import columns as C
 from folium.functions.png import encode_png
 from folium.functions.reflow import BROKEN, reflowed, repaired
+from folium.functions.urls import resolved
 from folium.model import NODE, Document, MarkdownOptions, node
 from folium.operators import convert as ops
 from folium.operators import champion, corpus, elements
@@ -249,6 +250,25 @@ def raw_block(spark, d):
     return t(spark, d, "documents").select("doc_id", C.raw_block(F.col("text")).alias("markdown"))
 
 
+@query(r"""
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<li><a href="'), 1) AS i FROM pages),
+p AS (SELECT *, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path FROM l),
+f AS (SELECT *, substr(href, 2) AS name, regexp_extract(path, '^(.*/)', 1) AS folder FROM p),
+g AS (SELECT *, regexp_replace(folder, '[^/]*/$', '') AS above FROM f)
+SELECT page_id, i, unnest(['absolute', 'relative', 'up', 'beyond', 'query', 'fragment', 'host', 'other', 'folder']) AS form,
+ unnest([host || href, host || folder || name, host || CASE WHEN above = '' THEN '/' ELSE above END || name, host || href, host || path || '?q=' || name, regexp_extract(url, '^([^#]*)', 1) || '#' || name, regexp_extract(url, '^([^:]*:)', 1) || '//other.org' || href, 'mailto:x@' || name, host || folder || 'x/']) AS url FROM g""")
+def resolve_links(spark, d):
+    """Every link of the pages' lists in nine forms of a reference, resolved against the page's address."""
+    links = t(spark, d, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<li><a href="([^"]*)"'), F.lit(1))).alias("i", "href"))
+    name = F.substring("href", 2, 1 << 30)
+    forms = {
+        "absolute": F.col("href"), "relative": name, "up": F.concat(F.lit("x/./../../"), name), "beyond": F.concat(F.lit("../" * 30), name), "query": F.concat(F.lit("?q="), name),
+        "fragment": F.concat(F.lit("#"), name), "host": F.concat(F.lit("//other.org"), "href"), "other": F.concat(F.lit("mailto:x@"), name), "folder": F.lit("y/../x/.")
+    }
+    rows = links.select("page_id", "url", (F.col("i") + 1).cast("long").alias("i"), F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("ref")) for k, v in forms.items()])).alias("f"))
+    return rows.select("page_id", "i", "f.form", resolved(F.col("url"), F.col("f.ref")).alias("url"))
+
+
 @query("SELECT page_id, replace(replace(replace(url, ' ', '%20'), '(', '%28'), ')', '%29') AS url FROM pages")
 def encode_url(spark, d):
     return t(spark, d, "pages").select("page_id", C.encode_url(F.col("url")).alias("url"))
