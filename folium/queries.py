@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import io
+import json
 import zipfile
 from collections.abc import Callable
 from functools import reduce
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folium import cases
 from folium.functions import columns as C
+from folium.functions.content import detect_by_content
 from folium.functions.png import encode_png
 from folium.functions.reflow import BROKEN, reflowed, repaired
 from folium.functions.urls import resolved
@@ -167,6 +169,47 @@ def detect_mime(spark, d):
     return t(spark, d, "pages").select("page_id", found.alias("d")).select("page_id", "d.filename", "d.extension", "d.mimetype")
 
 
+_OFFICE = "application/vnd.openxmlformats-officedocument."
+#: Form, MIME type by its bytes, with a wrong name.
+FORMS = {
+    "pdf": ("application/pdf",) * 2, "docx": (_OFFICE + "wordprocessingml.document",) * 2, "xlsx": (_OFFICE + "spreadsheetml.sheet",) * 2,
+    "pptx": (_OFFICE + "presentationml.presentation",) * 2, "epub": ("application/epub+zip",) * 2, "html": ("text/html",) * 2, "htm": ("text/html",) * 2,
+    "xml": ("application/xml",) * 2, "json": ("application/json",) * 2, "csv": ("text/csv", "text/plain"), "md": ("text/markdown", "text/plain"),
+    "markdown": ("text/markdown", "text/plain"), "txt": ("text/plain",) * 2, "log": ("text/plain",) * 2,
+}
+
+
+def _bytes_of(form: str, body: str) -> bytes:
+    """A small document of a form."""
+    entries = {"docx": ["[Content_Types].xml", "word/document.xml"], "xlsx": ["_rels/.rels", "xl/workbook.xml"], "pptx": ["ppt/presentation.xml"], "epub": ["mimetype", "OPS/a.xhtml"]}
+    if form in entries:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name in entries[form]:
+                z.writestr(name, "application/epub+zip" if name == "mimetype" else body, zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED)
+        return out.getvalue()
+    around = {"pdf": "%PDF-1.7\n{}", "html": "\ufeff\n<!-- c -->\n<!DOCTYPE html><p>{}", "htm": " <HTML><body>{}", "xml": "<?xml version='1.0'?>\n<a>{}</a>", "csv": "a,b\n{}", "md": "# t\n{}", "markdown": "- x\n{}"}
+    text = json.dumps({"text": [body]}) + "\n" if form == "json" else around.get(form, "line {}").replace("{}", body)
+    return text.encode("utf-8", "replace")
+
+
+@query(
+    "SELECT conv_id, turn, form, label, mimetype, extension FROM (SELECT conv_id, turn FROM conversations), (VALUES " + ", ".join(
+        f"('{k}', '{k}', '{right}', '{k}'), ('{k}', 'bin', '{wrong}', NULL)" for k, (right, wrong) in FORMS.items()
+    ) + ") AS f(form, label, mimetype, extension)"
+)
+def detect_content(spark, d):
+    """Every turn as bytes of each of the fourteen formats, under its own name and under a wrong one."""
+
+    def run(forms: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([_bytes_of(f, x) for f, x in zip(forms.to_pylist(), texts.to_pylist())], pa.binary())
+
+    rows = t(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.array(*map(F.lit, FORMS))).alias("form"))
+    made = rows.select("conv_id", "turn", "form", F.arrow_udf(run, "binary")("form", "text").alias("content"), F.explode(F.array("form", F.lit("bin"))).alias("label"))
+    found = detect_by_content(F.concat(F.lit("in/x."), "label"), F.col("content"))
+    return made.select("conv_id", "turn", "form", "label", found.alias("d")).select("conv_id", "turn", "form", "label", "d.mimetype", "d.extension")
+
+
 #: First bytes (hexadecimal), extension, MIME type.
 SIGNED = [
     ("255044462D312E34", "html", "application/pdf"), ("504B0304", "epub", "application/epub+zip"), (
