@@ -14,13 +14,19 @@ from folium.functions import columns as C
 BROKEN = "￾"
 
 
+def _let(value: Column, make) -> Column:
+    """make(value) with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), make)[0]
+
+
 def _with_words(words: Column, of: Column, make) -> Column:
     """make(of, known) with the words looked up by known. They are gathered and sorted once for a text, and looked up by halving steps."""
-    words = F.array_sort(words)
-    deepest = F.floor(F.log2(F.greatest(F.size(words), F.lit(1)).cast("double"))).cast("int")
-    steps = F.transform(F.sequence(deepest, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
-    longest = F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0))
-    given = F.array(F.struct(words.alias("words"), steps.alias("steps"), longest.alias("longest"), of.alias("of")))
+
+    def table(w: Column) -> Column:
+        deepest = F.floor(F.log2(F.greatest(F.size(w), F.lit(1)).cast("double"))).cast("int")
+        steps = F.transform(F.sequence(deepest, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+        longest = F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0))
+        return F.struct(w.alias("words"), steps.alias("steps"), longest.alias("longest"))
 
     def run(x: Column) -> Column:
         def known(word: Column) -> Column:
@@ -28,9 +34,9 @@ def _with_words(words: Column, of: Column, make) -> Column:
             at = F.aggregate(x["steps"], F.lit(0), lambda i, k: F.when(F.get(x["words"], i + k) <= w, i + k).otherwise(i))
             return (F.length(word) > 1) & (F.length(word) <= x["longest"]) & (F.get(x["words"], at) == w)
 
-        return make(x["of"], known)
+        return make(of, known)
 
-    return F.transform(given, run)[0]
+    return _let(_let(F.sort_array(words), table), run)
 
 
 def _rejoined(text: Column, chain: str, cut: str, words: Column) -> Column:
@@ -48,10 +54,12 @@ def _rejoined(text: Column, chain: str, cut: str, words: Column) -> Column:
 
         return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda s: F.concat(s["done"], s["word"]))
 
-    chains = F.regexp_extract_all(text, F.lit(chain), F.lit(0))
-    made = _with_words(words, chains, lambda found, known: F.transform(found, lambda c: joined(c, known)))
-    whole = F.array_join(F.zip_with(F.split(text, chain), made, lambda between, c: F.concat(between, F.coalesce(c, F.lit("")))), "")
-    return F.when(text.rlike(cut), whole).otherwise(text)
+    def whole(t: Column) -> Column:
+        made = _with_words(words, F.regexp_extract_all(t, F.lit(chain), F.lit(0)), lambda found, known: F.transform(found, lambda c: joined(c, known)))
+        out = F.array_join(F.zip_with(F.split(t, chain), made, lambda between, c: F.concat(between, F.coalesce(c, F.lit("")))), "")
+        return F.when(t.rlike(cut), out).otherwise(t)
+
+    return _let(text, whole)
 
 
 def reflowed(source: Column) -> Column:
