@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from folium.functions import columns as C
 from folium.operators.stage import small, written
 
-LINES = "path string, block long, line long, value string, before int, quotes int"
+LINES = "path string, block long, line long, value string, before int, quotes int, even long, odd long"
 #: Fixed value: what is trimmed from fields.
 BLANK = " \t\n\r"
 # a quote that never closes reaches to the end
@@ -25,11 +25,11 @@ _FIELD, _OPEN = r'((?:[^",]++|"[^"]*+")*+),', r'((?:[^",]++|"[^"]*+(?:"|\z))*+)(
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """LINES: before is the parity of the quotes between the range's start and the line, quotes that of the line's own."""
+    """LINES: before is the parity of the quotes between the range's start and the line, quotes that of the line's own; even and odd are the last lines up to it that have such a parity before them, -1 for none."""
     read = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
 
     def run(batches):
-        of, line, parity = None, 0, 0
+        of, line, parity, last = None, 0, 0, [-1, -1]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -41,17 +41,19 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 part = batch.slice(start, end - start)
                 here = (paths[start].as_py(), int(blocks[start]))
                 if here != of:
-                    of, line, parity = here, 0, 0
+                    of, line, parity, last = here, 0, 0, [-1, -1]
                 own = pc.count_substring(part.column("value"), '"').to_numpy(zero_copy_only=False).astype(np.int64) & 1
                 after = (parity + np.cumsum(own)) & 1
                 before = np.concatenate([[parity], after[:-1]])
+                number = np.arange(line, line + len(own))
+                opened = [np.maximum.accumulate(np.where(before == k, number, last[k])) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("path"), part.column("block"), pa.array(np.arange(line, line + len(own))), part.column("value"), pa.array(before.astype(np.int32)),
-                        pa.array(own.astype(np.int32))
-                    ], names=["path", "block", "line", "value", "before", "quotes"]
+                        part.column("path"), part.column("block"), pa.array(number), part.column("value"), pa.array(before.astype(np.int32)), pa.array(own.astype(np.int32)),
+                        *map(pa.array, opened)
+                    ], names=["path", "block", "line", "value", "before", "quotes", "even", "odd"]
                 )
-                line, parity = line + len(own), int(after[-1])
+                line, parity, last = line + len(own), int(after[-1]), [int(x[-1]) for x in opened]
 
     return read.mapInArrow(run, LINES)
 
@@ -88,11 +90,11 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     alone = known.where(~F.col("inside") & ~ends_inside).select("path", "block", "line", F.col("value").alias("text"))
     split = known.where(F.col("inside") | ends_inside)
     # the line that opened the record: the last in the range, else the last of the ranges before
-    opens = F.when(~F.col("inside"), F.struct("block", "line"))
-    last = split.groupBy("path", "block").agg(F.max(opens).alias("opened"))
+    here = F.when(F.col("state") == 0, F.col("even")).otherwise(F.col("odd"))
+    split = split.withColumn("here", F.when(here >= 0, F.struct("block", here.alias("line"))))
+    last = split.groupBy("path", "block").agg(F.max("here").alias("opened"))
     carried = last.select("path", "block", F.last("opened", ignorenulls=True).over(earlier).alias("carried"))
-    here = F.last(opens, ignorenulls=True).over(Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    owned = split.withColumn("here", here).join(carried, ["path", "block"]).withColumn("owner", F.coalesce("here", "carried"))
+    owned = split.join(small(carried, "csv-carried"), ["path", "block"]).withColumn("owner", F.coalesce("here", "carried"))
     joined = owned.groupBy("path", "owner").agg(F.sort_array(F.collect_list(F.struct("block", "line", "value"))).alias("parts")).select(
         "path", "owner.block", "owner.line", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("text")
     )
