@@ -444,118 +444,6 @@ def render_nodes(spark, d):
     return fold(ops.node_table(parsed, "page_id"), "page_id", MarkdownOptions(bullet="*", strong_marker="__"))
 
 
-def _nodes(rows: DataFrame, kind: str, node_id, parent_id, depth: int, ordinal, slot: str, **fields) -> DataFrame:
-    """Nodes of one kind, a row each: custkey and the fields of NODE."""
-    own = {"node_id": node_id, "parent_id": parent_id, "depth": F.lit(depth), "ordinal": ordinal, "slot": F.lit(slot), "kind": F.lit(kind)} | fields
-    return rows.select("custkey", *[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NODE.fields])
-
-
-@query("""
-WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
-l AS (SELECT l_orderkey AS k, count(*) AS n, string_agg('    - line ' || l_linenumber || ': **' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '** of part ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey, l_quantity) AS md FROM lineitem GROUP BY l_orderkey),
-items AS (SELECT c, string_agg(i || '. > ' || s || ', ' || regexp_replace(p, '^([0-9]+)([.)])( |$)', '\\1\\\\\\2\\3') || coalesce(chr(10) || chr(10) || replace(md, '    - ', CASE WHEN i < 10 THEN '   - ' ELSE '    - ' END), ''), chr(10) ORDER BY i) AS md,
- string_agg('| ' || k || ' | ' || coalesce(n, 0) || ' |', chr(10) ORDER BY i) AS rows FROM o LEFT JOIN l USING (k) GROUP BY c)
-SELECT c AS custkey, '## Customer ' || c || chr(10) || chr(10) || md || chr(10) || chr(10) || '| Order | Lines |' || chr(10) || '| --: | --- |' || chr(10) || rows AS markdown FROM items""")
-def fold_orders(spark, d):
-    """A document for each customer, as nodes made from tables: a heading, a list of quotes and lists, a table. No Python runs anywhere in it."""
-    o = t(spark, d, "orders").select(
-        F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("k"), "o_orderstatus", "o_orderpriority",
-        F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("i")
-    )
-    li = t(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("k"), "l_linenumber", F.col("l_quantity").cast("long").alias("q"), "l_partkey",
-        F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")).alias("j")
-    )
-    counts = li.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    lines = li.join(o.select("custkey", "k", "i"), "k")
-    c, i, j = o.select("custkey").distinct(), F.col("i"), F.col("j")
-    # numbers of a document's nodes: 0 to 9 for it, then 1000 for each order, of which ten for each line
-    at, line = i * 1000, i * 1000 + 10 + j * 10
-    cells = o.join(counts, "k", "left").select("custkey", "i", F.posexplode(F.array(F.col("k").cast("string"), F.coalesce("n", F.lit(0)).cast("string"))))
-    parts = [
-        _nodes(c, "heading", F.lit(0), F.lit(-1), 0, F.lit(0), "block", level=F.lit(2)), _nodes(c, "list", F.lit(1), F.lit(-1), 0, F.lit(1), "block", ordered=F.lit(True), start=F.lit(1)),
-        _nodes(c, "table", F.lit(2), F.lit(-1), 0, F.lit(2), "block", alignments=F.array(F.lit("RIGHT"))),
-        _nodes(c, "text", F.lit(3), F.lit(0), 1, F.lit(0), "inline", text=F.concat(F.lit("Customer "), F.col("custkey").cast("string"))),
-        *[_nodes(c, "table_cell", F.lit(4 + k), F.lit(2), 1, F.lit(k), "header", text=F.lit(x)) for k, x in enumerate(("Order", "Lines"))],
-        _nodes(o, "list_item", at, F.lit(1), 1, i, "item"), _nodes(o, "block_quote", at + 1, at, 2, F.lit(0), "block"), _nodes(o, "paragraph", at + 2, at + 1, 3, F.lit(0), "block"),
-        _nodes(o, "text", at + 3, at + 2, 4, F.lit(0), "inline", text=F.concat("o_orderstatus", F.lit(", "))),
-        _nodes(o, "text", at + 4, at + 2, 4, F.lit(1), "inline", text=F.col("o_orderpriority")),
-        _nodes(o.join(counts, "k", "left_semi"), "list", at + 5, at, 2, F.lit(1), "block"),
-        _nodes(o, "table_row", at + 6, F.lit(2), 1, i, "row"), _nodes(cells, "table_cell", at + 7 + F.col("pos"), at + 6, 2, F.col("pos"), "cell", text=F.col("col")),
-        _nodes(lines, "list_item", line, at + 5, 3, j, "item"), _nodes(lines, "paragraph", line + 1, line, 4, F.lit(0), "block"),
-        _nodes(lines, "text", line + 2, line + 1, 5, F.lit(0), "inline", text=F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(": "))),
-        _nodes(lines, "strong", line + 3, line + 1, 5, F.lit(1), "inline"), _nodes(lines, "text", line + 4, line + 3, 6, F.lit(0), "inline", text=F.col("q").cast("string")),
-        _nodes(lines, "text", line + 5, line + 1, 5, F.lit(2), "inline", text=F.concat(F.lit(" of part "), F.col("l_partkey").cast("string")))
-    ]
-    return fold(reduce(DataFrame.unionAll, parts), "custkey")
-
-
-@query("""
-WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT o_custkey AS custkey, 1 + count(n) AS tables, CAST(count(*) + coalesce(sum(n), 0) AS BIGINT) AS body_rows, CAST(1 AS BIGINT) AS headers, CAST(2 + 5 * count(*) AS BIGINT) AS dropped
-FROM orders LEFT JOIN l ON l.k = o_orderkey GROUP BY 1""")
-def html_tables(spark, d):
-    """Tables in tables, and in subtrees that never count: each customer's orders as a page, its element table asked for the rows that are a table's own."""
-    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    inner = F.concat(F.lit("<table>"), F.repeat(F.lit("<tr><td>line</td><th>x</th></tr>"), F.col("n").cast("int")), F.lit("<tr></tr></table>"))
-    row = F.concat(
-        F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.coalesce(inner, F.lit("-")), F.lit("<form><table><tr><td>a</td></tr></table></form></td></tr>")
-    )
-    orders = t(spark, d, "orders").join(lines, F.col("k") == F.col("o_orderkey"), "left")
-    page = F.concat(
-        F.lit("<title>t</title><script>var x = '<table>'</script><table><caption>c</caption><tr><th>Order</th><th>Lines</th></tr>"),
-        F.array_join(F.sort_array(F.collect_list(row)), ""), F.lit("</table><noscript></noscript>")
-    )
-    pages = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(page.alias("html"))
-    found = elements.marked(written(elements.element_table(pages, "custkey"), "elements"), "custkey")
-    dropped = found.groupBy("custkey").agg(F.sum(F.col("dropped").cast("long")).alias("dropped"))
-    own = elements.table_rows(found.drop("dropped", "table_id"), "custkey").groupBy("custkey").agg(
-        F.count(F.lit(1)).alias("tables"), F.sum("body_rows").alias("body_rows"), F.sum(F.col("has_header").cast("long")).alias("headers")
-    )
-    return own.join(dropped, "custkey")
-
-
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(5 AS BIGINT) AS cells, trim(coalesce(lang, '')) AS lang, coalesce(text, '') AS text, 'a \"b\", c' AS quoted FROM documents")
-def csv_ranges(spark, d):
-    """A CSV file of all documents, whose quoted texts hold line ends, commas and quotes, read in byte ranges."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.concat(F.coalesce("lang", F.lit("")), F.lit("  ")), quoted(F.col("text")), F.lit(' "a ""b"", c"'), F.lit(""))
-    folder = scratch(spark, "documents-csv")
-    t(spark, d, "documents").select(F.concat(line, F.lit("\r")).alias("value")).write.text(folder)
-    cells = F.col("cells")
-    return read_csv(spark, folder).select(
-        cells[0].alias("doc_id"), F.size(cells).cast("long").alias("cells"), cells[1].alias("lang"), cells[2].alias("text"), cells[3].alias("quoted")
-    )
-
-
-@query("SELECT 'pages-' || CAST(page_id // 100 AS VARCHAR) || '.zip' AS archive, CAST(page_id AS VARCHAR) || '.html' AS name, CAST(strlen(html) AS BIGINT) AS size, md5(html) AS digest FROM pages")
-def zip_entries(spark, d):
-    """Archives of a hundred pages each, written as files, and read entry by entry; other entries are passed over by name."""
-    pages = t(spark, d, "pages").select(F.floor(F.col("page_id") / 100).cast("string").alias("part"), F.col("page_id").cast("string").alias("name"), F.encode("html", "UTF-8").alias("html"))
-
-    def pack(group: pa.Table) -> pa.Table:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for i, (name, html) in enumerate(zip(group.column("name").to_pylist(), group.column("html").to_pylist())):
-                z.writestr(f"{name}.html", html, zipfile.ZIP_STORED if i % 2 else zipfile.ZIP_DEFLATED)
-                z.writestr(f"{name}.txt", b"passed over")
-        return pa.table({"path": [f"pages-{group.column('part')[0].as_py()}.zip"], "content": pa.array([out.getvalue()], pa.binary())})
-
-    folder = scratch(spark, "archives")
-    write_files(pages.groupBy("part").applyInArrow(pack, "path string, content binary"), folder)
-    found = read_zip(spark, folder, names="*.html", range_bytes=1 << 18)
-    return found.select(C.filename(F.col("path")).alias("archive"), "name", F.length("content").cast("long").alias("size"), F.md5("content").alias("digest"))
-
-
-@query("SELECT CAST(page_id AS VARCHAR) || '.html.md' AS name, CAST(strlen(md) AS BIGINT) AS size, md5(md) AS digest FROM (SELECT page_id, regexp_replace(trim(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), E' \\t\\n\\r'), '[ \\t]+(\\n|$)', '\\1', 'g') AS md FROM pages)")
-def file_sink(spark, d):
-    """A file for each page, committed together and read again as documents."""
-    folder = scratch(spark, "files")
-    write_markdown(t(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), C.raw_block(F.col("html")).alias("markdown")), folder, format="text")
-    found = read_documents(spark, folder, glob="*.md")
-    return found.select(C.filename(F.col("path")).alias("name"), F.length("content").cast("long").alias("size"), F.md5("content").alias("digest"))
-
-
 @query("""
 WITH a AS (SELECT doc_id, unnest(string_split_regex(text, '\\n[ \\t]*\\n')) AS p, generate_subscripts(string_split_regex(text, '\\n[ \\t]*\\n'), 1) AS i FROM documents),
 b AS (SELECT doc_id, i, array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS p FROM a)
