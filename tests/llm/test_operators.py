@@ -586,6 +586,31 @@ def test_models_follow_their_formula(make, smoothing):
         assert abs(total - 1) < 1e-9
 
 
+def test_url_threshold(spark):
+    def by_hand(judged):
+        values = sorted({r for _, r in judged})
+        edges = [values[0] - 1, *values, values[-1] + 1]
+        n = [sum(b == bad for b, _ in judged) for bad in (False, True)]
+        right = [sum(r < edges[i + 1] for b, r in judged if not b) * n[1] - sum(r < edges[i + 1] for b, r in judged if b) * n[0] for i in range(len(values) + 1)]
+        return max((q, edges[i + 1] - edges[i], -edges[i], edges[i + 1]) for i, q in enumerate(right))
+
+    r = random.Random(8)
+    for n in (2, 5, 40, 400):
+        judged = [(True, 1.0), (False, 0.5)] + [(b, r.choice([-0.25, 0.0, 0.125, r.gauss(b * 0.01, 0.02)])) for b in (r.random() < 0.4 for _ in range(n))]
+        _, _, low, high = by_hand(judged)
+        assert url_filter.best_cut(spark.createDataFrame(judged, "bad boolean, ratio double")) == (high - low) / 2
+    assert url_filter.best_cut(spark.createDataFrame([(True, 1.0)], "bad boolean, ratio double")) == 0.0
+
+
+def test_odd_urls(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filter.judge(none, queries.URL_RULES, url_filter.fit(none, queries.URL_RULES)).count() == 0
+    rows = [(1, "http://a.net/de/"), (1, "http://a.net/de/"), (None, "http://b.org/es/x"), (2, "http://c.info/" + "ab/" * 30_000), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(1) for c in ("row", "slot", "gram", "n", "key", "value", "salt", "host", "ratio")})
+    got = url_filter.judge(df, queries.URL_RULES, url_filter.fit(df, queries.URL_RULES))
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "ratio"] and Counter(r["page_id"] for r in got.collect()) == Counter(r[0] for r in rows)
+
+
 def test_url_models_tell_apart(spark):
     rows = [(i, f"http://good{i % 7}.net/de/{i}") for i in range(600)] + [(1000 + i, f"http://casino-spam{i % 9}.org/es/win{i}") for i in range(600)] + [(3000, "http://casino-spam4.info/es/win5"), (3001, "http://good3.info/de/12")]
     df = spark.createDataFrame(rows, "page_id long, url string")
@@ -593,7 +618,7 @@ def test_url_models_tell_apart(spark):
     assert got[3000]["verdict"] == "block" and got[3001]["verdict"] == "allow" and got[3000]["rule"] is None
 
 
-def test_url_models_count_every_labelled_url(spark):
+def test_url_models_count_every_labelled_url(spark, monkeypatch):
     rules, n = queries.URL_RULES, 21_000
     # more of a class than the models once took, a few words in a single URL each, and shapes that both classes have
     urls = [f"http://{w}.org/es/{v}/{i}" for i, (w, v) in enumerate(zip(words(41, n), words(42, n)))] + [f"http://{w}{i}.net/de/{i % 9}x" for i, w in enumerate(words(43, 500))]
@@ -604,21 +629,24 @@ def test_url_models_count_every_labelled_url(spark):
     rows = df.select(host, path, url_filter.fitting_rule(host, path, rules)["verdict"], fold).collect()
     seen = Counter((v, int(f), url_filter.shape(h, p, "")) for h, p, v, f in rows)
 
-    def models(without=None):
+    def ratios(texts, without=None):
         bags = {v: Counter() for v in ("allow", "block")}
         for (v, f, text), times in seen.items():
             bags[v][text] += times * (f != without)
-        return url_filter.UrlModels(*(charlm.witten_bell(charlm.count_grams(+bags[v], 6), 6) for v in ("allow", "block")))
-
-    got, want = url_filter.fit(df, rules), models()
-    for a, b in ((got.allow, want.allow), (got.block, want.block)):
-        assert a.floor == pytest.approx(b.floor)
-        for x, y in zip(a.grams + a.contexts, b.grams + b.contexts):
-            assert np.array_equal(x[0], y[0]) and np.allclose(x[1], y[1])
+        found, lengths = charlm.word_scores([charlm.witten_bell(charlm.count_grams(+bags[v], 6), 6) for v in ("allow", "block")], texts)
+        return (found[:, 1] - found[:, 0]) / lengths
+
+    got = url_filter.fit(df, rules)
+    more = df.unionByName(spark.createDataFrame([(-i, f"http://never{w}.info/{w}") for i, w in enumerate(words(45, 50), 1)], df.schema))
+    shown = url_filter.judge(more, rules, got).collect()
+    texts = [url_filter.shape(r["host"], r["path"], "") for r in shown]
+    assert np.allclose([r["ratio"] for r in shown], ratios(texts), atol=1e-8)
+    monkeypatch.setattr(url_filter.common, "BROADCAST_BYTES", 0)  # values joined by a shuffle
+    assert sorted(map(tuple, url_filter.judge(more, rules, got).collect())) == sorted(map(tuple, shown))
     judged = []
     for f in range(4):
         some = [k for k in seen if k[1] == f]
-        judged += [(r, k[0] == "block", seen[k]) for r, k in zip(models(f).ratio([k[2] for k in some]), some)]
+        judged += [(r, k[0] == "block", seen[k]) for r, k in zip(ratios([k[2] for k in some], f), some)]
     ratio, bad, n = (np.array(x) for x in zip(*judged))
     right = lambda cut: sum(n[(bad == b) & ((ratio > cut) == b)].sum() / n[bad == b].sum() for b in (True, False))
     assert right(got.threshold) == pytest.approx(max(right(cut) for cut in [ratio.min() - 1, *np.unique(ratio)]), abs=1e-6)
