@@ -20,6 +20,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from folium.llm.common import fraction_of, stored
 DIGITS = re.compile(r"[0-9]+")
 #: Parts of the labelled URLs: each is judged by models of the others.
 FOLDS = 4
+#: Rows of n-grams that a task hands on together.
+ROWS_AT_ONCE = 1 << 16
 #: Contexts seen less often than this have no say.
 LEAST = 2
 #: Log-probabilities are summed as whole numbers of this part of a nat, so that sums do not hang on their order.
@@ -107,19 +110,27 @@ def _numbered(pages: DataFrame, rules: list[Rule], key: str, url: str, seed: int
 def _grams(rows: DataFrame, order: int) -> DataFrame:
     """row, slot, gram, n of every url that is not empty."""
 
+    names = ["row", "slot", "gram", "n"]
+
+    def made(parts: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(counts) for _, _, counts in parts]
+        wide = [pa.array(column, kind).take(pa.array(np.repeat(np.arange(len(parts)), sizes))) for column, kind in (([p[0] for p in parts], pa.int64()), ([p[1] for p in parts], pa.string()))]
+        grams = pa.array([g for *_, counts in parts for g in counts], pa.string())
+        return pa.RecordBatch.from_arrays([*wide, grams, pa.array([n for *_, counts in parts for n in counts.values()], pa.int64())], names=names)
+
     def run(batches):
         for batch in batches:
+            parts, size = [], 0
             columns = [batch.column(c).to_pylist() for c in ("row", "slot", "host", "path", "rest")]
-            for row, slot, *parts in zip(*columns):
-                if text := shape(*parts):
-                    counts = count_grams({text: 1}, order)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row] * len(counts), pa.int64()), pa.array([slot] * len(counts), pa.string()),
-                            pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())
-                        ],
-                        names=["row", "slot", "gram", "n"]
-                    )
+            for row, slot, *url in zip(*columns):
+                if text := shape(*url):
+                    parts.append((row, slot, count_grams({text: 1}, order)))
+                    size += len(parts[-1][2])
+                if size >= ROWS_AT_ONCE:
+                    yield made(parts)
+                    parts, size = [], 0
+            if parts:
+                yield made(parts)
 
     return rows.select("row", "slot", "host", "path", "rest").mapInArrow(run, "row long, slot string, gram string, n long")
 
