@@ -24,6 +24,7 @@ from folium.operators import convert as ops
 from folium.operators import champion, corpus, elements
 from folium.operators.fold import fold
 from folium.operators.stage import scratch, written
+from folium.operators.tokens import pretty_json
 from folium.plans.registry import Converter, Registry
 from folium.render import render
 from folium.sources.csv import read_csv
@@ -343,7 +344,22 @@ def _convert(df: DataFrame, key: str, text, extension: str, **more) -> DataFrame
     r"""SELECT event_id, '```json' || chr(10) || regexp_replace(regexp_replace(props, '^\{\s*("[^"]*")\s*:\s*', '{' || chr(10) || '    \1: '), '\s*\}$', chr(10) || '}') || chr(10) || '```' AS markdown FROM events"""
 )
 def json_pretty(spark, d):
-    return _convert(t(spark, d, "events"), "event_id", F.col("props"), "json").select("event_id", "markdown")
+    """Laid out from tokens as rows, without Python."""
+    found = pretty_json(t(spark, d, "events").select("event_id", "props"), "event_id", "props")
+    return found.select("event_id", C.code_fence(F.col("props"), F.lit("json")).alias("markdown"))
+
+
+@query("""
+WITH x AS (SELECT conv_id, string_agg('        {' || chr(10) || '            "role": ' || to_json(role) || ',' || chr(10) || '            "text": ' || to_json(coalesce(text, '')) || ',' || chr(10) || '            "tags": []' || chr(10) || '        }', ',' || chr(10) ORDER BY turn) AS turns, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN '{"conv": ' || conv_id || ', "turns": [1,' ELSE '{' || chr(10) || '    "conv": ' || conv_id || ',' || chr(10) || '    "turns": [' || chr(10) || turns || chr(10) || '    ]' || chr(10) || '}' END AS json FROM x""")
+def json_nested(spark, d):
+    """Conversations as nested JSON on one line, laid out; every fifth breaks off and stays as it is."""
+    turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<string>").alias("tags"))
+    rows = t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = F.transform("turns", lambda x: x.dropFields("turn"))
+    whole = F.to_json(F.struct(F.col("conv_id").alias("conv"), turns.alias("turns")))
+    torn = F.concat(F.lit('{"conv": '), F.col("conv_id").cast("string"), F.lit(', "turns": [1,'))
+    return pretty_json(rows.select("conv_id", F.when(F.col("conv_id") % 5 == 0, torn).otherwise(whole).alias("json")), "conv_id", "json")
 
 
 @query(
@@ -744,54 +760,64 @@ def compared_tokens(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(F.sort_array(C.compared_tokens(text)), " ").alias("tokens"))
 
 
-@query("SELECT l_returnflag AS case_name, l_linestatus AS binary_name, min(l_extendedprice) AS best FROM lineitem GROUP BY ALL")
-def best_of(spark, d):
-    """The best of all runs, over prices in place of seconds."""
-    return corpus.best_of(
-        t(spark, d, "lineitem").select(
-            F.col("l_returnflag").alias("case_name"), F.col("l_linestatus").alias("binary_name"), "l_extendedprice"
-        ),
-        ["case_name", "binary_name"], "l_extendedprice"
+_RUNS = """runs AS (SELECT 'user ' || user_id AS case_name, CASE WHEN event_id % 3 = 0 THEN 'old' ELSE 'new' END AS binary_name, event_id AS run, event_type AS stage, value + 1 AS seconds FROM events)"""
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """A table of runs: case, binary, run (in order of time), stage, seconds. A user's events are the runs of a case, by one of two binaries."""
+    return t(spark, d, "events").select(
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("case_name"),
+        F.when(F.col("event_id") % 3 == 0, "old").otherwise("new").alias("binary_name"), F.col("event_id").alias("run"),
+        F.col("event_type").alias("stage"), (F.col("value") + 1).alias("seconds")
     )
 
 
-@query(
-    "SELECT o_custkey AS custkey, arg_min(o_totalprice, o_orderkey) AS cold, min(o_totalprice) FILTER (k > 1) AS warm, greatest(0.0, arg_min(o_totalprice, o_orderkey) - min(o_totalprice) FILTER (k > 1)) AS start_up FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY o_custkey HAVING count(*) > 1 UNION ALL SELECT o_custkey, min(o_totalprice), NULL, NULL FROM orders GROUP BY o_custkey HAVING count(*) = 1"
-)
+@query(f"WITH {_RUNS} SELECT case_name, binary_name, min(seconds) AS best FROM runs GROUP BY ALL")
+def best_of(spark, d):
+    """The best of all runs of each case and binary."""
+    return corpus.best_of(_runs(spark, d), ["case_name", "binary_name"], "seconds")
+
+
+@query(f"""
+WITH {_RUNS}, k AS (SELECT *, row_number() OVER (PARTITION BY case_name ORDER BY run) AS k FROM runs),
+a AS (SELECT case_name, arg_min(seconds, run) AS cold, min(seconds) FILTER (k > 1) AS warm FROM k GROUP BY case_name)
+SELECT case_name, cold, warm, CASE WHEN warm IS NOT NULL THEN greatest(0.0, cold - warm) END AS start_up FROM a""")
 def cold_start(spark, d):
-    """First runs against later ones: a customer's orders in place of a case's runs."""
-    return corpus.cold_start(
-        t(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", "o_totalprice"), "custkey", "o_orderkey",
-        "o_totalprice"
-    )
+    """The first run of each case against the best of its later ones."""
+    return corpus.cold_start(_runs(spark, d), "case_name", "run", "seconds")
 
 
-@query(
-    "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'new' ELSE 'old' END AS output FROM part UNION ALL SELECT -p_partkey, 'new' FROM part WHERE p_size > 45"
-)
+_BEST = "b AS (SELECT case_name, min(seconds) FILTER (binary_name = 'old') AS champion, min(seconds) FILTER (binary_name = 'new') AS candidate FROM runs GROUP BY case_name)"
+
+
+@query(f"""
+WITH {_RUNS}, {_BEST}, o AS (SELECT case_name, 'old' AS binary_name, champion AS best FROM b WHERE champion IS NOT NULL)
+SELECT * FROM o WHERE case_name NOT IN (SELECT case_name FROM b WHERE candidate < champion OR champion IS NULL)
+UNION ALL SELECT case_name, 'new', candidate FROM b WHERE candidate < champion OR champion IS NULL""")
 def promoted(spark, d):
-    """Candidates of the large parts, and of unknown ones, take the champions' places."""
-    part = t(spark, d, "part")
-    large = part.where("p_size > 25").select("p_partkey").union(part.where("p_size > 45").select(-F.col("p_partkey")))
-    return corpus.promoted(part.select("p_partkey", F.lit("old").alias("output")), large.withColumn("output", F.lit("new")), ["p_partkey"])
+    """The champions after those candidates took their places that were faster, or whose case had no champion."""
+    best = corpus.best_of(_runs(spark, d), ["case_name", "binary_name"], "seconds")
+    old, new = (best.where(F.col("binary_name") == b) for b in ("old", "new"))
+    faster = new.join(old.select("case_name", F.col("best").alias("before")), "case_name", "left").where("before IS NULL OR best < before")
+    return corpus.promoted(old, faster.drop("before"), ["case_name"])
 
 
-@query("SELECT p_partkey, p_retailprice AS convert, p_size AS parse, greatest(0.0, p_retailprice - p_size * 40) AS render FROM part")
+@query(f"""
+WITH {_RUNS}, s AS (SELECT case_name, min(seconds) FILTER (stage <> 'view') AS convert, min(seconds) FILTER (stage = 'view') AS parse FROM runs GROUP BY case_name)
+SELECT case_name, convert, parse, greatest(0.0, convert - parse) AS render FROM s""")
 def stage_split(spark, d):
-    found = corpus.stage_split(
-        t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("convert"), (F.col("p_size") * 40.0).alias("parse")),
-        "convert", "parse"
+    """The best whole conversion of each case, the best of its parsing runs, and what is left for rendering."""
+    timed = lambda which: F.min(F.when(which, F.col("seconds")))
+    best = _runs(spark, d).groupBy("case_name").agg(
+        timed(F.col("stage") != "view").alias("convert"), timed(F.col("stage") == "view").alias("parse")
     )
-    return found.withColumn("parse", (F.col("parse") / 40).cast("int"))
+    return corpus.stage_split(best, "convert", "parse")
 
 
-@query(
-    "SELECT l_returnflag AS case_name, min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS champion, min(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS candidate, (min(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) - min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END)) / min(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) * 100 AS delta_percent FROM lineitem GROUP BY l_returnflag"
-)
+@query(f"WITH {_RUNS}, {_BEST} SELECT *, (candidate - champion) / champion * 100 AS delta_percent FROM b")
 def ab_delta(spark, d):
-    """The A/B measure, over prices in place of seconds."""
-    found = corpus.ab_delta(t(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice", "F", "O")
-    return found.withColumnRenamed("l_returnflag", "case_name")
+    """The best times of two binaries for each case, and their difference."""
+    return corpus.ab_delta(_runs(spark, d), "case_name", "binary_name", "seconds", "old", "new")
 
 
 _FIRST_LINE = "string_split(coalesce(text, ''), chr(10))[1]"
