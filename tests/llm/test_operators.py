@@ -887,3 +887,12 @@ def test_pipeline(spark):
         docs = out
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert sum(p["piece"] == 0 for p in pieces) == docs.count()
+
+
+def test_empty_tables(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.derivatives(pages).count() == 0
+    import corpus_pipeline
+
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
