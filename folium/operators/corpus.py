@@ -17,18 +17,26 @@ def consensus(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file", "token").agg(F.count(F.lit(1)).alias("engines")).where("engines >= 2").select("file", "token")
 
 
-def recall(rows: DataFrame) -> DataFrame:
-    """file, engine, recall (share of the consensus it has; 1 without one), unique_tokens (that no other engine gives).
+def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """file, engine, hit and unique_tokens; file and the size of its consensus.
 
     rows are distinct, so one aggregate by token knows who gives it; a second, by engine, sums up."""
     by_token = rows.groupBy("file", "token").agg(F.collect_list("engine").alias("engines"))
     shared = F.size("engines") >= 2
     each = by_token.select("file", F.explode("engines").alias("engine"), shared.cast("long").alias("shared"))
     own = each.groupBy("file", "engine").agg(F.sum("shared").alias("hit"), F.sum(1 - F.col("shared")).alias("unique_tokens"))
-    size = by_token.groupBy("file").agg(F.sum(shared.cast("long")).alias("consensus"))
-    return own.join(size, "file").select(
-        "file", "engine", F.when(F.col("consensus") == 0, 1.0).otherwise(F.col("hit") / F.col("consensus")).alias("recall"), "unique_tokens"
-    )
+    return own, by_token.groupBy("file").agg(F.sum(shared.cast("long")).alias("consensus"))
+
+
+def _recall() -> Column:
+    """Share of the consensus; 1 without one. An output without tokens has none of it."""
+    return F.when(F.coalesce("consensus", F.lit(0)) == 0, 1.0).otherwise(F.coalesce("hit", F.lit(0)) / F.col("consensus"))
+
+
+def recall(rows: DataFrame) -> DataFrame:
+    """file, engine, recall (share of the consensus it has; 1 without one), unique_tokens (that no other engine gives)."""
+    own, size = _found(rows)
+    return own.join(size, "file").select("file", "engine", _recall().alias("recall"), "unique_tokens")
 
 
 def table_stats(df: DataFrame, key: str, md: str) -> DataFrame:
@@ -49,10 +57,10 @@ def measures(df: DataFrame, file: str = "file", engine: str = "engine", markdown
         F.col(file).alias("file"), F.col(engine).alias("engine"), F.length(markdown).cast("long").alias("bytes"),
         *[counted[c].alias(c) for c in COUNTS]
     )
-    found = recall(token_rows(df, file, engine, markdown))
-    return own.join(found, ["file", "engine"], "left").withColumns(
-        {"recall": F.coalesce("recall", F.lit(1.0)), "unique_tokens": F.coalesce("unique_tokens", F.lit(0).cast("long"))}
-    )
+    found, size = _found(token_rows(df, file, engine, markdown))
+    return own.join(found, ["file", "engine"], "left").join(size, "file", "left").withColumns(
+        {"recall": _recall(), "unique_tokens": F.coalesce("unique_tokens", F.lit(0).cast("long"))}
+    ).drop("hit", "consensus")
 
 
 def totals(measured: DataFrame) -> DataFrame:
