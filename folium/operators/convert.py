@@ -161,11 +161,18 @@ def tables(nodes: DataFrame, key: str) -> DataFrame:
     )
 
 
-def titles(df: DataFrame, html: str = "html") -> DataFrame:
-    """df with title of HTML text, without building blocks where a title element has one; null where the text cannot be parsed."""
+#: An ampersand that begins no character reference with a semicolon.
+_LOOSE = r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)"
+
+
+def titles(df: DataFrame, html: str = "html", terminated: bool = False) -> DataFrame:
+    """df with title of HTML text, without building blocks where a title element has one; null where the text cannot be parsed.
+
+    terminated: only character references that end with a semicolon count, as in XML; HTML also reads some without one (``&amp``)."""
     from folium.parsers.html_walk import html_title
 
     def run(sources: pa.Array) -> pa.Array:
         return pa.array([None if s is None else _guarded(lambda: html_title(s), "Conversion")[0] for s in sources.to_pylist()], pa.string())
 
-    return df.withColumn("title", F.arrow_udf(run, "string")(F.col(html)))
+    source = F.regexp_replace(html, _LOOSE, "&amp;") if terminated else F.col(html)
+    return df.withColumn("title", F.arrow_udf(run, "string")(source))
