@@ -51,6 +51,25 @@ def _guarded(convert_one, what: str):
         return None, {"kind": "conversion", "message": f"{what} failed with {type(e).__name__}: {e}"}
 
 
+#: So much text is parsed or rendered at a time: what a document is in Python is many times larger than its text.
+SLICE_BYTES = 1 << 20
+
+
+def sliced(run: Callable[..., pa.Array], by: int = 0, max_bytes: int = SLICE_BYTES) -> Callable[..., pa.Array]:
+    """run over slices of its arrays, of about max_bytes of the array number by; the Python objects of a slice are gone before the next."""
+
+    def whole(*arrays: pa.Array) -> pa.Array:
+        n, parts, at = len(arrays[0]), [], 0
+        per_row = max(1, arrays[by].nbytes // max(1, n))
+        step = max(1, max_bytes // per_row)
+        while at < n or not parts:
+            parts.append(run(*[a.slice(at, step) for a in arrays]))
+            at += step
+        return pa.concat_arrays(parts)
+
+    return whole
+
+
 def _worker(registry: Registry, options: MarkdownOptions, tree: bool, markdown: bool):
     parsers = {c.name: c.parse for c in registry.converters}
 
@@ -81,7 +100,7 @@ def _worker(registry: Registry, options: MarkdownOptions, tree: bool, markdown:
         }
         return pa.StructArray.from_arrays([columns[f.name].cast(f.type) for f in kind], fields=list(kind))
 
-    return F.arrow_udf(run, PARSED)
+    return F.arrow_udf(sliced(run, by=1), PARSED)
 
 
 def node_lists(trees: list[list | None], kind: pa.DataType) -> pa.Array:
@@ -144,7 +163,7 @@ def render(df: DataFrame, nodes: str = "nodes", metadata: str | None = None, opt
         return pa.array(out, pa.struct([("markdown", pa.string()), ("error", pa.string())]))
 
     meta = F.col(metadata) if metadata else F.lit(None).cast(T.ArrayType(PAIR))
-    df = df.withColumn("__made", F.arrow_udf(run, RENDERED)(F.col(nodes), meta))
+    df = df.withColumn("__made", F.arrow_udf(sliced(run), RENDERED)(F.col(nodes), meta))
     return df.withColumn("markdown", F.col("__made.markdown")).withColumn("render_error", F.col("__made.error")).drop("__made")
 
 
@@ -175,4 +194,4 @@ def titles(df: DataFrame, html: str = "html", terminated: bool = False) -> DataF
         return pa.array([None if s is None else _guarded(lambda: html_title(s), "Conversion")[0] for s in sources.to_pylist()], pa.string())
 
     source = F.regexp_replace(html, _LOOSE, "&amp;") if terminated else F.col(html)
-    return df.withColumn("title", F.arrow_udf(run, "string")(source))
+    return df.withColumn("title", F.arrow_udf(sliced(run), "string")(source))
