@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,11 +35,14 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A table of at most so many rows, of a few numbers or short strings each, may be broadcast.
-BROADCAST_ROWS = 1 << 18
+#: A table of at most so many rows and characters may be broadcast.
+BROADCAST_ROWS, BROADCAST_CHARS = 1 << 18, 1 << 25
 
 
-def small(df: DataFrame, name: str) -> DataFrame:
-    """df written, and marked for broadcast if it is counted to have BROADCAST_ROWS at most; else Spark shuffles."""
+def small(df: DataFrame, name: str, chars: Column | None = None) -> DataFrame:
+    """df written, and marked for broadcast if it is counted to have BROADCAST_ROWS and BROADCAST_CHARS at most; else Spark shuffles.
+
+    chars: of a row, where it is more than a few numbers or short strings."""
     df = written(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.lit(0) if chars is None else chars)).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_CHARS else df
