@@ -18,6 +18,11 @@ EXTENSIONS = {
 ZIPPED = ("docx", "xlsx", "pptx", "epub")
 
 
+def let(value: Column, make) -> Column:
+    """make(value) with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), make)[0]
+
+
 def filename(path: Column) -> Column:
     return F.substring_index(F.substring_index(path, "/", -1), "\\", -1)
 

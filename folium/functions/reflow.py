@@ -14,11 +14,6 @@ from folium.functions import columns as C
 BROKEN = "￾"
 
 
-def _let(value: Column, make) -> Column:
-    """make(value) with the value worked out once, however often it is used."""
-    return F.transform(F.array(value), make)[0]
-
-
 def _with_words(words: Column, of: Column, make) -> Column:
     """make(of, known) with the words looked up by known. They are gathered and sorted once for a text, and looked up by halving steps."""
 
@@ -36,7 +31,7 @@ def _with_words(words: Column, of: Column, make) -> Column:
 
         return make(of, known)
 
-    return _let(_let(F.sort_array(words), table), run)
+    return C.let(C.let(F.sort_array(words), table), run)
 
 
 def _rejoined(text: Column, chain: str, cut: str, words: Column) -> Column:
@@ -59,7 +54,7 @@ def _rejoined(text: Column, chain: str, cut: str, words: Column) -> Column:
         out = F.array_join(F.zip_with(F.split(t, chain), made, lambda between, c: F.concat(between, F.coalesce(c, F.lit("")))), "")
         return F.when(t.rlike(cut), out).otherwise(t)
 
-    return _let(text, whole)
+    return C.let(text, whole)
 
 
 def reflowed(source: Column) -> Column:

@@ -7,14 +7,25 @@ from pyspark.sql import functions as F
 
 from folium.functions import columns as C
 
-#: Schemes of bases that references are resolved against; the parts of a reference without its scheme.
+#: Schemes of bases that references are resolved against; a scheme.
 SCHEMES = ("http", "https", "file", "ftp")
 _SCHEME = r"\A([A-Za-z][A-Za-z0-9+.\-]*):"
-_PARTS = r"\A(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+def _parts(reference: Column) -> Column:
+    """struct(authority, path, query, fragment) of a reference without its scheme; what is missing is empty."""
+    without = lambda x, mark: F.substring_index(x, mark, 1)
+    behind = lambda x, head: F.substring(x, F.length(head) + 2, F.length(x))
 
+    def split(at: Column) -> Column:
+        whole, rest = at["whole"], at["rest"]
+        path = without(rest, "?")
+        named = F.startswith(path, F.lit("//"))
+        authority = F.when(named, without(F.substring(path, 3, 1 << 30), "/")).otherwise("")
+        return F.struct(
+            authority.alias("authority"), F.when(named, F.substring(path, F.length(authority) + 3, F.length(path))).otherwise(path).alias("path"), behind(rest, path).alias("query"),
+            behind(whole, rest).alias("fragment")
+        )
 
-def _part(reference: Column, at: int) -> Column:
-    return F.regexp_extract(reference, "(?s)" + _PARTS, at)
+    return C.let(F.struct(reference.alias("whole"), without(reference, "#").alias("rest")), split)
 
 
 def without_dots(path: Column, joined: Column) -> Column:
@@ -27,25 +38,50 @@ def without_dots(path: Column, joined: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.aggregate(ended, F.array().cast("array<string>"), step), "/"), F.lit("")), F.lit("/"))
 
 
+def _merged(base_path: Column, path: Column) -> Column:
+    """A path on that of the base."""
+    rooted = F.startswith(path, F.lit("/"))
+
+    def clean(merged: Column) -> Column:
+        plain = ~(F.contains(merged, F.lit("/.")) | F.contains(merged, F.lit("//")) | F.startswith(merged, F.lit(".")))
+        return F.when(plain, merged).otherwise(without_dots(merged, ~rooted))
+
+    folder = F.substring(base_path, F.lit(1), F.length(base_path) - F.length(F.substring_index(base_path, "/", -1)))
+    return C.let(F.when(rooted, path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)), clean)
+
+
 def resolved(base: Column, reference: Column) -> Column:
     """The reference as a URL: itself where it has a scheme of its own, or where the base is none of SCHEMES or null; null for null.
 
     White space at the edges goes. Empty queries and fragments aren't kept, and the base's fragment never."""
-    ref = F.translate(C.trimmed(reference), "\t\r\n", "")
-    scheme = F.lower(F.regexp_extract(base, _SCHEME, 1))
-    usable = F.coalesce(scheme.isin(*SCHEMES) & F.contains(base, F.lit("://")), F.lit(False))
-    own = F.lower(F.regexp_extract(ref, _SCHEME, 1))
-    rest = F.when(own == scheme, F.regexp_replace(ref, _SCHEME, "")).otherwise(ref)
-    root = F.regexp_replace(F.translate(base, "\t\r\n", ""), _SCHEME, "")
-    path, query, fragment = (_part(rest, k) for k in (2, 3, 4))
-    base_path = _part(root, 2)
-    folder = F.regexp_extract(base_path, r"\A(.*/)?", 1)
-    merged = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
-    named = _part(rest, 1) != ""  # an empty authority is none
-    new_path = F.when(named, path).when(path == "", base_path).otherwise(without_dots(merged, ~F.startswith(path, F.lit("/"))))
-    new_query = F.when((path == "") & ~named & (query == ""), _part(root, 3)).otherwise(query)
-    host = F.when(named, _part(rest, 1)).otherwise(_part(root, 1))
-    slash = F.when((new_path != "") & ~F.startswith(new_path, F.lit("/")), "/").otherwise("")
     tail = lambda mark, x: F.when(x == "", "").otherwise(F.concat(F.lit(mark), x))
-    made = F.concat(scheme, F.lit("://"), host, slash, new_path, tail("?", new_query), tail("#", fragment))
-    return F.when(~usable, reference).when((own != "") & (own != scheme), C.trimmed(reference)).when(ref == "", base).otherwise(made)
+
+    def joined(s: Column) -> Column:
+        rest, root = s["rest"], s["root"]
+        path, named = rest["path"], rest["authority"] != ""  # an empty authority is none
+        new_path = F.when(named, path).when(path == "", root["path"]).otherwise(_merged(root["path"], path))
+        new_query = F.when((path == "") & ~named & (rest["query"] == ""), root["query"]).otherwise(rest["query"])
+        host = F.when(named, rest["authority"]).otherwise(root["authority"])
+
+        def put(new_path: Column) -> Column:
+            slash = F.when((new_path != "") & ~F.startswith(new_path, F.lit("/")), "/").otherwise("")
+            return F.concat(s["scheme"], F.lit("://"), host, slash, new_path, tail("?", new_query), tail("#", rest["fragment"]))
+
+        return C.let(new_path, put)
+
+    def made(s: Column) -> Column:
+        ref, scheme, own = s["ref"], s["scheme"], s["own"]
+        usable = F.coalesce(scheme.isin(*SCHEMES) & F.contains(s["base"], F.lit("://")), F.lit(False))
+        rest = F.when(own == scheme, F.substring(ref, F.length(own) + 2, F.length(ref))).otherwise(ref)
+        root = F.substring(F.translate(s["base"], "\t\r\n", ""), F.length(scheme) + 2, F.length(s["base"]))
+        parts = F.struct(scheme.alias("scheme"), _parts(rest).alias("rest"), _parts(root).alias("root"))
+        return F.when(~usable, s["reference"]).when((own != "") & (own != scheme), C.trimmed(s["reference"])).when(
+            ref == "", s["base"]
+        ).otherwise(C.let(parts, joined))
+
+    ref = F.translate(C.trimmed(reference), "\t\r\n", "")
+    given = F.struct(
+        base.alias("base"), reference.alias("reference"), ref.alias("ref"), F.lower(F.regexp_extract(base, _SCHEME, 1)).alias("scheme"),
+        F.lower(F.regexp_extract(ref, _SCHEME, 1)).alias("own")
+    )
+    return C.let(given, made)
