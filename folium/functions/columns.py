@@ -167,7 +167,11 @@ def paragraphs(source: Column) -> Column:
 
 
 def vocabulary(source: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(source, F.lit(r"\p{L}{2,}"), F.lit(0)), F.lower))
+    """Words of two letters or more in lower case, sorted; a word comes as often as it does in the text."""
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"\p{L}{2,}"), F.lit(0))
+    # the whole text is lowered at once, but for letters whose lower case hangs on their neighbours or is longer
+    each = F.when(source.rlike("[\u0130\u03a3]"), F.transform(words(source), F.lower)).otherwise(words(F.lower(source)))
+    return F.sort_array(each)
 
 
 # What separates tokens of the corpus measures, the blanks they know beside ASCII's, and what Python counts as white space.
