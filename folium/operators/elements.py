@@ -5,8 +5,9 @@ Every element has its number in document order (element_id) and that of its last
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.parsers.html_tree import Element, parse
@@ -15,71 +16,94 @@ from folium.parsers.html_walk import DROPPED
 ELEMENT = "array<struct<element_id:int,parent_id:int,last_id:int,depth:int,tag:string>>"
 
 
-def _elements(source: str) -> list[dict]:
-    """Elements below the root, in document order."""
-    out: list[dict] = []
-    stack: list[tuple[Element, int, int, bool]] = [(c, -1, 0, False) for c in reversed(parse(source).root.children) if isinstance(c, Element)]
+def _elements(source: str, out: list[list]) -> None:
+    """Puts the elements below the root, in document order, behind those that the columns of out hold."""
+    parents, lasts, depths, tags = out
+    base = len(tags)
+    stack: list = [(c, -1, 0) for c in reversed(parse(source).root.children) if isinstance(c, Element)]
     while stack:
-        e, at, depth, done = stack.pop()
-        if done:  # at is its own number now
-            out[at]["last_id"] = len(out) - 1
+        e, at, depth = stack.pop()
+        if e is None:  # at is its own number now
+            lasts[base + at] = len(tags) - base - 1
             continue
-        me = len(out)
-        out.append({"element_id": me, "parent_id": at, "last_id": me, "depth": depth, "tag": e.tag})
-        stack.append((e, me, depth, True))
-        stack += [(c, me, depth + 1, False) for c in reversed(e.children) if isinstance(c, Element) and c.tag != "#comment"]
-    return out
+        me = len(tags) - base
+        parents.append(at)
+        lasts.append(me)
+        depths.append(depth)
+        tags.append(e.tag)
+        below = [(c, me, depth + 1) for c in reversed(e.children) if isinstance(c, Element) and c.tag != "#comment"]
+        if below:
+            stack.append((None, me, depth))
+            stack += below
 
 
 def element_table(df: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, element_id, parent_id, last_id, depth, tag: a row for each element; a null text has none."""
 
     def run(sources: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([(n, pa.string() if n == "tag" else pa.int32()) for n in ("element_id", "parent_id", "last_id", "depth", "tag")]))
-        return pa.array([None if s is None else _elements(s) for s in sources.to_pylist()], kind)
+        out: list[list] = [[], [], [], []]
+        ends = [0]
+        for i in range(len(sources)):  # one by one, so that a batch's texts are never Python objects at once
+            if (source := sources[i].as_py()) is not None:
+                _elements(source, out)
+            ends.append(len(out[-1]))
+        ids = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
+        values = [pa.array(v, pa.int32()) for v in (ids, *out[:3])] + [pa.array(out[3], pa.string())]
+        names = ("element_id", "parent_id", "last_id", "depth", "tag")
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, list(names)))
 
     return df.select(key, F.explode(F.arrow_udf(run, ELEMENT)(F.col(html))).alias("e")).select(key, "e.*")
 
 
-def _in_order(key: str) -> WindowSpec:
-    return Window.partitionBy(key).orderBy("element_id")
-
-
 def marked(elements: DataFrame, key: str) -> DataFrame:
     """elements with dropped (it or what holds it never counts) and table_id (the nearest table above it, null outside of any)."""
-    to_here = _in_order(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # ranges never cross: an element is within a dropped one if any that began before reaches it
-    reach = F.max(F.when(F.col("tag").isin(*DROPPED), F.col("last_id"))).over(to_here)
-    dropped = elements.withColumn("dropped", F.coalesce(reach >= F.col("element_id"), F.lit(False)))
     # a table opens one level with its first descendant and closes it behind its last: the nearest one is the last that opened the level an element is on
     is_table = F.col("tag") == "table"
-    event = F.when(is_table, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = dropped.withColumn("closes", F.explode(event))
-    place = F.when(F.col("closes") == 1, F.struct((F.col("last_id") + 1).alias("at"), F.lit(0).alias("k"))).otherwise(F.struct(F.col("element_id").alias("at"), F.lit(1).alias("k")))
-    rows = rows.withColumn("place", place)
-    before = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("closes") == 1, -1).otherwise(is_table.cast("int"))
-    rows = rows.withColumn("level", F.coalesce(F.sum(step).over(before), F.lit(0))).where("closes = 0")
+    both = F.when(is_table, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = elements.withColumn("closes", F.explode(both))
+    at = F.when(F.col("closes"), F.col("last_id") + 1).otherwise(F.col("element_id")).cast("long")
+    rows = rows.withColumn("place", at * 2 + (~F.col("closes")).cast("int"))
+    in_order = Window.partitionBy(key).orderBy("place")
+    # ranges never cross: an element is within a dropped one if any that began before reaches it
+    reach = F.max(F.when(F.col("tag").isin(*DROPPED), F.col("last_id"))).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    level = F.sum(F.when(F.col("closes"), -1).otherwise(is_table.cast("int"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"dropped": F.coalesce(reach >= F.col("element_id"), F.lit(False)), "level": F.coalesce(level, F.lit(0))}).where(~F.col("closes"))
     # its own level for an element, the level that it opens for a table
-    own = rows.withColumn("opens", F.explode(F.when(is_table, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    own = own.withColumn("level", F.col("level") + F.col("opens"))
-    of_level = Window.partitionBy(key, "level").orderBy("element_id", "opens").rowsBetween(Window.unboundedPreceding, -1)
-    nearest = F.when(F.col("level") > 0, F.last(F.when(F.col("opens") == 1, F.col("element_id")), ignorenulls=True).over(of_level))
-    return own.withColumn("table_id", nearest).where("opens = 0").drop("closes", "place", "level", "opens")
+    own = rows.withColumn("opens", F.explode(both)).withColumn("level", F.col("level") + F.col("opens").cast("int"))
+    of_level = Window.partitionBy(key, "level").orderBy("element_id").rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.when(F.col("level") > 0, F.last(F.when(F.col("opens"), F.col("element_id")), ignorenulls=True).over(of_level))
+    return own.withColumn("table_id", nearest).where(~F.col("opens")).drop("closes", "place", "level", "opens")
 
 
-def table_rows(elements: DataFrame, key: str) -> DataFrame:
-    """key, table_id, body_rows, has_header of the tables that have cells: rows are the tr below a table without another one between; one without cells is none, and only the very first can be the header."""
-    kept = marked(elements, key).where(~F.col("dropped"))
+def table_counts(elements: DataFrame, key: str) -> DataFrame:
+    """key, table_id, rows, body_rows, has_header, dropped: sums of each table's own rows; dropped elements stand under the null table_id, which every key with any has."""
+    counts, is_row = ~F.col("dropped"), F.col("tag") == "tr"
+    sum_of = lambda of: F.sum((counts & of).cast("int"))
     # a row asks its children, so both are brought under the row's number
-    cells = kept.groupBy(key, F.when(F.col("tag") == "tr", F.col("element_id")).otherwise(F.col("parent_id")).alias("row_id")).agg(
-        F.max(F.when(F.col("tag") == "tr", F.col("table_id"))).alias("table_id"), F.sum((F.col("tag") == "tr").cast("int")).alias("is_row"),
-        F.sum(F.col("tag").isin("td", "th").cast("int")).alias("cells"), F.sum((~F.col("tag").isin("th", "tr")).cast("int")).alias("others")
-    )
-    rows = cells.where("is_row > 0 and table_id is not null")
-    first = F.row_number().over(Window.partitionBy(key, "table_id").orderBy("row_id")) == 1
-    rows = rows.withColumn("header", first & (F.col("others") == 0) & (F.col("cells") > 0)).where("cells > 0")
-    return rows.groupBy(key, "table_id").agg(
-        F.sum((~F.col("header")).cast("long")).alias("body_rows"), F.max("header").alias("has_header")
+    cells = marked(elements, key).groupBy(key, F.when(is_row, F.col("element_id")).otherwise(F.col("parent_id")).alias("row_id")).agg(
+        F.max(F.when(counts & is_row, F.col("table_id"))).alias("table_id"), sum_of(F.col("tag").isin("td", "th")).alias("cells"),
+        sum_of(~F.col("tag").isin("th", "tr")).alias("others"), F.sum(F.col("dropped").cast("long")).alias("dropped")
     )
+    # only the very first row can be the header: the least number of all has, as its last digit, whether that row is one
+    header = ((F.col("others") == 0) & (F.col("cells") > 0)).cast("int")
+    first = F.min(F.col("row_id").cast("long") * 2 + header)
+    rows = cells.groupBy(key, "table_id").agg(F.sum((F.col("cells") > 0).cast("long")).alias("rows"), (first % 2 == 1).alias("has_header"), F.sum("dropped").alias("dropped"))
+    return rows.withColumn("body_rows", F.col("rows") - F.col("has_header").cast("int"))
+
 
+def _has_rows() -> Column:
+    return F.col("table_id").isNotNull() & (F.col("rows") > 0)
+
+
+def table_rows(elements: DataFrame, key: str) -> DataFrame:
+    """key, table_id, body_rows, has_header of the tables that have cells: rows are the tr below a table without another one between; one without cells is none, and only the very first can be the header."""
+    return table_counts(elements, key).where(_has_rows()).select(key, "table_id", "body_rows", "has_header")
+
+
+def document_tables(elements: DataFrame, key: str) -> DataFrame:
+    """key, tables, body_rows, headers, dropped (elements) of each document that has a table with cells, in one pass over its elements."""
+    sums = table_counts(elements, key).groupBy(key).agg(
+        F.sum(_has_rows().cast("long")).alias("tables"), F.sum(F.when(_has_rows(), F.col("body_rows"))).alias("body_rows"),
+        F.sum(F.when(_has_rows(), F.col("has_header").cast("long"))).alias("headers"), F.sum("dropped").alias("dropped")
+    )
+    return sums.where("tables > 0")

@@ -46,3 +46,9 @@ def small(df: DataFrame, name: str, chars: Column | None = None) -> DataFrame:
     df = written(df, name)
     rows, size = df.agg(F.count(F.lit(1)), F.sum(F.lit(0) if chars is None else chars)).first()
     return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_CHARS else df
+
+
+def parts(df: DataFrame, rows: int) -> int:
+    """How many partitions hold so many rows of df each; as many as cores, or as rows, at least. It counts df."""
+    n = df.count()
+    return max(1, min(n, df.sparkSession.sparkContext.defaultParallelism), -(-n // rows))
