@@ -1,7 +1,7 @@
 """Markdown from the node table as a relational fold: level by level from the leaves up, in Catalyst alone.
 
 A level is joined with its children, grouped by parent; a node becomes inline text or a list of lines. A quote or an item puts its prefix before the lines of its blocks, so no line is
-looked at again but to be prefixed. The nodes of a level are dealt by parent, not by document: a large document is many groups, and only its Markdown, at the very end, is one value.
+looked at again but to be prefixed. Nodes are exchanged once, by document, in as many parts as they fill; all levels of a document are then folded where they lie, by sorts that can spill.
 """
 
 from __future__ import annotations
@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from folium.functions import columns as C
 from folium.model import MarkdownOptions
-from folium.operators.stage import written
+from folium.operators.stage import parts, written
 from folium.text import SPACE
 
 #: Levels of one plan; deeper trees write what they have so far and go on from there.
-LEVELS = 6
+LEVELS = 8
+#: So many nodes of all levels are one task's, or one document's nodes if it has more.
+TASK_NODES = 1_000_000
 _LINE_END = r"\r\n|\n|\r"
+# The fields of a node that its Markdown is made of.
+USED = frozenset("parent_id slot ordinal kind text level language ordered start loose checked col_span alignments url link_title".split())
 #: What a node hands to its parent: inline text where a line begins, within a line, within a table cell; lines of a block; cells of a row.
 _VALUE = "struct<start:string,inner:string,cell:string,lines:array<string>,cells:array<string>>"
 
@@ -163,15 +167,15 @@ def _blocks(o: MarkdownOptions) -> dict[str, Column]:
     }
 
 
-def _grouped(values: DataFrame, by: list[str]) -> DataFrame:
-    """kids of each parent, in order; each with the text that it adds to a run of inlines (inner) and to one in a cell (in_cell)."""
+def _grouped(values: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """kids of each parent, in order; each with the text that it adds to a run of inlines (inner) and to one in a cell (in_cell). A row without a value is no kid."""
     before = Window.partitionBy(*by).orderBy("slot", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
     # a line begins at the first text and after one that ends a line; empty ones count not
     ends = F.when(F.col("value.start") != "", F.endswith("value.start", F.lit("\n")))
     begins = F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit(True))
     part = F.when(begins, F.col("value.start")).otherwise(F.col("value.inner"))
-    kid = F.struct("slot", "ordinal", part.alias("inner"), F.col("value.cell").alias("in_cell"), "value")
-    return values.withColumn("kid", kid).groupBy(*by).agg(F.sort_array(F.collect_list("kid")).alias("kids"))
+    kid = F.when(F.col("value").isNotNull(), F.struct("slot", "ordinal", part.alias("inner"), F.col("value.cell").alias("in_cell"), "value"))
+    return values.withColumn("kid", kid).groupBy(*by).agg(F.sort_array(F.collect_list("kid")).alias("kids"), *more)
 
 
 def _node_value(o: MarkdownOptions) -> Column:
@@ -188,8 +192,12 @@ def _level(nodes: DataFrame, below: DataFrame | None, value: Column) -> DataFram
         empty = "array<struct<slot:string,ordinal:int,inner:string,in_cell:string,value:" + _VALUE + ">>"
         given = nodes.withColumn("kids", F.array().cast(empty))
     else:
-        kids = _grouped(below, ["key", "parent_id"]).withColumnRenamed("parent_id", "node_id")
-        given = nodes.join(kids, ["key", "node_id"], "left").withColumn("kids", F.coalesce("kids", F.array()))
+        # a node is brought under its own number beside what names it as parent: rows of both are where their document is, which a join by node would not know
+        none = lambda c: F.lit(None).cast(below.schema[c].dataType).alias(c)
+        own = nodes.select("key", F.col("node_id").alias("at"), none("slot"), none("ordinal"), none("value"), F.struct(*[c for c in nodes.columns if c in USED]).alias("node"))
+        kids = below.select("key", F.col("parent_id").alias("at"), "slot", "ordinal", "value", F.lit(None).cast(own.schema["node"].dataType).alias("node"))
+        found = _grouped(own.unionAll(kids), ["key", "at"], F.first("node", ignorenulls=True).alias("node"))
+        given = found.where("node is not null").select("key", "node.*", "kids")
     given = given.withColumns({"inner": _joined("inner"), "in_cell": _joined("in_cell")})
     return given.select("key", "parent_id", "slot", "ordinal", value)
 
@@ -201,11 +209,12 @@ def fold(nodes: DataFrame, key: str, options: MarkdownOptions | None = None, met
     o = options or MarkdownOptions()
     table = written(nodes.withColumnRenamed(key, "key"), "nodes", by="depth")
     deepest = table.agg(F.max("depth")).first()[0]
-    below, value = None, _node_value(o)
+    below, value, n = None, _node_value(o), parts(table, TASK_NODES)
     for depth in range(-1 if deepest is None else deepest, -1, -1):
-        below = _level(table.where(F.col("depth") == depth), below, value)
-        if depth % LEVELS == LEVELS - 1:
-            below = written(below, "level")
+        # the only exchange: what follows is grouped, sorted and joined within documents
+        below = _level(table.where(F.col("depth") == depth).repartition(n, "key"), below, value)
+        if depth and depth % LEVELS == 0:
+            below = written(below, "level").repartition(n, "key")
     if below is None:
         return nodes.select(key, F.lit("").alias("markdown"))
     top = _grouped(below, ["key"])
