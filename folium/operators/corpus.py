@@ -12,20 +12,32 @@ def token_rows(df: DataFrame, file: str, engine: str, text: str) -> DataFrame:
     return df.select(F.col(file).alias("file"), F.col(engine).alias("engine"), F.explode(C.tokens(F.col(text))).alias("token")).distinct()
 
 
+def _by_file(df: DataFrame, file: str, engine: str, text: str) -> DataFrame:
+    """The same for files that are a few outputs each, and not made distinct: outputs are exchanged by file, tokens as one value; what is asked by file and token needs no exchange behind that."""
+    outputs = df.select(F.col(file).alias("file"), F.col(engine).alias("engine"), C.tokens(F.col(text)).alias("tokens")).repartition("file")
+    return outputs.select("file", "engine", F.explode("tokens").alias("token"))
+
+
 def consensus(rows: DataFrame) -> DataFrame:
     """(file, token) that two engines or more give for a file."""
     return rows.groupBy("file", "token").agg(F.count(F.lit(1)).alias("engines")).where("engines >= 2").select("file", "token")
 
 
-def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """file, engine, hit and unique_tokens; file and the size of its consensus.
+def _found(rows: DataFrame) -> DataFrame:
+    """file, engine, hit, unique_tokens and consensus (of the file).
 
-    rows are distinct, so one aggregate by token knows who gives it; a second, by engine, sums up."""
-    by_token = rows.groupBy("file", "token").agg(F.collect_list("engine").alias("engines"))
-    shared = F.size("engines") >= 2
-    each = by_token.select("file", F.explode("engines").alias("engine"), shared.cast("long").alias("shared"))
-    own = each.groupBy("file", "engine").agg(F.sum("shared").alias("hit"), F.sum(1 - F.col("shared")).alias("unique_tokens"))
-    return own, by_token.groupBy("file").agg(F.sum(shared.cast("long")).alias("consensus"))
+    One sort by file, token and engine: rows that repeat an engine for a token count not, and the first row of a token counts it for its file."""
+    of_token = Window.partitionBy("file", "token").orderBy("engine")
+    whole = of_token.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.row_number().over(of_token) == 1
+    rows = rows.select("file", "token", "engine", first.alias("first"), (first | ~F.col("engine").eqNullSafe(F.lag("engine").over(of_token))).alias("new"))
+    shared = F.sum(F.col("new").cast("int")).over(whole) >= 2
+    marked = rows.select("file", "engine", "first", "new", shared.alias("shared")).where("new")
+    own = marked.groupBy("file", "engine").agg(
+        F.sum(F.col("shared").cast("long")).alias("hit"), F.sum((~F.col("shared")).cast("long")).alias("unique_tokens"),
+        F.sum((F.col("shared") & F.col("first")).cast("long")).alias("first")
+    )
+    return own.withColumn("consensus", F.sum("first").over(Window.partitionBy("file"))).drop("first")
 
 
 def _recall() -> Column:
@@ -35,8 +47,7 @@ def _recall() -> Column:
 
 def recall(rows: DataFrame) -> DataFrame:
     """file, engine, recall (share of the consensus it has; 1 without one), unique_tokens (that no other engine gives)."""
-    own, size = _found(rows)
-    return own.join(size, "file").select("file", "engine", _recall().alias("recall"), "unique_tokens")
+    return _found(rows).select("file", "engine", _recall().alias("recall"), "unique_tokens")
 
 
 def table_stats(df: DataFrame, key: str, md: str) -> DataFrame:
@@ -57,8 +68,9 @@ def measures(df: DataFrame, file: str = "file", engine: str = "engine", markdown
         F.col(file).alias("file"), F.col(engine).alias("engine"), F.length(markdown).cast("long").alias("bytes"),
         *[counted[c].alias(c) for c in COUNTS]
     )
-    found, size = _found(token_rows(df, file, engine, markdown))
-    return own.join(found, ["file", "engine"], "left").join(size, "file", "left").withColumns(
+    joined = own.join(_found(_by_file(df, file, engine, markdown)), ["file", "engine"], "left")
+    # an output without tokens has its file's consensus from the others
+    return joined.withColumn("consensus", F.max("consensus").over(Window.partitionBy("file"))).withColumns(
         {"recall": _recall(), "unique_tokens": F.coalesce("unique_tokens", F.lit(0).cast("long"))}
     ).drop("hit", "consensus")
 
