@@ -5,13 +5,15 @@ shard_docs documents, with posting lists (places in rising order, and frequencie
 of documents and the mean length of the whole collection, so those of different shards compare and the merged top k is exact.
 
 In a shard similar documents have neighbouring places. Each list has the largest impact of each window of WINDOW places and, where it
-holds an eighth of the shard's documents or more, of each block of BLOCK places; such a list is kept with its gaps, as a column.
-A query walks the shard in the order of places, with a cursor into each of its lists. The next pivot is the first window, from the cursors on, whose
-summed maxima pass the threshold (the k-th score so far, or a floor known from other shards); all cursors skip to it, and what lies
-between is never read. Within the window the postings of the shorter lists are summed, and with the block maxima of the long ones they name the pivot documents;
-only those are scored in full and can raise the threshold. An eighth of the shards is searched first: its k-th scores are the floors of the others.
-
-Queries are bags of words: a word repeated in the query counts as often. They run in blocks of query_block rows and query_chars
+holds a LONG-th of the shard's documents or more, of each block of BLOCK places; how often a document has the word of such a list is kept as a column.
+A query walks the shard in the order of places, with a cursor into each of its lists. The next pivots are the windows, from the cursors on, whose
+summed maxima pass the threshold (the k-th score so far, or a floor known from other shards), STRIDE places at most at a time; all cursors skip to them, and what lies
+between is never read. Within them the postings of the shorter lists are summed, and with the bounds of the long ones they name the pivot documents;
+only those are scored in full and can raise the threshold. The bounds of the long lists are those of the blocks; for the longest (a SUMMED-th of the documents)
+their impacts are summed at each place. Queries whose heaviest words are the same stand together, and both come from a matrix product for AT_ONCE of them, rounded up.
+An eighth of the shards is searched first: its k-th scores are the floors of the others.
+
+Queries are bags of words: a word repeated in the query counts as often. Tasks take their words, once; they run in blocks of query_block rows and query_chars
 characters at most, each against the same index.
 
 Defined results: a null or empty text matches nothing, as document or query; only documents that share a word with the
@@ -22,7 +24,6 @@ separate documents, but ask once for each different text of an id. Rows of a nul
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from folium.llm.common import dropped, slices, stored, whole
 
 K1, B = 1.2, 0.75
-#: Places of a window and of a block.
-WINDOW, BLOCK = 8192, 8
+#: Places of a window, of a block, and of the pivot windows that are read at once.
+WINDOW, BLOCK, STRIDE = 8192, 4, 16_384
+#: A list is long if a LONG-th of a shard's documents have the word, and has its impacts summed at each place if a SUMMED-th have it.
+LONG, SUMMED = 16, 8
 #: Queries whose bounds of long lists are computed at once.
-AT_ONCE = 64
+AT_ONCE = 128
 #: So many documents are scored first where there is no threshold yet.
 FEW = 64
 #: Scores that differ by less may be equal once they are rounded.
@@ -61,7 +64,9 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = ends - starts
     if not len(n):
         return np.zeros(0, np.int64)
-    return np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+    out = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+    out += np.arange(len(out))
+    return out
 
 
 # -- the index
@@ -126,6 +131,28 @@ def _indexed(shard_docs: int, shard_words: int):
     return run
 
 
+def _codes(row: dict, known) -> np.ndarray:
+    """The numbers of the shard's terms among the words known, -1 for others."""
+    blob = np.frombuffer(row["terms"], np.uint8)
+    ends = np.flatnonzero(blob == 10)
+    n = len(ends) + 1 if len(blob) else 0
+    ends = np.concatenate(([0], ends - np.arange(len(ends)), [len(blob) - len(ends)])[: n + 2 if n else 1]).astype(np.int32)
+    terms = pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(blob[blob != 10]))
+    known = known if isinstance(known, pa.Array) else pa.array(list(known), pa.string())
+    return pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _changes(numbers: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers start."""
+    return np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1]))) if len(numbers) else np.zeros(0, np.int64)
+
+
+def _runs(numbers: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges [start, end) of rising whole numbers that follow one another."""
+    first = _changes(numbers - np.arange(len(numbers)))
+    return [(int(numbers[a]), int(numbers[b - 1]) + 1) for a, b in zip(first, np.append(first[1:], len(numbers)))]
+
+
 def _rows(batches):
     for batch in batches:
         for i in range(batch.num_rows):
@@ -136,10 +163,10 @@ def _frequencies(shared):
     """term (number in the block's vocabulary) and df in each shard."""
 
     def run(batches):
-        known: dict[str, int] = shared.value
+        known = pa.array(shared.value, pa.string())
         df = np.zeros(len(known), np.int64)
         for row in _rows(batches):
-            at = np.fromiter((known.get(t, -1) for t in _terms(row)), np.int64)
+            at = _codes(row, known)
             df[at[at >= 0]] += np.frombuffer(row["counts"], np.int32)[at >= 0]
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "df"])
@@ -149,41 +176,60 @@ def _frequencies(shared):
 
 # -- the search
 class Shard:
-    """The posting lists of a shard that a block of queries asks for, with their maxima."""
+    """The posting lists of a shard that a block of queries asks for, with their maxima.
+
+    known: the words asked for, in the order of their numbers."""
 
-    def __init__(self, row: dict, known: dict[str, int], idf: np.ndarray, mean_length: float):
+    def __init__(self, row: dict, known, idf: np.ndarray, mean_length: float):
         self.ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int64)
-        counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
-        code = np.fromiter((known.get(t, -1) for t in _terms(row)), np.int64, len(counts))
+        n, counts, code = len(self.ids), np.frombuffer(row["counts"], np.int32).astype(np.int64), _codes(row, known)
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        asked = np.flatnonzero(code >= 0)
-        postings = spans(ends[asked] - counts[asked], ends[asked])
-        place, times = _numbers(row["places"], total)[postings].astype(np.int64), _numbers(row["times"], total)[postings].astype(float)
-        n, counts, code = len(self.ids), counts[asked], code[asked]
-        norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        impact = np.repeat(idf[code], counts) * times * (K1 + 1) / (times + norm[place])
-        # long lists: a column each
-        long = counts >= max(8, n / 8)
+        places, times = _numbers(row["places"], total), _numbers(row["times"], total)
+        self.norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
         self.windows = -(-n // WINDOW)
+
+        def read(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """The postings of lists, one after another: number of the list, place, times, impact."""
+            at = spans(ends[lists] - counts[lists], ends[lists])
+            of, place, often = np.repeat(np.arange(len(lists)), counts[lists]), places[at].astype(np.int64), times[at]
+            return of, place, often, idf[code[lists]][of] * (K1 + 1) * often / (often + self.norm[place])
+
+        # long lists, the longest first: how often each document has the word, a column each, and the maxima of blocks and windows;
+        # the impacts themselves of those that a SUMMED-th of the documents have
+        long = np.flatnonzero((code >= 0) & (counts >= max(8, n / LONG)))
+        long = long[np.argsort(-counts[long], kind="stable")]
+        of, place, often, impact = read(long)
         self.column = np.full(len(idf), -1)
-        self.column[code[long]] = np.arange(int(long.sum()))
-        held = np.repeat(long, counts)
-        self.table = np.zeros((self.windows * WINDOW, int(long.sum())))
-        self.table[place[held], np.repeat(np.arange(int(long.sum())), counts[long])] = impact[held]
-        self.block_max = self.table.reshape(self.windows * (WINDOW // BLOCK), BLOCK, -1).max(axis=1)
+        self.column[code[long]] = np.arange(len(long))
+        self.idf = idf[code[long]]
+        self.table = np.zeros((n, len(long)), often.dtype)
+        self.table[place, of] = often
+        bound = np.nextafter(impact.astype(np.float32), np.float32(np.inf))  # not below the impact
+        blocks = self.windows * (WINDOW // BLOCK)
+        block = of * blocks + place // BLOCK
+        first = _changes(block)
+        maxima = np.zeros(len(long) * blocks, np.float32)
+        maxima[block[first]] = np.maximum.reduceat(bound, first) if len(first) else bound
+        self.block_max = maxima.reshape(len(long), blocks).T
+        self.window_max = maxima.reshape(len(long), self.windows, WINDOW // BLOCK).max(axis=2)
+        self.summed = int((counts[long] >= max(8, n / SUMMED)).sum())
+        self.impact = np.zeros((self.summed, self.windows * WINDOW), np.float32)
+        some = int(counts[long[: self.summed]].sum())
+        self.impact[of[:some], place[:some]] = bound[:some]
         # the others: postings in the order of lists, and an entry for each (list, window) that has any
-        place, impact = place[~held], impact[~held]
-        of = np.repeat(np.arange(int((~long).sum())), counts[~long])
+        short = np.flatnonzero((code >= 0) & (counts < max(8, n / LONG)))
+        short = short[np.argsort(-counts[short], kind="stable")]
+        of, place, _, self.impacts = read(short)
         entry = of * self.windows + place // WINDOW
-        first = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1]))) if len(entry) else np.zeros(0, np.int64)
+        first = _changes(entry)
         self.entry_window = place[first] // WINDOW
-        self.entry_max = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
+        self.entry_max = np.maximum.reduceat(self.impacts, first) if len(first) else np.zeros(0)
         self.entry_start, self.entry_end = first, np.append(first[1:], len(place))
-        self.places, self.impacts = (place % WINDOW).astype(np.int32), impact
-        bounds = np.searchsorted(of[first], np.arange(int((~long).sum()) + 1))
+        self.places = place.astype(np.min_scalar_type(self.windows * WINDOW))
+        bounds = np.searchsorted(of[first], np.arange(len(short) + 1))
         self.list_start, self.list_end = np.zeros(len(idf), np.int64), np.zeros(len(idf), np.int64)
-        self.list_start[code[~long]], self.list_end[code[~long]] = bounds[:-1], bounds[1:]
+        self.list_start[code[short]], self.list_end[code[short]] = bounds[:-1], bounds[1:]
 
     def weights(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Of each query (a row) and long list how often it counts."""
@@ -193,64 +239,90 @@ class Shard:
             weights[j, at[at >= 0]] = times[at >= 0]
         return weights
 
+    def cursors(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entries of a query's short lists, how often each counts, and the most that these lists give in each window."""
+        starts, ends = self.list_start[terms], self.list_end[terms]
+        entries, often = spans(starts, ends), np.repeat(times, ends - starts)
+        return entries, often, np.bincount(self.entry_window[entries], weights=often * self.entry_max[entries], minlength=self.windows)
+
+    def tops(self, queries: list[tuple[np.ndarray, np.ndarray]], floors: list[float], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """top() of each query (terms, times). The bounds of the long lists come from matrix products over the windows that any query has to
+        visit: for each block from the block maxima, and for each place for the summed lists."""
+        weights = self.weights(queries)
+        cursors = [self.cursors(*q) for q in queries]
+        most = (weights @ self.window_max + [c[2] for c in cursors]).reshape(len(queries), self.windows)
+        visited = np.flatnonzero(((most > 0) & (most >= np.array(floors)[:, None] - NEAR)).any(axis=0))
+        single = (weights * (1 + (weights.shape[1] + 4) * 2.0**-23)).astype(np.float32)  # sums in single precision may be too low by so much
+        whole, rest = single[:, : self.summed], single[:, self.summed :]
+        bounds = np.zeros((len(queries), self.windows, WINDOW // BLOCK, BLOCK), np.float32)
+        for start, end in _runs(visited):
+            place, block = slice(start * WINDOW, end * WINDOW), slice(start * (WINDOW // BLOCK), end * (WINDOW // BLOCK))
+            at = bounds[:, start:end]
+            at[:] = (whole @ self.impact[:, place]).reshape(at.shape)
+            at += (rest @ self.block_max.T[self.summed :, block]).reshape(*at.shape[:3], 1)
+        return [self.top(*q, weights[j], bounds[j].ravel(), k, floors[j], cursors[j]) for j, q in enumerate(queries)]
+
     def top(
-        self, terms: np.ndarray, times: np.ndarray, weight: np.ndarray, block_bound: np.ndarray, k: int, floor: float = 0.0
+        self, terms: np.ndarray, times: np.ndarray, weight: np.ndarray, bound: np.ndarray, k: int, floor: float = 0.0, cursors=None
     ) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, by falling score and rising id; scores below floor are of no interest.
 
-        weight: how often each long list counts; block_bound: the most that these lists give in each block."""
-        starts, ends = self.list_start[terms], self.list_end[terms]
-        entries, often = spans(starts, ends), np.repeat(times, ends - starts)
+        weight: how often each long list counts; bound: the most that these lists give, in each block or at each place."""
+        entries, often, most = cursors or self.cursors(terms, times)
         window = self.entry_window[entries]
-        by_block = block_bound.reshape(self.windows, WINDOW // BLOCK)
-        bound = by_block.max(axis=1) + np.bincount(window, weights=often * self.entry_max[entries], minlength=self.windows)
-        # the cursors: what each list has next, window after window
-        order = np.argsort(window, kind="stable")
-        entries, often = entries[order], often[order]
-        cursor = np.searchsorted(window[order], np.arange(self.windows + 1))
+        bound = bound.reshape(self.windows, -1)
+        most = most + bound.max(axis=1, initial=0.0)
+        long = np.flatnonzero(weight)
         best_ids, best = np.zeros(0, np.int64), np.zeros(0)
         threshold, at = floor, 0
         while True:
-            ahead = np.flatnonzero((bound[at:] > 0) & (bound[at:] >= threshold - NEAR))
+            ahead = at + np.flatnonzero((most[at:] > 0) & (most[at:] >= threshold - NEAR))
             if not len(ahead):
                 return best_ids, best
-            at += int(ahead[0])  # the pivot window: none before it can hold a result, and no posting before it is read
-            now, times_now = entries[cursor[at] : cursor[at + 1]], often[cursor[at] : cursor[at + 1]]
-            score = np.zeros(WINDOW)
-            if len(now):
-                starts, ends = self.entry_start[now], self.entry_end[now]
-                postings = spans(starts, ends)
-                given = self.impacts[postings] * np.repeat(times_now, ends - starts)
-                score = np.bincount(self.places[postings], weights=given, minlength=WINDOW)
-            upper = (score.reshape(-1, BLOCK) + by_block[at][:, None]).ravel()
+            # the next pivot windows: none between them can hold a result, and no posting between them is read
+            pivot = ahead[: max(1, STRIDE // WINDOW)]
+            slot = np.full(self.windows, -1)
+            slot[pivot] = np.arange(len(pivot))
+            now = np.flatnonzero(slot[window] >= 0)
+            starts, ends = self.entry_start[entries[now]], self.entry_end[entries[now]]
+            postings = spans(starts, ends)
+            given = self.impacts[postings]
+            given *= np.repeat(often[now], ends - starts)
+            places = self.places[postings]
+            if len(pivot) < self.windows:
+                places = places + np.repeat((slot[window[now]] - window[now]) * WINDOW, ends - starts)
+            score = np.bincount(places, weights=given, minlength=len(pivot) * WINDOW)
+            upper = (score.reshape(len(pivot), bound.shape[1], -1) + bound[pivot][:, :, None]).ravel()
             pivots = np.flatnonzero((upper > 0) & (upper >= threshold - NEAR))
-            low = at * WINDOW
+            pivots = pivots[pivot[pivots // WINDOW] * WINDOW + pivots % WINDOW < len(self.ids)]
             while len(pivots):
                 some = pivots
                 if len(pivots) > FEW and threshold <= 0:  # the most promising ones set a threshold for the others
                     some = pivots[np.argpartition(-upper[pivots], FEW)[:FEW]]
-                found = np.round(score[some] + self.table[low + some] @ weight, 6)
+                docs = pivot[some // WINDOW] * WINDOW + some % WINDOW
+                had = self.table[docs][:, long].astype(float)
+                impact = self.idf[long] * (K1 + 1) * had / (had + self.norm[docs][:, None])
+                found = np.round(score[some] + impact @ weight[long], 6)
                 keep = np.flatnonzero((found > 0) & (found >= threshold - NEAR))
-                best, best_ids = np.concatenate((best, found[keep])), np.concatenate((best_ids, self.ids[low + some[keep]]))
+                best, best_ids = np.concatenate((best, found[keep])), np.concatenate((best_ids, self.ids[docs[keep]]))
                 top = np.lexsort((best_ids, -best))[:k]
                 best, best_ids = best[top], best_ids[top]
                 if len(best) == k:
                     threshold = max(floor, float(best[-1]))
                 upper[some] = -1.0
                 pivots = pivots[(upper[pivots] > 0) & (upper[pivots] >= threshold - NEAR)]
-            at += 1
+            at = int(pivot[-1]) + 1
 
 
-def _searched(shared, k: int):
+def _searched(shared, floors: dict[int, float], k: int):
     def run(batches):
-        known, queries, idf, mean_length, floors = shared.value
+        words, queries, idf, mean_length = shared.value
+        known = pa.array(words, pa.string())
         for row in _rows(batches):
             shard = Shard(row, known, idf, mean_length)
             for i in range(0, len(queries), AT_ONCE):
                 some = queries[i : i + AT_ONCE]
-                weights = shard.weights([q[1:] for q in some])
-                bounds = weights @ shard.block_max.T
-                found = [shard.top(*q[1:], weights[j], bounds[j], k, floors.get(q[0], 0.0)) for j, q in enumerate(some)]
+                found = shard.tops([q[1:] for q in some], [floors.get(q[0], 0.0) for q in some], k)
                 numbers = np.repeat([q[0] for q in some], [len(ids) for ids, _ in found])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(numbers), *(pa.array(np.concatenate(c)) for c in zip(*found))], names=["query", "doc_id", "score"]
@@ -267,18 +339,44 @@ def build_index(
     return stored(rows.mapInArrow(_indexed(shard_docs, shard_words), INDEX), "index")
 
 
-def _asked(asked: DataFrame) -> tuple[list[int], dict[str, int], list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Ids of the queries by number, the words' numbers, and (number, words, times) of those that have any."""
-    texts = sorted({(r["id"], r["text"]) for r in asked.toLocalIterator()})
-    known: dict[str, int] = {}
-    queries = []
-    for q, (_, text) in enumerate(texts):
-        bag = Counter(words_of(pa.array([text]))[0].to_pylist())
-        if bag:
-            queries.append(
-                (q, np.array([known.setdefault(w, len(known)) for w in bag], np.int64), np.fromiter(bag.values(), float, len(bag)))
-            )
-    return [doc for doc, _ in texts], known, queries
+def _bags(batches):
+    """id, words and times: each word of a text once, and how often the text has it. Texts without words are left out."""
+    for batch in slices(batches, "text", max_bytes=2 << 20):
+        words, n = words_of(batch.column("text"))
+        coded = words.combine_chunks().dictionary_encode() if isinstance(words, pa.ChunkedArray) else words.dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        found, times = np.unique(np.repeat(np.arange(len(n)), n) * size + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+        of, word = np.divmod(found, size)
+        some = np.flatnonzero(n)
+        ends = pa.array(np.append(np.searchsorted(of, some), len(of)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(pa.array(some)), pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(word))), pa.ListArray.from_arrays(ends, pa.array(times))],
+            names=["id", "words", "times"],
+        )
+
+
+def _asked(bags: DataFrame) -> tuple[list[int], list[str], list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Ids of the queries by number, the words asked for by number, and the queries: (number, words, times)."""
+    found = bags.select("id", "words", "times").toArrow().combine_chunks()
+    if not found.num_rows:
+        return [], [], []
+    words, times = found["words"].chunk(0), found["times"].chunk(0)
+    coded = words.flatten().dictionary_encode()
+    ends = np.cumsum(pc.list_value_length(words).to_numpy())[:-1]
+    terms = np.split(coded.indices.to_numpy().astype(np.int64), ends)
+    often = np.split(times.flatten().to_numpy().astype(float), ends)
+    return found["id"].to_pylist(), coded.dictionary.to_pylist(), list(zip(range(len(terms)), terms, often))
+
+
+def _alike(queries: list[tuple[int, np.ndarray, np.ndarray]], df: np.ndarray, total: int, idf: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The queries in the order of their heaviest word among the frequent ones: alike ones are searched together."""
+
+    def heaviest(query) -> int:
+        _, terms, times = query
+        weight = np.where(df[terms] >= total / LONG, times * idf[terms], 0)
+        return int(terms[np.argmax(weight)])
+
+    return sorted(queries, key=heaviest)
 
 
 def search(
@@ -290,31 +388,36 @@ def search(
     asked = docs.where(is_query).select(
         whole(docs, key).alias("id"), F.col(text).alias("text")
     ).where("id is not null and text is not null")
+    # the queries' words are taken once, by tasks, and stored: no block reads the documents again
+    bags = stored(asked.dropDuplicates(["id", "text"]).mapInArrow(_bags, "id long, words array<string>, times array<long>"), "asked")
     index = build_index(docs, key, text, shard_docs)
     total, words = index.agg(F.sum("docs"), F.sum("words")).first()
-    n, chars = asked.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    letters = F.aggregate("words", F.lit(0).cast("long"), lambda n, word: n + F.length(word))
+    n, chars = bags.agg(F.count(F.lit(1)), F.sum(letters)).first()
     blocks = max(1, math.ceil(n / query_block), math.ceil((chars or 0) / query_chars))
     by = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     some, schema, out = F.pmod(F.xxhash64("ids"), F.lit(8)) == 0, "query long, doc_id long, score double", []
     for i in range(blocks):
-        ids, known, queries = _asked(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i))
+        ids, known, queries = _asked(bags.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i))
         if not queries:
             continue
         counts = index.select("terms", "counts").mapInArrow(_frequencies(spark.sparkContext.broadcast(known)), "term long, df long")
         df = np.zeros(len(known))
         for b in counts.groupBy("term").agg(F.sum("df").alias("df")).toArrow().to_batches():
             df[b.column(0).to_numpy()] = b.column(1).to_numpy()
-        model = (known, queries, np.log1p((total - df + 0.5) / (df + 0.5)), words / max(total, 1))
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        model = spark.sparkContext.broadcast((known, _alike(queries, df, total, idf), idf, words / max(total, 1)))
         # an eighth of the shards first: its k-th scores are where the others' walks start
-        first = stored(ranked(index.where(some).mapInArrow(_searched(spark.sparkContext.broadcast((*model, {})), k), schema)), "first")
+        first = stored(ranked(index.where(some).mapInArrow(_searched(model, {}, k), schema)), "first")
         floors = {r["query"]: r["score"] for r in first.where(F.col("rank") == k).select("query", "score").collect()}
-        rest = index.where(~some).mapInArrow(_searched(spark.sparkContext.broadcast((*model, floors)), k), schema)
+        rest = index.where(~some).mapInArrow(_searched(model, floors, k), schema)
         best = ranked(first.select("query", "doc_id", "score").unionByName(rest))
         numbered = F.broadcast(spark.createDataFrame(list(enumerate(ids)), "query long, query_id long"))  # query_block rows at most
         out.append(stored(best.join(numbered, "query").select("query_id", "doc_id", "rank", "score"), "best"))
         dropped(first)
     dropped(index)
+    dropped(bags)
     if not out:
         return spark.createDataFrame([], "query_id long, doc_id long, rank int, score double")
     return spark.read.schema(out[0].schema).parquet(*[t._folium_path for t in out])
