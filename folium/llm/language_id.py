@@ -28,6 +28,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SHARPNESS = 20.0
 #: Words whose scores a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 200_000
+#: New words scored at once: their n-grams' hashes take several hundred bytes a word.
+SCORED_WORDS = 4_096
 
 
 @dataclass
@@ -57,6 +59,19 @@ class _Scorer(dict):
         self.new.append(word)
         return row
 
+    def _learn(self) -> None:
+        """Scores the new words, a few thousand at a time; known and lengths have room for more rows than there are words."""
+        if len(self) > len(self.known):
+            room = len(self) + len(self) // 4 - len(self.known)
+            self.known = np.concatenate([self.known, np.zeros((room, self.known.shape[1]))])
+            self.lengths = np.concatenate([self.lengths, np.zeros(room, np.int64)])
+        done = len(self) - len(self.new)
+        for k in range(0, len(self.new), SCORED_WORDS):
+            part = self.new[k : k + SCORED_WORDS]
+            rows = slice(done + k, done + k + len(part))
+            self.known[rows], self.lengths[rows] = word_scores(self.trained.models, part)
+        self.new = []
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy of each text under each model (texts x models), and the characters scored."""
         if len(self) > KEPT_WORDS:
@@ -65,9 +80,7 @@ class _Scorer(dict):
         for text in texts:
             words = LETTERS.findall(text.lower()) if text else []
             rows.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-        if self.new:
-            found, lengths = word_scores(self.trained.models, self.new)
-            self.known, self.lengths, self.new = np.concatenate([self.known, found]), np.concatenate([self.lengths, lengths]), []
+        self._learn()
         sums = np.zeros((len(texts), len(self.trained.models)))
         chars = np.zeros(len(texts), np.int64)
         for i, at in enumerate(rows):
@@ -173,9 +186,12 @@ FOUND = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "r
 def predict(docs: DataFrame, trained: LanguageModels, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds FOUND to the columns in keep (all of docs by default); columns of these names are replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in FOUND]
-    content = free_name(docs, "content")
     shared = docs.sparkSession.sparkContext.broadcast(trained)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(content))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+    # a text that is kept goes to the workers once
+    content = text if text in keep else free_name(docs, "content")
+    if text not in keep:
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(content))
     schema = T.StructType([rows.schema[c] for c in keep])
     for name, kind in FOUND.items():
         schema = schema.add(name, kind)

@@ -851,6 +851,34 @@ def test_language_held_out(spark):
     assert {r["lang_pred"] for r in language_id.predict(odd_docs(spark), none).collect()} == {"und"}
 
 
+def test_language_takes_a_kept_text_to_workers_once(spark):
+    docs = spark.createDataFrame([(1, "ein Text", "de", "a text"), (2, None, "en", "b"), (3, "a text", "en", None)], "doc_id long, text string, lang string, content string")
+    trained = language_id.fit(docs)
+    sent = lambda df: df._jdf.queryExecution().analyzed().children().head().output().size()
+    found = language_id.predict(docs, trained)
+    assert found.columns == [*docs.columns, *language_id.FOUND] and sent(found) == len(docs.columns)
+    rows = {r["doc_id"]: (r["text"], r["content"], r["lang_pred"]) for r in found.collect()}
+    assert rows == {1: ("ein Text", "a text", "de"), 2: (None, "b", "und"), 3: ("a text", None, "en")}
+    alone = language_id.predict(docs, trained, keep=["doc_id"])
+    assert sent(alone) == 2 and {r["doc_id"]: r["lang_pred"] for r in alone.collect()} == {k: v[2] for k, v in rows.items()}
+
+
+def test_language_scores_few_words_at_once(monkeypatch):
+    models = [charlm.kneser_ney(charlm.count_grams(dict.fromkeys(words, 1), 5), 5) for words in (["abc", "abd"], ["xyz", "xya"])]
+    trained, sizes = language_id.LanguageModels(["a", "x"], models, np.full(2, np.inf)), []
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices("abcdxyz", k=draw.randint(1, 9))) for _ in range(300)) for _ in range(60)] + [None, "", "abc"]
+    whole = [charlm.word_scores(models, t.split()) if t else (np.zeros((0, 2)), np.zeros(0, np.int64)) for t in texts]
+    monkeypatch.setattr(language_id, "word_scores", lambda models, words: sizes.append(len(words)) or charlm.word_scores(models, words))
+    score = trained.scorer()
+    for part in (texts[:40], texts[40:], texts[:40]):
+        entropy, chars = score(part)
+        expected = [whole[texts.index(t)] for t in part]
+        assert chars.tolist() == [n.sum() for _, n in expected]
+        assert np.allclose(entropy, [-x.sum(axis=0) / max(1, n.sum()) for x, n in expected], rtol=1e-12)
+    assert sum(sizes) == len(score) > 2 * max(sizes) and max(sizes) <= 4096
+
+
 def test_language_rejects_what_was_never_learned(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null")
     for left_out in ("de", "es"):
