@@ -180,18 +180,22 @@ def tables(nodes: DataFrame, key: str) -> DataFrame:
     )
 
 
-#: An ampersand that begins no character reference with a semicolon.
-_LOOSE = r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)"
+def closed_references(html: Column, loose: tuple[str, ...] = ()) -> Column:
+    """HTML text in which only character references that end with a semicolon count, as in XML, and those of the names in loose.
+
+    HTML also reads some without one (``&amp``, ``&quot``); each ampersand that begins none of those above becomes a reference itself."""
+    kept = "|".join([r"(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);", *loose])
+    return F.regexp_replace(html, f"&(?!{kept})", "&amp;")
 
 
 def titles(df: DataFrame, html: str = "html", terminated: bool = False) -> DataFrame:
     """df with title of HTML text, without building blocks where a title element has one; null where the text cannot be parsed.
 
-    terminated: only character references that end with a semicolon count, as in XML; HTML also reads some without one (``&amp``)."""
+    terminated: only references that end with a semicolon count (``closed_references``)."""
     from folium.parsers.html_walk import html_title
 
     def run(sources: pa.Array) -> pa.Array:
         return pa.array([None if s is None else _guarded(lambda: html_title(s), "Conversion")[0] for s in sources.to_pylist()], pa.string())
 
-    source = F.regexp_replace(html, _LOOSE, "&amp;") if terminated else F.col(html)
+    source = closed_references(F.col(html)) if terminated else F.col(html)
     return df.withColumn("title", F.arrow_udf(sliced(run), "string")(source))
