@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions import columns as C
-from folium.model import MarkdownOptions
+from folium.model import NODE, MarkdownOptions
 from folium.operators.stage import parts, written
 from folium.text import SPACE
 
@@ -21,7 +21,11 @@ TASK_NODES = 1_000_000
 _LINE_END = r"\r\n|\n|\r"
 # The fields of a node that its Markdown is made of.
 USED = frozenset("parent_id slot ordinal kind text level language ordered start loose checked col_span alignments url link_title".split())
-#: What a node hands to its parent: inline text where a line begins, within a line, within a table cell; lines of a block; cells of a row.
+#: Kinds whose Markdown is made of their own fields alone, before they are written. Below the top they go to their parent at once, without a group of their own.
+LEAVES = ("text", "line_break", "code_span", "image", "raw_inline", "code_block", "thematic_break", "html_comment", "raw_block")
+#: What escaping may change.
+_MARKUP = r"[\\*`\[\]_<&|#>=+\-.)\r]"
+#: What a node hands to its parent: inline text where a line begins, within a line and within a table cell if it differs there; lines of a block; cells of a row.
 _VALUE = "struct<start:string,inner:string,cell:string,lines:array<string>,cells:array<string>>"
 
 
@@ -31,7 +35,7 @@ def _value(start=None, inner=None, cell=None, lines=None, cells=None) -> Column:
 
 
 def _same(text: Column, cell: Column | None = None) -> Column:
-    return _value(text, text, text if cell is None else cell)
+    return _value(text, cell=cell)
 
 
 def _text(name: str) -> Column:
@@ -49,11 +53,18 @@ def _rows(text: Column) -> Column:
 
 def _of(slot: str, field: str) -> Column:
     """The children of a slot in order: that field of their values."""
-    return F.transform(F.filter("kids", lambda k: k["slot"] == slot), lambda k: k["value"][field])
+    return F.transform(F.filter("kids", lambda k: k["slot"] == slot), lambda k: k[field])
 
 
-def _joined(field: str) -> Column:
-    return F.coalesce(F.array_join(F.transform(F.filter("kids", lambda k: k["slot"].isin("inline", "caption")), lambda k: k[field]), ""), F.lit(""))
+def _joined(field: str, *kinds: str) -> Column:
+    """For nodes of these kinds; those of others have no use for it."""
+    return F.when(F.col("kind").isin(*kinds), F.coalesce(F.array_join(F.col("kids")[field], ""), F.lit("")))
+
+
+def _held() -> Column:
+    """Lines of the blocks that a node holds; of a single one as they are."""
+    only = F.get("kids", F.lit(0))
+    return F.when((F.size("kids") == 1) & (only["slot"] == "block"), F.coalesce(only["lines"], F.array().cast("array<string>"))).otherwise(_stacked(_of("block", "lines")))
 
 
 def _stacked(blocks: Column) -> Column:
@@ -71,13 +82,14 @@ def _stacked(blocks: Column) -> Column:
 
 def _led(lines: Column, first: Column, others: Column) -> Column:
     """A prefix for the first line and one for those behind it; without lines the first prefix alone."""
-    lines = F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("")))
-    return F.transform(lines, lambda x, i: F.concat(F.when(i == 0, first).otherwise(others), x))
+    led = F.transform(lines, lambda x, i: F.concat(F.when(i == 0, first).otherwise(others), x))
+    return C.let(led, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(first)))
 
 
 def _escaped(text: Column, o: MarkdownOptions) -> Column:
     if o.escape_text:
-        return _value(C.escape(text), C.escape(text, line_start=False), C.escape(text, table=True, line_start=False))
+        escaped = _value(C.escape(text), C.escape(text, line_start=False), C.escape(text, table=True, line_start=False))
+        return F.when(text.rlike(_MARKUP), escaped).otherwise(_same(text))
     plain = F.regexp_replace(text, r"\r\n?", "\n")
     return _same(plain, F.replace(plain, F.lit("|"), F.lit(r"\|")))
 
@@ -153,14 +165,14 @@ def _blocks(o: MarkdownOptions) -> dict[str, Column]:
         return F.when(loose & (i > 0), F.concat(F.array(F.lit("")), led)).otherwise(led)
 
     none = F.array().cast("array<string>")
-    cell = F.when(F.exists("kids", lambda k: k["slot"] == "inline"), F.col("in_cell")).otherwise(_escaped(text, o)["cell"])
+    cell = F.when(F.exists("kids", lambda k: k["slot"] == "inline"), F.col("in_cell")).otherwise(F.coalesce(_escaped(text, o)["cell"], _escaped(text, o)["start"]))
     cell = C.trimmed(F.array_join(F.transform(F.split(cell, _LINE_END), C.trimmed), o.table_cell_line_break))
     return {
         "heading": _value(lines=F.when(head == "", none).otherwise(F.array(C.heading(F.col("level"), head, o.max_heading_level)))),
         "paragraph": _value(lines=_rows(body)), "code_block": _value(lines=code),
-        "block_quote": _value(lines=_led(_stacked(_of("block", "lines")), F.lit("> "), F.lit("> "))),
+        "block_quote": _value(lines=_led(_held(), F.lit("> "), F.lit("> "))),
         "list": _value(lines=F.flatten(F.transform(_of("item", "lines"), item))),
-        "list_item": _value(lines=_led(_stacked(_of("block", "lines")), box, F.lit(""))), "thematic_break": _value(lines=F.array(F.lit("---"))),
+        "list_item": _value(lines=_led(_held(), box, F.lit(""))), "thematic_break": _value(lines=F.array(F.lit("---"))),
         "html_comment": _value(lines=F.array(F.concat(F.lit("<!-- "), C.trimmed(text), F.lit(" -->")))), "raw_block": _value(lines=_rows(raw)), "table": _value(lines=_table(o)),
         "table_row": _value(cells=F.flatten(_of("cell", "cells"))),
         "table_cell": _value(cells=F.concat(F.array(cell), F.array_repeat(F.lit(""), F.greatest(F.coalesce("col_span", F.lit(1)) - 1, F.lit(0)))))
@@ -173,46 +185,62 @@ def _grouped(values: DataFrame, by: list[str], *more: Column) -> DataFrame:
     # a line begins at the first text and after one that ends a line; empty ones count not
     ends = F.when(F.col("value.start") != "", F.endswith("value.start", F.lit("\n")))
     begins = F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit(True))
-    part = F.when(begins, F.col("value.start")).otherwise(F.col("value.inner"))
-    kid = F.when(F.col("value").isNotNull(), F.struct("slot", "ordinal", part.alias("inner"), F.col("value.cell").alias("in_cell"), "value"))
+    part = F.when(begins, F.col("value.start")).otherwise(F.coalesce("value.inner", "value.start"))
+    inline = lambda text: F.when(F.col("slot").isin("inline", "caption"), text)
+    kid = F.struct("slot", "ordinal", inline(part).alias("inner"), inline(F.coalesce("value.cell", "value.start")).alias("in_cell"), "value.lines", "value.cells")
+    kid = F.when(F.col("value").isNotNull(), kid)
     return values.withColumn("kid", kid).groupBy(*by).agg(F.sort_array(F.collect_list("kid")).alias("kids"), *more)
 
 
-def _node_value(o: MarkdownOptions) -> Column:
-    """The value of a node of any kind, of its fields and kids."""
+def _filled(df: DataFrame) -> DataFrame:
+    """df with the fields of a node that it lacks: null."""
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in NODE.fields if f.name in USED and f.name not in df.columns})
+
+
+def _node_value(o: MarkdownOptions, leaves: bool) -> Column:
+    """The value of a leaf of its fields, or of any other node of its fields and kids."""
     value = None
     for kind, made in (_inlines(o) | _blocks(o)).items():
-        value = F.when(F.col("kind") == kind, made) if value is None else value.when(F.col("kind") == kind, made)
-    return value.alias("value")
+        if (kind in LEAVES) == leaves:
+            value = F.when(F.col("kind") == kind, made) if value is None else value.when(F.col("kind") == kind, made)
+    return value
 
 
-def _level(nodes: DataFrame, below: DataFrame | None, value: Column) -> DataFrame:
-    """key, parent_id, slot, ordinal and value of the nodes of one level."""
+def _level(nodes: DataFrame, below: DataFrame | None, o: MarkdownOptions) -> DataFrame:
+    """key, parent_id, slot, ordinal and value of the nodes of one level; nodes has the leaves of the level below as well."""
     if below is None:
-        empty = "array<struct<slot:string,ordinal:int,inner:string,in_cell:string,value:" + _VALUE + ">>"
+        empty = "array<struct<slot:string,ordinal:int,inner:string,in_cell:string,lines:array<string>,cells:array<string>>>"
         given = nodes.withColumn("kids", F.array().cast(empty))
     else:
         # a node is brought under its own number beside what names it as parent: rows of both are where their document is, which a join by node would not know
-        none = lambda c: F.lit(None).cast(below.schema[c].dataType).alias(c)
-        own = nodes.select("key", F.col("node_id").alias("at"), none("slot"), none("ordinal"), none("value"), F.struct(*[c for c in nodes.columns if c in USED]).alias("node"))
+        leaf, fields = F.col("leaf"), F.struct(*[c for c in nodes.columns if c in USED], "made")
+        own = nodes.select(
+            "key", F.when(leaf, F.col("parent_id")).otherwise(F.col("node_id")).alias("at"), *[F.when(leaf, F.col(c)).alias(c) for c in ("slot", "ordinal")],
+            F.when(leaf, F.col("made")).alias("value"), F.when(~leaf, fields).alias("node")
+        )
         kids = below.select("key", F.col("parent_id").alias("at"), "slot", "ordinal", "value", F.lit(None).cast(own.schema["node"].dataType).alias("node"))
         found = _grouped(own.unionAll(kids), ["key", "at"], F.first("node", ignorenulls=True).alias("node"))
         given = found.where("node is not null").select("key", "node.*", "kids")
-    given = given.withColumns({"inner": _joined("inner"), "in_cell": _joined("in_cell")})
-    return given.select("key", "parent_id", "slot", "ordinal", value)
+    marks = ("strong", "emphasis", "strikethrough")
+    given = _filled(given).withColumns({"inner": _joined("inner", *marks, "link", "heading", "paragraph", "table"), "in_cell": _joined("in_cell", *marks, "table_cell")})
+    return given.select("key", "parent_id", "slot", "ordinal", F.coalesce("made", _node_value(o, leaves=False)).alias("value"))
 
 
 def fold(nodes: DataFrame, key: str, options: MarkdownOptions | None = None, metadata: DataFrame | None = None) -> DataFrame:
-    """key and markdown of every document of a node table (key and the fields of NODE); a document without nodes has no row.
+    """key and markdown of every document of a node table (key and the fields of NODE; those that no node has may be left out); a document without nodes has no row.
 
-    metadata: key and metadata (array of key, value) for the front matter, if the options ask for it. Nodes are written once, a folder for each level, and each level is read once."""
+    metadata: key and metadata (array of key, value) for the front matter, if the options ask for it. Nodes are written once, a folder for each level, and each row is read once."""
     o = options or MarkdownOptions()
-    table = written(nodes.withColumnRenamed(key, "key"), "nodes", by="depth")
+    leaf, given = F.coalesce(F.col("kind").isin(*LEAVES), F.lit(False)), nodes.withColumnRenamed(key, "key")
+    made = _filled(given).withColumns({"made": _node_value(o, leaves=True), "text": F.when(~leaf, F.col("text")), "leaf": leaf & (F.col("depth") > 0)})
+    table = written(made.select("key", "node_id", "depth", *[c for c in given.columns if c in USED], "made", "leaf"), "nodes", "depth", "leaf")
     deepest = table.agg(F.max("depth")).first()[0]
-    below, value, n = None, _node_value(o), parts(table, TASK_NODES)
+    below, n, at = None, parts(table, TASK_NODES), F.col("depth")
     for depth in range(-1 if deepest is None else deepest, -1, -1):
+        # the leaves of the deepest level are its own, others are read with the level of their parents
+        here = (at == depth) & (~F.col("leaf") | (at == deepest)) | (at == depth + 1) & F.col("leaf") & (at < deepest)
         # the only exchange: what follows is grouped, sorted and joined within documents
-        below = _level(table.where(F.col("depth") == depth).repartition(n, "key"), below, value)
+        below = _level(table.where(here).repartition(n, "key"), below, o)
         if depth and depth % LEVELS == 0:
             below = written(below, "level").repartition(n, "key")
     if below is None:

@@ -28,8 +28,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df written as Parquet, in folders of the column by, and read again: its lineage ends there."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as Parquet, in folders of the columns by, and read again: its lineage ends there."""
     path = scratch(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
